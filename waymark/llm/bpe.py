@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts are taken together up to about this many characters before merges are replayed.
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 12_000_000
 ID_BITS = 32
 
 
@@ -50,7 +50,7 @@ class MergeReplay:
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair gives, -1 if there is none; negative symbols give none."""
-        key = (left << ID_BITS) | right
+        key = (left.astype(np.int64) << ID_BITS) | right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_rank[at], -1)
 
@@ -60,11 +60,13 @@ class MergeReplay:
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         starts = np.cumsum(sizes + 1) - sizes - 1  # a gap after each word: nothing merges across
         n = int((sizes + 1).sum())
-        sym = np.full(n + 1, -1, dtype=np.int64)
-        place = np.arange(len(flat)) + np.repeat(np.arange(len(words)), sizes)
-        sym[place] = self.byte_id[flat]
+        sym = np.full(n + 1, -1, dtype=np.int32)
+        inside = np.ones(n, dtype=bool)
+        inside[starts + sizes] = False
+        sym[:n][inside] = self.byte_id[flat]
+        del inside, flat
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes + 1)
-        nxt, prv = np.arange(1, n + 2), np.arange(-1, n)
+        nxt, prv = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         nxt[n] = n
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
@@ -96,10 +98,12 @@ class MergeReplay:
             prv[after] = p
             before = prv[p]
             left = np.where(before >= 0, sym[before], -1)
-            merged = np.full(len(p), r)
+            merged = np.full(len(p), r, dtype=np.int32)
             add(np.concatenate((self._ranks_of(left, merged), self._ranks_of(merged, sym[after]))), np.concatenate((before, p)))
 
-        add(self._ranks_of(sym[:-1], sym[1:]), np.arange(n))
+        for a in range(0, n, 500_000):
+            b = min(n, a + 500_000)
+            add(self._ranks_of(sym[a:b], sym[a + 1 : b + 1]), np.arange(a, b, dtype=np.int32))
         while heap:
             r = heapq.heappop(heap)
             places = index.pop(r, None)
@@ -127,7 +131,7 @@ class MergeReplay:
                     if x != last:
                         keep.append(x)
                         last = y
-                p = np.array(keep, dtype=np.int64)
+                p = np.array(keep, dtype=np.int32)
             merge(r, p)
         alive = sym[:n] >= 0
         ids = sym[:n][alive]
