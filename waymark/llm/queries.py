@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import bpe, decontaminate, simhash, toxicity
+from waymark.llm import bpe, decontaminate, pii, simhash, toxicity
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -16,6 +16,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The key of the surrogates; a deployment passes its own secret.
+SURROGATE_KEY = b"waymark surrogates"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_replaced and the text with surrogates of every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.with_surrogates(docs, SURROGATE_KEY, count_col="n_replaced").select("doc_id", "n_replaced", "text")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -33,7 +43,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_toxicity": op4_toxicity, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
+    return {"op2_pii": op2_pii, "op4_toxicity": op4_toxicity, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

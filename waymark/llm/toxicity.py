@@ -190,8 +190,8 @@ def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, unchanged, whose text scores below the threshold."""
-    weights, intercept = train(docs.select("doc_id", "text"), learn_rows(labels))
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows of docs, unchanged, whose text scores below the threshold. learn_from: the labelled documents, docs by default."""
+    weights, intercept = train((docs if learn_from is None else learn_from).select("doc_id", "text"), learn_rows(labels))
     kept = score(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text")), weights, intercept)
     return kept.filter(F.col("score") < threshold).select("row.*")
