@@ -30,6 +30,8 @@ SIZES = (4, 5)
 SAMPLE_PER_CLASS = 2500
 #: Buckets with fewer training documents carry no weight.
 MIN_DOCS = 3
+#: Labelled ids (under 50 bytes each in memory) up to which they are sent to every task; more are joined by a shuffle of the texts.
+BROADCAST_LABELS = 2_000_000
 #: Documents added to each bucket before the ratio is taken.
 SMOOTHING = 10.0
 BLOCKS = 32
@@ -139,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
     spark = docs.sparkSession
     marks = materialize(labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label")), "tox-labels")
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size, found = class_counts(texts.join(marks, "doc_id").select("text", "label"))
+    sent = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks
+    size, found = class_counts(texts.join(sent, "doc_id").select("text", "label"))
     if not size.all():
         share = (size[1] + 1) / (size.sum() + 2)
         return np.zeros(BUCKETS, dtype=np.float32), float(np.log(share / (1 - share)))
