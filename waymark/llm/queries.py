@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import bpe, decontaminate, pii, simhash, toxicity
+from waymark.llm import bpe, decontaminate, pii, sharding, simhash, toxicity
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -26,6 +26,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_surrogates(docs, SURROGATE_KEY, count_col="n_replaced").select("doc_id", "n_replaced", "text")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -43,7 +47,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pii": op2_pii, "op4_toxicity": op4_toxicity, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
+    return {"op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_toxicity": op4_toxicity, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
