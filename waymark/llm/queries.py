@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import bpe, decontaminate, pii, sharding, simhash, toxicity
+from waymark.llm import bpe, decontaminate, pii, sharding, simhash, toxicity, warc
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -16,6 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 #: The key of the surrogates; a deployment passes its own secret.
 SURROGATE_KEY = b"waymark surrogates"
 
@@ -47,8 +51,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_toxicity": op4_toxicity, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
+    return {"op1_warc": op1_warc, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_toxicity": op4_toxicity, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": warc.ORACLE_SQL}
