@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import bpe, decontaminate, pii, sharding, simhash, toxicity, warc
+from waymark.llm import bpe, decontaminate, pii, sharding, simhash, syncmers, toxicity, warc
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -46,12 +46,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_edited(_read(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_toxicity": op4_toxicity, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
+    return {"op1_warc": op1_warc, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_toxicity": op4_toxicity, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op9_syncmers": op9_syncmers, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
