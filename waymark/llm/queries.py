@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import bpe, decontaminate, lm, pii, sharding, simhash, syncmers, toxicity, warc
+from waymark.llm import bpe, decontaminate, licenses, lm, pii, sharding, simhash, syncmers, toxicity, warc
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -38,6 +38,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_read(spark, sf_dir, "documents"))
 
@@ -59,8 +63,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_toxicity": op4_toxicity, "op6_lm": op6_lm, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op9_syncmers": op9_syncmers, "op10_bpe": op10_bpe}
+    return {"op1_warc": op1_warc, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_toxicity": op4_toxicity, "op5_licenses": op5_licenses, "op6_lm": op6_lm, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op9_syncmers": op9_syncmers, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE_SQL}
+    return {"op1_warc": warc.ORACLE_SQL, "op5_licenses": licenses.oracle_sql()}
