@@ -35,6 +35,7 @@ BROADCAST_LABELS = 2_000_000
 #: Documents added to each bucket before the ratio is taken.
 SMOOTHING = 10.0
 BLOCKS = 32
+FIT_CHUNK = 200
 THRESHOLD = 0.7
 
 
@@ -101,29 +102,37 @@ def log_ratios(docs: np.ndarray, found: np.ndarray) -> np.ndarray:
 
 def fit_weights(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 80) -> tuple[np.ndarray, float]:
     """Logistic regression on present buckets scaled by their ratios: accelerated gradient steps. The weight of a bucket, and the intercept."""
-    rows = [r[ratios[r] != 0] for r in rows]
-    flat = np.concatenate([*rows, np.zeros(1, dtype=np.int32)])
-    used, flat = np.unique(flat, return_inverse=True)
-    flat = flat.astype(np.int32)
+    seen = np.zeros(len(ratios), dtype=bool)
+    for k, x in enumerate(rows):
+        rows[k] = x[ratios[x] != 0]
+        seen[rows[k]] = True
+    used = np.flatnonzero(seen)
+    number = np.cumsum(seen, dtype=np.int32) - 1
     r = ratios[used].astype(np.float64)
-    sizes = np.array([len(x) for x in rows])
-    doc = np.append(np.repeat(np.arange(len(rows), dtype=np.int32), sizes), len(rows))
-    n = len(rows)
+    chunks = []  # a bounded number of documents at a time, so that no array spans the sample
+    for a in range(0, len(rows), FIT_CHUNK):
+        part = rows[a : a + FIT_CHUNK]
+        chunks.append((slice(a, a + len(part)), number[np.concatenate(part)], np.repeat(np.arange(len(part), dtype=np.int32), [len(x) for x in part])))
+        rows[a : a + FIT_CHUNK] = [len(x) for x in part]
+    sizes = np.array(rows)
 
-    def margin(w, b):
-        return np.bincount(doc, weights=(w * r)[flat], minlength=n + 1)[:n] + b
+    def margins(w, b):
+        v = w * r
+        return np.concatenate([np.bincount(doc, weights=v[flat], minlength=at.stop - at.start) for at, flat, doc in chunks]) + b
+
+    def gather(g):
+        return sum((np.bincount(flat, weights=g[at][doc], minlength=len(used)) for at, flat, doc in chunks), np.zeros(len(used)))
 
     scale = np.sqrt(np.maximum(1, sizes)).mean()
     # per-feature step from the curvature bound of its own frequency
-    freq = np.bincount(flat, weights=np.append(weight, 0)[doc], minlength=len(used))
     w, b = np.zeros(len(used)), 0.0
-    step_w = 1.0 / (0.25 * r * r * freq * scale + l2)
+    step_w = 1.0 / (0.25 * r * r * gather(weight) * scale + l2)
     step_b = 1.0 / 0.25
     vw, vb, tw, tb = w, b, w, b
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(margin(vw, vb), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(margins(vw, vb), -30, 30)))
         g = (p - y) * weight
-        gw = r * np.bincount(flat, weights=np.append(g, 0)[doc], minlength=len(used)) + l2 * vw
+        gw = r * gather(g) + l2 * vw
         tw2, tb2 = vw - 0.3 * step_w * gw, vb - 0.3 * step_b * g.sum()
         m = k / (k + 3)
         vw, vb = tw2 + m * (tw2 - tw), tb2 + m * (tb2 - tb)
