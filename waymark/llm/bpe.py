@@ -22,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.common import text_batches
+
 #: Texts are taken together up to about this many characters before merges are replayed.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 8_000_000
 ID_BITS = 32
 
 
@@ -193,6 +195,7 @@ def encode_texts(texts: list[str | None], vocab_path: str, pattern: str) -> list
 
 def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids): ids is the packed little-endian uint32 sequence of the text's token ids."""
+    text_batches(docs)
     src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

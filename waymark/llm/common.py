@@ -50,6 +50,17 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+#: Rows of an Arrow batch to a Python worker; whole texts are long.
+TEXT_BATCH_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> None:
+    """Keep Arrow batches of whole texts small in df's session."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+
+
 def id_remainder(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod (a null id counts as empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod)).cast("int")

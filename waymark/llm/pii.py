@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import materialize
+from waymark.llm.common import materialize, text_batches
 
 #: Draws after which a surrogate may be longer than its entity, so that small domains cannot run out.
 SAME_LENGTH_DRAWS = 8
@@ -272,6 +272,7 @@ def _replace(text: Column, spans: Column) -> Column:
 
 def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with every detected entity of the text column replaced; count_col adds the number of replacements."""
+    text_batches(docs)
     rid = F.xxhash64(id_col, text_col)
     rows = docs.select(F.col(id_col).alias("__id"), rid.alias("__rid"), F.col(text_col).alias("__text"))
     found = materialize(find_entities(rows), "pii-spans").dropDuplicates(["__id", "__rid"])

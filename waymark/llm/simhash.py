@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import delete_path, materialize, new_path
+from waymark.llm.common import delete_path, materialize, new_path, text_batches
 
 RADIUS = 4
 SEED = 42
@@ -76,6 +76,7 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fp): fp is the fingerprint as a signed long."""
+    text_batches(docs)
     src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

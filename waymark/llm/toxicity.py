@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import id_remainder, materialize
+from waymark.llm.common import id_remainder, materialize, text_batches
 
 BUCKETS = 1 << 20
 SIZES = (4, 5)
@@ -148,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
     The ratios use every labelled row; the two classes weigh equally in the fit.
     """
     spark = docs.sparkSession
+    text_batches(docs)
     marks = materialize(labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label")), "tox-labels")
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sent = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks
