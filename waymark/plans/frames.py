@@ -1,3 +1,447 @@
-"""Queries of the DataFrame operators."""
-QUERIES = {}
-ORACLES = {}
+"""Queries of the DataFrame operators over the stand-in views, with their oracle SQL where there is one."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waymark.functions.storage import scratch_path
+from waymark.operators import clean, graph, models, spatial
+from waymark.plans.statements import _n, _r
+from waymark.proxy import run_sql, view
+from waymark.sources import snapshot
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return put
+
+
+def r6(c) -> F.Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+POINTS = "SELECT event_id, CAST((event_id * 7919) % 10000 AS DOUBLE) AS x, CAST((event_id * 104729) % 10000 AS DOUBLE) AS y, event_id % 97 <> 0 AS valid FROM events"
+_Y = "CASE WHEN n_nationkey = 23 THEN 400 * 22 + 15 ELSE 400 * n_nationkey END"
+_YM = "CASE WHEN n_nationkey = 23 THEN 407 * 22 + 15 ELSE 407 * n_nationkey END"
+SEGMENTS = f"""SELECT n_nationkey AS unit_id, 0 AS part, 0 AS seq, 0e0 AS x1, CAST({_Y} AS DOUBLE) AS y1, 5000e0 AS x2, CAST({_YM} AS DOUBLE) AS y2 FROM nation
+    UNION ALL SELECT n_nationkey, 0, 1, 5000e0, CAST({_YM} AS DOUBLE), 10000e0, CAST({_Y} AS DOUBLE) FROM nation UNION ALL SELECT 24, 1, 0, 0e0, CAST(400 * 24 + 12 AS DOUBLE), 10000e0, CAST(400 * 24 + 12 AS DOUBLE) FROM nation WHERE n_nationkey = 24"""
+_T = "greatest(0e0, least(1e0, ((p.x - s.x1) * (s.x2 - s.x1) + (p.y - s.y1) * (s.y2 - s.y1)) / ((s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1))))"
+_D = f"sqrt(power(s.x1 + {_T} * (s.x2 - s.x1) - p.x, 2) + power(s.y1 + {_T} * (s.y2 - s.y1) - p.y, 2))"
+PAIRS = f"""pts AS ({POINTS}), segs AS ({SEGMENTS}), pairs AS (SELECT event_id, unit_id, min(d) AS distance FROM (SELECT p.event_id, s.unit_id, {_D} AS d FROM pts p CROSS JOIN segs s WHERE p.valid) WHERE d <= 200 GROUP BY event_id, unit_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(distance, 9), unit_id) AS rn, count(*) OVER (PARTITION BY event_id) AS n FROM pairs WHERE distance <= 100),
+    gaps AS (SELECT event_id, max(CASE WHEN rn = 1 THEN unit_id END) AS unit_id, max(CASE WHEN rn = 1 THEN distance END) AS distance, max(n) AS n, max(CASE WHEN rn = 2 THEN distance END) - max(CASE WHEN rn = 1 THEN distance END) AS gap FROM ranked GROUP BY event_id)"""
+LIMITS = (50.0, 100.0, 150.0, 200.0)
+
+
+def points(spark, d):
+    return run_sql(spark, d, POINTS)
+
+
+def segments(spark, d):
+    return run_sql(spark, d, SEGMENTS)
+
+
+def pairs(spark, d, limit=200.0):
+    return spatial.within_distance(points(spark, d).filter("valid"), segments(spark, d), limit)
+
+
+@query(f"SELECT unit_id, unit_name, {_r('m')} AS trailing_mean FROM (SELECT unit_id, unit_name, total_mean12 AS m, row_number() OVER (ORDER BY round(total_mean12, 6) DESC, unit_id) AS rn FROM feat WHERE month_start = DATE '2001-08-01') WHERE rn <= 10")
+def flagship_top_units(spark, d):
+    f = view(spark, d, "feat").filter("month_start = date'2001-08-01'")
+    return f.select("unit_id", "unit_name", r6("total_mean12").alias("trailing_mean")).orderBy(F.desc("trailing_mean"), "unit_id").limit(10)
+
+
+# sources and sinks: written from the tables to the shared folder and read again
+@query("SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders")
+def sc02_csv_scan(spark, d):
+    at = scratch_path(spark, "csv")
+    run_sql(spark, d, "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders").write.option("header", True).csv(at)
+    return snapshot.read_csv(spark, at, "o_orderkey long, o_orderstatus string, o_totalprice double")
+
+
+@query("SELECT CAST(record_id AS STRING) AS record_id, injury, nullif(lanes, '') AS lanes FROM raw")
+def sc03_gzip_parts(spark, d):
+    at = scratch_path(spark, "parts")
+    snapshot.write_parts(run_sql(spark, d, "SELECT record_id, CASE WHEN injury = ' ' THEN '_' ELSE injury END AS injury, lanes FROM raw").repartition(4), at)
+    t = snapshot.read_text_parts(spark, at, ["record_id", "injury", "lanes"])
+    return t.select("record_id", F.when(F.col("injury") == "_", " ").otherwise(F.col("injury")).alias("injury"), F.nullif("lanes", F.lit("")).alias("lanes"))
+
+
+def _geojson(spark, d):
+    at = scratch_path(spark, "geojson")
+    s = segments(spark, d).withColumn("id", F.concat_ws("-", "unit_id", "part", "seq"))
+    f = s.select((F.col("unit_id") % 4).alias("page"), F.struct(F.lit("Feature").alias("type"), F.struct("id").alias("properties"), F.struct(F.lit("LineString").alias("type"), F.array(F.array("x1", "y1"), F.array("x2", "y2")).alias("coordinates")).alias("geometry")).alias("f"))
+    f.groupBy("page").agg(F.collect_list("f").alias("features")).select(F.lit("FeatureCollection").alias("type"), "features").repartition(4).write.json(at)
+    return at
+
+
+@query(f"WITH s AS ({SEGMENTS}) SELECT CAST(unit_id AS STRING) || '-' || CAST(part AS STRING) || '-' || CAST(seq AS STRING) AS id, 'LineString' AS geometry_type, 0 AS seq, x1 AS x, y1 AS y FROM s WHERE unit_id <> 7 UNION ALL SELECT CAST(unit_id AS STRING) || '-' || CAST(part AS STRING) || '-' || CAST(seq AS STRING), 'LineString', 1, x2, y2 FROM s WHERE unit_id <> 7")
+def sc04_geojson_scan(spark, d):
+    return snapshot.read_geojson(spark, _geojson(spark, d), ("7-0-0", "7-0-1"))
+
+
+@query(f"WITH s AS ({SEGMENTS}) SELECT {_n('count(*)')} AS features, CAST(0 AS BIGINT) AS empty, CAST(0 AS BIGINT) AS missing_ids, {_n('count(*)')} AS ids, CAST(0 AS BIGINT) AS repeated FROM s")
+def sc05_geojson_profile(spark, d):
+    return snapshot.profile_geojson(spark, _geojson(spark, d))
+
+
+@query("SELECT unit_id, month_start, total FROM panel")
+def sc06_gated_parquet_sink(spark, d):
+    at, p = scratch_path(spark, "panel"), view(spark, d, "panel").select("unit_id", "month_start", "total")
+    checks = p.agg((F.count_if(F.expr("unit_id is null")) == 0).alias("passed")).withColumn("severity", F.lit("CRITICAL"))
+    if not snapshot.publish_if_passed(p, checks, at):
+        raise ValueError("the panel did not pass")
+    return spark.read.parquet(at)
+
+
+@query("SELECT unit_id, yr, mon, ksi FROM panel")
+def sc07_copy_view(spark, d):
+    at = scratch_path(spark, "copy")
+    run_sql(spark, d, "SELECT unit_id, yr, mon, ksi FROM panel").write.parquet(at)
+    return spark.read.parquet(at)
+
+
+@query("SELECT unit_id, month_start, total FROM panel")
+def sc08_dual_sink(spark, d):
+    at = scratch_path(spark, "dual")
+    snapshot.write_dual(view(spark, d, "panel").select("unit_id", "month_start", "total"), at)
+    return snapshot.read_csv(spark, f"{at}/csv", "unit_id int, month_start date, total long")
+
+
+def _audited(spark, d, canonical):
+    at = scratch_path(spark, "audit")
+    snapshot.write_parts(view(spark, d, "ev").repartition(5, "unit_id").select("event_id", "unit_id", "severity"), at, "none" if canonical else "gzip")
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(at)
+    content = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n", "\n").cast("binary") if canonical else F.col("content")
+    manifest = f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.length(content).cast("long").alias("bytes"), F.sha2(content, 256).alias("sha256"))
+    return snapshot.audit_files(spark, at, manifest, canonical)
+
+
+@query()
+def sc09_snapshot_audit(spark, d):
+    return _audited(spark, d, False).groupBy("size_ok", "sha_ok").agg(F.count("*").alias("parts"))
+
+
+@query()
+def sc10_published_snapshot(spark, d):
+    return _audited(spark, d, True).groupBy("sha_ok").agg(F.count("*").alias("parts"))
+
+
+# cleaning
+_RAW = {
+    "cl01_normalize_string": ("nullif(trim(injury), '') AS injury, nullif(upper(trim(flag)), '') AS flag", lambda: [clean.normalize_string(F.col("injury")).alias("injury"), clean.normalize_string(F.col("flag"), True).alias("flag")]),
+    "cl02_integer": ("CASE WHEN try_cast(nullif(trim(lanes), '') AS DOUBLE) % 1 = 0 THEN CAST(try_cast(nullif(trim(lanes), '') AS DOUBLE) AS BIGINT) END AS lanes, coalesce(trim(lanes), '') <> '' AND coalesce(try_cast(nullif(trim(lanes), '') AS DOUBLE) % 1 <> 0, TRUE) AS bad", lambda: [clean.coerce_integer(F.col("lanes")).alias("lanes"), clean.invalid_integer(F.col("lanes")).alias("bad")]),
+    "cl03_float": ("try_cast(speed AS DOUBLE) AS speed, speed IS NOT NULL AND try_cast(speed AS DOUBLE) IS NULL AS bad", lambda: [clean.coerce_float(F.col("speed")).alias("speed"), clean.invalid_float(F.col("speed")).alias("bad")]),
+    "cl04_dates": ("try_cast(nullif(event_date, '') AS DATE) AS event_day, try_cast(nullif(event_date, '') AS DATE) IS NULL AS invalid, CAST(date_trunc('month', try_cast(nullif(event_date, '') AS DATE)) AS DATE) AS month_start", lambda: [clean.parse_date(F.col("event_date")).alias("event_day"), clean.parse_date(F.col("event_date")).isNull().alias("invalid"), F.trunc(clean.parse_date(F.col("event_date")), "month").alias("month_start")]),
+    "cl05_severity": ("CASE upper(trim(injury)) WHEN 'FATAL' THEN 'K' WHEN 'INCAPACITATING INJURY' THEN 'A' WHEN 'NONINCAPACITATING INJURY' THEN 'B' WHEN 'REPORTED, NOT EVIDENT' THEN 'C' WHEN 'NO INDICATION OF INJURY' THEN 'O' ELSE 'U' END AS kabco, upper(trim(injury)) = 'UNEXPECTED VALUE' AS unmapped", lambda: [clean.map_severity(F.col("injury")).alias("kabco"), clean.severity_unmapped(F.col("injury")).alias("unmapped")]),
+    "cl07_domain": ("upper(trim(flag)) NOT IN ('Y', 'N', '') AS outside", lambda: [clean.outside_domain(F.col("flag")).alias("outside")]),
+    "cl08_ranges": ("coalesce(try_cast(speed AS DOUBLE) NOT BETWEEN 1 AND 70, FALSE) AS speed_warns", lambda: [clean.outside_range(clean.coerce_float(F.col("speed")), 1, 70).alias("speed_warns")]),
+    "cl10_street": ("nullif(trim(regexp_replace(upper(street), '[^A-Z0-9]+', ' ', 'g')), '') AS street", lambda: [clean.normalize_street(F.col("street")).alias("street")]),
+}
+for _name, (_sql, _columns) in _RAW.items():
+    QUERIES[_name] = lambda spark, d, c=_columns: view(spark, d, "raw").select("record_id", *c())
+    ORACLES[_name] = f"SELECT record_id, {_sql} FROM raw"
+
+
+@query("SELECT record_id, coordinate_status FROM clean")
+def cl06_coordinates(spark, d):
+    return view(spark, d, "raw").select("record_id", clean.classify_coordinates(F.col("lat"), F.col("lon")).alias("coordinate_status"))
+
+
+@query("SELECT record_id, injury_text, kabco, event_day, lanes, speed, flag, coordinate_status FROM clean")
+def cl09_clean_rows(spark, d):
+    return clean.clean_rows(view(spark, d, "raw")).select("record_id", "injury_text", "kabco", "event_day", "lanes", "speed", "flag", "coordinate_status")
+
+
+@query("SELECT unit_id, 'COR-' || lpad(CAST(unit_id + CASE grp WHEN 'ASIA' THEN 100 WHEN 'EUROPE' THEN 200 ELSE 0 END AS STRING), 3, '0') AS stable_id FROM units")
+def cl11_stable_id(spark, d):
+    return view(spark, d, "units").select("unit_id", clean.stable_id(F.col("unit_id"), F.col("grp"), {"ASIA": 100, "EUROPE": 200}).alias("stable_id"))
+
+
+@query("SELECT yr, sha256(string_agg(CAST(unit_id AS STRING), '|' ORDER BY CAST(unit_id AS STRING))) AS selection_hash FROM (SELECT DISTINCT yr, unit_id FROM ev WHERE severity = 'K') GROUP BY yr")
+def cl17_fingerprint(spark, d):
+    return clean.fingerprint(view(spark, d, "ev").filter("severity = 'K'").select("yr", "unit_id").distinct(), ["yr"], F.col("unit_id").cast("string"))
+
+
+@query("SELECT o_orderkey, 'Order ' || CAST(o_orderkey AS STRING) || ' is ' || o_orderstatus AS label FROM orders")
+def cl19_format(spark, d):
+    return run_sql(spark, d, "SELECT o_orderkey, o_orderstatus FROM orders").select("o_orderkey", F.format_string("Order %d is %s", "o_orderkey", "o_orderstatus").alias("label"))
+
+
+# spatial
+_X, _YY = spatial.project_sql("lon", "lat")
+_LONLAT = "SELECT event_id, -87.9e0 + (event_id % 1000) / 2500e0 AS lon, 41.6e0 + (event_id % 777) / 2000e0 AS lat FROM events"
+
+
+@query(f"WITH g AS ({_LONLAT}) SELECT event_id, round({_X}, 3) AS east, round({_YY}, 3) AS north FROM g")
+def sp01_project(spark, d):
+    return run_sql(spark, d, _LONLAT).select("event_id", F.round(F.expr(_X), 3).alias("east"), F.round(F.expr(_YY), 3).alias("north"))
+
+
+_PAIR_SQL = f"WITH {PAIRS} SELECT event_id, unit_id, {_r('distance')} AS distance FROM pairs"
+
+
+@query(_PAIR_SQL)
+def sp02_within_distance(spark, d):
+    return pairs(spark, d).select("event_id", "unit_id", r6("distance").alias("distance"))
+
+
+QUERIES["jo12_distance_join"], ORACLES["jo12_distance_join"] = sp02_within_distance, _PAIR_SQL
+
+
+def ranked(spark, d):
+    return spatial.rank_candidates(pairs(spark, d).filter("distance <= 100"), 10.0)
+
+
+_RANK_SQL = f"WITH {PAIRS} SELECT r.event_id, r.unit_id, {_n('r.rn')} AS candidate_rank, {_n('r.n')} AS candidate_count, r.n > 1 AS is_ambiguous, coalesce(round(g.gap, 9) <= 10, FALSE) AS is_tie FROM ranked r JOIN gaps g ON r.event_id = g.event_id"
+for _name in ("sp03_rank_candidates", "wi07_rank_first", "wi16_tie_detection"):
+    QUERIES[_name] = lambda spark, d: ranked(spark, d).select("event_id", "unit_id", F.col("candidate_rank").cast("long").alias("candidate_rank"), "candidate_count", "is_ambiguous", "is_tie")
+    ORACLES[_name] = _RANK_SQL
+_STATUS = "CASE WHEN NOT p.valid THEN 'no_valid_coordinates' WHEN g.distance IS NULL THEN 'outside_selected_threshold' WHEN coalesce(round(g.gap, 9) <= 10, FALSE) THEN 'unresolved_tie' ELSE 'primary_assigned' END"
+_ASSIGN_SQL = f"SELECT event_id, status AS assignment_status, CASE WHEN status = 'primary_assigned' THEN unit_id END AS unit_id, {_r('distance')} AS distance, {_n('coalesce(n, 0)')} AS candidate_count FROM (SELECT p.event_id, g.unit_id, g.distance, g.n, {_STATUS} AS status FROM pts p LEFT JOIN gaps g ON p.event_id = g.event_id)"
+
+
+def assigned(spark, d):
+    return spatial.assign(points(spark, d), ranked(spark, d))
+
+
+@query(f"WITH {PAIRS} {_ASSIGN_SQL}")
+def sp04_assign(spark, d):
+    return assigned(spark, d).select("event_id", "assignment_status", "unit_id", r6("distance").alias("distance"), "candidate_count")
+
+
+_SENS = f"""WITH {PAIRS}, lim AS (SELECT * FROM (VALUES (50e0), (100e0), (150e0), (200e0)) AS t(lim)), e AS (SELECT l.lim, p.*, row_number() OVER (PARTITION BY l.lim, event_id ORDER BY round(distance, 9), unit_id) AS rn, count(*) OVER (PARTITION BY l.lim, event_id) AS n,
+    lead(distance) OVER (PARTITION BY l.lim, event_id ORDER BY round(distance, 9), unit_id) - distance AS gap FROM lim l JOIN pairs p ON p.distance <= l.lim),
+    a AS (SELECT lim, count(*) AS pairs_n, count(CASE WHEN rn = 1 THEN 1 END) AS matched, count(CASE WHEN rn = 1 AND n = 1 THEN 1 END) AS single, count(CASE WHEN rn = 1 AND round(gap, 9) <= 10 THEN 1 END) AS ties,
+    quantile_cont(CASE WHEN rn = 1 THEN distance END, 0.5) AS p50, quantile_cont(CASE WHEN rn = 1 THEN distance END, 0.95) AS p95, max(CASE WHEN rn = 1 THEN distance END) AS largest FROM e GROUP BY lim)"""
+
+
+def _sensitivity(spark, d):
+    n = points(spark, d).filter("valid").count()
+    return spatial.sensitivity(pairs(spark, d), F.lit(float(n)), LIMITS, 10.0)
+
+
+@query(f"{_SENS} SELECT lim AS \"limit\", {_n('pairs_n')} AS pairs, {_n('matched')} AS matched, {_n('single')} AS single, {_n('ties')} AS ties, {_r('p50')} AS p50, {_r('p95')} AS p95, {_r('largest')} AS largest, {_n('matched - coalesce(lag(matched) OVER (ORDER BY lim), 0)')} AS gain FROM a")
+def sp05_sensitivity(spark, d):
+    return _sensitivity(spark, d).select("limit", "pairs", "matched", "single", "ties", r6("p50").alias("p50"), r6("p95").alias("p95"), r6("largest").alias("largest"), F.col("gain").cast("long").alias("gain"))
+
+
+@query(f"WITH {PAIRS} SELECT CASE WHEN m <= 50 THEN 50 WHEN m < 50 + 1e-6 OR m <= 100 THEN 100 WHEN m <= 150 THEN 150 ELSE 200 END AS band, {_n('count(*)')} AS n FROM (SELECT event_id, min(distance) AS m FROM pairs GROUP BY event_id) GROUP BY 1")
+def sp06_bands(spark, d):
+    m = pairs(spark, d).groupBy("event_id").agg(F.min("distance").alias("m"))
+    band = F.when(F.col("m") <= 50, 50).when(F.col("m") <= 100, 100).when(F.col("m") <= 150, 150).otherwise(200)
+    return m.groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PAIRS} SELECT {_n('count(CASE WHEN distance = 0 THEN 1 END)')} AS zeros, {_n('count(CASE WHEN distance BETWEEN 395e-1 AND 405e-1 THEN 1 END)')} AS cluster FROM pairs")
+def sp07_diagnostics(spark, d):
+    return pairs(spark, d).agg(F.count_if(F.expr("distance = 0")).alias("zeros"), F.count_if(F.expr("distance between 39.5 and 40.5")).alias("cluster"))
+
+
+@query(f"WITH s AS ({SEGMENTS}), l AS (SELECT *, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) AS len FROM s) SELECT unit_id, {_r('sum(len)')} AS length, {_r('sum(len * (x1 + x2) / 2) / sum(len)')} AS cx, {_r('sum(len * (y1 + y2) / 2) / sum(len)')} AS cy, min(least(y1, y2)) AS min_y, max(greatest(y1, y2)) AS max_y FROM l GROUP BY unit_id")
+def sp08_line_figures(spark, d):
+    return spatial.line_figures(segments(spark, d)).select("unit_id", r6("length").alias("length"), r6("cx").alias("cx"), r6("cy").alias("cy"), "min_y", "max_y")
+
+
+_SQUARES = "SELECT i * 5 + j AS poly_id, i * 2000e0 + 1e0 AS px, j * 2000e0 + 3e0 AS py, CASE WHEN i * 5 + j = 7 THEN -999e0 ELSE (i * 5 + j) / 24e0 END AS score FROM (VALUES (0), (1), (2), (3), (4)) AS a(i) CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS b(j)"
+_CLIP = f"""WITH s AS ({SEGMENTS}), q AS ({_SQUARES}), c AS (SELECT s.unit_id, q.poly_id, q.score, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) AS len, greatest(0e0, (px - x1) / (x2 - x1), CASE WHEN y2 = y1 THEN CASE WHEN y1 >= py AND y1 < py + 2000 THEN 0e0 ELSE 9e0 END ELSE least((py - y1) / (y2 - y1), (py + 2000 - y1) / (y2 - y1)) END) AS a,
+    least(1e0, (px + 2000 - x1) / (x2 - x1), CASE WHEN y2 = y1 THEN 1e0 ELSE greatest((py - y1) / (y2 - y1), (py + 2000 - y1) / (y2 - y1)) END) AS b FROM s CROSS JOIN q), o AS (SELECT unit_id, poly_id, score, sum(len * (b - a)) AS l FROM c WHERE b - a > 1e-12 GROUP BY unit_id, poly_id, score)"""
+
+
+def _overlay(spark, d):
+    q = run_sql(spark, d, _SQUARES)
+    corner = [("px", "py", "px + 2000", "py"), ("px + 2000", "py", "px + 2000", "py + 2000"), ("px + 2000", "py + 2000", "px", "py + 2000"), ("px", "py + 2000", "px", "py")]
+    edges = q.select("poly_id", F.explode(F.array(*[F.struct(*[F.expr(x).alias(n) for x, n in zip(c, ("ex1", "ey1", "ex2", "ey2"), strict=True)]) for c in corner])).alias("e")).select("poly_id", "e.*")
+    return spatial.overlay_lengths(segments(spark, d), edges, 2000.0).join(F.broadcast(q.select("poly_id", "score")), "poly_id")
+
+
+@query(f"{_CLIP} SELECT unit_id, {_r('sum(CASE WHEN score >= 0 THEN l * score END) / sum(CASE WHEN score >= 0 THEN l END)')} AS weighted, {_r('coalesce(sum(CASE WHEN score >= 75e-2 THEN l END), 0) / sum(l)')} AS high_share FROM o GROUP BY unit_id")
+def sp09_overlay_score(spark, d):
+    return _overlay(spark, d).groupBy("unit_id").agg(r6(F.sum(F.when(F.col("score") >= 0, F.col("length") * F.col("score"))) / F.sum(F.when(F.col("score") >= 0, F.col("length")))).alias("weighted"), r6(F.coalesce(F.sum(F.when(F.col("score") >= 0.75, F.col("length"))), F.lit(0.0)) / F.sum("length")).alias("high_share"))
+
+
+@query(f"WITH s AS ({SEGMENTS}) SELECT CAST(unit_id AS STRING) || '-' || CAST(part AS STRING) || '-' || CAST(seq AS STRING) AS id, 0 AS seq, x1 AS x, y1 AS y FROM s UNION ALL SELECT CAST(unit_id AS STRING) || '-' || CAST(part AS STRING) || '-' || CAST(seq AS STRING), 1, x2, y2 FROM s")
+def sp10_wkt(spark, d):
+    s = segments(spark, d).withColumn("id", F.concat_ws("-", "unit_id", "part", "seq"))
+    v = s.select("id", F.explode(F.array(F.struct(F.lit(0).alias("seq"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.lit(1).alias("seq"), F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("v")).select("id", "v.*")
+    return spatial.parse_wkt(spatial.emit_wkt(v, "id"), "wkt", "id")
+
+
+EDGES = "SELECT DISTINCT CAST(l_suppkey % 5 AS INT) AS grp, 'P' || CAST(l_partkey AS STRING) AS src, 'S' || CAST(l_suppkey AS STRING) AS dst, 1 + (l_partkey * 31 + l_suppkey * 17) % 100 AS weight FROM lineitem"
+
+
+def _paths(spark, d):
+    edges = run_sql(spark, d, EDGES)
+    return graph.shortest_paths(edges, edges.groupBy("grp").agg(F.min("dst").alias("node")))
+
+
+@query()
+def sp11_shortest_paths(spark, d):
+    return _paths(spark, d).select("grp", "node", "distance")
+
+
+@query()
+def sp12_components(spark, d):
+    return graph.connected_components(run_sql(spark, d, EDGES))
+
+
+@query("SELECT DISTINCT 'P' || CAST(l_partkey AS STRING) AS node FROM lineitem WHERE l_suppkey % 5 = 1 INTERSECT SELECT DISTINCT 'P' || CAST(l_partkey AS STRING) FROM lineitem WHERE l_suppkey % 5 = 2")
+def sp13_boundary_nodes(spark, d):
+    return graph.boundary_nodes(run_sql(spark, d, EDGES), 1, 2)
+
+
+@query()
+def sp14_routes(spark, d):
+    edges = run_sql(spark, d, EDGES)
+    return graph.routes(_paths(spark, d), edges.groupBy("grp").agg(F.max("dst").alias("node")))
+
+
+@query("SELECT n_nationkey AS unit_id, lpad(CAST(n_nationkey AS STRING), 11, '0') AS fips, r_name FROM nation JOIN region ON lpad(CAST(n_regionkey AS STRING), 11, '0') = lpad(CAST(r_regionkey AS STRING), 11, '0')")
+def sp15_padded_join(spark, d):
+    n = run_sql(spark, d, "SELECT n_nationkey, n_regionkey FROM nation").withColumn("k", F.lpad(F.col("n_regionkey").cast("string"), 11, "0"))
+    r = run_sql(spark, d, "SELECT r_regionkey, r_name FROM region").withColumn("k", F.lpad(F.col("r_regionkey").cast("string"), 11, "0"))
+    return n.join(r, "k").select(F.col("n_nationkey").alias("unit_id"), F.lpad(F.col("n_nationkey").cast("string"), 11, "0").alias("fips"), "r_name")
+
+
+@query(f"WITH {PAIRS}, c AS (SELECT unit_id, count(CASE WHEN distance <= 50 THEN 1 END) AS n50, count(CASE WHEN distance <= 100 THEN 1 END) AS n100 FROM pairs GROUP BY unit_id) SELECT unit_id, {_n('rank() OVER (ORDER BY n50 DESC) - rank() OVER (ORDER BY n100 DESC)')} AS rank_change, {_r('(n50 - n100) / CAST(n100 AS DOUBLE) * 100')} AS change_pct FROM c")
+def sp16_rank_stability(spark, d):
+    from pyspark.sql import Window as W
+
+    c = pairs(spark, d).groupBy("unit_id").agg(F.count_if(F.expr("distance <= 50")).alias("n50"), F.count_if(F.expr("distance <= 100")).alias("n100"))
+    rank = lambda x: F.rank().over(W.orderBy(F.desc(x)))  # noqa: E731  over one row a unit
+    return c.select("unit_id", (rank("n50") - rank("n100")).cast("long").alias("rank_change"), r6((F.col("n50") - F.col("n100")) / F.col("n100") * 100).alias("change_pct"))
+
+
+@query(f"WITH {PAIRS}, m AS (SELECT event_id, min(distance) AS dmin FROM pairs GROUP BY event_id), b AS (SELECT event_id, CAST(ceil(dmin / 50) AS BIGINT) AS band FROM m WHERE dmin > 0) SELECT band, event_id FROM (SELECT band, event_id, row_number() OVER (PARTITION BY band ORDER BY event_id) AS rn FROM b) WHERE rn <= 25")
+def fi05_borderline_sample(spark, d):
+    from pyspark.sql import Window as W
+
+    b = pairs(spark, d).groupBy("event_id").agg(F.min("distance").alias("dmin")).filter("dmin > 0").select("event_id", F.ceil(F.col("dmin") / 50).cast("long").alias("band"))
+    return b.withColumn("rn", F.row_number().over(W.partitionBy("band").orderBy("event_id"))).filter("rn <= 25").select("band", "event_id")
+
+
+@query(f"SELECT unit_id, {_r('quantile_cont(total, 0.5)')} AS p50, {_r('quantile_cont(total, 0.95)')} AS p95, max(total) AS largest FROM panel GROUP BY unit_id")
+def ag22_percentiles(spark, d):
+    return view(spark, d, "panel").groupBy("unit_id").agg(r6(F.percentile("total", F.lit(0.5))).alias("p50"), r6(F.percentile("total", F.lit(0.95))).alias("p95"), F.max("total").alias("largest"))
+
+
+# models
+TRAIN = """SELECT unit_id, grp, month_start, model_split, CAST(total AS DOUBLE) AS total, CAST(ksi AS DOUBLE) AS ksi, CAST({t}_lag1 AS DOUBLE) AS lag1, CAST({t}_lag12 AS DOUBLE) AS lag12, {t}_mean12 AS mean12, CAST(yr - 1995 AS DOUBLE) AS year_trend FROM feat WHERE model_ready"""
+
+
+def _train(spark, d, target):
+    from waymark.functions.storage import cut_lineage
+
+    return cut_lineage(run_sql(spark, d, TRAIN.format(t=target)), "train")
+
+
+@query()
+def mo03_poisson_regression(spark, d):
+    t = _train(spark, d, "total")
+    m = models.fit_poisson(t.filter("model_split = 'train'"), "total")
+    return m.transform(t.filter("model_split = 'validation'")).select("unit_id", "month_start", r6("total").alias("actual"), r6("predicted").alias("predicted"))
+
+
+@query()
+def mo04_negative_binomial(spark, d):
+    t = _train(spark, d, "total")
+    prepare, coef, b0, _ = models.fit_negative_binomial(t.filter("model_split = 'train'"), "total")
+    return models.predict_log_linear(prepare, coef, b0, t.filter("model_split = 'validation'")).select("unit_id", "month_start", r6("total").alias("actual"), r6("predicted").alias("predicted"))
+
+
+@query()
+def mo08_refit_test(spark, d):
+    t = _train(spark, d, "ksi")
+    m = models.fit_poisson(t.filter("model_split in ('train', 'validation')"), "ksi")
+    p = F.greatest(F.col("predicted"), F.lit(1e-6))
+    dev = 2 * (F.when(F.col("ksi") > 0, F.col("ksi") * F.log(F.col("ksi") / p)).otherwise(0.0) - F.col("ksi") + p)
+    return m.transform(t.filter("model_split = 'test'")).agg(F.count("*").alias("n"), r6(F.avg(F.abs(F.col("ksi") - p))).alias("mae"), r6(F.avg(dev)).alias("deviance"), r6(F.sum(p) / F.sum("ksi")).alias("calibration"))
+
+
+_FOLD = " ".join(f", s{k} AS (SELECT unit_id, list_append(h, list_sum(h[-12:]) / 12) AS h FROM s{k - 1})" for k in range(1, 13))
+
+
+@query(f"WITH s0 AS (SELECT unit_id, list(CAST(total AS DOUBLE) ORDER BY month_start) AS h FROM panel GROUP BY unit_id){_FOLD} SELECT unit_id, CAST(k AS INT) AS step, round(h[80 + k], 6) AS forecast FROM s12 CROSS JOIN generate_series(1, 12) AS g(k)")
+def mo12_recursive_mean(spark, d):
+    return models.recursive_mean_forecast(view(spark, d, "panel"), "total").select("unit_id", "step", r6("forecast").alias("forecast"))
+
+
+@query()
+def mo13_recursive_model(spark, d):
+    t = _train(spark, d, "ksi")
+    m = models.fit_poisson(t.filter("model_split in ('train', 'validation')"), "ksi")
+    history = view(spark, d, "panel").select("unit_id", "grp", "month_start", F.col("ksi").cast("double").alias("v"))
+    return models.recursive_model_forecast(history, m, models.recursive_mean_forecast(view(spark, d, "panel"), "total"), 1.0).select("unit_id", "step", r6("forecast").alias("forecast"))
+
+
+@query()
+def mo16_eb_likelihood(spark, d):
+    return models.fit_gamma_poisson(run_sql(spark, d, "SELECT ksi AS y, 80 / 12e0 * length_miles AS exposure FROM hist"))
+
+
+@query()
+def mo21_coefficients(spark, d):
+    m = models.fit_poisson(_train(spark, d, "total").filter("model_split = 'train'"), "total", numeric=models.NUMERIC).stages[-1]
+    rows = [(k, float(c), float(abs(c))) for k, c in enumerate(m.coefficients)]
+    return spark.createDataFrame(rows, "term int, coefficient double, size double").withColumn("rate_ratio", F.exp("coefficient")).orderBy(F.desc("size"), "term").limit(15)
+
+
+@query()
+def po07_determinism(spark, d):
+    one = clean.fingerprint(view(spark, d, "sel"), ["portfolio_id"], F.concat_ws("_", "unit_id", "treatment_id"))
+    two = clean.fingerprint(view(spark, d, "sel"), ["portfolio_id"], F.concat_ws("_", "unit_id", "treatment_id"), "again")
+    return one.join(two, "portfolio_id").select("portfolio_id", "selection_hash", (F.col("selection_hash") == F.col("again")).alias("same"))
+
+
+# gates on the spatial and schema operators
+@query(f"WITH {PAIRS}, a AS ({_ASSIGN_SQL}) SELECT assignment_status, {_n('count(*)')} AS n, {_n('count(unit_id)')} AS with_unit, {_r('max(distance)')} AS largest FROM a GROUP BY assignment_status")
+def va05_assignments(spark, d):
+    return assigned(spark, d).groupBy("assignment_status").agg(F.count("*").alias("n"), F.count("unit_id").alias("with_unit"), r6(F.max("distance")).alias("largest"))
+
+
+@query(f"{_SENS} SELECT 'monotonic' AS check_name, bool_and(matched >= coalesce(p, 0)) AS passed FROM (SELECT matched, lag(matched) OVER (ORDER BY lim) AS p FROM a)")
+def va06_monotonic(spark, d):
+    return _sensitivity(spark, d).agg(F.bool_and(F.col("gain") >= 0).alias("passed")).select(F.lit("monotonic").alias("check_name"), "passed")
+
+
+@query(f"SELECT {_n('count(*)')} AS n, CAST(0 AS BIGINT) AS severity_mismatches, CAST(0 AS BIGINT) AS status_mismatches, CAST(0 AS BIGINT) AS date_mismatches FROM raw")
+def va07_rederivation(spark, d):
+    again = view(spark, d, "clean").select("record_id", F.col("kabco").alias("k2"), F.col("coordinate_status").alias("s2"), F.col("event_day").alias("d2"))
+    j = clean.clean_rows(view(spark, d, "raw")).join(again, "record_id")
+    return j.agg(F.count("*").alias("n"), F.count_if(F.expr("not (kabco <=> k2)")).alias("severity_mismatches"), F.count_if(F.expr("not (coordinate_status <=> s2)")).alias("status_mismatches"), F.count_if(F.expr("not (event_day <=> d2)")).alias("date_mismatches"))
+
+
+@query()
+def va09_schema(spark, d):
+    expected = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+    return snapshot.schema_rows(spark.read.parquet(f"{d}/orders.parquet"), expected)
+
+
+@query(f"SELECT {_n('count(*)')} AS n, {_n('count(DISTINCT event_id)')} AS keys, min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day, count(*) = count(DISTINCT event_id) AS keys_unique FROM ev")
+def va12_snapshot_report(spark, d):
+    day = F.col("ts").cast("date")
+    return view(spark, d, "ev").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("keys"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), (F.count("*") == F.countDistinct("event_id")).alias("keys_unique"))
+
+
+@query(f"WITH s AS ({SEGMENTS}) SELECT unit_id, {_n('count(DISTINCT part)')} AS parts, {_n('count(*)')} AS segments, sum(sqrt(power(x2 - x1, 2) + power(y2 - y1, 2))) BETWEEN 9000 AND 21000 AS plausible FROM s GROUP BY unit_id")
+def va22_geometry(spark, d):
+    f = spatial.line_figures(segments(spark, d)).select("unit_id", F.col("length").between(9000, 21000).alias("plausible"))
+    return segments(spark, d).groupBy("unit_id").agg(F.countDistinct("part").alias("parts"), F.count("*").alias("segments")).join(f, "unit_id")
+
+
+@query("WITH a AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n, max(CASE WHEN l_suppkey <= 0 THEN 1 ELSE 0 END) AS bad, bool_and(l_suppkey <= 100000) AS ok FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, CAST(n AS BIGINT) AS used, bad = 0 AS none_bad, ok AS all_allowed FROM a")
+def va23_array_rules(spark, d):
+    ids = run_sql(spark, d, "SELECT l_orderkey, l_suppkey FROM lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("ids"))
+    allowed = F.forall("ids", lambda x: x <= 100000)
+    return ids.select("l_orderkey", F.size("ids").cast("long").alias("used"), (~F.arrays_overlap("ids", F.array(F.lit(0).cast("bigint"), F.lit(-1).cast("bigint")))).alias("none_bad"), allowed.alias("all_allowed"))
