@@ -34,6 +34,8 @@ MIN_DOCS = 3
 BROADCAST_LABELS = 2_000_000
 #: Documents added to each bucket before the ratio is taken.
 SMOOTHING = 10.0
+#: Standard deviations by which a bucket's toxic documents must differ from their expected number to carry weight.
+SIGNIFICANCE = 3.0
 BLOCKS = 32
 FIT_CHUNK = 200
 THRESHOLD = 0.7
@@ -94,13 +96,15 @@ def class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_ratios(docs: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Log ratio of the smoothed shares of toxic and other documents with a bucket; 0 for rare buckets."""
+    """Log ratio of the smoothed shares of toxic and other documents with a bucket; 0 for buckets that are rare or do not stand out."""
     prior = SMOOTHING * docs / max(1.0, docs.sum())  # shared out by class size, so that an unseen bucket has ratio 0
     share = (found + prior[:, None]) / np.maximum(docs, 1.0)[:, None]
-    return np.where(found.sum(axis=0) >= MIN_DOCS, np.log(share[1] / share[0]), 0.0).astype(np.float32)
+    seen, toxic = found.sum(axis=0), docs[1] / max(1.0, docs.sum())
+    stands_out = np.abs(found[1] - seen * toxic) >= SIGNIFICANCE * np.sqrt(seen * toxic * (1 - toxic))
+    return np.where((seen >= MIN_DOCS) & stands_out, np.log(share[1] / share[0]), 0.0).astype(np.float32)
 
 
-def fit_weights(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 80) -> tuple[np.ndarray, float]:
+def fit_weights(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, weight: np.ndarray, l2: float = 1e-2, steps: int = 80) -> tuple[np.ndarray, float]:
     """Logistic regression on present buckets scaled by their ratios: accelerated gradient steps. The weight of a bucket, and the intercept."""
     seen = np.zeros(len(ratios), dtype=bool)
     for k, x in enumerate(rows):
