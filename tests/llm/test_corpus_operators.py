@@ -123,6 +123,9 @@ def test_syncmers(spark):
         h = len(t) // 2
         assert rows[i].n_chars == len(t)
         assert rows[i].edited_sha256 == hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest()
+    again = [(t[: len(t) - len(t) // 2] + n[: len(t) // 2]) for i in order for t, n in [((texts[i] or ""), texts[order[(order.index(i) + 1) % len(order)]] or "")]]
+    direct = {r.doc_id: r.fingerprint for r in syncmers.compare_edited(spark.createDataFrame(list(zip(order, again)), DOCS)).collect()}
+    assert {i: rows[i].edited_fingerprint for i in order} == direct
     assert rows[1].fingerprint == rows[6].fingerprint and rows[2].fingerprint == rows[3].fingerprint == ""
     assert rows[5].near_edited > rows[5].near_next
     twice = syncmers.compare_edited(df.union(df.filter("doc_id = 4")))

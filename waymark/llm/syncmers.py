@@ -42,14 +42,18 @@ def _syncmer_ids(h: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - K), pick)
 
 
-def add_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with out: the sorted bottom-k sketch (array of longs) of a text column without nulls."""
+def add_ids(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with out: the id at each k-mer position of a text column without nulls (_NONE where there is no syncmer)."""
     c, n, h = f"__c_{out}", f"__n_{out}", f"__h_{out}"
     d = df.withColumn(n, F.length(text)).withColumn(c, F.split(F.col(text), ""))
     d = d.withColumn(h, _smer_hashes(F.col(c), F.col(n))).drop(c)
-    whole = F.when(F.col(n) > 0, F.array(F.xxhash64(text).bitwiseAND(F.lit(_MASK)))).otherwise(F.array().cast("array<bigint>"))
-    ids = F.when(F.col(n) >= K, F.slice(F.array_remove(F.sort_array(F.array_distinct(_syncmer_ids(F.col(h), F.col(n)))), _NONE), 1, SKETCH)).otherwise(whole)
-    return d.withColumn(out, ids).drop(n, h)
+    return d.withColumn(out, F.when(F.col(n) >= K, _syncmer_ids(F.col(h), F.col(n))).otherwise(F.array().cast("array<bigint>"))).drop(n, h)
+
+
+def sketch(text: Column, ids: Column) -> Column:
+    """The sorted bottom-k sketch (array of longs) of a text with these ids."""
+    whole = F.when(F.length(text) > 0, F.array(F.xxhash64(text).bitwiseAND(F.lit(_MASK)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.length(text) >= K, F.slice(F.array_remove(F.sort_array(F.array_distinct(ids)), _NONE), 1, SKETCH)).otherwise(whole)
 
 
 def as_text(sketch: Column) -> Column:
@@ -103,10 +107,14 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lent = linked.select(F.col("prev_k").alias("k"), F.substring("text", F.lit(1), F.col("lend")).alias("lent"))
     edited = linked.select("k", "id", "text", "next_k", "half").join(lent, "k")
     keep = F.length("text") - F.col("half")
-    edited = edited.select("k", "id", "next_k", "text", F.concat(F.substring("text", F.lit(1), keep), "lent").alias("edited"))
+    edited = edited.select("k", "id", "next_k", "text", "lent", keep.alias("keep"), F.concat(F.substring("text", F.lit(1), keep), "lent").alias("edited"))
     done = edited.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.sha2("edited", 256))
-    done = add_sketch(done, "text", "own").drop("text")
-    done = add_sketch(done, "edited", "other").drop("edited")
+    # anchors are context-free: those of the edited text are its two parts' and the few across the joint, so the kept part is not gone through again
+    done = done.withColumn("joint", F.concat(F.substring("text", F.greatest(F.lit(1), F.col("keep") - (K - 2)), F.least(F.lit(K - 1), F.col("keep"))), F.substring("lent", 1, K - 1)))
+    for text, ids in (("text", "own_ids"), ("lent", "lent_ids"), ("joint", "joint_ids")):
+        done = add_ids(done, text, ids)
+    kept_ids = F.slice("own_ids", F.lit(1), F.greatest(F.lit(0), F.col("keep") - (K - 1)))
+    done = done.withColumn("own", sketch(F.col("text"), F.col("own_ids"))).withColumn("other", sketch(F.col("edited"), F.concat(kept_ids, F.col("lent_ids"), F.col("joint_ids"))))
     done = materialize(done.select("k", "id", "next_k", "n_chars", "edited_sha256", "own", "other"), "sketches")
     nxt = done.select(F.col("k").alias("next_k"), F.col("own").alias("next_own"))
     out = done.join(nxt, "next_k")
