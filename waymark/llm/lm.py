@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import groups_for, id_remainder, materialize, text_or_empty
 
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 5_000_000
 #: Context-frequency buckets: 0 unseen, then powers of two.
 BUCKETS = 24
 #: Steps of log2 of a probability that the held-out counts tell apart.
@@ -36,7 +36,7 @@ EM_STEPS = 40
 HELD_REMAINDER = 3
 TEST_REMAINDER = 2
 END, START = b"\n", b"\t"  # no word holds white space
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 
 _words: dict[bytes, int] = {}
 
@@ -135,14 +135,18 @@ class _Block:
         self.remainders = np.array(remainders, dtype=np.int8)
         self.words = np.concatenate(texts)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.contexts = np.empty_like(self.words)
-        self.contexts[1:] = self.words[:-1]
-        self.contexts[self.starts] = _START
-        self.pairs = _pairs(self.contexts, self.words)
-        self.keys = np.unique(np.concatenate((self.words, self.pairs, np.array([_START]))))
-
-    def place(self, keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.keys, keys)
+        contexts = np.empty_like(self.words)
+        contexts[1:] = self.words[:-1]
+        contexts[self.starts] = _START
+        n = len(self.words)
+        self.keys, place = np.unique(np.concatenate((self.words, _pairs(contexts, self.words), np.array([_START]))), return_inverse=True)
+        place = place.astype(np.int32)
+        del self.words, contexts
+        #: Places of each token's word, bigram and context among the keys.
+        self.word, self.pair, self.start = place[:n], place[n : 2 * n], int(place[-1])
+        self.context = np.empty_like(self.word)
+        self.context[1:] = self.word[:-1]
+        self.context[self.starts] = self.start
 
 
 def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -162,9 +166,9 @@ def _count_blocks(packed: DataFrame, parts: int) -> DataFrame:
         counts = np.zeros((2, len(block.keys)), dtype=np.int64)
         for row, docs in ((0, train & ~held), (1, held)):
             tokens = np.repeat(docs, block.sizes)
-            for keys in (block.words, block.pairs):
-                counts[row] += np.bincount(block.place(keys[tokens]), minlength=len(block.keys))
-            counts[row][block.place(np.array([_START]))] += int(docs.sum())
+            for place in (block.word, block.pair):
+                counts[row] += np.bincount(place[tokens], minlength=len(block.keys))
+            counts[row][block.start] += int(docs.sum())
         out, a = [], 0
         for part, z in enumerate(_parts_of(block.keys, parts)):
             if z > a:
@@ -211,7 +215,7 @@ def _bucket(c: np.ndarray) -> np.ndarray:
 
 def _estimates(block: _Block, totals: np.ndarray, n: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Context bucket, bigram and unigram estimate, and word count of every token."""
-    context, word, pair = (totals[block.place(k)] for k in (block.contexts, block.words, block.pairs))
+    context, word, pair = (totals[k] for k in (block.context, block.word, block.pair))
     return _bucket(context), np.divide(pair, context, out=np.zeros_like(pair), where=context > 0), word / max(n, 1.0), word
 
 
@@ -257,7 +261,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     size = rows.agg(F.sum(F.octet_length("__text") + 1)).first()[0] or 0
     blocks = max(2, groups_for(size, block_bytes))
     held_blocks = max(1, blocks // 7)
-    parts = blocks
+    parts = groups_for(blocks, 2)
     packed = _pack(rows, blocks, held_blocks)
     answers = materialize(_add_parts(_count_blocks(packed, parts)), "ngram-totals")
     figures = answers.filter("block < 0").select("kept", "n_words", "n_kept_words").toPandas()  # one row a part
