@@ -85,11 +85,12 @@ VIEWS: dict[str, str] = {
         FROM (VALUES (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19), (20), (21), (22), (23), (24), (25), (30), (40)) AS y(b)
         CROSS JOIN (VALUES (15), (20), (25), (30), (35), (40)) AS z(e)""",
     # budgeted selection: at every point of a grid of multipliers each unit takes its best positive reduced profit; the best feasible point stays
-    "points": """SELECT row_number() OVER (ORDER BY l, m, v) AS point, l, m, v FROM (VALUES (0e0), (0.5e0), (1e0), (2e0), (4e0), (8e0), (16e0), (32e0), (64e0)) AS a(l) CROSS JOIN (VALUES (0e0), (4e0), (32e0)) AS b(m)
-        CROSS JOIN (VALUES (0e0), (1e5), (1e6)) AS c(v)""",
-    "reduced": """SELECT g.portfolio_id, p.point, p.l, c.unit_id, c.treatment_id, c.cost, c.pv, c.priority_area, g.budget, g.floor_share,
-        c.pv - p.l * c.cost - p.m * c.cost * (g.floor_share - CASE WHEN c.priority_area THEN 1e0 ELSE 0e0 END) - p.v * (CASE WHEN c.treatment_id = 'T2' THEN 1e0 ELSE 0e0 END - 0.7e0) AS profit
-        FROM grid g CROSS JOIN points p JOIN cand c ON c.scenario = g.unc""",
+    # multipliers are shares of the largest benefit-cost ratio (l, m) and of the largest benefit (v)
+    "points": """SELECT row_number() OVER (ORDER BY l, m, v) AS point, l, m, v FROM (VALUES (0e0), (0.05e0), (0.15e0), (0.35e0), (0.6e0), (1e0)) AS a(l) CROSS JOIN (VALUES (0e0), (0.1e0), (1e0)) AS b(m)
+        CROSS JOIN (VALUES (0e0), (0.2e0), (0.4e0), (0.6e0), (0.9e0)) AS c(v)""",
+    "reduced": """SELECT g.portfolio_id, p.point, p.l * z.r AS l, c.unit_id, c.treatment_id, c.cost, c.pv, c.priority_area, g.budget, g.floor_share,
+        c.pv - p.l * z.r * c.cost - p.m * z.r * c.cost * (g.floor_share - CASE WHEN c.priority_area THEN 1e0 ELSE 0e0 END) - p.v * z.b * (CASE WHEN c.treatment_id = 'T2' THEN 1e0 ELSE 0e0 END - 0.7e0) AS profit
+        FROM grid g CROSS JOIN points p CROSS JOIN (SELECT max(pv / cost) AS r, max(pv) AS b FROM cand) z JOIN cand c ON c.scenario = g.unc""",
     "choice": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id, point, unit_id ORDER BY round(profit, 4) DESC, treatment_id) AS rn FROM reduced WHERE profit > 0) WHERE rn = 1""",
     "feasible": """SELECT portfolio_id, point, sum(pv) AS pv, sum(cost) AS cost FROM choice GROUP BY portfolio_id, point, budget, floor_share
         HAVING sum(cost) <= max(budget) AND sum(CASE WHEN priority_area THEN cost ELSE 0e0 END) >= max(floor_share) * sum(cost) AND sum(CASE WHEN treatment_id = 'T2' THEN 1 ELSE 0 END) <= 0.7e0 * count(*)""",
