@@ -88,6 +88,16 @@ def test_simhash_components(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_keep_one_tells_components_apart(spark):
+    """Unrelated texts without an id, or under one id, all stay; copies of them do not."""
+    x, y, z, u, v = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyzuv")
+    rows = [(None, x), (None, y), (None, x), (7, z), (7, u), (7, u), (8, z), (None, z), (None, None), (None, ""), (9, v)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")))
+    assert kept.columns == ["doc_id", "text", "lang"]
+    got = [(r.doc_id, r.text or "") for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(None, x), (None, y), (7, z), (7, u), (None, ""), (9, v)], key=str)
+
+
 def test_fingerprint_definition():
     import xxhash
 

@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import delete_path, materialize, new_path, text_batches
@@ -75,16 +75,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp): fp is the fingerprint as a signed long."""
+    """(id_col, text_hash, fp): fp is the fingerprint as a signed long."""
     text_batches(docs)
-    src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), _text_hash(text_col).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), dtype=np.uint64, count=len(b)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], names=[id_col, "text_hash", "fp"])
 
-    return src.mapInArrow(run, f"`{id_col}` {dict(src.dtypes)[id_col]}, fp long")
+    return src.mapInArrow(run, f"`{id_col}` {dict(src.dtypes)[id_col]}, text_hash long, fp long")
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -231,21 +231,35 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(id_col, fingerprint, component_id) for every row of docs."""
-    rows = materialize(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "__id"), "fp")
+def _rooted(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, first, root): each fingerprint of rows (__id, fp), its smallest id and the fingerprint that names its component."""
     fps = materialize(rows.groupBy("fp").agg(F.min("__id").alias("first")), "fps")
     roots = components(near_links(fps.select("fp"), radius))
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """(id_col, fingerprint, component_id) for every row of docs."""
+    rows = materialize(fingerprints(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "fp"), "fp")
+    rooted = _rooted(rows, radius)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the row with the smallest id stays, once."""
-    found = materialize(near_duplicates(docs, id_col, text_col), "groups")
-    keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    many = not keep.groupBy(id_col).count().filter("count > 1").isEmpty()
-    kept = docs.join(keep.select(F.col(id_col).alias("__keep")).distinct(), F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates([id_col]) if many else kept
+    """The rows of docs without near-duplicates: of each component the row with the smallest (id, hash of the text) stays, once; null ids come last.
+
+    A component is told by its root fingerprint, so rows that share an id, or have none, do not stand for each other."""
+    rows = materialize(fingerprints(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "text_hash", "fp"), "fp")
+    counts = rows.groupBy("fp", "__id", "text_hash").count()
+    least = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("text_hash").alias("h"), F.col("count").alias("n")))
+    keep = counts.join(_rooted(rows, RADIUS).select("fp", "root"), "fp").groupBy("root").agg(least.alias("k")).select(F.col("k.id").alias("__keep"), F.col("k.h").alias("__keep_h"), F.col("k.n").alias("__n"))
+    keep = materialize(keep, "groups")
+    kept = docs.withColumn("__h", _text_hash(text_col)).join(keep.drop("__n"), F.col(id_col).eqNullSafe(F.col("__keep")) & (F.col("__h") == F.col("__keep_h")), "left_semi")
+    many = not keep.filter("__n > 1").isEmpty()
+    return (kept.dropDuplicates([id_col, "__h"]) if many else kept).drop("__h")
