@@ -182,6 +182,22 @@ def test_surrogates(spark):
     assert pii.with_surrogates(df.limit(0), b"k").count() == 0
 
 
+def test_whole_names(spark):
+    """Later mentions without a title, initials, particles, three-part names, titles of one person, possessives."""
+    texts = [
+        "Mr John Smith called. Smith said that John left Smith's house to SMITH-Meyer; the smith stayed.",
+        "Dr. J. R. Smith, Prof. Dr. A.B. Stone and Mrs Anna Maria Smith came.",
+        "Dr Jane Doe and Ms Jane Doe; Herr Ludwig van Beethoven, Mr Brown Then Mrs Green.",
+    ]
+    got = {r.doc_id: r.text for r in pii.with_surrogates(docs(spark, texts), b"k").collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) called\. (\w+) said that (\w+) left (\w+)'s house to (\w+)-Meyer; the smith stayed\.", got[0])
+    assert m[1] == m[4] != "John" and m[2] == m[3] == m[5] == m[6].capitalize() != "Smith"
+    n = re.fullmatch(r"Dr\. [A-Z]\. [A-Z]\. (\w+), Prof\. Dr\. [A-Z]\.[A-Z]\. (\w+) and Mrs (\w+) (\w+) (\w+) came\.", got[1])
+    assert n[1] == n[5] == m[2] and not {"Stone", "Anna", "Maria"} & set(n.groups())
+    d = re.fullmatch(r"Dr (\w+) (\w+) and Ms (\w+) (\w+); Herr (\w+) van (\w+), Mr (\w+) Then Mrs (\w+)\.", got[2])
+    assert d[1] == d[3] and d[2] == d[4] and not {"Jane", "Doe", "Ludwig", "Beethoven", "Brown", "Green"} & set(d.groups())
+
+
 def test_surrogates_stay_distinct(spark):
     """A domain so small that first draws collide."""
     entities = spark.createDataFrame([("secret", f"{k:x}") for k in range(16)], "kind string, norm string")

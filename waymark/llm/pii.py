@@ -1,11 +1,14 @@
 """Surrogates for personal data: keyed, type-consistent replacements.
 
 Detected: e-mail addresses, phone numbers, payment cards (Luhn), IPv4 addresses, social security
-numbers, IBANs (mod 97), secrets after words such as token or password, and names after a title. A
-name is taken part by part, so that a full name and the bare surname keep referring to the same person.
+numbers, IBANs (mod 97), secrets after words such as token or password, and names after a title: all capitalised
+words that follow it, with initials, and every other capitalised mention of these words in the document. A
+name is taken part by part, so that a full name and the bare surname keep referring to the same person. Names
+that stand nowhere in a document after a title are not found.
 
 An entity is (kind, norm): the norm drops case and separators, so every spelling of one entity gets
-one surrogate. Kinds of names carry gender (from the title) and script. Candidates come from
+one surrogate. Kinds of names carry script; the gender of a given name's surrogate comes from all titles it
+has in the corpus (none or both: neutral). An initial stays an initial. Candidates come from
 HMAC-SHA256 under a secret key; digits stay digits, letters stay letters of their script, separators, case, top-level domain, Luhn and
 IBAN check digits stay valid. Collision checks run over all distinct entities of the corpus: a candidate that equals a real entity of its kind, or
 another entity's surrogate, is drawn again. Surrogates go back to documents by joins on the entity.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -44,6 +48,9 @@ SYLLABLES = {
     "cyrillic": ("ба бе ва ве га да де ка ке ла ле ма ми на не ра ре са та ти".split(), {"m": "н р с к".split(), "f": "на ля ра ша".split(), "n": "ен ис".split(), "s": "нко дзе вич".split()}),
     "greek": ("βα γα δα κα λα μα νι πα ρα σα τα φι".split(), {"m": "ος ης ας".split(), "f": "ια να λη".split(), "n": "ιν ορ".split(), "s": "ιδης ακης".split()}),
 }
+#: Words that may stand inside a name, and capitalised words that end one.
+PARTICLES = "van von der den de del della di da dos du la le al bin ibn ten ter zu y".split()
+NO_NAMES = "and but or who which that this these those then when while after before with from is was are were has had have he she it they we you the not said says also there here".split()
 HEX = "0123456789abcdef"
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
@@ -74,6 +81,8 @@ def _patterns():
 
     titles = {t.lower(): g for g, ts in TITLES.items() for t in ts}
     names = "|".join(sorted(map(regex.escape, titles), key=len, reverse=True))
+    letters = r"[\p{L}\p{M}]*(?:['’\-][\p{L}\p{M}]+)*"
+    part = rf"\p{{Lu}}\.|\p{{Lu}}{letters}"
     return {
         "email": regex.compile(r"[\p{L}\p{N}._%+\-]*[\p{L}\p{N}_]@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}"),
         "secret": regex.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9_\-/+]{12,})"),
@@ -82,7 +91,11 @@ def _patterns():
         "card": regex.compile(r"(?<![\d])\d(?:[ \-]?\d){12,18}(?!\d)"),
         "ssn": regex.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
         "phone": regex.compile(r"(?<![\d+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)"),
-        "person": regex.compile(rf"(?i:\b({names}))\.?\s+(\p{{Lu}}[\p{{L}}'’\-]*)(?:[ \t]+(\p{{Lu}}[\p{{L}}'’\-]*))?"),
+        "person": regex.compile(
+            rf"(?i:\b(?P<title>{names}))\.?\s+(?:(?i:(?P<title>{names}))\b\.?\s+)*(?P<part>{part})"
+            rf"(?:(?:[ \t]+(?:(?:{'|'.join(PARTICLES)})[ \t]+)*|(?<=\.)[ \t\-]*)(?!(?i:{names}|{'|'.join(NO_NAMES)})(?![\p{{L}}\p{{M}}]))(?P<part>{part}))*"
+        ),
+        "capital": regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])\p{{Lu}}{letters}"),
     }, titles
 
 
@@ -90,6 +103,22 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if c.isdecimal())
 
 
+def _bare(name: str) -> str:
+    """A part of a name without the dot of an initial and the ending of a possessive."""
+    return name[:-2] if len(name) > 3 and name[-2:] in ("'s", "’s", "'S", "’S") else name.rstrip(".")
+
+
+class _Free:
+    """Tells whether a span meets none of the given ones, which do not overlap."""
+
+    def __init__(self, taken: list[tuple[int, int]]):
+        self.taken = sorted(taken)
+
+    def __call__(self, a: int, b: int) -> bool:
+        k = bisect_left(self.taken, (b, b))
+        return k == 0 or self.taken[k - 1][1] <= a
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, stop, kind, norm) of the entities of a text, left to right without overlap."""
     if not text:
@@ -126,12 +155,27 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                 v = _digits(m[0])
                 if 9 <= len(v) <= 15:
                     add(m.start(), m.end(), kind, v)
+    known: dict[str, str] = {}
     for m in p["person"].finditer(text):
-        gender = titles[m[1].lower()]
-        first, last = (2, 3) if m[3] else (None, 2)
-        if first:
-            add(m.start(first), m.end(first), f"given:{gender}:{script_of(m[first])}", m[first].casefold())
-        add(m.start(last), m.end(last), f"surname:s:{script_of(m[last])}", m[last].casefold())
+        gender = next((g for t in m.captures("title") if (g := titles[t.lower()]) != "n"), "n")
+        parts = [(x, x + len(n)) for x, y in m.spans("part") if (n := _bare(text[x:y]))]
+        last = max((k for k, (x, y) in enumerate(parts) if y - x > 1), default=len(parts) - 1)
+        for k, (x, y) in enumerate(parts):
+            norm, script = text[x:y].casefold(), script_of(text[x:y])
+            kind = f"surname:s:{script}" if k == last else f"given:{gender}:{script}"
+            add(x, y, kind, norm)
+            if y - x > 1 and (k == last or norm not in known):
+                known[norm] = kind
+    if known:
+        free = _Free(taken)
+        for m in p["capital"].finditer(text):
+            at = m.start()
+            whole = _bare(m[0])
+            pieces = [whole] if whole.casefold() in known else whole.split("-")
+            for piece in pieces:
+                if (kind := known.get(piece.casefold())) and piece[:1].isupper() and free(at, at + len(piece)):
+                    found.append((at, at + len(piece), kind, piece.casefold()))
+                at += len(piece) + 1
     return sorted(found)
 
 
@@ -203,7 +247,9 @@ def render(surface: str, kind: str, norm: str) -> str:
         rest = list(norm)
         return "".join([" " if c == " " else rest.pop(0) for c in surface if c == " " or rest] + rest)
     if kind.startswith(("given", "surname")):
-        return norm.upper() if len(surface) > 1 and surface.isupper() else norm[:1].upper() + norm[1:]
+        if len(surface) == 1:
+            return norm[:1].upper()
+        return norm.upper() if surface.isupper() else norm[:1].upper() + norm[1:]
     if kind == "email" and len(norm) == len(surface):
         return "".join(n.upper() if s.isupper() else n for s, n in zip(surface, norm, strict=True))
     return norm
@@ -217,22 +263,32 @@ def _candidates(key: bytes, draw: int):
     return make
 
 
+def _domain(kind: Column) -> Column:
+    return F.regexp_replace(kind, "^given:[mfn]:", "given:")
+
+
+def _with_gender(spans: DataFrame) -> DataFrame:
+    """Distinct (domain, norm, kind) of spans (kind, norm): a given name is one entity, its gender that of its titles in the corpus."""
+    g = spans.groupBy(_domain(F.col("kind")).alias("domain"), "norm").agg(F.max(F.col("kind").startswith("given:m")).alias("m"), F.max(F.col("kind").startswith("given:f")).alias("f"))
+    gender = F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise("n")
+    return g.select("domain", "norm", F.when(F.col("domain").startswith("given:"), F.concat(F.lit("given:"), gender, F.substring("domain", 6, 99))).otherwise(F.col("domain")).alias("kind"))
+
+
 def assign_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, norm, surrogate) for distinct (kind, norm): one surrogate each, no two alike in a kind, none a real entity of it."""
-    spark = entities.sparkSession
-    entities = materialize(entities.select("kind", "norm").distinct(), "entities")
+    """(kind, norm, surrogate) for distinct (kind, norm): one surrogate each, no two alike in a kind, none a real entity of it. Given names of all genders count as one kind."""
+    entities = materialize(entities.select("kind", "norm").distinct().withColumn("domain", _domain(F.col("kind"))), "entities")
     done, pending = None, entities
     for draw in range(MAX_DRAWS):
         drawn = pending.withColumn("surrogate", _candidates(key, draw)("kind", "norm"))
-        real = entities.select(F.col("kind"), F.col("norm").alias("surrogate"))
-        free = drawn.join(real, ["kind", "surrogate"], "left_anti")
+        real = entities.select(F.col("domain"), F.col("norm").alias("surrogate"))
+        free = drawn.join(real, ["domain", "surrogate"], "left_anti")
         if done is not None:
-            free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = materialize(free.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm")).select("kind", "norm", "surrogate"), "surrogates")
+            free = free.join(done.select("domain", "surrogate"), ["domain", "surrogate"], "left_anti")
+        won = materialize(free.groupBy("domain", "surrogate").agg(F.min(F.struct("norm", "kind")).alias("e")).select("e.kind", "e.norm", "domain", "surrogate"), "surrogates")
         done = won if done is None else done.unionByName(won)
         pending = materialize(pending.join(won, ["kind", "norm"], "left_anti"), "pending")
         if pending.isEmpty():
-            return done
+            return done.drop("domain")
     raise RuntimeError(f"no free surrogate after {MAX_DRAWS} draws")
 
 
@@ -277,8 +333,8 @@ def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("__id"), rid.alias("__rid"), F.col(text_col).alias("__text"))
     found = materialize(find_entities(rows), "pii-spans").dropDuplicates(["__id", "__rid"])
     spans = found.select("__id", "__rid", F.explode("spans").alias("s")).select("__id", "__rid", "s.*")
-    names = assign_surrogates(spans.select("kind", "norm"), key)
-    put = spans.join(names, ["kind", "norm"]).groupBy("__id", "__rid").agg(F.collect_list(F.struct("start", "stop", "kind", "surrogate")).alias("__spans"))
+    names = assign_surrogates(_with_gender(spans), key).withColumn("domain", _domain(F.col("kind")))
+    put = spans.withColumn("domain", _domain(F.col("kind"))).drop("kind").join(names, ["domain", "norm"]).groupBy("__id", "__rid").agg(F.collect_list(F.struct("start", "stop", "kind", "surrogate")).alias("__spans"))
     put = put.select(F.col("__id").alias("__d"), F.col("__rid").alias("__r"), "__spans")
     base = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), rid.alias("__rid"), F.col(text_col).alias("__text"))
     joined = base.join(put, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__rid") == F.col("__r")), "left")
