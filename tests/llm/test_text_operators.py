@@ -217,3 +217,35 @@ def test_licenses(spark):
     assert [got[i].best_license for i in range(8)] == ["MIT notice", "MIT", "MIT", None, None, None, None, None]
     assert got[0].n_matches == 1 and got[1].best_dice == 1.0
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_license_spans(spark):
+    """Wrapped licences in longer files and notices inside a long line, against every span by brute force."""
+    import textwrap
+
+    grams = lambda t: [*zip(w := re.findall(r"[^\W_]+", t.lower()), w[1:])]
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice("of the in software to use under a copy river green any".split()) for _ in range(n))
+    wrap = lambda t, lead: "\n".join(lead + x for x in textwrap.wrap(t, 70))
+    known = licenses.TEMPLATES
+    mit = known["MIT"].split()
+    texts = [
+        f"{prose(90)}\n\n{wrap(known['MIT'], ' * ')}\n\n{prose(200)}", f"{wrap(known['Apache-2.0 header'], '# ')}\nimport os\n{prose(150)}",
+        f"{prose(60)} Released under the MIT License. {prose(60)}", f"{prose(40)}\n{wrap(' '.join(mit[:60] + mit[75:]), '// ')}\n{prose(40)}", prose(300), f"{prose(50)}\n{wrap(' '.join(mit[:70]), '')}\n{prose(50)}",
+    ]
+    df = docs(spark, texts)
+    got = {r.doc_id: r for r in licenses.scan(df.union(df.filter("doc_id = 0"))).collect()}
+    for i, text in enumerate(texts):
+        w, want = grams(text), {}
+        for name, template in known.items():
+            b, n = set(grams(template)), len(grams(template))
+            for x in (k for k in range(len(w)) if w[k] in b):
+                seen, both = set(), 0
+                for g in w[x : x + int(1.5 * n)]:
+                    both += g in b and g not in seen
+                    seen.add(g)
+                    want[name] = max(want.get(name, 0), 2 * both / (len(seen) + len(b)))
+        want = {k: d for k, d in want.items() if d >= 0.8}
+        assert got[i].licenses == ", ".join(sorted(want)) and got[i].n_matches == len(want)
+        assert got[i].best_dice == (pytest.approx(max(want.values()), abs=1e-8) if want else None)
+    assert [got[i].best_license for i in range(6)] == ["MIT", "Apache-2.0 header", "MIT notice", "MIT", None, None]

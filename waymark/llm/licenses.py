@@ -1,10 +1,14 @@
 """Licence scans: Dice coefficient over word bigrams between texts and licence templates, in DataFrame operations only.
 
-The units compared are every line of a document and, if it has several lines, the whole document. Text is
-lower-cased and cut into words of letters and digits; a unit is its set of word bigrams.
+The units compared are every line of a document, the whole document if it has several lines and, for a licence that none of
+these match, the span of the document's words with the highest coefficient (wrapped comment headers, notices inside a
+long line; one unit a licence). Text is lower-cased and cut into words of letters and digits; a unit is its set of word bigrams.
 With sizes a and b the coefficient is at most 2 min(a, b) / (a + b), so a template of size b can only match
 units of t/(2-t) b to (2-t)/t b bigrams: units outside all ranges are dropped before their
 bigrams are laid out, and a bigram meets only templates whose range holds its unit.
+A span can only match if the document holds t/(2-t) b of the template's b bigrams. In the few documents that do, a best
+span starts and ends at shared bigrams; one pass from each of them, over (2-t)/t times the template's length, counts the
+distinct and the shared bigrams (those whose last occurrence lies before the start).
 
 Defined results: null, empty and one-word texts match nothing; repeated rows get equal results; ties between templates go to the
 first name; an empty table gives an empty table; extra columns are ignored.
@@ -13,6 +17,7 @@ first name; an empty table gives an empty table; extra columns are ignored.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymark.llm.common import materialize, text_or_empty
@@ -78,26 +83,57 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(__id, __rid, unit, license, dice): units of distinct texts with a template at or above the threshold. unit -1 is the whole text."""
-    t = materialize(_sets(known.select("license", F.col("text").alias("__u"))).filter("nb > 0"), "templates")
+    """(__id, __rid, unit, license, dice): units of distinct texts with a template at or above the threshold. unit -1 is the whole text, -2 a span."""
+    length = F.greatest(F.size(words_of(F.col("text"))) - 1, F.lit(0)).alias("tn")
+    t = materialize(_sets(known.select("license", length, F.col("text").alias("__u"))).filter("nb > 0"), "templates")
     low, high = F.lit(threshold / (2 - threshold)), F.lit((2 - threshold) / threshold)
-    grams = t.select("license", F.col("nb").alias("tb"), (low * F.col("nb") - 1e-9).alias("lo"), (high * F.col("nb") + 1e-9).alias("hi"), F.explode("b").alias("h"))
+    grams = t.select("license", "tn", F.col("nb").alias("tb"), (low * F.col("nb") - 1e-9).alias("lo"), (high * F.col("nb") + 1e-9).alias("hi"), F.explode("b").alias("h"))
     bounds = t.agg(F.min(low * F.col("nb")), F.max(high * F.col("nb"))).first()  # one row
     if grams.count() <= BROADCAST_ROWS:
         grams = F.broadcast(grams)
     lines = F.split(F.col("__t"), "\n")
-    units = docs.select(F.col(id_col).alias("__id"), F.xxhash64(id_col, text_col).alias("__rid"), text_or_empty(F.col(text_col)).alias("__t"))
-    units = units.withColumn("__l", lines).withColumn("__l", F.when(F.size("__l") > 1, F.concat("__l", F.array("__t"))).otherwise(F.col("__l"))).drop("__t")
+    texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(id_col, text_col).alias("__rid"), text_or_empty(F.col(text_col)).alias("__t"))
+    units = texts.withColumn("__row", F.monotonically_increasing_id()).withColumn("__l", lines).withColumn("__l", F.when(F.size("__l") > 1, F.concat("__l", F.array("__t"))).otherwise(F.col("__l"))).drop("__t")
     units = units.withColumn("__k", F.size("__l"))
     # outer: the plain form puts a filter on the array's size below, where it would be computed twice
-    units = units.select("__id", "__rid", "__k", F.posexplode_outer("__l").alias("__p", "__u"))
-    units = units.withColumn("unit", F.when((F.col("__k") > 1) & (F.col("__p") == F.col("__k") - 1), F.lit(-1)).otherwise(F.col("__p"))).drop("__k", "__p")
+    units = units.select("__id", "__rid", "__row", "__k", F.posexplode_outer("__l").alias("__p", "__u"))
+    units = units.withColumn("whole", F.col("__p") == F.col("__k") - 1)
+    units = units.withColumn("unit", F.when((F.col("__k") > 1) & F.col("whole"), F.lit(-1)).otherwise(F.col("__p"))).drop("__k", "__p")
     # no filter on nb: Spark would push it below, where the bigrams would be computed twice
     fits = (F.col("nb") >= (bounds[0] or 0) - 1e-9) & (F.col("nb") <= (bounds[1] or 0) + 1e-9)
-    sets = _sets(units).withColumn("b", F.when(fits, F.col("b")))
-    met = sets.select("__id", "__rid", "unit", "nb", F.explode_outer("b").alias("h")).join(grams, "h").filter((F.col("nb") >= F.col("lo")) & (F.col("nb") <= F.col("hi")))
-    met = met.groupBy("__id", "__rid", "unit", "nb", "license", "tb").agg(F.countDistinct("h").alias("both"))
-    return met.withColumn("dice", 2 * F.col("both") / (F.col("nb") + F.col("tb"))).filter(F.col("dice") >= threshold).select("__id", "__rid", "unit", "license", "dice")
+    sets = _sets(units).withColumn("b", F.when(fits | F.col("whole"), F.col("b")))
+    sized = (F.col("nb") >= F.col("lo")) & (F.col("nb") <= F.col("hi"))
+    met = sets.select("__id", "__rid", "__row", "unit", "whole", "nb", F.explode_outer("b").alias("h")).join(grams, "h").filter(F.col("whole") | sized)
+    # bigrams of a unit are distinct; rows are told apart, so that repeated ones do not add up
+    met = met.groupBy("__id", "__rid", "__row", "unit", "whole", "nb", "license", "tn", "tb", "lo", "hi").agg(F.count("*").alias("both"))
+    met = met.withColumn("dice", 2 * F.col("both") / (F.col("nb") + F.col("tb"))).withColumn("found", sized & (F.col("dice") >= threshold))
+    met = materialize(met.filter(F.col("found") | (F.col("whole") & (F.col("both") >= F.col("lo")))), "licenses-met")
+    found = met.filter("found").select("__id", "__rid", "unit", "license", "dice").distinct()
+    same = ["__rid", "license"]  # __rid tells ids and texts apart
+    wanted = materialize(met.filter("whole").select("__id", "__rid", "license", "tn", "tb").distinct().join(found.select(*same).distinct(), same, "left_anti"), "licenses-wanted")
+    return found if wanted.isEmpty() else found.unionByName(_spans(texts, wanted, grams, threshold))
+
+
+def _spans(texts: DataFrame, wanted: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """(__id, __rid, unit, license, dice): the best span of each text (__rid, __t) for each licence of wanted (__id, __rid, license, tn, tb)."""
+    own = texts.join(wanted.select("__rid").distinct(), "__rid", "left_semi").select("__rid", words_of(F.col("__t")).alias("__w")).dropDuplicates(["__rid"])
+    at = own.select("__rid", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("__w") - 2), lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1)))).alias("pos", "h"))
+    at = at.withColumn("last", F.coalesce(F.lag("pos").over(W.partitionBy("__rid", "h").orderBy("pos")), F.lit(-1)))
+    marked = at.join(wanted, "__rid").join(grams.select("license", "h", F.lit(True).alias("hit")), ["license", "h"], "left")
+    rows = marked.groupBy("__id", "__rid", "license", "tn", "tb").agg(F.array_sort(F.collect_list(F.struct("pos", "last", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("seq"))
+    longest = F.floor((2 - threshold) / threshold * F.col("tn") + 1e-9).cast("int")
+
+    def best_from(start: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            new = x["last"] < start
+            size, both = acc["size"] + new.cast("int"), acc["both"] + (new & x["hit"]).cast("int")
+            return F.struct(size.alias("size"), both.alias("both"), F.greatest(acc["best"], 2 * both / (size + F.col("tb"))).alias("best"))
+
+        return F.aggregate(F.slice("seq", start + 1, longest), F.struct(F.lit(0).alias("size"), F.lit(0).alias("both"), F.lit(0.0).alias("best")), step, lambda acc: acc["best"])
+
+    starts = F.transform(F.filter("seq", lambda x: x["hit"]), lambda x: x["pos"])
+    best = rows.select("__id", "__rid", F.lit(-2).alias("unit"), "license", F.array_max(F.transform(starts, best_from)).alias("dice"))
+    return best.filter(F.col("dice") >= threshold)
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
