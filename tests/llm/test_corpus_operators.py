@@ -113,26 +113,61 @@ def test_em_recovers_weights():
     assert w[0] == pytest.approx(best[0], abs=0.01)
 
 
-def test_syncmers(spark):
-    texts = ["the quick brown fox jumps over the lazy dog " * 6, "short", None, "", "été 😀 " * 20, "pack my box with five dozen liquor jugs " * 7, "short"]
-    df = spark.createDataFrame(list(enumerate(texts)), DOCS).withColumn("fingerprint", F.lit("clash"))
-    rows = {r.doc_id: r for r in syncmers.compare_edited(df).collect()}
-    order = sorted(range(len(texts)), reverse=True)
-    for k, i in enumerate(order):
-        t, nxt = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
-        h = len(t) // 2
-        assert rows[i].n_chars == len(t)
-        assert rows[i].edited_sha256 == hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest()
-    again = [(t[: len(t) - len(t) // 2] + n[: len(t) // 2]) for i in order for t, n in [((texts[i] or ""), texts[order[(order.index(i) + 1) % len(order)]] or "")]]
-    direct = {r.doc_id: r.fingerprint for r in syncmers.compare_edited(spark.createDataFrame(list(zip(order, again)), DOCS)).collect()}
-    assert {i: rows[i].edited_fingerprint for i in order} == direct
-    assert rows[1].fingerprint == rows[6].fingerprint and rows[2].fingerprint == rows[3].fingerprint == ""
-    assert rows[5].near_edited > rows[5].near_next
-    twice = syncmers.compare_edited(df.union(df.filter("doc_id = 4")))
-    assert twice.count() == len(texts) + 1 and twice.filter("doc_id = 4").select("fingerprint").distinct().count() == 1
+def brute_sketch(text):
+    """Closed syncmers from their definition, with the hash library."""
+    import xxhash
+
+    x = xxhash.xxh64_intdigest
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    raw = lambda v: (v & (2**64 - 1)).to_bytes(8, "little")
+    if len(text) < syncmers.K:
+        return [x(text.encode(), 42) & 0x7FFFFFFF] if text else []
+    c = [ch.encode() for ch in text]
+    p = [x(b, x(a, 42)) for a, b in zip(c, c[1:])]
+    h = [signed(x(raw(b), x(raw(a), 42))) for a, b in zip(p, p[2:])]
+    last = syncmers.K - syncmers.S
+    ids = {x(raw(h[i + last]), x(raw(h[i]), 42)) & 0x7FFFFFFF for i in range(len(h) - last) if min(h[i], h[i + last]) <= min(h[i + 1 : i + last])}
+    return sorted(ids)[: syncmers.SKETCH]
+
+
+def brute_likeness(a, b):
+    union = sorted({*a, *b})[: syncmers.SKETCH]
+    return len({*union} & {*a} & {*b}) / len(union) if union else 1.0
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_syncmers(spark, monkeypatch, limit):
+    """All columns against brute force: null and equal ids, repeated rows, null, empty and short texts, and texts of many chunks."""
+    import random
+
+    import xxhash
+
+    monkeypatch.setattr(syncmers, "CHUNK", 100)
+    rng = random.Random(1)
+    texts = ["the quick brown fox jumps over the lazy dog " * 6, "short", None, "", "été 😀 " * 20, "pack my box", "short", "x" * 200]
+    texts += ["".join(rng.choice("abcdé fgh") for _ in range(rng.randrange(400))) for _ in range(40)]
+    given = [(i if i != 9 else None, t) for i, t in enumerate(texts)] + [(5, "another five"), (4, texts[4])]
+    df = spark.createDataFrame(given, DOCS)
+    got = syncmers.compare_edited(df.withColumn("fingerprint", F.lit("clash")).withColumn("rid", F.lit(1)).withColumn("n", F.lit(1)), broadcast_rows=limit)
+    own_hash = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    order = sorted({(i, t or "") for i, t in given}, key=lambda r: (r[0] is None, -(r[0] or 0), own_hash(r[1])))
+    text = lambda s: "".join(f"{x:08x}" for x in s)
+    want = []
+    for k, (i, t) in enumerate(order):
+        nxt, h = order[(k + 1) % len(order)][1], len(t) // 2
+        edited = t[: len(t) - h] + nxt[:h]
+        a, e = brute_sketch(t), brute_sketch(edited)
+        row = (i, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(e), brute_likeness(a, e), brute_likeness(a, brute_sketch(nxt)))
+        want += [row] * sum((j, u or "") == (i, t) for j, u in given)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert syncmers.compare_edited(df.limit(0)).count() == 0
-    one = syncmers.compare_edited(df.filter("doc_id = 0")).first()
-    assert one.near_next == 1.0
+    assert syncmers.compare_edited(df.filter("doc_id = 0")).first().near_next == 1.0
+
+
+def test_syncmers_of_a_very_long_text(spark):
+    long = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(300_000))
+    row = syncmers.compare_edited(spark.createDataFrame([(1, long)], DOCS)).first()
+    assert row.fingerprint == "".join(f"{x:08x}" for x in brute_sketch(long)) and row.n_chars == 300_000
 
 
 def test_syncmers_are_context_free(spark):

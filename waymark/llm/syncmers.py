@@ -2,12 +2,19 @@
 
 A k-mer of code points is a closed syncmer if the smallest hash of its inner s-mers lies at its first or last
 s-mer. Whether it is one depends on the k-mer alone, so an edit changes only the anchors that it
-touches. A fingerprint is the SKETCH smallest 32-bit hashes of the distinct syncmers (a bottom-k sketch, written as hex);
+touches. A fingerprint is the SKETCH smallest 31-bit hashes of the distinct syncmers (a bottom-k sketch, written as hex);
 the likeness of two is the Jaccard estimate from the sketch of their union. anchors() gives all
 syncmers with their positions.
 
+Being context-free, the anchors of an edited text are those of its kept part, of the part lent by the next document and of
+the few k-mers across the joint. So every text is gone through once, before any shuffle; what is shuffled are the kept half, the
+lent half and sketches, dealt out by the document they belong to. The order of documents is a small table that goes
+to the texts: to every task up to BROADCAST_ROWS documents, beyond that by a join. Long texts are cut into chunks of CHUNK
+code points, overlapping by k - 1, whose sketches are put together.
+
 Defined results: null texts count as empty; an empty text has an empty fingerprint, like (1) only another empty one; a text
-shorter than k is one anchor; repeated rows get equal results and count once in the order of documents; a table of one document is its own
+shorter than k is one anchor; repeated rows get equal results and count once in the order of documents; of documents with equal ids
+the order is that of a hash of the text; null ids come last; a table of one document is its own
 next document; an empty table gives an empty table; extra columns are ignored.
 """
 
@@ -19,41 +26,43 @@ from pyspark.sql import Window as W
 
 from waymark.llm.common import groups_for, materialize, text_or_empty
 
-K, S = 8, 4  # k = 2 s: the first and last s-mer cover the k-mer
+K, S = 7, 4  # the first and last s-mer cover the k-mer
 SKETCH = 64
+CHUNK = 1 << 16
 RANGE_ROWS = 100_000
-_MASK = 0xFFFFFFFF
-_NONE = 1 << 40
-
+#: Rows of the order of documents (under 100 bytes each) up to which they are sent to every task.
+BROADCAST_ROWS = 1_000_000
+_MASK = 0x7FFFFFFF
 
-def _smer_hashes(chars: Column, n: Column) -> Column:
-    return F.when(n >= K, F.transform(F.sequence(F.lit(0), n - S), lambda i: F.xxhash64(*[F.get(chars, i + j) for j in range(S)])))
 
+def _none() -> Column:
+    return F.array().cast("array<int>")
 
-def _syncmer_ids(h: Column, n: Column) -> Column:
-    """An id for each k-mer position; _NONE where the k-mer is no closed syncmer."""
-    last = K - S
 
-    def pick(i: Column) -> Column:
-        edge = F.least(F.get(h, i), F.get(h, i + last))
-        inner = F.least(*[F.get(h, i + j) for j in range(1, last)])
-        return F.when(edge <= inner, F.xxhash64(F.get(h, i), F.get(h, i + last)).bitwiseAND(F.lit(_MASK))).otherwise(F.lit(_NONE))
-
-    return F.transform(F.sequence(F.lit(0), n - K), pick)
+def _hash(*c: Column) -> Column:
+    return F.xxhash64(*c).bitwiseAND(F.lit(_MASK)).cast("int")
 
 
 def add_ids(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with out: the id at each k-mer position of a text column without nulls (_NONE where there is no syncmer)."""
-    c, n, h = f"__c_{out}", f"__n_{out}", f"__h_{out}"
+    """df with out: at each position of a text without nulls the id of the k-mer that starts there, null where it is no closed syncmer."""
+    c, p, h, n = (f"__{x}_{out}" for x in "cphn")
+    # arrays shifted against each other meet in zip_with; what runs past the end is cut off at last
+    shift = lambda x, by: F.slice(F.col(x), F.lit(by + 1), F.greatest(F.col(n), F.lit(1)))
     d = df.withColumn(n, F.length(text)).withColumn(c, F.split(F.col(text), ""))
-    d = d.withColumn(h, _smer_hashes(F.col(c), F.col(n))).drop(c)
-    return d.withColumn(out, F.when(F.col(n) >= K, _syncmer_ids(F.col(h), F.col(n))).otherwise(F.array().cast("array<bigint>"))).drop(n, h)
+    d = d.withColumn(p, F.zip_with(c, shift(c, 1), lambda a, b: F.xxhash64(a, b))).drop(c)
+    d = d.withColumn(h, F.zip_with(p, shift(p, 2), lambda a, b: F.xxhash64(a, b))).drop(p)
+    d = d.withColumn("__i", F.zip_with(shift(h, 1), shift(h, 2), lambda a, b: F.least(a, b)))
+    trio = F.arrays_zip(F.col(h).alias("a"), shift(h, K - S).alias("z"), F.col("__i").alias("i"))
+    ids = F.transform(trio, lambda x: F.when(F.least(x["a"], x["z"]) <= x["i"], _hash(x["a"], x["z"])))
+    return d.withColumn(out, F.when(F.col(n) >= K, F.slice(ids, F.lit(1), F.greatest(F.col(n) - (K - 1), F.lit(1)))).otherwise(_none())).drop(h, n, "__i")
+
 
+def _bottom(ids: Column) -> Column:
+    return F.slice(F.sort_array(F.array_except(ids, F.array(F.lit(None).cast("int")))), 1, SKETCH)  # distinct, without nulls
 
-def sketch(text: Column, ids: Column) -> Column:
-    """The sorted bottom-k sketch (array of longs) of a text with these ids."""
-    whole = F.when(F.length(text) > 0, F.array(F.xxhash64(text).bitwiseAND(F.lit(_MASK)))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(F.length(text) >= K, F.slice(F.array_remove(F.sort_array(F.array_distinct(ids)), _NONE), 1, SKETCH)).otherwise(whole)
+
+def _whole(text: Column) -> Column:
+    return F.when(F.length(text) > 0, F.array(_hash(text))).otherwise(_none())
 
 
 def as_text(sketch: Column) -> Column:
@@ -68,59 +77,66 @@ def likeness(a: Column, b: Column) -> Column:
 
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, pos, anchor): every closed syncmer with its position in code points from 0."""
-    d = docs.select(F.col(id_col), text_or_empty(F.col(text_col)).alias("__t")).withColumn("__n", F.length("__t")).filter(F.col("__n") >= K)
-    d = d.withColumn("__c", F.split("__t", "")).withColumn("__h", _smer_hashes(F.col("__c"), F.col("__n")))
+    d = add_ids(docs.select(F.col(id_col), text_or_empty(F.col(text_col)).alias("__t")), "__t", "__ids")
     # outer: the plain form puts a filter on the array's size below, where it would be computed twice
-    return d.select(id_col, F.posexplode_outer(_syncmer_ids(F.col("__h"), F.col("__n"))).alias("pos", "anchor")).filter(F.col("anchor") != _NONE)
+    return d.select(id_col, F.posexplode_outer("__ids").alias("pos", "anchor")).filter("anchor is not null")
 
 
-def following(keys: DataFrame, total: int) -> DataFrame:
-    """(k, next_k) of the documents by descending id; the first follows the last. keys: (k, id)."""
-    spark = keys.sparkSession
+def preceding(keys: DataFrame, total: int) -> DataFrame:
+    """keys (id, rid, n, times) with prev_id, prev_rid, lend: the document that each one follows by descending id, and half its length. The first follows the last."""
     parts = groups_for(total, RANGE_ROWS)
-    ranged = keys.repartitionByRange(parts, F.col("id").desc_nulls_last(), F.col("k"))
-    ranged = materialize(ranged.select("k", "id", F.spark_partition_id().alias("part")), "order")
-    w = W.partitionBy("part").orderBy(F.col("id").desc_nulls_last(), "k")
-    inner = ranged.withColumn("next_k", F.lead("k").over(w))
+    ranged = keys.repartitionByRange(parts, F.col("id").desc_nulls_last(), F.col("rid"))
+    ranged = materialize(ranged.withColumn("part", F.spark_partition_id()), "order")
+    w = W.partitionBy("part").orderBy(F.col("id").desc_nulls_last(), "rid")
+    this = F.struct("id", "rid", "n")
+    inner = ranged.withColumn("before", F.lag(this).over(w))
     # one row for each range
-    firsts = inner.withColumn("r", F.row_number().over(w)).filter("r = 1").select("part", F.col("k").alias("first_k"))
+    lasts = ranged.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy(F.col("id").asc_nulls_first(), F.desc("rid")))).filter("r = 1").select("part", this.alias("last"))
     byp = W.orderBy("part")
-    firsts = firsts.withColumn("wrap", F.coalesce(F.lead("first_k").over(byp), F.first("first_k").over(byp.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))).select("part", "wrap")
-    return inner.join(F.broadcast(firsts), "part").select("k", F.coalesce("next_k", "wrap").alias("next_k"))
-
-
-def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    lasts = lasts.select("part", F.coalesce(F.lag("last").over(byp), F.last("last").over(byp.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("wrap"))
+    b = inner.join(F.broadcast(lasts), "part").withColumn("before", F.coalesce("before", "wrap"))
+    return b.select("id", "rid", "n", "times", F.col("before.id").alias("prev_id"), F.col("before.rid").alias("prev_rid"), F.expr("cast(before.n div 2 as int)").alias("lend"))
+
+
+def _dealt(linked: DataFrame) -> DataFrame:
+    """One row for each document and one for the document before it, for each chunk: halves of the text and sketches. linked: (id, rid, text, n, times, prev_id, prev_rid, lend)."""
+    keep = F.expr("n - cast(n div 2 as int)")
+    at = F.when(F.col("n") > CHUNK, F.sequence(F.lit(0), F.col("n") - 1, F.lit(CHUNK))).otherwise(F.array(F.lit(0)))
+    d = linked.withColumn("keep", keep).withColumn("at", F.explode_outer(at))
+    d = d.withColumn("piece", F.when(F.col("n") > CHUNK, F.substring("text", F.col("at") + 1, F.lit(CHUNK + K - 1))).otherwise(F.col("text")))
+    d = d.withColumn("kept", F.when(F.col("at") == 0, F.substring("text", F.lit(1), F.col("keep")))).withColumn("lent", F.when(F.col("at") == 0, F.substring("text", F.lit(1), F.col("lend")))).drop("text")
+    d = add_ids(d, "piece", "ids")
+    upto = lambda size: F.slice("ids", F.lit(1), F.greatest(F.lit(0), size - (K - 1) - F.col("at")))
+    d = d.withColumn("own", F.when(F.col("n") >= K, _bottom(F.col("ids"))).otherwise(_whole(F.col("piece"))))
+    d = d.withColumn("own_kept", _bottom(upto(F.col("keep")))).withColumn("own_lent", _bottom(upto(F.least("lend", "n")))).drop("ids", "piece")
+    null = lambda t: F.lit(None).cast(t)
+    sketch = "array<int>"
+    mine = F.struct("id", "rid", "n", "times", "kept", null("string").alias("lent"), "own", F.col("own_kept").alias("parts"), null(sketch).alias("next"))
+    lent = F.struct(F.col("prev_id").alias("id"), F.col("prev_rid").alias("rid"), null("int").alias("n"), null("bigint").alias("times"), null("string").alias("kept"), "lent", null(sketch).alias("own"), F.col("own_lent").alias("parts"), F.col("own").alias("next"))
+    return d.select(F.explode_outer(F.array(mine, lent)).alias("r")).select("r.*")
+
+
+def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
-    text = text_or_empty(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.hex(F.xxhash64("text")))
-    rows = rows.withColumn("k", key)
-    counted = rows.select("k", "id", F.length("text").alias("n")).groupBy("k").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("times"))
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text")).withColumn("rid", F.xxhash64("text"))
+    counted = rows.select("id", "rid", F.length("text").alias("n")).groupBy("id", "rid").agg(F.first("n").alias("n"), F.count("*").alias("times"))
     counted = materialize(counted, "texts")
     total = counted.count()
-    repeated = not counted.filter("times > 1").isEmpty()
-    links = following(counted.select("k", "id"), total)
-    need = links.join(counted.select("k", "n"), "k").select("k", "next_k", F.expr("n div 2").cast("int").alias("half"))
-    link = materialize(need.join(need.select(F.col("next_k").alias("k"), F.col("k").alias("prev_k"), F.col("half").alias("lend")), "k"), "links")
-    base = rows.dropDuplicates(["k"]) if repeated else rows
-    linked = base.join(link, "k")
-    lent = linked.select(F.col("prev_k").alias("k"), F.substring("text", F.lit(1), F.col("lend")).alias("lent"))
-    edited = linked.select("k", "id", "text", "next_k", "half").join(lent, "k")
-    keep = F.length("text") - F.col("half")
-    edited = edited.select("k", "id", "next_k", "text", "lent", keep.alias("keep"), F.concat(F.substring("text", F.lit(1), keep), "lent").alias("edited"))
-    done = edited.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.sha2("edited", 256))
-    # anchors are context-free: those of the edited text are its two parts' and the few across the joint, so the kept part is not gone through again
-    done = done.withColumn("joint", F.concat(F.substring("text", F.greatest(F.lit(1), F.col("keep") - (K - 2)), F.least(F.lit(K - 1), F.col("keep"))), F.substring("lent", 1, K - 1)))
-    for text, ids in (("text", "own_ids"), ("lent", "lent_ids"), ("joint", "joint_ids")):
-        done = add_ids(done, text, ids)
-    kept_ids = F.slice("own_ids", F.lit(1), F.greatest(F.lit(0), F.col("keep") - (K - 1)))
-    done = done.withColumn("own", sketch(F.col("text"), F.col("own_ids"))).withColumn("other", sketch(F.col("edited"), F.concat(kept_ids, F.col("lent_ids"), F.col("joint_ids"))))
-    done = materialize(done.select("k", "id", "next_k", "n_chars", "edited_sha256", "own", "other"), "sketches")
-    nxt = done.select(F.col("k").alias("next_k"), F.col("own").alias("next_own"))
-    out = done.join(nxt, "next_k")
-    if repeated:
-        out = out.join(counted.select("k", "times"), "k").withColumn("__t", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return out.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+    if not counted.filter("times > 1").isEmpty():
+        rows = rows.dropDuplicates(["id", "rid"])
+    link = materialize(preceding(counted, total), "links").withColumnRenamed("id", "l_id").withColumnRenamed("rid", "l_rid")
+    sent = F.broadcast(link) if total <= broadcast_rows else link
+    linked = rows.join(sent, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("rid") == F.col("l_rid"))).drop("l_id", "l_rid")
+    # dealt out first: halves and sketches are not put together before the shuffle
+    met = _dealt(linked).repartition("id", "rid").groupBy("id", "rid").agg(
+        *[F.max(c).alias(c) for c in ("n", "times", "kept", "lent")], *[_bottom(F.flatten(F.collect_list(c))).alias(c) for c in ("own", "parts", "next")]
+    )
+    joint = F.concat(F.substring("kept", F.greatest(F.lit(1), F.length("kept") - (K - 2)), F.lit(K - 1)), F.substring("lent", 1, K - 1))
+    edited = F.concat("kept", "lent")
+    done = met.withColumn("size", F.length("kept") + F.length("lent")).withColumn("edited_sha256", F.sha2(edited, 256)).withColumn("short", F.when(F.col("size") < K, edited)).withColumn("joint", joint).drop("kept", "lent")
+    done = add_ids(done, "joint", "ids").withColumn("edited", F.when(F.col("size") >= K, _bottom(F.concat("parts", "ids"))).otherwise(_whole(F.col("short"))))
+    done = done.filter("times > 0").withColumn("__t", F.explode_outer(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
+    return done.select(
+        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_chars"), "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
     )
