@@ -79,28 +79,69 @@ def test_toxicity_held_out(spark):
     assert toxicity.scored_documents(d.limit(0), labels).count() == 0
 
 
-def test_lm_against_brute_force(spark):
-    texts = ["the cat sat", "The cat ran", "a dog", None, "", "the dog sat on the mat"] * 20
-    df = spark.createDataFrame(list(enumerate(texts)), DOCS).withColumn("score", F.lit("clash"))
-    rows = lm.score(df, block_bytes=200).collect()
-    part = lambda i: zlib.crc32(str(i).encode()) % 7
-    tokens = {i: [*(t or "").lower().split(), "\n"] for i, t in enumerate(texts)}
-    train = [i for i in tokens if part(i) != 2]
-    c1, c2 = Counter(w for i in train for w in tokens[i]), Counter(p for i in train for p in zip(["\t", *tokens[i]], tokens[i]))
-    c1_start, n, v = len(train), sum(c1.values()), len(c1)
-    assert len(rows) == len(texts)
-    best = {}
-    for r in rows:
-        w = tokens[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (part(r.doc_id) == 2, len(w), sum(c1[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c1[x] + 1) / (n + v + 1)) for x in w))
-        best.setdefault(texts[r.doc_id], set()).add(round(r.score, 9))
-        ml = [c2[p] / (c1_start if p[0] == "\t" else c1[p[0]]) for p in zip(["\t", *w], w)]
-        assert r.score <= sum(math.log10(max(m, c1[x] / n, 1 / (v + 1))) for m, x in zip(ml, w)) + 1e-9
-    assert all(len(s) == 1 for s in best.values())
-    held = [r for r in rows if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+def brute_scores(texts, remainder):
+    """Deleted interpolation from its definition: dictionaries of counts, EM over single held-out tokens. texts: one of each document."""
+    tokens = [[*(t or "").lower().split(), "\n"] for t in texts]
+    grams = lambda w: list(zip(["\t", *w], w))
+
+    def counts(docs):
+        one, two = Counter(w for i in docs for w in tokens[i]), Counter(p for i in docs for p in grams(tokens[i]))
+        return one, two, len(docs), sum(one.values()), len(one)
+
+    def mix(p, c):
+        one, two, starts, n, v = c
+        ctx = starts if p[0] == "\t" else one[p[0]]
+        bucket = min(lm.BUCKETS - 1, int(math.log2(ctx)) + 1) if ctx else 0
+        return bucket, (two[p] / ctx if ctx else 0.0, one[p[1]] / max(n, 1), 1 / (v + 1))
+
+    train = [i for i in range(len(texts)) if remainder[i] != lm.TEST_REMAINDER]
+    kept, every = counts([i for i in train if remainder[i] != lm.HELD_REMAINDER]), counts(train)
+    seen = {}
+    for i in train:
+        if remainder[i] == lm.HELD_REMAINDER:
+            for p in grams(tokens[i]):
+                b, q = mix(p, kept)
+                seen.setdefault(b, []).append(q)
+    weights = {}
+    for b, qs in seen.items():
+        w = [0.5, 0.4, 0.1]
+        for _ in range(lm.EM_STEPS):
+            parts = [[x * y for x, y in zip(q, w)] for q in qs]
+            w = [sum(r[k] / sum(r) for r in parts) / len(parts) for k in range(3)]
+        weights[b] = w
+    out = []
+    for w in tokens:
+        mixed = [mix(p, every) for p in grams(w)]
+        out.append((len(w), sum(every[0][x] > 0 for x in w), every[3], sum(math.log10((every[0][x] + 1) / (every[3] + every[4] + 1)) for x in w), sum(math.log10(sum(x * y for x, y in zip(q, weights.get(b, [0.5, 0.4, 0.1])))) for b, q in mixed)))
+    return out
+
+
+@pytest.mark.parametrize("fanout", [256, 2])
+def test_lm_against_brute_force(spark, fanout):
+    """All columns, with one level and with many: null, empty, repeated and long texts, clashing columns."""
+    import random
+
+    rng = random.Random(7)
+    words = ["the", "cat", "Sat", "on", "a", "mat", "dog", "ran", "été", "x1"]
+    texts = [" ".join(rng.choices(words, range(10, 0, -1), k=rng.randrange(1, 30))) for _ in range(150)] + [None, "", "the cat " * 3000, "A\tb\x0cc"]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS).withColumn("score", F.lit("clash")).withColumn("part", F.lit(1)).withColumn("block", F.lit(1))
+    rows = {r.doc_id: r for r in lm.score(df, block_bytes=2500, fanout=fanout).collect()}
+    remainder = [zlib.crc32(str(i).encode()) % 7 for i in range(len(texts))]
+    assert sorted(rows) == list(range(len(texts)))
+    for i, (n, known, total, base, score) in enumerate(brute_scores(texts, remainder)):
+        r = rows[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (remainder[i] == 2, n, known, total)
+        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, rel=5e-3)
     assert lm.score(df.limit(0)).count() == 0
+    twice = lm.score(df.union(df.filter("doc_id = 3")), block_bytes=2500, fanout=fanout).filter("doc_id = 3").collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
+def test_lm_levels():
+    assert lm.levels_for(2, 256) == (1, 2) and lm.levels_for(256, 256) == (1, 256)
+    for blocks in (257, 10_000, 70_000, 10**7):
+        levels, f = lm.levels_for(blocks, 256)
+        assert f <= 256 and f**levels >= blocks > (f - 1) ** levels
 
 
 def test_em_recovers_weights():

@@ -6,9 +6,13 @@ out ("deleted"): the estimates without it are mixed on its counts by expectation
 all training documents give the final counts.
 
 Layout: documents are dealt by hash into blocks of about BLOCK_BYTES of text, packed and compressed. A block sends each distinct
-n-gram (a 64-bit hash, sorted, as compressed differences) once to the part of the key space that owns it, with its counts. A part adds up all
-blocks and answers each with the totals, in the block's own order, so that answers carry no keys. Blocks and parts
-grow with the corpus; neither holds more than a bounded share. All counts cover all documents.
+n-gram (sorted, as compressed differences) once, with its counts, to the ranges of the key space. Up to FANOUT blocks, a
+range adds up all blocks and answers each with the totals, in the block's own order, so that answers carry no keys. Of more blocks, groups
+of up to FANOUT are added up first, range by range; a group's ranges send on what they have added up, in finer ranges, to a group of
+groups, and answers come back the same way. A block or range so sends at most FANOUT rows a level, and rows grow
+as the corpus (times the number of levels), not as its square; no task holds more than a bounded share. All counts cover all documents.
+
+N-grams are told apart by 63 bits of a hash: two of them may fall together once there are some billions of distinct ones, which then share a count.
 
 Defined results: a null text counts as empty: one end token; equal texts get equal scores; without training
 documents all probability is l0's; repeated rows are documents of their own; an empty table gives an empty table; extra columns are ignored.
@@ -27,6 +31,8 @@ from pyspark.sql import functions as F
 from waymark.llm.common import groups_for, id_remainder, materialize, text_or_empty
 
 BLOCK_BYTES = 5_000_000
+#: Rows that a block or range sends at one level, at most.
+FANOUT = 256
 #: Context-frequency buckets: 0 unseen, then powers of two.
 BUCKETS = 24
 #: Steps of log2 of a probability that the held-out counts tell apart.
@@ -149,16 +155,40 @@ class _Block:
         self.context[self.starts] = self.start
 
 
-def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Ends of each part's run of sorted keys."""
-    return np.searchsorted(keys, np.array([(i * (1 << 64)) // parts for i in range(1, parts)] or [], dtype=np.uint64)).tolist() + [len(keys)]
+def _ends(keys: np.ndarray, first: int, last: int, ranges: int) -> list[int]:
+    """Ends of the runs of sorted keys in the ranges first to last - 1, of so many equal ranges of the key space."""
+    cuts = np.array([((i << 64) + ranges - 1) // ranges for i in range(first + 1, last)], dtype=np.uint64)
+    return [*np.searchsorted(keys, cuts).tolist(), len(keys)]
+
+
+_COUNT = "node int, range long, child int, keys binary, kept binary, held binary"
+_TOTAL = "child int, range long, kept binary, held binary, n long, n_kept long, n_words long, n_kept_words long"
+
+
+def levels_for(blocks: int, fanout: int) -> tuple[int, int]:
+    """(levels, fan-out): the least number of levels, and the least fan-out that it needs."""
+    levels = 1
+    while fanout**levels < blocks:
+        levels += 1
+    f = 2
+    while f**levels < blocks:
+        f += 1
+    return levels, f
+
 
+def _sent(keys: np.ndarray, counts: np.ndarray, node: int, child: int, parent: int, fanout: int, ranges: int) -> pd.DataFrame:
+    """Rows of a child's sorted keys and counts (two rows of an array) for the fanout ranges within its own range parent."""
+    out, a = [], 0
+    for k, z in enumerate(_ends(keys, parent * fanout, (parent + 1) * fanout, ranges)):
+        if z > a:
+            out.append((node, parent * fanout + k, child, _squeeze(np.diff(keys[a:z], prepend=np.uint64(0))), _squeeze(counts[0, a:z].astype(np.uint64)), _squeeze(counts[1, a:z].astype(np.uint64))))
+        a = z
+    return pd.DataFrame(out, columns=["node", "range", "child", "keys", "kept", "held"])
 
-_COUNT = "part int, block int, keys binary, kept binary, held binary"
-_TOTAL = "block int, part int, kept binary, held binary, n_words long, n_kept_words long"
 
+def _count_blocks(packed: DataFrame, fanout: int) -> DataFrame:
+    """Keys and counts of each block for the first level."""
 
-def _count_blocks(packed: DataFrame, parts: int) -> DataFrame:
     def run(key, b: pd.DataFrame) -> pd.DataFrame:
         block = _Block(b["docs"])
         train = block.remainders != TEST_REMAINDER
@@ -169,42 +199,89 @@ def _count_blocks(packed: DataFrame, parts: int) -> DataFrame:
             for place in (block.word, block.pair):
                 counts[row] += np.bincount(place[tokens], minlength=len(block.keys))
             counts[row][block.start] += int(docs.sum())
-        out, a = [], 0
-        for part, z in enumerate(_parts_of(block.keys, parts)):
-            if z > a:
-                k = block.keys[a:z]
-                out.append((part, int(key[0]), _squeeze(np.diff(k, prepend=np.uint64(0))), _squeeze(counts[0, a:z].astype(np.uint32)), _squeeze(counts[1, a:z].astype(np.uint32))))
-            a = z
-        return pd.DataFrame(out, columns=["part", "block", "keys", "kept", "held"])
+        return _sent(block.keys, counts, int(key[0]) // fanout, int(key[0]), 0, fanout, fanout)
 
     return packed.groupBy("block").applyInPandas(run, _COUNT)
 
 
-def _add_parts(counted: DataFrame) -> DataFrame:
-    """Answers to blocks; and for each part a row with block -1: distinct trained words, with and without the held-out fold, and their tokens."""
+def _added(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Distinct keys of the rows of one range, their summed counts, and the places among them of all rows' keys with the ends of the rows."""
+    keys = [np.cumsum(_expand(x, np.uint64), dtype=np.uint64) for x in b["keys"]]
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.stack([np.bincount(at, weights=np.concatenate([_expand(x, np.uint64) for x in b[c]]), minlength=len(every)).astype(np.int64) for c in ("kept", "held")])
+    return every, total, at, np.cumsum([len(k) for k in keys]).tolist()
+
+
+def _answers(b: pd.DataFrame, total: np.ndarray, at: np.ndarray, ends: list[int]) -> list[tuple]:
+    """A row for each child: the totals of its keys in its own order."""
+    out, a = [], 0
+    for child, r, z in zip(b["child"], b["range"], ends, strict=True):
+        own = at[a:z]
+        out.append((int(child), int(r), _squeeze(total[0][own].astype(np.uint64)), _squeeze(total[1][own].astype(np.uint64)), 0, 0, 0, 0))
+        a = z
+    return out
+
+
+_TOTAL_COLUMNS = ["child", "range", "kept", "held", "n", "n_kept", "n_words", "n_kept_words"]
+
+
+def _top(counted: DataFrame) -> DataFrame:
+    """Answers to the children of the last level; and for each range a row with child -1: training tokens and distinct words, with and without the held-out fold."""
 
     def run(key, b: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.cumsum(_expand(x, np.uint64), dtype=np.uint64) for x in b["keys"]]
-        ends = np.cumsum([len(k) for k in keys])
-        every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = [np.bincount(at, weights=np.concatenate([_expand(x, np.uint32) for x in b[c]]), minlength=len(every)).astype(np.int64) for c in ("kept", "held")]
-        out, a = [], 0
-        for block, z in zip(b["block"], ends, strict=True):
-            own = at[a:z]
-            out.append((int(block), int(key[0]), _squeeze(total[0][own].astype(np.uint64)), _squeeze(total[1][own].astype(np.uint64)), 0, 0))
-            a = z
+        every, total, at, ends = _added(b)
         word = (every & np.uint64(1) == 0) & (every != _START)
         both = total[0] + total[1]
-        figures = np.array([both[word].sum(), total[0][word].sum()], dtype=np.uint64)
-        out.append((-1, int(key[0]), figures.tobytes(), b"", int((both[word] > 0).sum()), int((total[0][word] > 0).sum())))
-        return pd.DataFrame(out, columns=["block", "part", "kept", "held", "n_words", "n_kept_words"])
+        figures = (-1, int(key[0]), b"", b"", int(both[word].sum()), int(total[0][word].sum()), int((both[word] > 0).sum()), int((total[0][word] > 0).sum()))
+        return pd.DataFrame([*_answers(b, total, at, ends), figures], columns=_TOTAL_COLUMNS)
+
+    return counted.groupBy("range").applyInPandas(run, _TOTAL)
+
+
+def _up(counted: DataFrame, fanout: int, ranges: int) -> DataFrame:
+    """What the nodes of a level send to the next one."""
+
+    def run(key, b: pd.DataFrame) -> pd.DataFrame:
+        node, r = int(key[0]), int(key[1])
+        every, total, _, _ = _added(b)
+        return _sent(every, total, node // fanout, node, r, fanout, ranges)
+
+    return counted.groupBy("node", "range").applyInPandas(run, _COUNT)
+
 
-    return counted.groupBy("part").applyInPandas(run, _TOTAL)
+def _down(counted: DataFrame, answers: DataFrame, fanout: int) -> DataFrame:
+    """Answers to the children of a level from the answers to its nodes."""
+
+    def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
+        if not len(l) or not len(r):
+            return pd.DataFrame([], columns=_TOTAL_COLUMNS)
+        r = r.sort_values("range")
+        total = np.stack([np.concatenate([_expand(x, np.uint64) for x in r[c]]) for c in ("kept", "held")])
+        _, _, at, ends = _added(l)
+        return pd.DataFrame(_answers(l, total, at, ends), columns=_TOTAL_COLUMNS)
+
+    asked = answers.withColumn("node", F.col("child")).withColumn("parent", F.expr(f"range div {fanout}"))
+    return counted.groupBy("node", "range").cogroup(asked.groupBy("node", "parent")).applyInPandas(run, _TOTAL)
+
+
+def _exchange(packed: DataFrame, blocks: int, fanout: int) -> tuple[DataFrame, DataFrame]:
+    """Answers to all blocks (child, range, kept, held), and the rows of figures."""
+    levels, f = levels_for(blocks, fanout)
+    sent = _count_blocks(packed, f)
+    below = []
+    for level in range(1, levels):
+        below.append(materialize(sent, "ngram-level"))
+        sent = _up(below[-1], f, f ** (level + 1))
+    answers = materialize(_top(sent), "ngram-totals")
+    figures, answers = answers.filter("child < 0"), answers.filter("child >= 0")
+    while below:
+        answers = materialize(_down(below.pop(), answers, f), "ngram-answers")
+    return answers.withColumnRenamed("child", "block"), figures
 
 
 def _totals(r: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Totals for a block's keys, without and with the held-out fold."""
-    r = r.sort_values("part")
+    r = r.sort_values("range")
     kept = np.concatenate([_expand(x, np.uint64) for x in r["kept"]]).astype(np.float64)
     return kept, kept + np.concatenate([_expand(x, np.uint64) for x in r["held"]]).astype(np.float64)
 
@@ -253,7 +330,7 @@ def fit_weights(cells: pd.DataFrame, p0: float, steps: int = EM_STEPS) -> np.nda
     return weights
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, fanout: int = FANOUT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     part = id_remainder(F.col(id_col), 7)
     rows = docs.select(F.col(id_col).alias("__id"), part.alias("__part"), text_or_empty(F.col(text_col)).alias("__text"))
@@ -261,14 +338,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     size = rows.agg(F.sum(F.octet_length("__text") + 1)).first()[0] or 0
     blocks = max(2, groups_for(size, block_bytes))
     held_blocks = max(1, blocks // 7)
-    parts = groups_for(blocks, 2)
     packed = _pack(rows, blocks, held_blocks)
-    answers = materialize(_add_parts(_count_blocks(packed, parts)), "ngram-totals")
-    figures = answers.filter("block < 0").select("kept", "n_words", "n_kept_words").toPandas()  # one row a part
-    sums = [np.frombuffer(x, dtype=np.uint64) for x in figures["kept"]]
-    n, n_kept = (int(sum(int(x[k]) for x in sums)) for k in (0, 1))
-    v, v_kept = int(figures["n_words"].sum()), int(figures["n_kept_words"].sum())
-    answers = answers.filter("block >= 0")
+    answers, figures = _exchange(packed, blocks, fanout)
+    n, n_kept, v, v_kept = (int(x or 0) for x in figures.agg(*[F.sum(c) for c in ("n", "n_kept", "n_words", "n_kept_words")]).first())
     cells = _held_out(packed.filter(F.col("block") < held_blocks), answers.filter(F.col("block") < held_blocks), n_kept).toPandas()  # a grid of fixed size
     weights = fit_weights(cells, 1.0 / (v_kept + 1))
 
