@@ -45,6 +45,23 @@ def test_warc_normaliser_handles_breaks_and_members(tmp_path):
     assert index[-1]["status"] == "truncated" and all(x["status"] == "ok" for x in index[:-1])
 
 
+def test_warc_faults(spark, tmp_path):
+    """Streams that cannot be inflated get a status; wrong digests and lost responses raise."""
+    rec = warc.record_bytes("1", None, b"p" * 50, "d", "response", None, 50)
+    whole = bytearray(gzip.compress(rec))
+    whole[-8] ^= 255  # the check sum
+    (tmp_path / "e.gz").write_bytes(bytes(whole))
+    (tmp_path / "f.gz").write_bytes(gzip.compress(b"no record at all\r\n\r\n"))
+    for name in "ef":
+        assert warc.normalise_file(f"file://{tmp_path}/{name}.gz", f"file://{tmp_path}/{name}2.gz")[-1]["status"] == "corrupt"
+    schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, checked boolean"
+    good = [("1", 200, "x", "response", None, True), ("2", 9, "x", "revisit", "1", True)]
+    assert {r.page_id: r.payload_bytes for r in warc.resolved(spark.createDataFrame(good, schema)).collect()} == {"1": 200, "2": 200}
+    for bad in ([("1", 5, "x", "response", None, False)], [("2", 9, "y", "revisit", "1", True), good[0]]):
+        with pytest.raises(Exception, match="page"):
+            warc.resolved(spark.createDataFrame(bad, schema)).collect()
+
+
 def test_sharding(spark):
     texts = [f"text {k}" for k in range(150)] + [f"copy {k // 4}" for k in range(80)] + ["hot"] * 90 + [None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), DOCS).withColumn("shard", F.lit("clash"))
@@ -221,18 +238,80 @@ def test_syncmers_are_context_free(spark):
     assert shifted.items() <= got[1].items() and len(shifted) > 5
 
 
-def test_pipeline(spark):
+def test_pipeline_against_brute_force(spark):
+    """run() on whole small tables: after the classifier, every stage is done again by brute force."""
+    import base64
+
+    import numpy as np
+    import public_tokenizers
+    import tiktoken
+
     import corpus_pipeline as cp
+    from test_text_operators import brute_components, brute_hits
+    from waymark.llm import pii, simhash
+    from waymark.llm.queries import SURROGATE_KEY, RANK_FILE
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
+    text = {r.doc_id: r.text for r in cp.drop_toxic(spark, docs, d).select("doc_id", "text").collect()}
+    assert text.items() <= {r.doc_id: r.text for r in docs.collect()}.items() and len(text) > 100
+    ids = sorted(text)
+    heads = brute_components([simhash.fingerprint(text[i]) for i in ids], ids)
+    ids = [i for i, h in zip(ids, heads) if i == h]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    words = lambda t: set(t.lower().split())  # noqa: E731  every occurring window has a word of the document
+    hits = {i: brute_hits(text[i], [x for x in items if words(x[1] or "") & words(text[i] or "")]) for i in ids}
+    ids = [i for i in ids if not (hits[i][1] > 0 and 20 * hits[i][1] >= hits[i][0])]
+    spans = {i: pii.detect(text[i]) for i in ids}
+    genders = {}
+    for ss in spans.values():
+        for _, _, k, n in ss:
+            if k.startswith("given"):
+                genders.setdefault((k[8:], n), set()).add(k[6])
+    kinds = {"".join(g & {"m", "f"}): None for g in genders.values()}
+    final = lambda k, n: k if not k.startswith("given") else f"given:{g if len(g := ''.join(genders[k[8:], n] & {'m', 'f'})) == 1 else 'n'}:{k[8:]}"
+    entities = {(final(k, n), n) for ss in spans.values() for _, _, k, n in ss}
+    domain = lambda k: "given:" + k[8:] if k.startswith("given") else k
+    real, taken, names, draw = {(domain(k), n) for k, n in entities}, set(), {}, 0
+    while len(names) < len(entities):
+        for k, n in sorted(entities - set(names), key=lambda e: (e[1], e[0])):
+            c = (domain(k), pii.surrogate(SURROGATE_KEY.encode(), k, n, draw))
+            if c not in real and c not in taken:
+                taken.add(c)
+                names[k, n] = c[1]
+        draw += 1
+    assert kinds is not None
+    want = {}
+    with open(public_tokenizers.path(RANK_FILE), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for i in ids:
+        t = text[i]
+        for a, b, k, n in reversed(spans[i]):
+            t = t[:a] + pii.render(t[a:b], final(k, n), names[final(k, n), n]) + t[b:]
+        got = library.encode_ordinary(t or "")
+        want[i] = (len(got), hashlib.sha256(np.asarray(got, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in cp.run(spark, d).collect()} == want
+
+
+def test_stages_with_odd_rows(spark):
+    """Every stage: null ids and texts, repeated rows, columns of clashing and dotted names, and an empty table."""
+    import corpus_pipeline as cp
+
+    d = "/root/testdata/sf0.001"
+    x, y = (" ".join(f"{c}{k}" for k in range(60)) for c in "xy")
+    rows = [(None, x, "en", "s", 1), (None, y, "en", "s", 1), (7, "Dr Ann Lee wrote " + x[:100], "en", "s", 1), (7, None, None, None, None), (8, "", "en", "s", 1), (9, x, "en", "s", 1), (9, x, "en", "s", 1)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = plain.withColumns({c: F.lit(c) for c in ("__id", "__rid", "__keep", "__h", "__text", "__spans", "row", "fp", "score", "a.b")})
     for name, stage in cp.STAGES[:-1]:
-        out = stage(spark, docs, d)
-        assert out.columns == docs.columns, name
-        assert out.count() <= docs.count()
-        docs = out
-    got = cp.run(spark, d)
-    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+        out = stage(spark, extra, d)
+        assert out.columns == extra.columns, name
+        got = out.collect()
+        assert all(r["a.b"] == "a.b" and r["row"] == "row" and r["__id"] == "__id" for r in got), name
+        ids = sorted((r.doc_id for r in got), key=str)
+        assert ids == ([7, 7, 9, None] if "near" in name else [7, 7, 8, 9, 9, None, None]), (name, ids)
+        assert stage(spark, extra.limit(0), d).count() == 0
+    assert cp.encode(spark, extra, d).count() == len(rows) and cp.encode(spark, extra.limit(0), d).count() == 0
 
 
 def test_entry_without_this_part(tmp_path):

@@ -198,6 +198,17 @@ def test_whole_names(spark):
     assert d[1] == d[3] and d[2] == d[4] and not {"Jane", "Doe", "Ludwig", "Beethoven", "Brown", "Green"} & set(d.groups())
 
 
+def test_surnames_of_a_family(spark):
+    """One surname has its two forms, and many entities of a text stay apart."""
+    t = "Госпожа Анна Иванова и господин Пётр Иванов пришли. Иванова ушла. " + "; ".join(f"a{k}@mail{k}.example.org" for k in range(3000))
+    got = pii.with_surrogates(docs(spark, [t]), b"k").first().text
+    m = re.match(r"Госпожа (\w+) (\w+)а и господин (\w+) (\w+) пришли\. (\w+)а ушла", got)
+    assert m[2] == m[4] == m[5] and m[2].endswith(pii.MASCULINE) and m[2] != "Иванов" and m[1] != "Анна"
+    assert len(set(re.findall(r"[\w.]+@[\w.]+", got))) == 3000
+    out = pii.with_surrogates(docs(spark, [t, "none"]).withColumn("a.b", F.lit(1)), b"k", count_col="n_chars")
+    assert out.columns == ["doc_id", "text", "lang", "source", "a.b", "n_chars"] and sorted(r.n_chars for r in out.collect()) == [0, 3005]
+
+
 def test_surrogates_stay_distinct(spark):
     """A domain so small that first draws collide."""
     entities = spark.createDataFrame([("secret", f"{k:x}") for k in range(16)], "kind string, norm string")

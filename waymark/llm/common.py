@@ -16,9 +16,11 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary one on a single machine, and an error on a cluster."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         d = _fallback.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-waymark-"))
     return d.rstrip("/")
@@ -71,5 +73,15 @@ def row_key(*cols: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in cols]), 256)
 
 
+def named(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_rows(docs: DataFrame, **extra: Column) -> DataFrame:
+    """(row, ...): every row of docs as one struct beside the extra columns, so that no column of docs can clash with them; select('row.*') undoes it."""
+    return docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in extra.items()])
+
+
 def groups_for(n: int, per_group: int) -> int:
     return max(1, math.ceil(n / per_group))

@@ -13,7 +13,7 @@ shuffled while the benchmark's shingles are at most BROADCAST_ROWS; a larger ben
 shuffle on the shingle instead and the words are fetched afterwards.
 
 Defined results: null or wordless texts have no words and are clean; wordless items have no window; items with equal
-windows all count; equal rows get equal results; empty tables give empty or clean
+windows all count; items without an id count as one item of empty id; equal rows get equal results; empty tables give empty or clean
 results; extra columns are ignored.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from waymark.llm.common import ascii_lower, materialize, text_or_empty
+from waymark.llm.common import ascii_lower, materialize, text_or_empty, whole_rows
 
 WINDOW = 13
 SHINGLE = 5
@@ -107,7 +107,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     order = W.partitionBy("__id", "__rid").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     spans = hits.select("__id", "__rid", "start", "end").distinct().withColumn("reach", F.coalesce(F.max("end").over(order), F.lit(0)))
     n_hit = spans.groupBy("__id", "__rid").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "reach"))).alias("n_hit"))
-    owners = windows.select(F.array_join("w", " ").alias("window"), F.col("item_id").cast("string").alias("item")).distinct()
+    owners = windows.select(F.array_join("w", " ").alias("window"), F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")).distinct()
     items = hits.select("__id", "__rid", "window").distinct().join(owners, "window").groupBy("__id", "__rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
     per_doc = n_hit.join(items, n_hit["__id"].eqNullSafe(items["__id"]) & (n_hit["__rid"] == items["__rid"])).select(n_hit["__id"].alias("d_id"), n_hit["__rid"].alias("d_rid"), "n_hit", "items")
     rows = occ.filter("h is null").select("__id", "__rid", "n_words")
@@ -131,5 +131,6 @@ def report(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAS
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, unchanged, that are not contaminated."""
     bad = scan(docs, benchmark).filter(contaminated(F.col("n_hit"), F.col("n_words"))).select("__id", "__rid").distinct()
-    bad = materialize(bad, "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("doc_id", "text") == F.col("__rid")), "left_anti")
+    bad = materialize(bad.withColumnsRenamed({"__id": "__b", "__rid": "__r"}), "contaminated")
+    rows = whole_rows(docs, __id=F.col("doc_id"), __rid=F.xxhash64("doc_id", "text"))
+    return rows.join(bad, F.col("__id").eqNullSafe(F.col("__b")) & (F.col("__rid") == F.col("__r")), "left_anti").select("row.*")

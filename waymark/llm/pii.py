@@ -14,14 +14,15 @@ IBAN check digits stay valid. Collision checks run over all distinct entities of
 another entity's surrogate, is drawn again. Surrogates go back to documents by joins on the entity.
 
 Defined results: null texts stay null; texts without entities are unchanged; equal rows get equal results; an
-empty table gives an empty table; all columns are returned, only the text changes.
+empty table gives an empty table; all columns are returned, whatever their names, and only the text changes; an entity that two kinds claim
+goes to the first in the order above, and of candidates for one surrogate the entity that sorts first wins; texts of any length are read whole, in time that grows as n log n.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import materialize, text_batches
+from waymark.llm.common import materialize, text_batches, whole_rows
 
 #: Draws after which a surrogate may be longer than its entity, so that small domains cannot run out.
 SAME_LENGTH_DRAWS = 8
@@ -48,6 +49,9 @@ SYLLABLES = {
     "cyrillic": ("ба бе ва ве га да де ка ке ла ле ма ми на не ра ре са та ти".split(), {"m": "н р с к".split(), "f": "на ля ра ша".split(), "n": "ен ис".split(), "s": "нко дзе вич".split()}),
     "greek": ("βα γα δα κα λα μα νι πα ρα σα τα φι".split(), {"m": "ος ης ας".split(), "f": "ια να λη".split(), "n": "ιν ορ".split(), "s": "ιδης ακης".split()}),
 }
+# Endings of surnames with a form for each gender.
+MASCULINE = ("ов", "ев", "ёв", "ин", "ын")
+FEMININE = tuple(m + "а" for m in MASCULINE)
 #: Words that may stand inside a name, and capitalised words that end one.
 PARTICLES = "van von der den de del della di da dos du la le al bin ibn ten ter zu y".split()
 NO_NAMES = "and but or who which that this these those then when while after before with from is was are were has had have he she it they we you the not said says also there here".split()
@@ -108,11 +112,16 @@ def _bare(name: str) -> str:
     return name[:-2] if len(name) > 3 and name[-2:] in ("'s", "’s", "'S", "’S") else name.rstrip(".")
 
 
+def _masculine(norm: str) -> str:
+    """The masculine form of a surname that has one for each gender: it names the entity, for families and declined forms."""
+    return norm[:-1] if len(norm) > 5 and norm.endswith(FEMININE) else norm
+
+
 class _Free:
-    """Tells whether a span meets none of the given ones, which do not overlap."""
+    """Tells whether a span meets none of the given ones, which are sorted and do not overlap."""
 
     def __init__(self, taken: list[tuple[int, int]]):
-        self.taken = sorted(taken)
+        self.taken = taken
 
     def __call__(self, a: int, b: int) -> bool:
         k = bisect_left(self.taken, (b, b))
@@ -125,11 +134,12 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
         return []
     p, titles = _patterns()
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # sorted, without overlap
+    free = _Free(taken)
 
     def add(a: int, b: int, kind: str, norm: str) -> None:
-        if all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
+        if free(a, b):
+            insort(taken, (a, b))
             found.append((a, b, kind, norm))
 
     if "@" in text:
@@ -163,18 +173,22 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
         for k, (x, y) in enumerate(parts):
             norm, script = text[x:y].casefold(), script_of(text[x:y])
             kind = f"surname:s:{script}" if k == last else f"given:{gender}:{script}"
+            if k == last:
+                norm = _masculine(norm)
             add(x, y, kind, norm)
             if y - x > 1 and (k == last or norm not in known):
                 known[norm] = kind
     if known:
-        free = _Free(taken)
         for m in p["capital"].finditer(text):
             at = m.start()
             whole = _bare(m[0])
             pieces = [whole] if whole.casefold() in known else whole.split("-")
             for piece in pieces:
-                if (kind := known.get(piece.casefold())) and piece[:1].isupper() and free(at, at + len(piece)):
-                    found.append((at, at + len(piece), kind, piece.casefold()))
+                norm = piece.casefold()
+                if norm not in known and known.get(_masculine(norm), "").startswith("surname"):
+                    norm = _masculine(norm)
+                if (kind := known.get(norm)) and piece[:1].isupper() and free(at, at + len(piece)):
+                    found.append((at, at + len(piece), kind, norm))
                 at += len(piece) + 1
     return sorted(found)
 
@@ -214,6 +228,8 @@ def surrogate(key: bytes, kind: str, norm: str, draw: int) -> str:
     if kind.startswith(("given", "surname")):
         _, gender, script = kind.split(":")
         parts, ends = SYLLABLES[script]
+        if gender == "s" and norm.endswith(MASCULINE):
+            ends = {"s": MASCULINE}
         return "".join(parts[d.below(len(parts))] for _ in range(2 + draw // 2)) + ends[gender][d.below(len(ends[gender]))]
     stem, tail = norm, ""
     if kind == "email":
@@ -249,6 +265,8 @@ def render(surface: str, kind: str, norm: str) -> str:
     if kind.startswith(("given", "surname")):
         if len(surface) == 1:
             return norm[:1].upper()
+        if kind.startswith("surname") and norm.endswith(MASCULINE) and surface.casefold().endswith(FEMININE):
+            norm += "а"
         return norm.upper() if surface.isupper() else norm[:1].upper() + norm[1:]
     if kind == "email" and len(norm) == len(surface):
         return "".join(n.upper() if s.isupper() else n for s, n in zip(surface, norm, strict=True))
@@ -327,7 +345,7 @@ def _replace(text: Column, spans: Column) -> Column:
 
 
 def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """docs with every detected entity of the text column replaced; count_col adds the number of replacements."""
+    """docs with every detected entity of the text column replaced; count_col adds the number of replacements, in place of a column of that name."""
     text_batches(docs)
     rid = F.xxhash64(id_col, text_col)
     rows = docs.select(F.col(id_col).alias("__id"), rid.alias("__rid"), F.col(text_col).alias("__text"))
@@ -336,10 +354,10 @@ def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
     names = assign_surrogates(_with_gender(spans), key).withColumn("domain", _domain(F.col("kind")))
     put = spans.withColumn("domain", _domain(F.col("kind"))).drop("kind").join(names, ["domain", "norm"]).groupBy("__id", "__rid").agg(F.collect_list(F.struct("start", "stop", "kind", "surrogate")).alias("__spans"))
     put = put.select(F.col("__id").alias("__d"), F.col("__rid").alias("__r"), "__spans")
-    base = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), rid.alias("__rid"), F.col(text_col).alias("__text"))
+    base = whole_rows(docs, __id=F.col(id_col), __rid=rid, __text=F.col(text_col))
     joined = base.join(put, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__rid") == F.col("__r")), "left")
     new = F.when(F.col("__spans").isNull(), F.col("__text")).otherwise(_replace(F.col("__text"), F.col("__spans")))
-    columns = [new.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in docs.columns]
+    columns = [new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c != count_col]
     if count_col:
         columns.append(F.coalesce(F.size("__spans"), F.lit(0)).alias(count_col))
     return joined.select(*columns)

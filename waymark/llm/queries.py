@@ -20,14 +20,18 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
-#: The key of the surrogates; a deployment passes its own secret.
-SURROGATE_KEY = b"waymark surrogates"
+#: The setting that holds a deployment's own secret for surrogates, and the key where it is unset.
+SURROGATE_SETTING, SURROGATE_KEY = "spark.waymark.surrogateKey", "waymark surrogates"
+
+
+def surrogate_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(SURROGATE_SETTING, SURROGATE_KEY).encode()
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_replaced and the text with surrogates of every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.with_surrogates(docs, SURROGATE_KEY, count_col="n_replaced").select("doc_id", "n_replaced", "text")
+    return pii.with_surrogates(docs, surrogate_key(spark), count_col="n_replaced").select("doc_id", "n_replaced", "text")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import delete_path, materialize, new_path, text_batches
+from waymark.llm.common import delete_path, materialize, named, new_path, text_batches, whole_rows
 
 RADIUS = 4
 SEED = 42
@@ -260,6 +260,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     least = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("text_hash").alias("h"), F.col("count").alias("n")))
     keep = counts.join(_rooted(rows, RADIUS).select("fp", "root"), "fp").groupBy("root").agg(least.alias("k")).select(F.col("k.id").alias("__keep"), F.col("k.h").alias("__keep_h"), F.col("k.n").alias("__n"))
     keep = materialize(keep, "groups")
-    kept = docs.withColumn("__h", _text_hash(text_col)).join(keep.drop("__n"), F.col(id_col).eqNullSafe(F.col("__keep")) & (F.col("__h") == F.col("__keep_h")), "left_semi")
+    rows = whole_rows(docs, __id=named(id_col), __h=_text_hash(text_col))
+    kept = rows.join(keep.drop("__n"), F.col("__id").eqNullSafe(F.col("__keep")) & F.col("__h").eqNullSafe(F.col("__keep_h")), "left_semi")
     many = not keep.filter("__n > 1").isEmpty()
-    return (kept.dropDuplicates([id_col, "__h"]) if many else kept).drop("__h")
+    return (kept.dropDuplicates(["__id", "__h"]) if many else kept).select("row.*")

@@ -4,8 +4,9 @@ Features are the distinct character n-grams of the whole lower-cased text, hashe
 fixed number of buckets. Document frequencies of every bucket by class come from all
 labelled training rows; the log ratio of the smoothed frequencies scales each feature. The weights of
 the logistic regression on the scaled features are fitted on a bounded sample of
-labelled rows (at most SAMPLE_PER_CLASS of each class, chosen by hash of the id), and both
-classes weigh equally in it. Scoring is one pass over the documents.
+labelled rows (at most SAMPLE_PER_CLASS of each class, chosen by hash of the id; of a text only the buckets with a ratio are kept), and both
+classes weigh equally in it. Buckets of fewer than MIN_DOCS documents, or whose toxic documents differ from their expected number by less than
+SIGNIFICANCE standard deviations, have ratio 0 and so no weight: it is part of the method. Scoring is one pass over the documents.
 
 Defined results: a null text counts as empty; an empty text gets the score of
 a text without features; repeated label rows of an id count once, toxic if any says so; labels that are
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import id_remainder, materialize, text_batches
+from waymark.llm.common import id_remainder, materialize, text_batches, whole_rows
 
 BUCKETS = 1 << 20
 SIZES = (4, 5)
@@ -168,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, rows, y = Grams(), [], []
         for b in batches:
-            rows += [grams.of(t) for t in b["text"]]
+            rows += [x[known.value[x] != 0] for x in map(grams.of, b["text"])]  # a text of any length keeps only buckets that carry weight
             y += list(b["label"])
         if rows:
             y = np.array(y, dtype=np.float64)
@@ -210,5 +211,5 @@ def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, learn_from: DataFrame | None = None) -> DataFrame:
     """The rows of docs, unchanged, whose text scores below the threshold. learn_from: the labelled documents, docs by default."""
     weights, intercept = train((docs if learn_from is None else learn_from).select("doc_id", "text"), learn_rows(labels))
-    kept = score(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text")), weights, intercept)
+    kept = score(whole_rows(docs, text=F.col("text")), weights, intercept)
     return kept.filter(F.col("score") < threshold).select("row.*")

@@ -6,7 +6,8 @@ record can be read alone. Files are opened through the file system of their URI,
 on its own files, and results name only files of tasks that ended well; a repeated task writes new files.
 
 Defined results: a null payload counts as empty; a null url is left out; null ids are kept; repeated rows are records of
-their own; a stream that breaks off gives the records before the break, and its index row with status 'truncated'; an empty table gives no archive; extra columns are ignored.
+their own; a stream that breaks off gives the records before the break, and an index row with status 'truncated'; one that cannot be inflated or parsed, with status
+'corrupt'; round_trip and resolved raise an error for either, and for a payload that differs from its digest; an empty table gives no archive; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -136,8 +137,8 @@ def normalise_file(source: str, target: str, level: int = LEVEL) -> list[dict]:
                 rec = next(it)
             except StopIteration:
                 break
-            except EOFError:
-                index.append({"offset": offset, "length": 0, "record_id": None, "record_type": None, "status": "truncated"})
+            except (EOFError, zlib.error, ValueError) as e:
+                index.append({"offset": offset, "length": 0, "record_id": None, "record_type": None, "status": "truncated" if isinstance(e, EOFError) else "corrupt"})
                 break
             head = parse_head(rec[: rec.index(b"\r\n\r\n")])
             member = gzip.compress(rec, level, mtime=0)
@@ -228,6 +229,17 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
     )
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """Records of read_archives; a revisit has the size and digest of the response that it names. An error for wrong digests and for revisits without a response."""
+    fault = lambda ok, c, what: F.when(ok, F.col(c)).otherwise(F.raise_error(F.concat(F.lit(what), F.coalesce("page_id", F.lit("?"))))).alias(c)
+    own = records.filter("record_type = 'response'").select("page_id", "payload_bytes", fault(F.col("checked"), "payload_digest", "wrong digest in record of page "), "record_type", "refers_to")
+    said = records.filter("record_type = 'revisit'").select("page_id", F.col("payload_digest").alias("d"), "record_type", "refers_to")
+    first = own.select(F.col("page_id").alias("p"), "payload_bytes", "payload_digest").distinct()
+    met = said.join(first, F.col("refers_to").eqNullSafe(F.col("p")) & (F.col("d") == F.col("payload_digest")), "left")
+    met = met.select("page_id", "payload_bytes", fault(F.col("payload_digest").isNotNull(), "payload_digest", "no response for the revisit of page "), "record_type", "refers_to")
+    return own.unionByName(met)
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write pages to monolithic archives, normalise those, and read the records back."""
     spark = pages.sparkSession
@@ -236,9 +248,13 @@ def round_trip(pages: DataFrame) -> DataFrame:
     n = max(1, files.count())
     index = materialize(normalise(files.repartition(n), normal), "warc-index")
     delete_path(spark, folder)
+    broken = index.filter("status <> 'ok'").select("archive", "status").first()
+    if broken:
+        raise ValueError(f"{broken.archive}: {broken.status}")
     archives = materialize(index.select("archive").distinct(), "warc-archives")
     kind = dict(pages.dtypes)["page_id"]
-    return read_archives(archives.repartition(n)).select(
+    records = materialize(read_archives(archives.repartition(n)), "warc-records")
+    return resolved(records).select(
         F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
     )
 
