@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm import bpe, decontaminate, pii, simhash, toxicity
-from waymark.llm.common import materialize
-from waymark.llm.queries import RANK_FILE, SURROGATE_KEY
+from waymark.llm.common import delete_path, materialize, new_path
+from waymark.llm.queries import RANK_FILE, surrogate_key
 
 #: No stage after the first can be written in SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
@@ -31,7 +31,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def put_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.with_surrogates(docs, SURROGATE_KEY)
+    return pii.with_surrogates(docs, surrogate_key(spark))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        path = new_path(spark, "stage-" + name.replace(" ", "-"))
+        docs = materialize(stage(spark, docs, sf_dir), name, path)
+        if before:
+            delete_path(spark, before)  # nothing reads the stage before the last any more
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
