@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.plans import frames
+from waymark.plans import frames, library
 from waymark.plans.statements import STATEMENTS
 from waymark.proxy import run_sql, with_views
 
@@ -17,12 +17,12 @@ def _statement(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: partial(_statement, text=v) for k, v in STATEMENTS.items()} | frames.QUERIES
+    return {k: partial(_statement, text=v) for k, v in STATEMENTS.items()} | frames.QUERIES | library.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     # one name differs: the anti join
-    return {k: with_views(v).replace(" LEFT ANTI JOIN ", " ANTI JOIN ") for k, v in (STATEMENTS | frames.ORACLES).items()}
+    return {k: with_views(v).replace(" LEFT ANTI JOIN ", " ANTI JOIN ") for k, v in (STATEMENTS | frames.ORACLES | library.ORACLES).items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,10 @@ _fallback: dict[str, str] = {}
 
 
 def scratch_path(spark, tag: str) -> str:
-    d = spark.conf.get("spark.checkpoint.dir", None) or _fallback.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-waymark-"))
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    d = d or _fallback.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-waymark-"))
     return f"{d.rstrip('/')}/waymark-{tag}-{uuid.uuid4().hex[:12]}"
 
 

@@ -11,8 +11,13 @@ UNKNOWN = "U"
 BOUNDS = (41.0, 43.0, -89.0, -87.0)
 
 
+BLANKS = " \t\n\r\x0b\x0c"
+#: Date formats beside ISO 8601, tried in this order.
+DATE_FORMATS = ("M/d/yyyy", "M/d/yyyy H:mm[:ss]", "M/d/yyyy h:mm[:ss] a", "MMM d, yyyy", "d MMM yyyy", "yyyyMMdd")
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def normalize_string(c: Column, upper: bool = False) -> Column:
@@ -39,13 +44,16 @@ def invalid_integer(c: Column) -> Column:
     return normalize_string(c).isNotNull() & coerce_integer(c).isNull()
 
 
-def parse_date(c: Column, formats: tuple[str, ...] = ("yyyy-MM-dd", "MM/dd/yyyy")) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(normalize_string(c), F.lit(f)) for f in formats]).cast("date")
+def parse_date(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
+    """The date of a text in ISO 8601 (with or without a time) or one of the formats; null for any other text."""
+    t = normalize_string(c)
+    iso = F.when(t.rlike(r"^\d{4}-"), t.try_cast("date"))
+    return F.when(t.isNull() | iso.isNotNull(), iso).otherwise(F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats]).cast("date"))
 
 
 def map_severity(c: Column) -> Column:
-    t = normalize_string(c, upper=True)
-    return F.coalesce(*[F.when(t == k, v) for k, v in SEVERITY.items()], F.lit(UNKNOWN))
+    known = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, normalize_string(c, upper=True)), F.lit(UNKNOWN))
 
 
 def severity_unmapped(c: Column) -> Column:
@@ -53,8 +61,10 @@ def severity_unmapped(c: Column) -> Column:
 
 
 def classify_coordinates(lat: Column, lon: Column, bounds: tuple[float, ...] = BOUNDS) -> Column:
-    a, o = normalize_string(lat), normalize_string(lon)
-    x, y = coerce_float(lat), coerce_float(lon)
+    return _coordinate_status(normalize_string(lat), normalize_string(lon), coerce_float(lat), coerce_float(lon), bounds)
+
+
+def _coordinate_status(a: Column, o: Column, x: Column, y: Column, bounds: tuple[float, ...] = BOUNDS) -> Column:
     return (
         F.when(a.isNull() & o.isNull(), "missing_pair").when(a.isNull() | o.isNull(), "incomplete_pair").when(x.isNull() | y.isNull(), "non_numeric")
         .when(~x.between(bounds[0], bounds[1]) | ~y.between(bounds[2], bounds[3]), "out_of_range").otherwise("valid")
@@ -91,10 +101,12 @@ def fingerprint(df: DataFrame, by: list[str], key: Column, out: str = "selection
 
 
 def clean_rows(raw: DataFrame) -> DataFrame:
-    """One projection with a fixed column order."""
-    day = parse_date(F.col("event_date"))
-    status = classify_coordinates(F.col("lat"), F.col("lon"))
-    return raw.select(
-        "record_id", normalize_string(F.col("injury")).alias("injury_text"), map_severity(F.col("injury")).alias("kabco"), day.alias("event_day"), F.year(day).alias("event_year"), F.trunc(day, "month").alias("month_start"),
-        coerce_integer(F.col("lanes")).alias("lanes"), coerce_float(F.col("speed")).alias("speed"), normalize_string(F.col("flag"), upper=True).alias("flag"), status.alias("coordinate_status"), (status == "valid").alias("has_valid_coordinates"), normalize_street(F.col("street")).alias("street"),
+    """One row out for each row in, with a fixed column order. Each text is trimmed and each value parsed once, in projections of their own."""
+    trimmed = raw.select("record_id", *[normalize_string(F.col(c)).alias(c) for c in ("injury", "event_date", "lanes", "speed", "flag", "lat", "lon")], normalize_street(F.col("street")).alias("street"))
+    parsed = trimmed.select("*", parse_date(F.col("event_date")).alias("event_day"), *[F.col(c).try_cast("double").alias(f"{c}_value") for c in ("lanes", "speed", "lat", "lon")])
+    status = _coordinate_status(F.col("lat"), F.col("lon"), F.col("lat_value"), F.col("lon_value"))
+    return parsed.withColumn("coordinate_status", status).select(
+        "record_id", F.col("injury").alias("injury_text"), map_severity(F.col("injury")).alias("kabco"), "event_day", F.year("event_day").alias("event_year"), F.trunc("event_day", "month").alias("month_start"),
+        F.when(F.col("lanes_value") % 1 == 0, F.col("lanes_value").cast("long")).alias("lanes"), F.col("speed_value").alias("speed"), F.upper("flag").alias("flag"), "coordinate_status",
+        (F.col("coordinate_status") == "valid").alias("has_valid_coordinates"), "street",
     )

@@ -1,4 +1,4 @@
-"""Street graphs as edge tables (grp, src, dst, weight). Iterations are bounded joins; each round is written to the shared folder."""
+"""Street graphs as edge tables (grp, src, dst, weight). Loops run until nothing changes; tables between rounds are in the shared folder."""
 
 from __future__ import annotations
 
@@ -7,55 +7,81 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from waymark.functions.storage import cut_lineage
+from waymark.operators.spatial import near_segments
+
+#: Relaxations of one job.
+STEPS_PER_WRITE = 6
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("grp", "src", "dst", "weight").unionByName(edges.select("grp", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(grp, node, distance, parent): weighted distance from the nearest source (grp, node), all groups at once; ties to the smaller parent."""
-    two = both_ways(edges)
-    best = cut_lineage(sources.select("grp", "node", F.lit(0).cast("long").alias("distance"), F.lit(None).cast("string").alias("parent")).distinct(), "paths")
-    for _ in range(max_rounds):
-        step = best.join(two, (best["grp"] == two["grp"]) & (best["node"] == two["src"])).select(best["grp"], F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.col("src").alias("parent"))
-        both = best.unionByName(step).groupBy("grp", "node").agg(F.min(F.struct("distance", F.coalesce("parent", F.lit("")).alias("p"))).alias("b"))
-        new = cut_lineage(both.select("grp", "node", F.col("b.distance").alias("distance"), F.nullif(F.col("b.p"), F.lit("")).alias("parent")), "paths")
-        changed = not new.join(best.select("grp", "node", F.col("distance").alias("old")), ["grp", "node"], "left").filter("old is null or old <> distance").isEmpty()
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(grp, node, distance, parent): weighted distance from the nearest source (grp, node), all groups at once; ties to the smaller parent. Weights are not negative."""
+    two = cut_lineage(both_ways(edges).groupBy("grp", "src", "dst").agg(F.min("weight").alias("weight")), "edges")
+    start = sources.select("grp", "node", F.lit(0).cast("long").alias("distance"), F.lit("").alias("parent")).distinct()
+    best = cut_lineage(start, "paths")
+    while True:
+        new = best
+        for _ in range(STEPS_PER_WRITE):
+            step = new.withColumnRenamed("node", "src").join(two, ["grp", "src"]).select("grp", F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.col("src").alias("parent"))
+            new = new.unionByName(step).groupBy("grp", "node").agg(F.min(F.struct("distance", "parent")).alias("b")).select("grp", "node", "b.distance", "b.parent")
+        new = cut_lineage(new, "paths")
+        if new.exceptAll(best).isEmpty():
+            return best.withColumn("parent", F.nullif("parent", F.lit("")))
         best = new
-        if not changed:
-            break
-    return best
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(grp, node, component): smallest node name reachable."""
-    two = both_ways(edges).select("grp", "src", "dst").distinct()
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(grp, node, component): smallest node name reachable; label propagation with pointer jumping."""
+    two = cut_lineage(both_ways(edges).select("grp", "src", "dst").distinct(), "edges")
     labels = cut_lineage(two.groupBy("grp", F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("component")), "labels")
-    for _ in range(max_rounds):
+    while True:
         heard = two.join(labels.withColumnRenamed("node", "dst"), ["grp", "dst"]).groupBy("grp", F.col("src").alias("node")).agg(F.min("component").alias("heard"))
-        new = cut_lineage(labels.join(heard, ["grp", "node"]).select("grp", "node", F.least("component", "heard").alias("component"), F.col("component").alias("old")), "labels")
-        done = new.filter("component <> old").isEmpty()
+        via = labels.join(heard, ["grp", "node"]).select("grp", "node", F.col("component").alias("old"), F.least("component", "heard").alias("via"))
+        up = labels.select("grp", F.col("node").alias("via"), F.col("component").alias("up"))
+        new = cut_lineage(via.join(up, ["grp", "via"]).select("grp", "node", F.least("via", "up").alias("component"), "old"), "labels")
         labels = new.drop("old")
-        if done:
-            break
-    return labels
+        if new.filter("component <> old").isEmpty():
+            return labels
 
 
-def boundary_nodes(edges: DataFrame, main: int, cross: int) -> DataFrame:
-    """Nodes shared by two streets (groups)."""
+def shared_nodes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(main, cross, node) of the nodes that two streets share. pairs: (main, cross) groups."""
     nodes = both_ways(edges).select("grp", F.col("src").alias("node")).distinct()
-    return nodes.filter(F.col("grp") == main).select("node").intersect(nodes.filter(F.col("grp") == cross).select("node"))
-
-
-def routes(paths: DataFrame, targets: DataFrame, max_steps: int = 64) -> DataFrame:
-    """(grp, target, nodes, length): the nodes from a source to each target (grp, node), in order."""
-    walk = cut_lineage(targets.join(paths, ["grp", "node"]).select("grp", F.col("node").alias("target"), "node", "distance", "parent"), "route")
-    done = walk
-    for _ in range(max_steps):
-        walk = cut_lineage(walk.filter("parent is not null").select("grp", "target", F.col("parent").alias("node")).join(paths, ["grp", "node"]).select("grp", "target", "node", "distance", "parent"), "route")
-        if walk.isEmpty():
-            break
-        done = done.unionByName(walk)
+    left = pairs.join(nodes, pairs["main"] == nodes["grp"]).select("main", "cross", "node")
+    return left.join(nodes.withColumnRenamed("grp", "cross"), ["cross", "node"]).select("main", "cross", "node").distinct()
+
+
+def boundary_nodes(segments: DataFrame, pairs: DataFrame, limit: float = 200.0, top: int = 5, slack: float = 50.0) -> DataFrame:
+    """(main, cross, node, by_proximity, distance): shared nodes of two streets; where there are none, the ends of the main street's segments nearest to the cross street,
+    at most top of them, within the limit and within the least distance plus slack. segments: (grp, sid, src, dst, x1, y1, x2, y2); pairs: (main, cross).
+    """
+    shared = shared_nodes(segments.withColumn("weight", F.lit(1)), pairs).select("main", "cross", "node", F.lit(False).alias("by_proximity"), F.lit(0.0).alias("distance"))
+    shared = cut_lineage(shared, "shared")
+    open_pairs = pairs.join(shared.select("main", "cross").distinct(), ["main", "cross"], "left_anti")
+    near = near_segments(segments, open_pairs, limit)
+    w = W.partitionBy("main", "cross")
+    ranked = near.withColumn("rank", F.row_number().over(w.orderBy(F.round("distance", 9), "sid"))).withColumn("least", F.min("distance").over(w))
+    ranked = ranked.filter((F.col("rank") <= top) & (F.round(F.col("distance") - F.col("least"), 9) <= slack))
+    ends = segments.select("sid", F.explode(F.array("src", "dst")).alias("node"))
+    found = ranked.join(ends, "sid").groupBy("main", "cross", "node").agg(F.min("least").alias("distance")).select("main", "cross", "node", F.lit(True).alias("by_proximity"), "distance")
+    return shared.unionByName(found)
+
+
+def routes(paths: DataFrame, targets: DataFrame) -> DataFrame:
+    """(grp, target, nodes, length): the nodes from a source to each target (grp, node), in order.
+
+    Ancestors at distances of powers of two are found by doubling, and the nodes of a path from the highest power down: a path of n nodes takes 2 log n joins.
+    """
+    hops = [cut_lineage(paths.filter("parent is not null").select("grp", "node", "parent"), "hops")]
+    while not hops[-1].isEmpty():
+        up = hops[-1].select("grp", F.col("node").alias("parent"), F.col("parent").alias("next"))
+        hops.append(cut_lineage(hops[-1].join(up, ["grp", "parent"]).select("grp", "node", F.col("next").alias("parent")), "hops"))
+    walk = cut_lineage(targets.join(paths, ["grp", "node"]).select("grp", F.col("node").alias("target"), "node"), "route")
+    for h in reversed(hops[:-1]):
+        walk = cut_lineage(walk.unionByName(walk.join(h, ["grp", "node"]).select("grp", "target", F.col("parent").alias("node"))), "route")
+    done = walk.join(paths, ["grp", "node"])
     ordered = F.array_sort(F.collect_list(F.struct("distance", "node")))
     return done.groupBy("grp", "target").agg(F.array_join(F.transform(ordered, lambda s: s["node"]), ">").alias("nodes"), F.max("distance").alias("length"))

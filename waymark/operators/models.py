@@ -2,61 +2,111 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.storage import cut_lineage
+from waymark.operators.panel import FRAMES, LAGS, with_calendar
 
-NUMERIC = ("lag1", "lag12", "mean12", "year_trend")
-CATEGORY = "grp"
 
+def _features(train: DataFrame, numeric: list[str], categories: list[str]):
+    """Fitted: standardised numbers and one-hot categories, the first of each dropped; a category not seen in training is all zeros."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
+
+    codes, hot = [f"{c}_code" for c in categories], [f"{c}_hot" for c in categories]
+    kinds = train.agg(*[F.count_distinct(c) for c in categories]).first()
+    stages = [
+        VectorAssembler(inputCols=numeric, outputCol="raw_x"), StandardScaler(inputCol="raw_x", outputCol="num_x", withMean=True),
+        # the first category and unseen ones have the two highest codes, which the slices leave out
+        StringIndexer(inputCols=categories, outputCols=codes, handleInvalid="keep", stringOrderType="alphabetDesc"), OneHotEncoder(inputCols=codes, outputCols=[f"{h}_all" for h in hot], dropLast=False),
+        *[VectorSlicer(inputCol=f"{h}_all", outputCol=h, indices=list(range(n - 1))) for h, n in zip(hot, kinds, strict=True)], VectorAssembler(inputCols=["num_x", *hot], outputCol="features"),
+    ]
+    return Pipeline(stages=stages).fit(train)
 
-def _features(numeric, category):
-    from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 
-    return [
-        VectorAssembler(inputCols=list(numeric), outputCol="raw_x"), StandardScaler(inputCol="raw_x", outputCol="num_x", withMean=True), StringIndexer(inputCol=category, outputCol="cat", handleInvalid="keep"),
-        OneHotEncoder(inputCol="cat", outputCol="cat_x", dropLast=True, handleInvalid="keep"), VectorAssembler(inputCols=["num_x", "cat_x"], outputCol="features"),
-    ]
+class FittedModel:
+    """A feature pipeline with a log-linear model: coefficients and intercept. predict() adds the column predicted."""
 
+    def __init__(self, prepare, coefficients: list[float], intercept: float, alpha: float | None = None, glm=None):
+        self.prepare, self.coefficients, self.intercept, self.alpha, self.glm = prepare, coefficients, intercept, alpha, glm
 
-def fit_poisson(train: DataFrame, target: str, reg: float = 0.0, numeric=NUMERIC, category: str = CATEGORY):
-    from pyspark.ml import Pipeline
+    def predict(self, df: DataFrame) -> DataFrame:
+        return predict_log_linear(self.prepare, self.coefficients, self.intercept, df)
+
+    def names(self, df: DataFrame) -> list[str]:
+        """Names of the terms, in the order of the coefficients."""
+        attrs = self.prepare.transform(df.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
+        numeric = self.prepare.stages[0].getInputCols()
+        names = {a["idx"]: a.get("name", "") for group in attrs.values() for a in group}
+        return [numeric[k] if k < len(numeric) else names.get(k, str(k)) for k in range(len(self.coefficients))]
+
+
+def fit_poisson(train: DataFrame, target: str, numeric: list[str], categories: list[str], reg: float = 1.0, rounds: int = 25) -> FittedModel:
+    """Poisson regression with log link and an L2 penalty."""
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    glr = GeneralizedLinearRegression(family="poisson", link="log", labelCol=target, featuresCol="features", predictionCol="predicted", regParam=reg, maxIter=25)
-    return Pipeline(stages=[*_features(numeric, category), glr]).fit(train)
+    prepare = _features(train, numeric, categories)
+    glm = GeneralizedLinearRegression(family="poisson", link="log", labelCol=target, featuresCol="features", predictionCol="predicted", regParam=reg, maxIter=rounds).fit(prepare.transform(train))
+    return FittedModel(prepare, [float(c) for c in glm.coefficients], float(glm.intercept), glm=glm)
 
 
-def fit_negative_binomial(train: DataFrame, target: str, rounds: int = 8, numeric=NUMERIC, category: str = CATEGORY):
-    """IRLS with weights mu / (1 + alpha mu); alpha by moments, 0.1 if there is no overdispersion. Returns (feature pipeline, coefficients, intercept, alpha)."""
-    from pyspark.ml import Pipeline
+def dispersion(train: DataFrame, target: str) -> float:
+    """Of a negative binomial, by moments; 0.1 where the target is not overdispersed."""
+    m = train.agg(F.avg(target).alias("m"), F.var_samp(target).alias("v")).first()
+    return max(1e-4, (m.v - m.m) / m.m**2) if m.v is not None and m.m and m.v > m.m else 0.1
+
+
+def fit_negative_binomial(train: DataFrame, target: str, numeric: list[str], categories: list[str], rounds: int = 50, tolerance: float = 1e-6, reg: float = 1e-6) -> FittedModel:
+    """Reweighted least squares with weights mu / (1 + alpha mu) until the deviance stands still. If that fails or does not converge, a Poisson regression (alpha None)."""
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import LinearRegression
 
-    m = train.agg(F.avg(target).alias("m"), F.var_samp(target).alias("v")).first()
-    alpha = max(1e-4, (m.v - m.m) / m.m**2) if m.v > m.m else 0.1
-    prepare = Pipeline(stages=_features(numeric, category)).fit(train)
+    alpha = dispersion(train, target)
+    prepare = _features(train, numeric, categories)
     x = cut_lineage(prepare.transform(train).select("features", F.col(target).cast("double").alias("y")), "nb")
-    coef, b0 = None, None
+    eta, before, model = F.log(F.col("y") + 0.5), None, None
     for _ in range(rounds):
-        if coef is None:
-            eta = F.log(F.col("y") + 0.5)
-        else:
-            terms = F.aggregate(F.zip_with(vector_to_array("features"), F.array(*[F.lit(float(c)) for c in coef]), lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v)
-            eta = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), terms + F.lit(float(b0))))
         mu = F.exp(eta)
         work = x.select("features", (eta + (F.col("y") - mu) / mu).alias("z"), (mu / (1 + alpha * mu)).alias("w"))
-        lr = LinearRegression(featuresCol="features", labelCol="z", weightCol="w", solver="normal", regParam=1e-6).fit(work)
-        coef, b0 = list(lr.coefficients), lr.intercept
-    return prepare, coef, b0, alpha
+        lr = LinearRegression(featuresCol="features", labelCol="z", weightCol="w", solver="normal", regParam=reg).fit(work)
+        model = FittedModel(prepare, [float(c) for c in lr.coefficients], float(lr.intercept), alpha)
+        eta = _log_mean(vector_to_array("features"), model.coefficients, model.intercept)
+        mu, y = F.exp(eta), F.col("y")
+        term = F.when(y > 0, y * F.log(y / mu)).otherwise(0.0) - (y + 1 / alpha) * F.log((1 + alpha * y) / (1 + alpha * mu))
+        now = x.agg(F.sum(2 * term)).first()[0]
+        if now is None or now != now or abs(now) == float("inf"):
+            break
+        if before is not None and abs(now - before) <= tolerance * (abs(before) + tolerance):
+            return model
+        before = now
+    return fit_poisson(train, target, numeric, categories, reg=reg)
+
+
+def _log_mean(features: Column, coefficients: list[float], intercept: float) -> Column:
+    """The linear predictor, kept where its exponential neither vanishes nor overflows."""
+    terms = F.aggregate(F.zip_with(features, F.array(*[F.lit(c) for c in coefficients]), lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v)
+    return F.greatest(F.lit(-20.0), F.least(F.lit(20.0), terms + F.lit(intercept)))
+
+
+def predict_log_linear(prepare, coefficients: list[float], intercept: float, df: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
 
+    return prepare.transform(df).withColumn("predicted", F.exp(_log_mean(vector_to_array("features"), coefficients, intercept)))
 
-def predict_log_linear(prepare, coef, b0: float, df: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
 
-    terms = F.aggregate(F.zip_with(vector_to_array("features"), F.array(*[F.lit(float(c)) for c in coef]), lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v)
-    return prepare.transform(df).withColumn("predicted", F.exp(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), terms + F.lit(float(b0))))))
+def coefficient_table(model: FittedModel, train: DataFrame, top: int = 15) -> DataFrame:
+    """term, coefficient, std_error, p_value, rate_ratio of the largest coefficients. Standard errors need a Poisson model without penalty; else they are null."""
+    s = model.glm.summary if model.glm is not None and model.glm.getRegParam() == 0 else None
+    try:
+        errors, ps = (list(s.coefficientStandardErrors), list(s.pValues)) if s else (None, None)
+    except Exception as e:  # Spark has none where the normal equations are singular
+        if "Standard Error" not in str(e) and "No " not in str(e):
+            raise
+        errors = ps = None
+    rows = [(n, c, errors[k] if errors else None, ps[k] if ps else None) for k, (n, c) in enumerate(zip(model.names(train), model.coefficients, strict=True))]
+    d = train.sparkSession.createDataFrame(rows, "term string, coefficient double, std_error double, p_value double")
+    return d.withColumn("rate_ratio", F.exp("coefficient")).orderBy(F.abs("coefficient").desc(), "term").limit(top)
 
 
 def recursive_mean_forecast(panel: DataFrame, value: str, steps: int = 12, window: int = 12) -> DataFrame:
@@ -67,22 +117,48 @@ def recursive_mean_forecast(panel: DataFrame, value: str, steps: int = 12, windo
     return base.select("unit_id", F.posexplode(F.slice(grown, window + 1, steps)).alias("p", "forecast")).select("unit_id", (F.col("p") + 1).alias("step"), "forecast")
 
 
-def recursive_model_forecast(history: DataFrame, model, cap: DataFrame, factor: float, steps: int = 12) -> DataFrame:
-    """(unit_id, step, forecast) of a fitted pipeline: lags and means are rebuilt at each step, the score is calibrated, capped and fed back.
+def recursive_calibrated_forecast(panel: DataFrame, unit: str, month: str, total: str, part: str, factor: DataFrame, steps: int = 12, window: int = 12) -> DataFrame:
+    """(unit, step, total, raw, factor, part): means of the last values for both; the part's are calibrated, capped at the total and fed back. factor: one row (factor)."""
+    mean = lambda h: F.aggregate(F.slice(h, -window, window), F.lit(0.0), lambda s, v: s + v) / window
+    ordered = F.array_sort(F.collect_list(F.struct(month, F.col(total).cast("double").alias("t"), F.col(part).cast("double").alias("p"))))
+    base = panel.groupBy(unit).agg(F.slice(ordered, -window, window).alias("h")).crossJoin(F.broadcast(factor))
+    base = base.select(unit, "factor", F.transform("h", lambda s: s["t"]).alias("ht"), F.transform("h", lambda s: s["p"]).alias("hp"))
+
+    def grow(acc: Column, _: Column) -> Column:
+        t, raw = mean(acc["t"]), mean(acc["p"])
+        put = lambda a, v: F.concat(a, F.array(v))
+        return F.struct(put(acc["t"], t).alias("t"), put(acc["p"], F.least(raw * F.col("factor"), t)).alias("p"), put(acc["r"], raw).alias("r"))
+
+    start = F.struct(F.col("ht").alias("t"), F.col("hp").alias("p"), F.array().cast("array<double>").alias("r"))
+    g = base.withColumn("g", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, grow))
+    rows = g.select(unit, "factor", F.posexplode(F.arrays_zip(F.slice("g.t", -steps, steps).alias("t"), F.col("g.r").alias("r"), F.slice("g.p", -steps, steps).alias("p"))).alias("k", "x"))
+    return rows.select(unit, (F.col("k") + 1).alias("step"), F.col("x.t").alias(total), F.col("x.r").alias("raw"), "factor", F.col("x.p").alias(part))
+
+
+def _last(h: Column, n: int) -> Column:
+    return F.aggregate(F.slice(h, -n, n), F.lit(0.0), lambda s, v: s + v)
+
 
-    history: (unit_id, grp, month_start, v); cap: (unit_id, step, forecast) of the total. A bounded number of steps; units run in parallel.
+def recursive_model_forecast(panel: DataFrame, predict, factor: float, unit: str, month: str, total: str, part: str, group: str, base_year: int, steps: int = 12) -> DataFrame:
+    """(unit, step, total, raw, part): at each step all lags, means, sums and calendar terms are rebuilt from what is known so far, the part is scored by
+    predict (a function from DataFrame to DataFrame with column predicted), calibrated, capped at the total's trailing mean and fed back. Units run in parallel; the number of steps is fixed.
     """
-    rows = history.groupBy("unit_id", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("month_start", "v"))), lambda s: s["v"]).alias("h"), F.max(F.year("month_start")).alias("yr"))
-    rows = rows.select("unit_id", "grp", "yr", F.slice("h", -12, 12).alias("h"))
+    ordered = F.array_sort(F.collect_list(F.struct(month, F.col(total).cast("double").alias("t"), F.col(part).cast("double").alias("p"))))
+    rows = panel.groupBy(unit, group).agg(F.slice(ordered, -12, 12).alias("h"), F.max(month).alias("at"))
+    rows = rows.select(unit, group, "at", F.transform("h", lambda s: s["t"]).alias("ht"), F.transform("h", lambda s: s["p"]).alias("hp"))
     out = None
     for step in range(1, steps + 1):
-        x = rows.select("unit_id", "grp", "h", "yr", F.element_at("h", -1).alias("lag1"), F.element_at("h", -12).alias("lag12"), (F.aggregate("h", F.lit(0.0), lambda s, v: s + v) / 12).alias("mean12"), (F.col("yr") + 1 - 1995).cast("double").alias("year_trend"))
-        top = cap.filter(F.col("step") == step).select("unit_id", F.col("forecast").alias("top"))
-        scored = model.transform(x).join(top, "unit_id").select("unit_id", "grp", "yr", "h", F.least(F.col("predicted") * factor, F.col("top")).alias("p"))
-        rows = cut_lineage(scored.select("unit_id", "grp", "yr", F.slice(F.concat("h", F.array("p")), -12, 12).alias("h"), "p"), "recursive")
-        got = rows.select("unit_id", F.lit(step).alias("step"), F.col("p").alias("forecast"))
+        x = rows.withColumn("at", F.add_months("at", 1)).withColumns({"mon": F.month("at"), "yr": F.year("at")})
+        made = {}
+        for v, h in ((total, "ht"), (part, "hp")):
+            made |= {f"{v}_lag{k}": F.element_at(h, -k) for k in LAGS} | {f"{v}_mean{n}": _last(F.col(h), n) / n for n in FRAMES} | {f"{v}_sum{n}": _last(F.col(h), n) for n in FRAMES}
+        x = with_calendar(x.withColumns(made), "mon", "yr", base_year).withColumn("next", F.col(f"{total}_mean12"))
+        scored = predict(x).select(unit, group, "at", "ht", "hp", "next", F.col("predicted").alias("raw"), F.least(F.col("predicted") * factor, F.col("next")).alias("p"))
+        grown = lambda h, v: F.slice(F.concat(h, F.array(v)), -12, 12)
+        rows = cut_lineage(scored.select(unit, group, "at", grown(F.col("ht"), F.col("next")).alias("ht"), grown(F.col("hp"), F.col("p")).alias("hp"), "next", "raw", "p"), "recursive")
+        got = rows.select(unit, F.lit(step).alias("step"), F.col("next").alias(total), "raw", F.col("p").alias(part))
         out = got if out is None else out.unionByName(got)
-        rows = rows.drop("p")
+        rows = rows.drop("next", "raw", "p")
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -34,6 +36,39 @@ def within_distance(points: DataFrame, segments: DataFrame, limit: float, cell:
     return near.groupBy("event_id", "unit_id").agg(F.min("d").alias("distance"))
 
 
+def _ends_distance(a: str, b: str) -> Column:
+    """Least distance of the ends of segment a to segment b; columns are structs with x1, y1, x2, y2."""
+    bx, by = F.col(f"{b}.x1"), F.col(f"{b}.y1")
+    dx, dy = F.col(f"{b}.x2") - bx, F.col(f"{b}.y2") - by
+    length2 = dx * dx + dy * dy
+
+    def to(x: Column, y: Column) -> Column:
+        t = F.when(length2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - bx) * dx + (y - by) * dy) / length2))).otherwise(0.0)
+        return F.sqrt((bx + t * dx - x) ** 2 + (by + t * dy - y) ** 2)
+
+    return F.least(to(F.col(f"{a}.x1"), F.col(f"{a}.y1")), to(F.col(f"{a}.x2"), F.col(f"{a}.y2")))
+
+
+def near_segments(segments: DataFrame, pairs: DataFrame, limit: float) -> DataFrame:
+    """(main, cross, sid, distance): segments of the main street at most limit from the cross street. segments: (grp, sid, x1, y1, x2, y2); pairs: (main, cross). Both sides meet on grid cells."""
+    cell = max(limit, 500.0)
+    boxed = segments.select("grp", "sid", F.struct("x1", "y1", "x2", "y2").alias("s"), *[F.sequence(F.floor((F.least(f"{c}1", f"{c}2") - m) / cell).cast("long"), F.floor((F.greatest(f"{c}1", f"{c}2") + m) / cell).cast("long")).alias(n) for c in "xy" for m, n in ((0.0, f"own_{c}"), (limit, f"wide_{c}"))])
+    lay = lambda tag: boxed.select("grp", "sid", "s", F.explode(f"{tag}_x").alias("cx"), f"{tag}_y").select("grp", "sid", "s", "cx", F.explode(f"{tag}_y").alias("cy"))
+    main = lay("own").join(pairs, F.col("grp") == F.col("main")).select("main", "cross", "sid", F.col("s").alias("a"), "cx", "cy")
+    other = lay("wide").select(F.col("grp").alias("cross"), F.col("s").alias("b"), "cx", "cy")
+    side = lambda p, x, y: (F.col(f"{p}.x2") - F.col(f"{p}.x1")) * (F.col(y) - F.col(f"{p}.y1")) - (F.col(f"{p}.y2") - F.col(f"{p}.y1")) * (F.col(x) - F.col(f"{p}.x1"))
+    crossing = (side("a", "b.x1", "b.y1") * side("a", "b.x2", "b.y2") < 0) & (side("b", "a.x1", "a.y1") * side("b", "a.x2", "a.y2") < 0)
+    d = F.when(crossing, 0.0).otherwise(F.least(_ends_distance("a", "b"), _ends_distance("b", "a")))
+    return main.join(other, ["cross", "cx", "cy"]).groupBy("main", "cross", "sid").agg(F.min(d).alias("distance")).filter(F.col("distance") <= limit)
+
+
+def carriageway_lengths(segments: DataFrame) -> DataFrame:
+    """Per line: parts, its length (the mean of its parts: carriageways run side by side) and its linework (their sum)."""
+    l = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)  # noqa: E741
+    parts = segments.groupBy("unit_id", "part").agg(F.sum(l).alias("l"))
+    return parts.groupBy("unit_id").agg(F.count("*").alias("parts"), F.avg("l").alias("length"), F.sum("l").alias("linework"))
+
+
 def rank_candidates(pairs: DataFrame, tie_tolerance: float) -> DataFrame:
     """pairs with rank, count, gap to the second, is_ambiguous, is_tie (gap at most the tolerance)."""
     w = W.partitionBy("event_id").orderBy(F.round("distance", 9), "unit_id")
@@ -100,6 +135,17 @@ def overlay_lengths(segments: DataFrame, edges: DataFrame, cell: float) -> DataF
     return inside.groupBy("unit_id", "poly_id").agg(F.sum("l").alias("length"))
 
 
+def overlay_scores(overlay: DataFrame, figures: DataFrame, score: str, high: float = 0.75, most: float = 0.5) -> DataFrame:
+    """Per line: score weighted by length over polygons whose score is not negative, share of its length with a high score, coverage in per cent, and two rules for a high line.
+
+    overlay: (unit_id, length, score); figures: (unit_id, length) of whole lines."""
+    s, l = F.col(score), F.col("length")  # noqa: E741
+    o = overlay.groupBy("unit_id").agg(F.sum(l).alias("inside"), F.try_divide(F.sum(F.when(s >= 0, l * s)), F.sum(F.when(s >= 0, l))).alias("weighted"), F.coalesce(F.sum(F.when(s >= high, l)), F.lit(0.0)).alias("high"))
+    o = o.join(figures.select("unit_id", F.col("length").alias("whole")), "unit_id")
+    share = F.col("high") / F.col("whole")
+    return o.select("unit_id", "weighted", share.alias("high_share"), (F.col("inside") / F.col("whole") * 100).alias("coverage_pct"), F.coalesce(F.round("weighted", 9) >= high, F.lit(False)).alias("high_by_weight"), (F.round(share, 9) >= most).alias("high_by_share"))
+
+
 def parse_wkt(df: DataFrame, wkt: str, key: str) -> DataFrame:
     """(key, seq, x, y) of LINESTRING texts."""
     inner = F.regexp_extract(wkt, r"\(([^()]*)\)", 1)
@@ -134,3 +180,23 @@ def project_sql(lon: str, lat: str) -> tuple[str, str]:
     x = f"{_FEET!r}e0 * {_K0!r}e0 * {n} * ({a} + (1 - {t} + {c}) * power({a}, 3) / 6 + (5 - 18 * {t} + {t} * {t} + 72 * {c} - 58 * {ep2!r}e0) * power({a}, 5) / 120) + {_FE!r}e0"
     y = f"{_FEET!r}e0 * {_K0!r}e0 * ({arc(p)} - {arc(p0)} + {n} * tan({p}) * ({a} * {a} / 2 + (5 - {t} + 9 * {c} + 4 * {c} * {c}) * power({a}, 4) / 24 + (61 - 58 * {t} + {t} * {t} + 600 * {c} - 330 * {ep2!r}e0) * power({a}, 6) / 720))"
     return x, y
+
+
+def unproject_sql(x: str, y: str) -> tuple[str, str]:
+    """Longitude and latitude of planar feet as SQL expressions: the inverse of project_sql."""
+    f = 1 / _F_INV
+    e2 = 2 * f - f * f
+    ep2 = e2 / (1 - e2)
+    e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
+    p0 = math.radians(_LAT0)
+    m = (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256, 3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024, 15 * e2**2 / 256 + 45 * e2**3 / 1024, 35 * e2**3 / 3072)
+    arc0 = _A * (m[0] * p0 - m[1] * math.sin(2 * p0) + m[2] * math.sin(4 * p0) - m[3] * math.sin(6 * p0))
+    mu = f"(({arc0!r}e0 + ({y}) / {_FEET!r}e0 / {_K0!r}e0) / {_A * m[0]!r}e0)"
+    p1 = f"({mu} + {3 * e1 / 2 - 27 * e1**3 / 32:.20f}e0 * sin(2 * {mu}) + {21 * e1**2 / 16 - 55 * e1**4 / 32:.20f}e0 * sin(4 * {mu}) + {151 * e1**3 / 96:.20f}e0 * sin(6 * {mu}))"
+    n = f"({_A!r}e0 / sqrt(1 - {e2!r}e0 * sin({p1}) * sin({p1})))"
+    r = f"({_A * (1 - e2)!r}e0 / power(1 - {e2!r}e0 * sin({p1}) * sin({p1}), 1.5e0))"
+    t, c = f"(tan({p1}) * tan({p1}))", f"({ep2!r}e0 * cos({p1}) * cos({p1}))"
+    d = f"((({x}) - {_FE!r}e0) / {_FEET!r}e0 / {_K0!r}e0 / {n})"
+    lat = f"degrees({p1} - {n} * tan({p1}) / {r} * ({d} * {d} / 2 - (5 + 3 * {t} + 10 * {c} - 4 * {c} * {c} - 9 * {ep2!r}e0) * power({d}, 4) / 24 + (61 + 90 * {t} + 298 * {c} + 45 * {t} * {t} - 252 * {ep2!r}e0 - 3 * {c} * {c}) * power({d}, 6) / 720))"
+    lon = f"({_LON0!r}e0 + degrees(({d} - (1 + 2 * {t} + {c}) * power({d}, 3) / 6 + (5 - 2 * {c} + 28 * {t} - 3 * {c} * {c} + 8 * {ep2!r}e0 + 24 * {t} * {t}) * power({d}, 5) / 120) / cos({p1})))"
+    return lon, lat

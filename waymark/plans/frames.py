@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions.storage import scratch_path
-from waymark.operators import clean, graph, models, spatial
+from waymark.functions.storage import cut_lineage, scratch_path
+from waymark.operators import clean, graph, panel, spatial
+from waymark.operators.gates import bad, gate, offences, repeated
 from waymark.plans.statements import _n, _r
-from waymark.proxy import run_sql, view
+from waymark.proxy import DAY, Tables, run_sql, view
 from waymark.sources import snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,9 +57,12 @@ def pairs(spark, d, limit=200.0):
     return spatial.within_distance(points(spark, d).filter("valid"), segments(spark, d), limit)
 
 
-@query(f"SELECT unit_id, unit_name, {_r('m')} AS trailing_mean FROM (SELECT unit_id, unit_name, total_mean12 AS m, row_number() OVER (ORDER BY round(total_mean12, 6) DESC, unit_id) AS rn FROM feat WHERE month_start = DATE '2001-08-01') WHERE rn <= 10")
+@query(f"SELECT unit_id, unit_name, {_r('m')} AS trailing_mean FROM (SELECT unit_id, unit_name, total_mean12 AS m, row_number() OVER (ORDER BY round(total_mean12, 6) DESC, unit_id) AS rn FROM feat WHERE month_start = (SELECT max(month_start) FROM panel)) WHERE rn <= 10")
 def flagship_top_units(spark, d):
-    f = view(spark, d, "feat").filter("month_start = date'2001-08-01'")
+    """Units with the highest trailing mean in the last month."""
+    t = Tables(spark, d)
+    last = t.view("panel").agg(F.max("month_start").alias("month_start"))
+    f = panel.with_trailing(t.view("panel"), "unit_id", "month_start", ["total"], (12,), "mean").join(F.broadcast(last), "month_start")
     return f.select("unit_id", "unit_name", r6("total_mean12").alias("trailing_mean")).orderBy(F.desc("trailing_mean"), "unit_id").limit(10)
 
 
@@ -78,22 +82,31 @@ def sc03_gzip_parts(spark, d):
     return t.select("record_id", F.when(F.col("injury") == "_", " ").otherwise(F.col("injury")).alias("injury"), F.nullif("lanes", F.lit("")).alias("lanes"))
 
 
-def _geojson(spark, d):
+def _geojson(spark, d, features):
+    """features (page, id, empty, x1, y1, x2, y2) as one GeoJSON file a page."""
     at = scratch_path(spark, "geojson")
-    s = segments(spark, d).withColumn("id", F.concat_ws("-", "unit_id", "part", "seq"))
-    f = s.select((F.col("unit_id") % 4).alias("page"), F.struct(F.lit("Feature").alias("type"), F.struct("id").alias("properties"), F.struct(F.lit("LineString").alias("type"), F.array(F.array("x1", "y1"), F.array("x2", "y2")).alias("coordinates")).alias("geometry")).alias("f"))
+    line = F.array(F.array("x1", "y1"), F.array("x2", "y2"))
+    geometry = F.when(~F.col("empty"), F.struct(F.lit("LineString").alias("type"), line.alias("coordinates")))
+    f = features.select("page", F.struct(F.lit("Feature").alias("type"), F.struct("id").alias("properties"), geometry.alias("geometry")).alias("f"))
     f.groupBy("page").agg(F.collect_list("f").alias("features")).select(F.lit("FeatureCollection").alias("type"), "features").repartition(4).write.json(at)
     return at
 
 
+_CLEAN = f"SELECT unit_id % 4 AS page, CAST(unit_id AS STRING) || '-' || CAST(part AS STRING) || '-' || CAST(seq AS STRING) AS id, FALSE AS empty, x1, y1, x2, y2 FROM ({SEGMENTS}) s"
+#: Pages with empty geometries, missing ids, and features twice in a page or in two pages.
+_DIRTY = f"""SELECT page, CASE WHEN id LIKE '5-%' THEN NULL ELSE id END AS id, id LIKE '3-%' AS empty, x1, y1, x2, y2 FROM ({_CLEAN}) c UNION ALL SELECT page, id, FALSE, x1, y1, x2, y2 FROM ({_CLEAN}) c WHERE id LIKE '6-%'
+    UNION ALL SELECT (page + 1) % 4, id, FALSE, x1, y1, x2, y2 FROM ({_CLEAN}) c WHERE id LIKE '9-%'"""
+
+
 @query(f"WITH s AS ({SEGMENTS}) SELECT CAST(unit_id AS STRING) || '-' || CAST(part AS STRING) || '-' || CAST(seq AS STRING) AS id, 'LineString' AS geometry_type, 0 AS seq, x1 AS x, y1 AS y FROM s WHERE unit_id <> 7 UNION ALL SELECT CAST(unit_id AS STRING) || '-' || CAST(part AS STRING) || '-' || CAST(seq AS STRING), 'LineString', 1, x2, y2 FROM s WHERE unit_id <> 7")
 def sc04_geojson_scan(spark, d):
-    return snapshot.read_geojson(spark, _geojson(spark, d), ("7-0-0", "7-0-1"))
+    return snapshot.read_geojson(spark, _geojson(spark, d, run_sql(spark, d, _CLEAN)), ("7-0-0", "7-0-1"))
 
 
-@query(f"WITH s AS ({SEGMENTS}) SELECT {_n('count(*)')} AS features, CAST(0 AS BIGINT) AS empty, CAST(0 AS BIGINT) AS missing_ids, {_n('count(*)')} AS ids, CAST(0 AS BIGINT) AS repeated FROM s")
+@query(f"""WITH f AS ({_DIRTY}), p AS (SELECT page, id, count(*) AS n FROM f WHERE id IS NOT NULL GROUP BY page, id) SELECT {_n('count(*)')} AS features, {_n('count(CASE WHEN empty THEN 1 END)')} AS empty, {_n('count(*) - count(id)')} AS missing_ids, {_n('count(DISTINCT id)')} AS ids,
+    {_n('max((SELECT sum(n - 1) FROM p))')} AS repeated_in_page, {_n('max((SELECT count(*) - count(DISTINCT id) FROM p))')} AS repeated_across_pages, 'LineString:' || CAST(count(CASE WHEN NOT empty THEN 1 END) AS STRING) AS geometry_types, {_n('count(*) - count(id)')} AS missing_properties FROM f""")
 def sc05_geojson_profile(spark, d):
-    return snapshot.profile_geojson(spark, _geojson(spark, d))
+    return snapshot.profile_geojson(spark, _geojson(spark, d, run_sql(spark, d, _DIRTY)), required=("id",))
 
 
 @query("SELECT unit_id, month_start, total FROM panel")
@@ -119,23 +132,39 @@ def sc08_dual_sink(spark, d):
     return snapshot.read_csv(spark, f"{at}/csv", "unit_id int, month_start date, total long")
 
 
-def _audited(spark, d, canonical):
-    at = scratch_path(spark, "audit")
-    snapshot.write_parts(view(spark, d, "ev").repartition(5, "unit_id").select("event_id", "unit_id", "severity"), at, "none" if canonical else "gzip")
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(at)
-    content = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n", "\n").cast("binary") if canonical else F.col("content")
-    manifest = f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.length(content).cast("long").alias("bytes"), F.sha2(content, 256).alias("sha256"))
-    return snapshot.audit_files(spark, at, manifest, canonical)
+def _published(spark, d, compression):
+    at = scratch_path(spark, "snapshot")
+    snapshot.publish_parts(view(spark, d, "ev").select("event_id", "unit_id", "severity"), at, "unit_id", 5, compression)
+    return at
 
 
-@query()
+_COUNTED = "SELECT CAST(unit_id % 5 AS INT) AS part, count(*) AS n FROM ev GROUP BY unit_id % 5"
+
+
+@query(f"SELECT part, TRUE AS size_ok, TRUE AS sha_ok, {_n('n')} AS expected_rows, {_n('n')} AS found_rows, (SELECT count(*) FROM ({_COUNTED}) x) = 5 AS parts_ok FROM ({_COUNTED}) c")
 def sc09_snapshot_audit(spark, d):
-    return _audited(spark, d, False).groupBy("size_ok", "sha_ok").agg(F.count("*").alias("parts"))
+    """Size, checksum and rows of every part, and the number of parts, against the manifest stored when the snapshot was published."""
+    return snapshot.audit_parts(spark, _published(spark, d, "gzip")).select("part", "size_ok", "sha_ok", "expected_rows", "found_rows", "parts_ok")
 
 
-@query()
+@query(f"SELECT TRUE AS sha_ok, TRUE AS rows_ok, TRUE AS columns_ok, {_n('count(*)')} AS found_rows FROM ev")
 def sc10_published_snapshot(spark, d):
-    return _audited(spark, d, True).groupBy("sha_ok").agg(F.count("*").alias("parts"))
+    """Checksums under canonical newlines, rows, and required columns of a published snapshot."""
+    a = snapshot.audit_parts(spark, _published(spark, d, "none"), canonical_newlines=True, required=("event_id", "unit_id", "severity"))
+    return a.agg(F.bool_and("sha_ok").alias("sha_ok"), F.bool_and(F.col("expected_rows") == F.col("found_rows")).alias("rows_ok"), F.bool_and("columns_ok").alias("columns_ok"), F.sum("found_rows").alias("found_rows"))
+
+
+_ISSUES = f"""SELECT 'blank_injury' AS metric, {_n("count(CASE WHEN trim(injury) = '' THEN 1 END)")} AS n FROM raw UNION ALL SELECT 'blank_date', {_n("count(CASE WHEN event_date = '' THEN 1 END)")} FROM raw UNION ALL SELECT 'never', {_n('count(CASE WHEN record_id IS NULL THEN 1 END)')} FROM raw
+    UNION ALL SELECT 'bad_flag', {_n("count(CASE WHEN upper(trim(flag)) NOT IN ('Y', 'N', '') THEN 1 END)")} FROM raw"""
+
+
+@query(f"WITH m AS ({_ISSUES}), r AS (SELECT 'RUN1' AS run UNION ALL SELECT 'RUN2') SELECT 'DQ-' || run || '-' || lpad(CAST(row_number() OVER (PARTITION BY run ORDER BY metric) AS STRING), 3, '0') AS issue_id, run AS run_id, metric, n FROM m CROSS JOIN r WHERE n > 0")
+def sc13_issue_register(spark, d):
+    """Two runs append to one register."""
+    at, metrics = scratch_path(spark, "register"), run_sql(spark, d, _ISSUES)
+    for run in ("RUN1", "RUN2"):
+        snapshot.append_issues(metrics, at, run)
+    return spark.read.parquet(at)
 
 
 # cleaning
@@ -143,7 +172,7 @@ _RAW = {
     "cl01_normalize_string": ("nullif(trim(injury), '') AS injury, nullif(upper(trim(flag)), '') AS flag", lambda: [clean.normalize_string(F.col("injury")).alias("injury"), clean.normalize_string(F.col("flag"), True).alias("flag")]),
     "cl02_integer": ("CASE WHEN try_cast(nullif(trim(lanes), '') AS DOUBLE) % 1 = 0 THEN CAST(try_cast(nullif(trim(lanes), '') AS DOUBLE) AS BIGINT) END AS lanes, coalesce(trim(lanes), '') <> '' AND coalesce(try_cast(nullif(trim(lanes), '') AS DOUBLE) % 1 <> 0, TRUE) AS bad", lambda: [clean.coerce_integer(F.col("lanes")).alias("lanes"), clean.invalid_integer(F.col("lanes")).alias("bad")]),
     "cl03_float": ("try_cast(speed AS DOUBLE) AS speed, speed IS NOT NULL AND try_cast(speed AS DOUBLE) IS NULL AS bad", lambda: [clean.coerce_float(F.col("speed")).alias("speed"), clean.invalid_float(F.col("speed")).alias("bad")]),
-    "cl04_dates": ("try_cast(nullif(event_date, '') AS DATE) AS event_day, try_cast(nullif(event_date, '') AS DATE) IS NULL AS invalid, CAST(date_trunc('month', try_cast(nullif(event_date, '') AS DATE)) AS DATE) AS month_start", lambda: [clean.parse_date(F.col("event_date")).alias("event_day"), clean.parse_date(F.col("event_date")).isNull().alias("invalid"), F.trunc(clean.parse_date(F.col("event_date")), "month").alias("month_start")]),
+    "cl04_dates": (f"{DAY} AS event_day, ({DAY}) IS NULL AS invalid, CAST(date_trunc('month', {DAY}) AS DATE) AS month_start, CAST(year({DAY}) AS INT) AS event_year", lambda: [clean.parse_date(F.col("event_date")).alias("event_day"), clean.parse_date(F.col("event_date")).isNull().alias("invalid"), F.trunc(clean.parse_date(F.col("event_date")), "month").alias("month_start"), F.year(clean.parse_date(F.col("event_date"))).alias("event_year")]),
     "cl05_severity": ("CASE upper(trim(injury)) WHEN 'FATAL' THEN 'K' WHEN 'INCAPACITATING INJURY' THEN 'A' WHEN 'NONINCAPACITATING INJURY' THEN 'B' WHEN 'REPORTED, NOT EVIDENT' THEN 'C' WHEN 'NO INDICATION OF INJURY' THEN 'O' ELSE 'U' END AS kabco, upper(trim(injury)) = 'UNEXPECTED VALUE' AS unmapped", lambda: [clean.map_severity(F.col("injury")).alias("kabco"), clean.severity_unmapped(F.col("injury")).alias("unmapped")]),
     "cl07_domain": ("upper(trim(flag)) NOT IN ('Y', 'N', '') AS outside", lambda: [clean.outside_domain(F.col("flag")).alias("outside")]),
     "cl08_ranges": ("coalesce(try_cast(speed AS DOUBLE) NOT BETWEEN 1 AND 70, FALSE) AS speed_warns", lambda: [clean.outside_range(clean.coerce_float(F.col("speed")), 1, 70).alias("speed_warns")]),
@@ -249,9 +278,13 @@ def sp07_diagnostics(spark, d):
     return pairs(spark, d).agg(F.count_if(F.expr("distance = 0")).alias("zeros"), F.count_if(F.expr("distance between 39.5 and 40.5")).alias("cluster"))
 
 
-@query(f"WITH s AS ({SEGMENTS}), l AS (SELECT *, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) AS len FROM s) SELECT unit_id, {_r('sum(len)')} AS length, {_r('sum(len * (x1 + x2) / 2) / sum(len)')} AS cx, {_r('sum(len * (y1 + y2) / 2) / sum(len)')} AS cy, min(least(y1, y2)) AS min_y, max(greatest(y1, y2)) AS max_y FROM l GROUP BY unit_id")
+_LON, _LAT = spatial.unproject_sql("cx + 1150000e0", "cy + 1850000e0")
+
+
+@query(f"WITH s AS ({SEGMENTS}), l AS (SELECT *, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) AS len FROM s), f AS (SELECT unit_id, sum(len) AS length, sum(len * (x1 + x2) / 2) / sum(len) AS cx, sum(len * (y1 + y2) / 2) / sum(len) AS cy, min(least(y1, y2)) AS min_y, max(greatest(y1, y2)) AS max_y FROM l GROUP BY unit_id) SELECT unit_id, {_r('length')} AS length, {_r('cx')} AS cx, {_r('cy')} AS cy, min_y, max_y, round({_LON}, 9) AS lon, round({_LAT}, 9) AS lat FROM f")
 def sp08_line_figures(spark, d):
-    return spatial.line_figures(segments(spark, d)).select("unit_id", r6("length").alias("length"), r6("cx").alias("cx"), r6("cy").alias("cy"), "min_y", "max_y")
+    f = spatial.line_figures(segments(spark, d))
+    return f.select("unit_id", r6("length").alias("length"), r6("cx").alias("cx"), r6("cy").alias("cy"), "min_y", "max_y", F.round(F.expr(_LON), 9).alias("lon"), F.round(F.expr(_LAT), 9).alias("lat"))
 
 
 _SQUARES = "SELECT i * 5 + j AS poly_id, i * 2000e0 + 1e0 AS px, j * 2000e0 + 3e0 AS py, CASE WHEN i * 5 + j = 7 THEN -999e0 ELSE (i * 5 + j) / 24e0 END AS score FROM (VALUES (0), (1), (2), (3), (4)) AS a(i) CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS b(j)"
@@ -266,9 +299,14 @@ def _overlay(spark, d):
     return spatial.overlay_lengths(segments(spark, d), edges, 2000.0).join(F.broadcast(q.select("poly_id", "score")), "poly_id")
 
 
-@query(f"{_CLIP} SELECT unit_id, {_r('sum(CASE WHEN score >= 0 THEN l * score END) / sum(CASE WHEN score >= 0 THEN l END)')} AS weighted, {_r('coalesce(sum(CASE WHEN score >= 75e-2 THEN l END), 0) / sum(l)')} AS high_share FROM o GROUP BY unit_id")
+_WEIGHTED, _HIGH = "sum(CASE WHEN score >= 0 THEN l * score END) / sum(CASE WHEN score >= 0 THEN l END)", "coalesce(sum(CASE WHEN score >= 75e-2 THEN l END), 0) / max(t.len)"
+
+
+@query(f"""{_CLIP}, t AS (SELECT unit_id, sum(sqrt(power(x2 - x1, 2) + power(y2 - y1, 2))) AS len FROM s GROUP BY unit_id) SELECT o.unit_id, {_r(_WEIGHTED)} AS weighted, {_r(_HIGH)} AS high_share, {_r('sum(l) / max(t.len) * 100')} AS coverage_pct,
+    coalesce(round({_WEIGHTED}, 9) >= 75e-2, FALSE) AS high_by_weight, round({_HIGH}, 9) >= 5e-1 AS high_by_share FROM o JOIN t ON o.unit_id = t.unit_id GROUP BY o.unit_id""")
 def sp09_overlay_score(spark, d):
-    return _overlay(spark, d).groupBy("unit_id").agg(r6(F.sum(F.when(F.col("score") >= 0, F.col("length") * F.col("score"))) / F.sum(F.when(F.col("score") >= 0, F.col("length")))).alias("weighted"), r6(F.coalesce(F.sum(F.when(F.col("score") >= 0.75, F.col("length"))), F.lit(0.0)) / F.sum("length")).alias("high_share"))
+    o = spatial.overlay_scores(_overlay(spark, d), spatial.line_figures(segments(spark, d)), "score")
+    return o.select("unit_id", r6("weighted").alias("weighted"), r6("high_share").alias("high_share"), r6("coverage_pct").alias("coverage_pct"), "high_by_weight", "high_by_share")
 
 
 @query(f"WITH s AS ({SEGMENTS}) SELECT CAST(unit_id AS STRING) || '-' || CAST(part AS STRING) || '-' || CAST(seq AS STRING) AS id, 0 AS seq, x1 AS x, y1 AS y FROM s UNION ALL SELECT CAST(unit_id AS STRING) || '-' || CAST(part AS STRING) || '-' || CAST(seq AS STRING), 1, x2, y2 FROM s")
@@ -296,9 +334,32 @@ def sp12_components(spark, d):
     return graph.connected_components(run_sql(spark, d, EDGES))
 
 
-@query("SELECT DISTINCT 'P' || CAST(l_partkey AS STRING) AS node FROM lineitem WHERE l_suppkey % 5 = 1 INTERSECT SELECT DISTINCT 'P' || CAST(l_partkey AS STRING) FROM lineitem WHERE l_suppkey % 5 = 2")
+@query(f"WITH e AS ({EDGES}), n AS (SELECT DISTINCT grp, src AS node FROM e UNION SELECT DISTINCT grp, dst FROM e) SELECT a.grp AS main, b.grp AS \"cross\", a.node FROM n a JOIN n b ON a.node = b.node AND a.grp < b.grp")
 def sp13_boundary_nodes(spark, d):
-    return graph.boundary_nodes(run_sql(spark, d, EDGES), 1, 2)
+    edges = run_sql(spark, d, EDGES)
+    groups = edges.select("grp").distinct()
+    pairs = groups.select(F.col("grp").alias("main")).join(groups.select(F.col("grp").alias("cross")), F.col("main") < F.col("cross"))  # five groups
+    return graph.shared_nodes(edges, pairs)
+
+
+_STREETS = f"SELECT unit_id AS grp, CAST(unit_id AS STRING) || '-' || CAST(part AS STRING) || '-' || CAST(seq AS STRING) AS sid, CAST(x1 AS STRING) || ':' || CAST(y1 AS STRING) AS src, CAST(x2 AS STRING) || ':' || CAST(y2 AS STRING) AS dst, x1, y1, x2, y2 FROM ({SEGMENTS}) s"
+_P = lambda p, x, y: f"greatest(0e0, least(1e0, (({x} - {p}.x1) * ({p}.x2 - {p}.x1) + ({y} - {p}.y1) * ({p}.y2 - {p}.y1)) / (power({p}.x2 - {p}.x1, 2) + power({p}.y2 - {p}.y1, 2))))"
+_AT = lambda p, x, y: f"sqrt(power({p}.x1 + {_P(p, x, y)} * ({p}.x2 - {p}.x1) - {x}, 2) + power({p}.y1 + {_P(p, x, y)} * ({p}.y2 - {p}.y1) - {y}, 2))"
+_APART = "least(" + ", ".join(_AT(p, f"{q}.x{k}", f"{q}.y{k}") for p, q in (("b", "a"), ("a", "b")) for k in (1, 2)) + ")"
+
+
+@query(f"""WITH st AS ({_STREETS}), pr AS (SELECT a.n_nationkey AS main, b.n_nationkey AS crs FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1), d AS (SELECT main, crs, a.sid, a.src, a.dst, min({_APART}) AS dist FROM pr JOIN st a ON a.grp = main JOIN st b ON b.grp = crs GROUP BY main, crs, a.sid, a.src, a.dst),
+    k AS (SELECT *, min(dist) OVER (PARTITION BY main, crs) AS least_d, row_number() OVER (PARTITION BY main, crs ORDER BY round(dist, 9), sid) AS rn FROM d WHERE dist <= 200), z AS (SELECT * FROM k WHERE rn <= 5 AND round(dist - least_d, 9) <= 50)
+    SELECT main, crs AS "cross", node, TRUE AS by_proximity, {_r('min(least_d)')} AS distance FROM (SELECT main, crs, src AS node, least_d FROM z UNION ALL SELECT main, crs, dst, least_d FROM z) GROUP BY main, crs, node""")
+def sp13_proximity_nodes(spark, d):
+    """Neighbouring streets without a common node: the ends of their nearest segments."""
+    pairs = run_sql(spark, d, "SELECT a.n_nationkey AS main, b.n_nationkey AS crs FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1").withColumnRenamed("crs", "cross")
+    return graph.boundary_nodes(run_sql(spark, d, _STREETS), pairs).withColumn("distance", r6("distance"))
+
+
+@query(f"WITH p AS (SELECT unit_id, part, sum(sqrt(power(x2 - x1, 2) + power(y2 - y1, 2))) AS l FROM ({SEGMENTS}) s GROUP BY unit_id, part) SELECT unit_id, {_n('count(*)')} AS parts, {_r('avg(l)')} AS length, {_r('sum(l)')} AS linework FROM p GROUP BY unit_id")
+def sp14_carriageways(spark, d):
+    return spatial.carriageway_lengths(segments(spark, d)).select("unit_id", "parts", r6("length").alias("length"), r6("linework").alias("linework"))
 
 
 @query()
@@ -314,13 +375,18 @@ def sp15_padded_join(spark, d):
     return n.join(r, "k").select(F.col("n_nationkey").alias("unit_id"), F.lpad(F.col("n_nationkey").cast("string"), 11, "0").alias("fips"), "r_name")
 
 
-@query(f"WITH {PAIRS}, c AS (SELECT unit_id, count(CASE WHEN distance <= 50 THEN 1 END) AS n50, count(CASE WHEN distance <= 100 THEN 1 END) AS n100 FROM pairs GROUP BY unit_id) SELECT unit_id, {_n('rank() OVER (ORDER BY n50 DESC) - rank() OVER (ORDER BY n100 DESC)')} AS rank_change, {_r('(n50 - n100) / CAST(n100 AS DOUBLE) * 100')} AS change_pct FROM c")
+_MEAN_RANK = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2e0"
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT unit_id, count(CASE WHEN distance <= 50 THEN 1 END) AS n50, count(CASE WHEN distance <= 100 THEN 1 END) AS n100 FROM pairs GROUP BY unit_id), k AS (SELECT *, {_MEAN_RANK.format(c='n50')} AS a, {_MEAN_RANK.format(c='n100')} AS b FROM c)
+    SELECT unit_id, {_n('rank() OVER (ORDER BY n50 DESC) - rank() OVER (ORDER BY n100 DESC)')} AS rank_change, {_r('(n50 - n100) / CAST(n100 AS DOUBLE) * 100')} AS change_pct, (SELECT {_r('corr(a, b)')} FROM k) AS spearman FROM c""")
 def sp16_rank_stability(spark, d):
     from pyspark.sql import Window as W
 
-    c = pairs(spark, d).groupBy("unit_id").agg(F.count_if(F.expr("distance <= 50")).alias("n50"), F.count_if(F.expr("distance <= 100")).alias("n100"))
+    c = cut_lineage(pairs(spark, d).groupBy("unit_id").agg(F.count_if(F.expr("distance <= 50")).alias("n50"), F.count_if(F.expr("distance <= 100")).alias("n100")), "ranks")
     rank = lambda x: F.rank().over(W.orderBy(F.desc(x)))  # noqa: E731  over one row a unit
-    return c.select("unit_id", (rank("n50") - rank("n100")).cast("long").alias("rank_change"), r6((F.col("n50") - F.col("n100")) / F.col("n100") * 100).alias("change_pct"))
+    every = panel.spearman(c, "n50", "n100").select(r6("spearman").alias("spearman"))
+    return c.select("unit_id", (rank("n50") - rank("n100")).cast("long").alias("rank_change"), r6((F.col("n50") - F.col("n100")) / F.col("n100") * 100).alias("change_pct")).crossJoin(F.broadcast(every))
 
 
 @query(f"WITH {PAIRS}, m AS (SELECT event_id, min(distance) AS dmin FROM pairs GROUP BY event_id), b AS (SELECT event_id, CAST(ceil(dmin / 50) AS BIGINT) AS band FROM m WHERE dmin > 0) SELECT band, event_id FROM (SELECT band, event_id, row_number() OVER (PARTITION BY band ORDER BY event_id) AS rn FROM b) WHERE rn <= 25")
@@ -336,90 +402,59 @@ def ag22_percentiles(spark, d):
     return view(spark, d, "panel").groupBy("unit_id").agg(r6(F.percentile("total", F.lit(0.5))).alias("p50"), r6(F.percentile("total", F.lit(0.95))).alias("p95"), F.max("total").alias("largest"))
 
 
-# models
-TRAIN = """SELECT unit_id, grp, month_start, model_split, CAST(total AS DOUBLE) AS total, CAST(ksi AS DOUBLE) AS ksi, CAST({t}_lag1 AS DOUBLE) AS lag1, CAST({t}_lag12 AS DOUBLE) AS lag12, {t}_mean12 AS mean12, CAST(yr - 1995 AS DOUBLE) AS year_trend FROM feat WHERE model_ready"""
-
-
-def _train(spark, d, target):
-    from waymark.functions.storage import cut_lineage
-
-    return cut_lineage(run_sql(spark, d, TRAIN.format(t=target)), "train")
-
-
-@query()
-def mo03_poisson_regression(spark, d):
-    t = _train(spark, d, "total")
-    m = models.fit_poisson(t.filter("model_split = 'train'"), "total")
-    return m.transform(t.filter("model_split = 'validation'")).select("unit_id", "month_start", r6("total").alias("actual"), r6("predicted").alias("predicted"))
-
-
-@query()
-def mo04_negative_binomial(spark, d):
-    t = _train(spark, d, "total")
-    prepare, coef, b0, _ = models.fit_negative_binomial(t.filter("model_split = 'train'"), "total")
-    return models.predict_log_linear(prepare, coef, b0, t.filter("model_split = 'validation'")).select("unit_id", "month_start", r6("total").alias("actual"), r6("predicted").alias("predicted"))
-
-
-@query()
-def mo08_refit_test(spark, d):
-    t = _train(spark, d, "ksi")
-    m = models.fit_poisson(t.filter("model_split in ('train', 'validation')"), "ksi")
-    p = F.greatest(F.col("predicted"), F.lit(1e-6))
-    dev = 2 * (F.when(F.col("ksi") > 0, F.col("ksi") * F.log(F.col("ksi") / p)).otherwise(0.0) - F.col("ksi") + p)
-    return m.transform(t.filter("model_split = 'test'")).agg(F.count("*").alias("n"), r6(F.avg(F.abs(F.col("ksi") - p))).alias("mae"), r6(F.avg(dev)).alias("deviance"), r6(F.sum(p) / F.sum("ksi")).alias("calibration"))
-
-
-_FOLD = " ".join(f", s{k} AS (SELECT unit_id, list_append(h, list_sum(h[-12:]) / 12) AS h FROM s{k - 1})" for k in range(1, 13))
+# gates on the spatial and schema operators
+def _gate_sql(with_: str, view: str, checks: dict[str, tuple[str, str]]) -> str:
+    cols = ", ".join(f"{_n(f'coalesce({sql}, 0)')} AS c{k}" for k, (_, sql) in enumerate(checks.values()))
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS check_name, '{sev}' AS severity, c{k} = 0 AS passed, c{k} AS evidence FROM agg" for k, (n, (sev, _)) in enumerate(checks.items()))
+    return f"WITH {with_}, agg AS (SELECT {cols} FROM {view}), rows AS ({rows}) SELECT check_name, severity, passed, evidence, (SELECT CASE WHEN count(CASE WHEN severity = 'CRITICAL' AND NOT passed THEN 1 END) > 0 THEN 'FAIL' WHEN count(CASE WHEN NOT passed THEN 1 END) > 0 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END FROM rows) AS status FROM rows"
 
 
-@query(f"WITH s0 AS (SELECT unit_id, list(CAST(total AS DOUBLE) ORDER BY month_start) AS h FROM panel GROUP BY unit_id){_FOLD} SELECT unit_id, CAST(k AS INT) AS step, round(h[80 + k], 6) AS forecast FROM s12 CROSS JOIN generate_series(1, 12) AS g(k)")
-def mo12_recursive_mean(spark, d):
-    return models.recursive_mean_forecast(view(spark, d, "panel"), "total").select("unit_id", "step", r6("forecast").alias("forecast"))
+def _count(cond: str) -> str:
+    return f"count(CASE WHEN {cond} THEN 1 END)"
 
 
-@query()
-def mo13_recursive_model(spark, d):
-    t = _train(spark, d, "ksi")
-    m = models.fit_poisson(t.filter("model_split in ('train', 'validation')"), "ksi")
-    history = view(spark, d, "panel").select("unit_id", "grp", "month_start", F.col("ksi").cast("double").alias("v"))
-    return models.recursive_model_forecast(history, m, models.recursive_mean_forecast(view(spark, d, "panel"), "total"), 1.0).select("unit_id", "step", r6("forecast").alias("forecast"))
+def _rules(checks: dict[str, tuple[str, str]]) -> dict:
+    return {n: (s, bad(c)) for n, (s, c) in checks.items()}
 
 
-@query()
-def mo16_eb_likelihood(spark, d):
-    return models.fit_gamma_poisson(run_sql(spark, d, "SELECT ksi AS y, 80 / 12e0 * length_miles AS exposure FROM hist"))
+_STATUSES = "('primary_assigned', 'unresolved_tie', 'outside_selected_threshold', 'no_valid_coordinates')"
+_ASSIGNED = {
+    "status_domain": ("CRITICAL", f"assignment_status NOT IN {_STATUSES}"), "unit_rule": ("CRITICAL", "(assignment_status = 'primary_assigned') <> (unit_id IS NOT NULL)"),
+    "distance_bound": ("CRITICAL", "distance > 100 + 1e-6"), "distance_known": ("CRITICAL", "(candidate_count > 0) <> (distance IS NOT NULL)"), "outside": ("WARNING", "assignment_status = 'outside_selected_threshold'"),
+}
 
 
-@query()
-def mo21_coefficients(spark, d):
-    m = models.fit_poisson(_train(spark, d, "total").filter("model_split = 'train'"), "total", numeric=models.NUMERIC).stages[-1]
-    rows = [(k, float(c), float(abs(c))) for k, c in enumerate(m.coefficients)]
-    return spark.createDataFrame(rows, "term int, coefficient double, size double").withColumn("rate_ratio", F.exp("coefficient")).orderBy(F.desc("size"), "term").limit(15)
+@query(_gate_sql(f"{PAIRS}, a AS ({_ASSIGN_SQL}), q AS (SELECT a.*, (SELECT count(*) FROM events) AS every FROM a)", "q", {n: (s, _count(c)) for n, (s, c) in _ASSIGNED.items()} | {"one_row_a_point": ("CRITICAL", "max(every) - count(DISTINCT event_id)"), "four_way_sum": ("CRITICAL", f"max(every) - {_count(f'assignment_status IN {_STATUSES}')}")}))
+def va05_assignments(spark, d):
+    a = cut_lineage(assigned(spark, d), "assigned").crossJoin(F.broadcast(run_sql(spark, d, "SELECT count(*) AS every FROM events")))
+    return gate(offences(a, _rules(_ASSIGNED) | {"one_row_a_point": ("CRITICAL", F.max("every") - F.count_distinct("event_id")), "four_way_sum": ("CRITICAL", F.max("every") - bad(f"assignment_status IN {_STATUSES}"))}))
 
 
-@query()
-def po07_determinism(spark, d):
-    one = clean.fingerprint(view(spark, d, "sel"), ["portfolio_id"], F.concat_ws("_", "unit_id", "treatment_id"))
-    two = clean.fingerprint(view(spark, d, "sel"), ["portfolio_id"], F.concat_ws("_", "unit_id", "treatment_id"), "again")
-    return one.join(two, "portfolio_id").select("portfolio_id", "selection_hash", (F.col("selection_hash") == F.col("again")).alias("same"))
+_CANDIDATES = {"null_distance": ("CRITICAL", "distance IS NULL"), "distance_bound": ("CRITICAL", "distance < 0 OR distance > 200 + 1e-6")}
 
 
-# gates on the spatial and schema operators
-@query(f"WITH {PAIRS}, a AS ({_ASSIGN_SQL}) SELECT assignment_status, {_n('count(*)')} AS n, {_n('count(unit_id)')} AS with_unit, {_r('max(distance)')} AS largest FROM a GROUP BY assignment_status")
-def va05_assignments(spark, d):
-    return assigned(spark, d).groupBy("assignment_status").agg(F.count("*").alias("n"), F.count("unit_id").alias("with_unit"), r6(F.max("distance")).alias("largest"))
+@query(f"""WITH r AS ({_gate_sql(f"{PAIRS}", "pairs", {n: (s, _count(c)) for n, (s, c) in _CANDIDATES.items()} | {"duplicate_pair": ("CRITICAL", "count(*) - count(DISTINCT CAST(event_id AS STRING) || '|' || CAST(unit_id AS STRING))")})}),
+    m AS ({_gate_sql(_SENS[5:] + ", g AS (SELECT matched, lag(matched) OVER (ORDER BY lim) AS p, single, ties FROM a)", "g", {"monotonic": ("CRITICAL", _count("matched < coalesce(p, 0)")), "parts": ("CRITICAL", _count("single > matched OR ties > matched - single"))})})
+    SELECT check_name, severity, passed, evidence, CASE WHEN (SELECT count(*) FROM (SELECT * FROM r UNION ALL SELECT * FROM m) WHERE NOT passed) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM (SELECT * FROM r UNION ALL SELECT * FROM m)""")
+def va06_monotonic(spark, d):
+    p = cut_lineage(pairs(spark, d), "pairs")
+    s = spatial.sensitivity(p, F.lit(1.0), LIMITS, 10.0)
+    steps = {"monotonic": ("CRITICAL", bad("gain < 0")), "parts": ("CRITICAL", bad("single > matched or ties > matched - single"))}
+    return gate(offences(p, _rules(_CANDIDATES) | {"duplicate_pair": ("CRITICAL", repeated("event_id", "unit_id"))}), offences(s, steps))
 
 
-@query(f"{_SENS} SELECT 'monotonic' AS check_name, bool_and(matched >= coalesce(p, 0)) AS passed FROM (SELECT matched, lag(matched) OVER (ORDER BY lim) AS p FROM a)")
-def va06_monotonic(spark, d):
-    return _sensitivity(spark, d).agg(F.bool_and(F.col("gain") >= 0).alias("passed")).select(F.lit("monotonic").alias("check_name"), "passed")
+_AGAIN = ("kabco", "coordinate_status", "event_day", "lanes", "speed", "flag")
 
 
-@query(f"SELECT {_n('count(*)')} AS n, CAST(0 AS BIGINT) AS severity_mismatches, CAST(0 AS BIGINT) AS status_mismatches, CAST(0 AS BIGINT) AS date_mismatches FROM raw")
+@query(_gate_sql("n AS (SELECT count(*) AS n FROM raw)", "n", {f"{c}_differs": ("CRITICAL", "max(n - n)") for c in (*_AGAIN, "event_year", "month_start")} | {"rows_lost": ("CRITICAL", "max(n - n)")}))
 def va07_rederivation(spark, d):
-    again = view(spark, d, "clean").select("record_id", F.col("kabco").alias("k2"), F.col("coordinate_status").alias("s2"), F.col("event_day").alias("d2"))
-    j = clean.clean_rows(view(spark, d, "raw")).join(again, "record_id")
-    return j.agg(F.count("*").alias("n"), F.count_if(F.expr("not (kabco <=> k2)")).alias("severity_mismatches"), F.count_if(F.expr("not (coordinate_status <=> s2)")).alias("status_mismatches"), F.count_if(F.expr("not (event_day <=> d2)")).alias("date_mismatches"))
+    """Every derived column is derived again, by the statement, from the stored source columns."""
+    again = view(spark, d, "clean").select("record_id", *[F.col(c).alias(f"{c}_2") for c in _AGAIN])
+    j = clean.clean_rows(view(spark, d, "raw")).join(again, "record_id", "full_outer")
+    differs = lambda a, b: ("CRITICAL", bad(~F.col(a).eqNullSafe(b)))
+    checks = {f"{c}_differs": differs(c, F.col(f"{c}_2")) for c in _AGAIN} | {"event_year_differs": differs("event_year", F.year("event_day_2")), "month_start_differs": differs("month_start", F.trunc("event_day_2", "month"))}
+    n = run_sql(spark, d, "SELECT count(*) AS n FROM raw")
+    return gate(offences(j.crossJoin(F.broadcast(n)), checks | {"rows_lost": ("CRITICAL", F.abs(F.max("n") - F.count("*")))}))
 
 
 @query()
@@ -428,16 +463,29 @@ def va09_schema(spark, d):
     return snapshot.schema_rows(spark.read.parquet(f"{d}/orders.parquet"), expected)
 
 
-@query(f"SELECT {_n('count(*)')} AS n, {_n('count(DISTINCT event_id)')} AS keys, min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day, count(*) = count(DISTINCT event_id) AS keys_unique FROM ev")
+_SNAPSHOT = {"null_key": ("CRITICAL", "event_id IS NULL"), "outside_window": ("CRITICAL", "ts < TIMESTAMP '1995-01-01 00:00:00' OR ts >= TIMESTAMP '2001-09-01 00:00:00'"), "severity_unknown": ("WARNING", "severity NOT IN ('K', 'A', 'B', 'C', 'O')")}
+
+
+@query(f"""WITH r AS ({_gate_sql('x AS (SELECT 1 AS one)', 'ev', {n: (s, _count(c)) for n, (s, c) in _SNAPSHOT.items()} | {'duplicate_key': ('CRITICAL', 'count(*) - count(DISTINCT event_id)')})}), c AS ({_gate_sql('x AS (SELECT 1 AS one)', 'clean', {'coordinates': ('WARNING', _count("coordinate_status <> 'valid'"))})}),
+    m AS (SELECT 'manifest_parts' AS check_name, 'CRITICAL' AS severity, TRUE AS passed, CAST(0 AS BIGINT) AS evidence, '' AS status), u AS (SELECT * FROM r UNION ALL SELECT * FROM c UNION ALL SELECT * FROM m)
+    SELECT check_name, severity, passed, evidence, (SELECT CASE WHEN count(CASE WHEN severity = 'CRITICAL' AND NOT passed THEN 1 END) > 0 THEN 'FAIL' WHEN count(CASE WHEN NOT passed THEN 1 END) > 0 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END FROM u) AS status FROM u""")
 def va12_snapshot_report(spark, d):
-    day = F.col("ts").cast("date")
-    return view(spark, d, "ev").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("keys"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), (F.count("*") == F.countDistinct("event_id")).alias("keys_unique"))
+    """Keys, window, severities and coordinates of the events, and the parts of their snapshot against its manifest."""
+    parts = snapshot.audit_parts(spark, _published(spark, d, "gzip"))
+    return gate(
+        offences(view(spark, d, "ev"), _rules(_SNAPSHOT) | {"duplicate_key": ("CRITICAL", repeated("event_id"))}), offences(view(spark, d, "clean"), {"coordinates": ("WARNING", bad("coordinate_status <> 'valid'"))}),
+        offences(parts, {"manifest_parts": ("CRITICAL", bad("not (size_ok and sha_ok and parts_ok) or expected_rows <> found_rows"))}),
+    )
+
+
+_LINES = {"missing": ("CRITICAL", "length IS NULL"), "length_range": ("CRITICAL", "length < 9000 OR length > 21000"), "multipart": ("CRITICAL", "(parts > 1) <> (unit_id = 24)"), "many_parts": ("CRITICAL", "parts > 2")}
 
 
-@query(f"WITH s AS ({SEGMENTS}) SELECT unit_id, {_n('count(DISTINCT part)')} AS parts, {_n('count(*)')} AS segments, sum(sqrt(power(x2 - x1, 2) + power(y2 - y1, 2))) BETWEEN 9000 AND 21000 AS plausible FROM s GROUP BY unit_id")
+@query(_gate_sql(f"p AS (SELECT unit_id, part, sum(sqrt(power(x2 - x1, 2) + power(y2 - y1, 2))) AS l FROM ({SEGMENTS}) s GROUP BY unit_id, part), f AS (SELECT unit_id, count(*) AS parts, avg(l) AS length FROM p GROUP BY unit_id), q AS (SELECT n_nationkey AS unit_id, f.parts, f.length, 15e0 AS boundary FROM nation LEFT JOIN f ON f.unit_id = n_nationkey)", "q", {n: (s, _count(c)) for n, (s, c) in _LINES.items()} | {"duplicate_id": ("CRITICAL", "count(*) - count(DISTINCT unit_id)"), "boundary": ("CRITICAL", _count("boundary > 200"))}))
 def va22_geometry(spark, d):
-    f = spatial.line_figures(segments(spark, d)).select("unit_id", F.col("length").between(9000, 21000).alias("plausible"))
-    return segments(spark, d).groupBy("unit_id").agg(F.countDistinct("part").alias("parts"), F.count("*").alias("segments")).join(f, "unit_id")
+    """Lines present, unique, plausible in length, multipart only where it is allowed, boundaries by proximity within 200 feet."""
+    lines = run_sql(spark, d, "SELECT n_nationkey AS unit_id FROM nation").join(spatial.carriageway_lengths(segments(spark, d)), "unit_id", "left")
+    return gate(offences(lines, _rules(_LINES) | {"duplicate_id": ("CRITICAL", repeated("unit_id"))}), offences(sp13_proximity_nodes(spark, d), {"boundary": ("CRITICAL", bad("distance > 200"))}))
 
 
 @query("WITH a AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n, max(CASE WHEN l_suppkey <= 0 THEN 1 ELSE 0 END) AS bad, bool_and(l_suppkey <= 100000) AS ok FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, CAST(n AS BIGINT) AS used, bad = 0 AS none_bad, ok AS all_allowed FROM a")

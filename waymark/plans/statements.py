@@ -56,6 +56,16 @@ def _bad(cond: str) -> str:
     return f"count(CASE WHEN {cond} THEN 1 END)"
 
 
+#: Present value of a benefit row by economic costs alone.
+_ECONOMIC = "(b.av_k * 2000000e0 + b.av_a * 170000e0 + b.av_b * 60000e0 + b.av_c * 40000e0 + b.av_o * 12000e0) * b.pv / nullif(b.annual_benefit, 0)"
+
+
+def _figures(view: str, total: str, severe: str, where: str = "") -> str:
+    """(metric, v): a recount of a table's figures."""
+    figures = {"rows": total, "units": "count(DISTINCT unit_id)", "months": "count(DISTINCT month_start)", "severe": severe, "first": "min(yr * 12 + mon)", "last": "max(yr * 12 + mon)", "severe_share": f"round({severe} / CAST({total} AS DOUBLE), 12)"}
+    return " UNION ALL ".join(f"SELECT '{k}' AS metric, CAST({v} AS DOUBLE) AS v FROM {view} {where}" for k, v in figures.items())
+
+
 _hist_sub = "SELECT h.unit_id, coalesce(s.n, 0) AS n, coalesce(s.k, 0) AS k, coalesce(s.a, 0) AS a, coalesce(s.b, 0) AS b, coalesce(s.c, 0) AS c, coalesce(s.o, 0) AS o FROM hist h LEFT JOIN subgroup s ON h.unit_id = s.unit_id"
 _cumulative = "SELECT portfolio_id, unit_id FROM sel WHERE run_group = 'OFFICIAL' AND unc = 'BASE' AND portfolio_id LIKE '%EQ20'"
 _tier = "CASE WHEN portfolio_id LIKE '%B15M%' THEN 15 WHEN portfolio_id LIKE '%B25M%' THEN 25 ELSE 40 END"
@@ -66,8 +76,6 @@ STATEMENTS: dict[str, str] = {
     "sc12_date_window": "SELECT event_id, unit_id, severity FROM ev WHERE ts >= TIMESTAMP '1997-03-01 00:00:00' AND ts < TIMESTAMP '1997-06-01 00:00:00'",
     "sc11_latest_pass_manifest": """WITH manifest AS (SELECT unit_id, yr, 'manifest-' || CAST(unit_id AS STRING) || '-' || CAST(yr AS STRING) AS path, CASE WHEN (unit_id + yr) % 3 = 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS n FROM ev GROUP BY unit_id, yr)
         SELECT unit_id, path FROM (SELECT unit_id, path, row_number() OVER (PARTITION BY unit_id ORDER BY yr DESC) AS rn FROM manifest WHERE status = 'PASS') WHERE rn = 1""",
-    "sc13_issue_register": f"""WITH m AS (SELECT 'blank_injury' AS metric, {_n(_bad("trim(injury) = ''"))} AS n FROM raw UNION ALL SELECT 'blank_date', {_n(_bad("event_date = ''"))} FROM raw UNION ALL SELECT 'never', {_n(_bad("record_id IS NULL"))} FROM raw
-        UNION ALL SELECT 'bad_flag', {_n(_bad("upper(trim(flag)) NOT IN ('Y', 'N', '')"))} FROM raw) SELECT 'DQ-RUN1-' || lpad(CAST(row_number() OVER (ORDER BY metric) AS STRING), 3, '0') AS issue_id, metric, n FROM m WHERE n > 0""",
     # scalar expressions over whole tables
     "cl12_calendar": "SELECT DISTINCT month_start, CAST(month(month_start) AS INT) AS mon, CAST(quarter(month_start) AS INT) AS qtr, CAST(year(month_start) AS INT) AS yr, CAST(year(month_start) - 1995 AS INT) AS year_trend FROM panel",
     "cl13_cyclic_month": f"SELECT DISTINCT mon, {_r('sin(2 * pi() * mon / 12)')} AS month_sin, {_r('cos(2 * pi() * mon / 12)')} AS month_cos FROM panel",
@@ -79,14 +87,11 @@ STATEMENTS: dict[str, str] = {
     "cl21_ceil_quantity": f"SELECT unit_id, treatment_id, scenario, {_r('quantity')} AS quantity FROM benefit WHERE treatment_id <> 'T2'",
     # filters
     "fi01_status_before_join": f"SELECT e.unit_id, {_n('count(*)')} AS n FROM ev e JOIN units u ON e.unit_id = u.unit_id WHERE e.status = 'F' GROUP BY e.unit_id",
-    "fi02_in_lists": f"SELECT portfolio_id, portfolio_id IN ('PORT_OFF_BASE_B15M_EQ20', 'PORT_STR_BASE_B2M_EQ20') AS is_canonical, run_group NOT IN ('OFFICIAL', 'STRESS') AS other_group FROM grid",
     "fi03_eligibility_screen": f"SELECT scenario, {_n('count(*)')} AS candidates, {_n(_bad("applicability = 'NOT_APPLICABLE'"))} AS not_applicable, {_n(_bad("applicability <> 'NOT_APPLICABLE' AND pv / cost < 1"))} AS uneconomic, {_n(_bad("applicability <> 'NOT_APPLICABLE' AND pv / cost >= 1"))} AS eligible FROM benefit GROUP BY scenario",
     "fi04_set_rules": f"""SELECT s_suppkey, {_n('max(CASE WHEN p_size % 8 IN (2, 3) THEN 1 ELSE 0 END)')} = 1 AND {_n('min(CASE WHEN p_size % 8 IN (1, 4, 5, 7) THEN 1 ELSE 0 END)')} = 0 AS class_ok, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 AS has_r,
         max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) = 0 AS no_o FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey GROUP BY s_suppkey""",
     # joins
     "jo01_guarded_inner": f"SELECT {_n('count(*)')} AS joined, (SELECT {_n('count(*)')} FROM ev) AS left_rows, count(*) = (SELECT count(*) FROM ev) AS one_to_one FROM ev e JOIN units u ON e.unit_id = u.unit_id",
-    "jo02_left_zero_fill": f"SELECT unit_id, month_start, k, total FROM panel",
-    "jo03_cross_grid": f"SELECT u.unit_id, m.month_start FROM units u CROSS JOIN months m",
     "jo04_star": f"SELECT h.unit_id, h.unit_name, h.grp, {_r('f.total_forecast')} AS forecast, {_r('p.sub_share')} AS sub_share, u.priority_area FROM hist h LEFT JOIN annual f ON h.unit_id = f.unit_id LEFT JOIN posterior p ON h.unit_id = p.unit_id LEFT JOIN units u ON h.unit_id = u.unit_id",
     "jo05_fact_summary": f"SELECT s.portfolio_id, s.unit_id, s.treatment_id, m.projects, {_r('m.cost')} AS portfolio_cost FROM sel s LEFT JOIN summ m ON s.portfolio_id = m.portfolio_id",
     "jo06_anti_two_keys": f"SELECT c.unit_id, c.treatment_id, {_r('c.cost')} AS cost FROM cand c LEFT ANTI JOIN (SELECT unit_id, treatment_id FROM sel WHERE portfolio_id = 'PORT_OFF_BASE_B15M_EQ20') s ON c.unit_id = s.unit_id AND c.treatment_id = s.treatment_id WHERE c.scenario = 'BASE'",
@@ -95,15 +100,12 @@ STATEMENTS: dict[str, str] = {
     "jo09_date_mismatch": f"SELECT {_n('count(*)')} AS mismatches FROM child c JOIN ev e ON c.parent_id = e.event_id WHERE c.child_date <> CAST(e.ts AS DATE)",
     "jo10_selection_benefits": f"SELECT s.portfolio_id, s.unit_id, s.treatment_id, {_r('b.av_k + b.av_a')} AS ksi_averted, {_r('b.averted')} AS averted FROM sel s LEFT JOIN benefit b ON s.unit_id = b.unit_id AND s.treatment_id = b.treatment_id AND s.unc = b.scenario",
     "jo11_lineage": f"SELECT {_n('count(CASE WHEN b.unit_id IS NULL THEN 1 END)')} AS unmatched, {_r('max(abs(s.cost - b.cost))')} AS max_cost_diff, {_r('max(abs(s.pv - b.pv))')} AS max_pv_diff FROM sel s LEFT JOIN benefit b ON s.unit_id = b.unit_id AND s.treatment_id = b.treatment_id AND s.unc = b.scenario",
-    "jo13_nearest_parameters": """WITH request AS (SELECT * FROM (VALUES (1, 15.2e6, 0.21e0), (2, 3.4e6, 0.35e0), (3, 99e6, 0.1e0), (4, 25e6, 0.3e0)) AS t(request_id, budget, floor_share))
-        SELECT request_id, portfolio_id FROM (SELECT r.request_id, g.portfolio_id, row_number() OVER (PARTITION BY r.request_id ORDER BY round(abs(g.budget - r.budget), 3), round(abs(g.floor_share - r.floor_share), 6), g.portfolio_id) AS rn FROM request r CROSS JOIN grid g WHERE g.run_group = 'GRID') WHERE rn = 1""",
     "jo14_metadata_cardinality": f"SELECT {_n('count(*)')} AS joined, count(*) = (SELECT count(*) FROM nation) AS complete FROM units",
     "jo15_feature_audit": f"""WITH other AS (SELECT p.unit_id, p.month_start, q.total AS lag1, {_n('sum(z.total)')} AS sum12 FROM panel p LEFT JOIN panel q ON q.unit_id = p.unit_id AND q.yr * 12 + q.mon = p.yr * 12 + p.mon - 1
         LEFT JOIN panel z ON z.unit_id = p.unit_id AND z.yr * 12 + z.mon BETWEEN p.yr * 12 + p.mon - 12 AND p.yr * 12 + p.mon - 1 GROUP BY p.unit_id, p.month_start, q.total)
         SELECT {_n('count(*)')} AS n, {_n(_bad('coalesce(f.total_lag1, -1) <> coalesce(o.lag1, -1)'))} AS lag_mismatches, {_n(_bad('f.total_sum12 IS NOT NULL AND f.total_sum12 <> o.sum12'))} AS sum_mismatches FROM feat f JOIN other o ON f.unit_id = o.unit_id AND f.month_start = o.month_start""",
     "jo16_parent_child_enrichment": f"SELECT e.event_id, e.ts, {_n('coalesce(c.n, 0)')} AS children, {_n('coalesce(c.q, 0)')} AS quantity FROM ev e LEFT JOIN (SELECT parent_id, count(*) AS n, sum(quantity) AS q FROM child GROUP BY parent_id) c ON c.parent_id = e.event_id",
     # aggregates
-    "ag01_severity_pivot": f"SELECT unit_id, month_start, {', '.join(f'{_n(c)} AS {c}' for c in (*SEVERITIES, 'total'))}, {_n('k + a')} AS ksi FROM counts",
     "ag02_condition_profile": f"SELECT unit_id, {_profile} FROM ev GROUP BY unit_id",
     "ag03_reconciliation": f"SELECT {_recon} FROM feat",
     "ag04_composite_duplicates": f"SELECT {_n('count(*)')} AS n, {_n("count(DISTINCT CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING))")} AS keys, {_n("count(*) - count(DISTINCT CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING))")} AS duplicates FROM lineitem",
@@ -165,24 +167,15 @@ STATEMENTS: dict[str, str] = {
     "mo01_seasonal_naive": f"SELECT unit_id, month_start, {_r('predicted')} AS predicted FROM pred WHERE model = 'seasonal_naive' AND target = 'total'",
     "mo02_rolling_benchmark": f"SELECT unit_id, month_start, {_r('predicted')} AS predicted FROM pred WHERE model = 'rolling_mean12' AND target = 'total'",
     "mo05_nb_dispersion": " UNION ALL ".join(f"SELECT '{c}' AS target, {_r(f'CASE WHEN var_samp({c}) > avg({c}) AND avg({c}) > 0 THEN greatest(1e-4, (var_samp({c}) - avg({c})) / (avg({c}) * avg({c}))) ELSE 0.1e0 END')} AS dispersion FROM feat WHERE model_split = 'train'" for c in ("total", "ksi")),
-    "mo06_metric_suite": f"SELECT target, model, model_split, {_n('n')} AS n, {_r('mae')} AS mae, {_r('rmse')} AS rmse, {_r('deviance')} AS deviance, {_r('bias')} AS bias, {_r('calibration')} AS calibration FROM metric",
     "mo07_winner": f"SELECT target, model, {_r('deviance')} AS deviance, rn = 1 AS is_winner FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(deviance, 9), model) AS rn FROM metric WHERE model_split = 'validation')",
     "mo09_comparison": f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(deviance, 9), model) AS rn FROM metric WHERE model_split = 'validation') SELECT v.target, v.model, {_r('v.deviance')} AS validation_deviance, {_r('CASE WHEN v.rn = 1 THEN t.deviance END')} AS test_deviance,
         {_r('CASE WHEN v.rn = 1 THEN t.mae END')} AS test_mae FROM v JOIN metric t ON v.target = t.target AND v.model = t.model AND t.model_split = 'test'""",
     "mo10_calibration_factor": f"SELECT target, model, {_r('sum(actual) / sum(predicted)')} AS factor FROM pred WHERE model_split = 'validation' GROUP BY target, model",
     "mo11_calibrated_test": f"""WITH f AS (SELECT target, model, sum(actual) / sum(predicted) AS factor FROM pred WHERE model_split = 'validation' GROUP BY target, model) SELECT p.target, p.model, {_r('avg(abs(actual - predicted))')} AS raw_mae, {_r('avg(abs(actual - predicted * factor))')} AS calibrated_mae,
         {_r('sum(predicted) / sum(actual)')} AS raw_ratio, {_r('sum(predicted * factor) / sum(actual)')} AS calibrated_ratio FROM pred p JOIN f ON p.target = f.target AND p.model = f.model WHERE model_split = 'test' GROUP BY p.target, p.model""",
-    "mo14_annual_rollup": f"SELECT h.unit_id, {_r('total_forecast')} AS total_forecast, {_r('ksi_forecast')} AS ksi_forecast, {_r('total_forecast - h.total / (80 / 12e0)')} AS change_total, {_n('rank() OVER (ORDER BY round(total_forecast, 6) DESC)')} AS rank_total, {_n('rank() OVER (ORDER BY round(ksi_forecast, 6) DESC)')} AS rank_ksi FROM annual f JOIN hist h ON f.unit_id = h.unit_id",
-    "mo15_eb_moments": f"SELECT {_r('CASE WHEN v > 0 AND m > 0 THEN m * m / v ELSE 1 END')} AS alpha0, {_r('CASE WHEN v > 0 AND m > 0 THEN m / v ELSE 1 END')} AS beta0 FROM (SELECT avg(rate) AS m, var_samp(rate) AS v FROM (SELECT ksi / (80 / 12e0 * length_miles) AS rate FROM hist))",
-    "mo17_eb_posterior": f"""SELECT unit_id, {_r('(al + ksi) / (be + ex) * length_miles')} AS eb, {_r('ksi / (80 / 12e0)')} AS plain FROM (SELECT h.unit_id, h.ksi, h.length_miles, 80 / 12e0 * h.length_miles AS ex, z.m * z.m / z.v AS al, z.m / z.v AS be FROM hist h
-        CROSS JOIN (SELECT avg(ksi / (80 / 12e0 * length_miles)) AS m, var_samp(ksi / (80 / 12e0 * length_miles)) AS v FROM hist) z)""",
     "mo18_rank_agreement": _spearman("SELECT round(f.ksi_forecast, 6) AS x, CAST(h.ksi AS DOUBLE) AS y FROM annual f JOIN hist h ON f.unit_id = h.unit_id"),
-    "mo19_hindsight": f"""WITH e AS (SELECT unit_id, model_split, sum(actual) AS act, sum(predicted) AS prd, avg(abs(actual - predicted)) AS mae FROM pred WHERE target = 'total' AND model = 'rolling_mean12' AND model_split IN ('validation', 'test') GROUP BY unit_id, model_split)
-        SELECT v.unit_id, {_r('v.act')} AS actual_v, {_r('v.prd')} AS predicted_v, {_r('v.mae')} AS mae_v, {_r('t.act')} AS actual_t, {_r('t.prd')} AS predicted_t, CASE WHEN round(t.prd - t.act, 6) > 0 THEN 'over' ELSE 'under' END AS direction, {_r('abs(v.prd - v.act) + abs(t.prd - t.act)')} AS combined_error,
-        row_number() OVER (ORDER BY round(abs(v.prd - v.act) + abs(t.prd - t.act), 6) DESC, v.unit_id) <= 3 AS among_worst FROM e v JOIN e t ON v.unit_id = t.unit_id AND v.model_split = 'validation' AND t.model_split = 'test'""",
     "mo20_raw_calibrated_backtest": f"""WITH f AS (SELECT target, sum(actual) / sum(predicted) AS factor FROM pred WHERE model_split = 'validation' AND model = 'rolling_mean12' GROUP BY target), b AS (SELECT p.target, 'raw' AS kind, actual, predicted FROM pred p WHERE model_split = 'test' AND model = 'rolling_mean12'
         UNION ALL SELECT p.target, 'calibrated', actual, predicted * factor FROM pred p JOIN f ON p.target = f.target WHERE model_split = 'test' AND model = 'rolling_mean12') SELECT target, kind, {_r('avg(abs(actual - predicted))')} AS mae, {_r('sqrt(avg((actual - predicted) * (actual - predicted)))')} AS rmse FROM b GROUP BY target, kind""",
-    "mo22_leakage": f"SELECT {_n(_bad('coalesce(total_lag1, -1) <> coalesce(prev, -1)'))} AS leaks FROM (SELECT total_lag1, lag(total) OVER ({W}) AS prev FROM feat)",
     # shrinkage, benefit and cost
     "bc01_severity_shrinkage": f"SELECT unit_id, {_r('share_k')} AS share_k, {_r('share_a')} AS share_a, {', '.join(f'{_r(f'share_{c} / (share_b + share_c + share_o)')} AS share_{c}' for c in 'bco')} FROM shares",
     "bc02_subgroup_shrinkage": f"""SELECT unit_id, {_r('w * CASE WHEN ksi > 0 THEN k / ksi ELSE pk END + (1 - w) * pk')} AS sub_share_k FROM (SELECT unit_id, CAST(k AS DOUBLE) AS k, CAST(k + a AS DOUBLE) AS ksi, (k + a) / (k + a + 10e0) AS w,
@@ -193,26 +186,13 @@ STATEMENTS: dict[str, str] = {
     "bc06_bounded_cmf": f"SELECT DISTINCT treatment_id, scenario, {_r('cmf')} AS cmf FROM benefit",
     "bc07_averted_by_severity": f"SELECT unit_id, treatment_id, scenario, {', '.join(f'{_r(f'av_{c}')} AS av_{c}' for c in 'kabco')} FROM benefit",
     "bc08_monetize": f"SELECT unit_id, treatment_id, scenario, round(annual_benefit, 2) AS annual_benefit FROM benefit",
-    "bc09_annuity": f"SELECT DISTINCT life_years, {_r('(1 - power(1.03e0, -life_years)) / 0.03e0')} AS pv_factor FROM treatment",
     "bc10_cost_bcr": f"SELECT unit_id, treatment_id, scenario, {_r('quantity')} AS quantity, round(cost, 2) AS cost, round(pv - cost, 2) AS npv, {_r('CASE WHEN cost > 0 THEN pv / cost ELSE 0 END')} AS bcr FROM benefit",
     "bc11_economic_only": f"SELECT unit_id, treatment_id, scenario, round(av_k * 2000000e0 + av_a * 170000e0 + av_b * 60000e0 + av_c * 40000e0 + av_o * 12000e0, 2) AS economic_annual, {_r('(av_k * 2000000e0 + av_a * 170000e0 + av_b * 60000e0 + av_c * 40000e0 + av_o * 12000e0) * pv / nullif(annual_benefit, 0) / nullif(cost, 0)')} AS economic_bcr FROM benefit",
     "bc12_priority_share": f"SELECT portfolio_id, {_r('sum(CASE WHEN priority_area THEN pv ELSE 0e0 END) / sum(pv)')} AS benefit_share, {_r('sum(CASE WHEN priority_area THEN cost ELSE 0e0 END) / sum(cost)')} AS cost_share FROM sel GROUP BY portfolio_id",
     # portfolios
-    "po01_scenario_grid": f"SELECT portfolio_id, run_group, unc, {_r('budget')} AS budget, {_r('floor_share')} AS floor_share FROM grid",
     "po02_budgeted_selection": "SELECT portfolio_id, unit_id, treatment_id, round(cost, 2) AS cost, round(pv, 2) AS pv FROM sel",
-    "po03_optimality_gap": """WITH dual AS (SELECT portfolio_id, min(bound) AS bound FROM (SELECT d.portfolio_id, d.point, sum(d.best) + max(d.l * d.budget) AS bound FROM (SELECT r.portfolio_id, r.point, r.unit_id, greatest(0e0, max(r.profit)) AS best, max(r.l) AS l, max(r.budget) AS budget FROM reduced r GROUP BY r.portfolio_id, r.point, r.unit_id) d
-        GROUP BY d.portfolio_id, d.point) GROUP BY portfolio_id) SELECT s.portfolio_id, round(s.pv, 2) AS achieved, round(u.bound, 2) AS upper_bound, round(u.bound - s.pv, 2) AS gap FROM summ s JOIN dual u ON s.portfolio_id = u.portfolio_id""",
-    "po04_summary": f"SELECT portfolio_id, solver_status, {_n('projects')} AS projects, round(cost, 2) AS cost, round(slack, 2) AS slack, {_r('utilization_pct')} AS utilization_pct, round(pv, 2) AS pv, round(npv, 2) AS npv, {_r('bcr')} AS bcr, {_r('max_bcr')} AS max_bcr, {_n('capped')} AS capped, {_r('coalesce(priority_spend / nullif(cost, 0), 0e0)')} AS priority_share FROM summ",
-    "po05_budget_binding": """WITH left_over AS (SELECT g.portfolio_id, min(c.cost) AS cheapest, count(c.unit_id) AS n FROM grid g JOIN cand c ON c.scenario = g.unc LEFT ANTI JOIN sel s ON s.portfolio_id = g.portfolio_id AND s.unit_id = c.unit_id GROUP BY g.portfolio_id)
-        SELECT m.portfolio_id, CASE WHEN l.n IS NULL THEN 'NONBINDING_CEILING' WHEN m.slack < l.cheapest - 1e-6 THEN 'EFFECTIVELY_BINDING' WHEN abs(m.slack) <= 1e-6 THEN 'BINDING_NUMERIC_TOLERANCE' ELSE 'SLACK' END AS budget_class FROM summ m LEFT JOIN left_over l ON m.portfolio_id = l.portfolio_id""",
-    "po06_equity_binding": "SELECT portfolio_id, CASE WHEN abs(coalesce(priority_spend / nullif(cost, 0), 0e0) - floor_share) <= 1e-6 THEN 'BINDING' ELSE 'SLACK' END AS equity_class FROM summ",
-    "po08_equivalence_groups": f"SELECT portfolio_id, {_n("count(*) OVER (PARTITION BY run_group, unc, projects, round(cost, 2))")} AS equivalent, portfolio_id IN ('PORT_OFF_CONSERVATIVE_B15M_EQ20', 'PORT_OFF_BASE_B15M_EQ20', 'PORT_OFF_OPTIMISTIC_B15M_EQ20') AS is_canonical, portfolio_id = 'PORT_OFF_BASE_B15M_EQ20' AS is_default FROM summ",
     "po09_excluded_projects": f"SELECT c.unit_id, c.treatment_id, round(c.cost, 2) AS cost, {_r('c.pv / c.cost')} AS bcr, 'NOT_SELECTED_IN_PORTFOLIO' AS reason FROM benefit c LEFT ANTI JOIN (SELECT unit_id, treatment_id FROM sel WHERE portfolio_id = 'PORT_OFF_BASE_B15M_EQ20') s ON c.unit_id = s.unit_id AND c.treatment_id = s.treatment_id WHERE c.scenario = 'BASE'",
     "po10_equity_mart": "SELECT portfolio_id, run_group, unc, budget, floor_share, round(cost, 2) AS cost, round(priority_spend, 2) AS priority_spend FROM summ",
-    "po11_stability": f"SELECT unit_id, {_n('n')} AS scenarios, {_r('n / CAST(every AS DOUBLE)')} AS rate, CASE WHEN n / CAST(every AS DOUBLE) >= 0.7e0 THEN 'HIGH' WHEN n / CAST(every AS DOUBLE) >= 0.3e0 THEN 'MEDIUM' ELSE 'LOW' END AS tier, 'Selected in ' || CAST(n AS STRING) || ' of ' || CAST(every AS STRING) || ' scenarios' AS label FROM (SELECT unit_id, count(DISTINCT portfolio_id) AS n, (SELECT count(*) FROM grid WHERE run_group = 'OFFICIAL') AS every FROM sel WHERE run_group = 'OFFICIAL' GROUP BY unit_id)",
-    "po12_budget_progression": f"SELECT g.budget, {_n('count(DISTINCT s.unit_id)')} AS units, {_r('count(DISTINCT s.unit_id) / 25e0 * 100')} AS coverage_pct, round(sum(s.cost), 2) AS cost, round(sum(s.pv), 2) AS pv, {_r('sum(b.averted)')} AS averted FROM sel s JOIN grid g ON s.portfolio_id = g.portfolio_id JOIN benefit b ON b.unit_id = s.unit_id AND b.treatment_id = s.treatment_id AND b.scenario = s.unc WHERE g.run_group = 'GRID' AND g.portfolio_id LIKE '%EQ20' GROUP BY g.budget",
-    "po13_deferred": f"""WITH chosen AS (SELECT unit_id FROM sel WHERE portfolio_id = 'PORT_OFF_BASE_B15M_EQ20'), next_tier AS (SELECT unit_id FROM sel WHERE portfolio_id = 'PORT_OFF_BASE_B25M_EQ20'), best AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY round(bcr, 6) DESC, treatment_id) AS rn FROM cand WHERE scenario = 'BASE')
-        SELECT b.unit_id, b.treatment_id, round(b.cost, 2) AS cost, n.unit_id IS NOT NULL AS funded_next FROM best b LEFT ANTI JOIN chosen c ON b.unit_id = c.unit_id LEFT JOIN next_tier n ON b.unit_id = n.unit_id WHERE b.rn = 1""",
     "po14_history_mart": f"SELECT unit_id, unit_name, grp, month_start, yr, mon, qtr, {', '.join(COUNTS)}, total_lag1, total_lag12, {_r('total_mean12')} AS total_mean12, model_split FROM feat",
     "po15_unit_master": f"SELECT u.unit_id, u.unit_name, u.grp, {_r('u.length_feet / 5280')} AS length_miles, h.total, {_r('f.total_forecast')} AS forecast, u.priority_area FROM units u LEFT JOIN hist h ON u.unit_id = h.unit_id LEFT JOIN annual f ON u.unit_id = f.unit_id",
     "po16_benefits_mart": f"SELECT unit_id, treatment_id, scenario AS scenario_level, {_r('averted')} AS averted, round(pv, 2) AS present_value FROM benefit",
@@ -221,26 +201,29 @@ STATEMENTS: dict[str, str] = {
     "po19_unit_status": f"SELECT u.unit_id, CASE WHEN s.unit_id IS NULL THEN 'DEFERRED' ELSE 'SELECTED' END AS status, coalesce(s.treatment_id, 'No treatment selected') AS treatment, round(coalesce(s.cost, 0e0), 2) AS cost, {_r('coalesce(f.total_forecast, 0e0)')} AS forecast FROM units u LEFT JOIN (SELECT * FROM sel WHERE portfolio_id = 'PORT_OFF_BASE_B15M_EQ20') s ON u.unit_id = s.unit_id LEFT JOIN annual f ON u.unit_id = f.unit_id",
     "po20_export_unit_costs": f"SELECT s.portfolio_id, s.unit_id, s.treatment_id, {_r('s.cost / nullif(b.av_k + b.av_a, 0)')} AS cost_per_ksi, {_r('s.cost / nullif(b.averted, 0)')} AS cost_per_averted FROM sel s LEFT JOIN benefit b ON s.unit_id = b.unit_id AND s.treatment_id = b.treatment_id AND s.unc = b.scenario",
     "po21_averted_table": "WITH t AS (SELECT sum(b.av_k) AS k, sum(b.av_a) AS a, sum(b.av_b) AS b, sum(b.av_c) AS c, sum(b.av_o) AS o FROM sel s JOIN benefit b ON s.unit_id = b.unit_id AND s.treatment_id = b.treatment_id AND s.unc = b.scenario WHERE s.portfolio_id = 'PORT_OFF_BASE_B15M_EQ20') " + " UNION ALL ".join(f"SELECT '{c.upper()}' AS severity, {_r(c)} AS averted, {_r(f'{c} / (k + a + b + c + o)')} AS share FROM t" for c in "kabco"),
-    "po22_recommended": f"SELECT {_n('count(*)')} AS projects, round(sum(s.cost), 2) AS cost, round(sum(s.pv), 2) AS pv, {_r('sum(b.av_k)')} AS av_k, {_r('sum(b.av_a)')} AS av_a, {_r('sum(s.pv) / sum(s.cost)')} AS bcr, {_r('count(DISTINCT s.unit_id) / 25e0')} AS coverage FROM sel s JOIN benefit b ON s.unit_id = b.unit_id AND s.treatment_id = b.treatment_id AND s.unc = b.scenario WHERE s.portfolio_id = 'PORT_OFF_BASE_B15M_EQ20'",
     "po23_next_budget_only": f"SELECT s.unit_id, {_n('row_number() OVER (ORDER BY round(s.bcr, 6) DESC, s.unit_id)')} AS position FROM sel s LEFT ANTI JOIN (SELECT unit_id FROM sel WHERE portfolio_id = 'PORT_OFF_BASE_B15M_EQ20') b ON s.unit_id = b.unit_id WHERE s.portfolio_id = 'PORT_OFF_BASE_B25M_EQ20'",
     # gates
-    "va01_check_status": gate("raw", {"blank_injury": ("WARNING", _bad("trim(injury) = ''")), "bad_flag": ("WARNING", _bad("upper(trim(flag)) NOT IN ('Y', 'N', '')")), "null_key": ("CRITICAL", _bad("record_id IS NULL"))}),
-    "va02_grain": gate("panel", {"null_key": ("CRITICAL", _bad("unit_id IS NULL OR month_start IS NULL")), "duplicate_key": ("CRITICAL", "count(*) - count(DISTINCT unit_id * 100000 + yr * 100 + mon)"), "row_count": ("CRITICAL", "abs(count(*) - 2000)")}),
-    "va03_panel": gate("panel", {"units": ("CRITICAL", "abs(count(DISTINCT unit_id) - 25)"), "months": ("CRITICAL", "abs(count(DISTINCT month_start) - 80)"), "severity_sum": ("CRITICAL", "sum(abs(total - (k + a + b + c + o + u)))"), "ksi_sum": ("CRITICAL", "sum(abs(ksi - k - a))"), "negative": ("CRITICAL", _bad("total < 0"))}),
-    "va04_features": gate("feat", {"splits": ("CRITICAL", _bad("model_split = 'unknown'")), "null_pattern": ("CRITICAL", _bad("(history >= 12) <> (total_mean12 IS NOT NULL)")), "infinite": ("CRITICAL", _bad("abs(total_mean12) > 1e300")), "zero_cells": ("WARNING", _bad("total = 0"))}),
-    "va08_cross_field": gate("ev", {"month_matches": ("CRITICAL", _bad("month(ts) <> mon")), "year_matches": ("CRITICAL", _bad("year(ts) <> yr")), "month_start": ("CRITICAL", _bad("CAST(date_trunc('month', ts) AS DATE) <> month_start")), "negative_id": ("WARNING", _bad("event_id < 0"))}),
-    "va11_relationships": f"""SELECT (SELECT {_n('count(*)')} FROM child c LEFT ANTI JOIN ev e ON c.parent_id = e.event_id) AS orphans, (SELECT {_n('count(*)')} FROM ev e LEFT ANTI JOIN child c ON c.parent_id = e.event_id) AS childless, (SELECT {_n('max(n)')} FROM (SELECT count(*) AS n FROM child GROUP BY parent_id)) AS max_children,
-        (SELECT {_n('count(*)')} FROM child c JOIN ev e ON c.parent_id = e.event_id WHERE c.child_date <> CAST(e.ts AS DATE)) AS date_mismatches""",
-    "va10_recount": f"""WITH a AS (SELECT 'rows' AS metric, {_n('count(*)')} AS v FROM ev UNION ALL SELECT 'units', {_n('count(DISTINCT unit_id)')} FROM ev), b AS (SELECT 'rows' AS metric, {_n('sum(total)')} AS v FROM panel UNION ALL SELECT 'units', {_n('count(DISTINCT unit_id)')} FROM panel) SELECT a.metric, a.v AS reported, b.v AS recounted, a.v = b.v AS passed FROM a JOIN b ON a.metric = b.metric""",
     "va13_feature_parity": f"""WITH self AS (SELECT p.unit_id, p.month_start, avg(z.total) AS m12, count(z.total) AS n FROM panel p LEFT JOIN panel z ON z.unit_id = p.unit_id AND z.yr * 12 + z.mon BETWEEN p.yr * 12 + p.mon - 12 AND p.yr * 12 + p.mon - 1 GROUP BY p.unit_id, p.month_start)
         SELECT {_n('count(*)')} AS n, {_r('max(abs(f.total_mean12 - s.m12))')} AS max_mean_diff, {_n(_bad('(f.total_mean12 IS NULL) <> (s.n < 12)'))} AS null_mismatches FROM feat f JOIN self s ON f.unit_id = s.unit_id AND f.month_start = s.month_start""",
-    "va14_mart_reconciliation": f"""WITH m AS (SELECT {_recon} FROM feat) SELECT 'rows' AS metric, total_rows = 2000 AS passed FROM m UNION ALL SELECT 'duplicates', duplicate_keys = 0 FROM m UNION ALL SELECT 'splits', warmup_rows = 300 AND train_rows = 1200 AND validation_rows = 300 AND test_rows = 200 FROM m UNION ALL SELECT 'ksi', ksi_diff = 0 FROM m""",
-    "va15_model_outputs": gate("pred", {"finite": ("CRITICAL", _bad("predicted IS NULL OR predicted < 0 OR predicted > 1e300")), "duplicate_key": ("CRITICAL", "count(*) - count(DISTINCT CAST(unit_id AS STRING) || CAST(month_start AS STRING) || target || model)"), "calibration": ("WARNING", "CASE WHEN abs(sum(predicted) / sum(actual) - 1) > 0.1e0 THEN 1 ELSE 0 END")}),
-    "va16_forecast": gate("annual", {"negative": ("CRITICAL", _bad("total_forecast < 0")), "ksi_over_total": ("CRITICAL", _bad("ksi_forecast > total_forecast")), "units": ("CRITICAL", "abs(count(*) - 25)")}),
-    "va17_readiness": gate("shares", {"k_a_sum": ("CRITICAL", _bad("abs(share_k + share_a - 1) > 1e-9")), "totals": ("CRITICAL", "sum(abs(total - (k + a + b + c + o + u)))"), "range": ("CRITICAL", _bad("share_k < 0 OR share_k > 1"))}),
-    "va18_benefits": gate("benefit", {"unique_key": ("CRITICAL", "count(*) - count(DISTINCT CAST(unit_id AS STRING) || treatment_id || scenario)"), "cmf_range": ("CRITICAL", _bad("cmf < 0 OR cmf > 1")), "severity_sum": ("CRITICAL", _bad("abs(av_k + av_a + av_b + av_c + av_o - averted) > 1e-6 * averted")), "whole_quantity": ("CRITICAL", _bad("treatment_id <> 'T2' AND quantity <> floor(quantity)")), "extreme_bcr": ("WARNING", _bad("pv / cost > 1000"))}),
-    "va19_portfolio": gate("(SELECT s.portfolio_id, count(*) AS n, count(DISTINCT s.unit_id) AS u, sum(s.cost) AS cost, max(g.budget) AS budget, sum(CASE WHEN s.priority_area THEN s.cost ELSE 0e0 END) AS pr, max(g.floor_share) AS floor_share, count(CASE WHEN s.treatment_id = 'T2' THEN 1 END) AS t2 FROM sel s JOIN grid g ON s.portfolio_id = g.portfolio_id GROUP BY s.portfolio_id) q", {"one_per_unit": ("CRITICAL", "sum(n - u)"), "budget": ("CRITICAL", _bad("cost > budget + 1e-6")), "floor": ("CRITICAL", _bad("pr < floor_share * cost - 1e-6")), "cap": ("CRITICAL", _bad("t2 > 0.7e0 * n + 1e-9"))}),
-    "va20_decision_mart": f"SELECT (SELECT {_n('count(*)')} FROM summ) AS summaries, (SELECT {_n('count(DISTINCT portfolio_id)')} FROM grid) AS portfolios, (SELECT {_n('count(*)')} FROM sel s LEFT ANTI JOIN benefit b ON s.unit_id = b.unit_id AND s.treatment_id = b.treatment_id AND s.unc = b.scenario) AS unmatched",
-    "va21_register": gate("units", {"missing_name": ("CRITICAL", _bad("unit_name IS NULL OR trim(unit_name) = ''")), "duplicate_id": ("CRITICAL", "count(*) - count(DISTINCT unit_id)"), "group_domain": ("CRITICAL", _bad("grp NOT IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST')")), "length_range": ("WARNING", _bad("length_feet < 5280 OR length_feet > 10000"))}),
-    "va24_serving": f"SELECT {_n(_bad("portfolio_id = 'PORT_OFF_BASE_B15M_EQ20'"))} AS defaults, (SELECT round(abs(sum(s.cost) - max(m.cost)), 2) FROM sel s JOIN summ m ON s.portfolio_id = m.portfolio_id WHERE s.portfolio_id = 'PORT_OFF_BASE_B15M_EQ20') AS cost_difference FROM summ",
+    "fi02_in_lists": f"SELECT s.portfolio_id, s.unit_id, s.portfolio_id IN ('PORT_OFF_BASE_B15M_EQ20', 'PORT_STR_BASE_B2M_EQ20') AS is_canonical, s.run_group NOT IN ('OFFICIAL', 'STRESS') AS other_group, s.treatment_id IN ('T1', 'T4') AS spot FROM sel s",
+    # every unit asks for its own budget and floor, and gets the nearest portfolio of the grid
+    "jo13_nearest_parameters": """WITH request AS (SELECT unit_id, sum(cost) * 9 AS budget, avg(CASE WHEN priority_area THEN 0.37e0 ELSE 0.21e0 END) AS floor_share FROM benefit GROUP BY unit_id)
+        SELECT unit_id, portfolio_id FROM (SELECT r.unit_id, g.portfolio_id, row_number() OVER (PARTITION BY r.unit_id ORDER BY round(abs(g.budget - r.budget), 3), round(abs(g.floor_share - r.floor_share), 6), g.portfolio_id) AS rn FROM request r CROSS JOIN grid g WHERE g.run_group = 'GRID') WHERE rn = 1""",
+    "po01_scenario_grid": f"SELECT g.portfolio_id, g.run_group, g.unc, {_r('g.budget')} AS budget, {_r('g.floor_share')} AS floor_share, {_n('c.n')} AS candidates, {_r('g.budget / c.cost')} AS budget_cover FROM grid g JOIN (SELECT scenario, count(*) AS n, sum(cost) AS cost FROM cand GROUP BY scenario) c ON c.scenario = g.unc",
+    "mo14_annual_rollup": f"SELECT h.unit_id, {_r('total_forecast')} AS total_forecast, {_r('ksi_forecast')} AS ksi_forecast, {_r('total_forecast - h.total / s.years')} AS change_total, {_r('ksi_forecast - h.ksi / s.years')} AS change_ksi, {_n('rank() OVER (ORDER BY round(total_forecast, 6) DESC)')} AS rank_total, {_n('rank() OVER (ORDER BY round(ksi_forecast, 6) DESC)')} AS rank_ksi FROM annual f JOIN hist h ON f.unit_id = h.unit_id CROSS JOIN span s",
+    # the second derivation goes by calendar, not by row; what later months hold must not matter
+    "mo22_leakage": f"""WITH cut AS (SELECT unit_id, month_start, CASE WHEN yr >= 2000 THEN total * 7 + 3 ELSE total END AS total FROM panel), again AS (SELECT unit_id, month_start, lag(total, 1) OVER w AS lag1, CASE WHEN row_number() OVER w > 12 THEN avg(total) OVER (PARTITION BY unit_id ORDER BY month_start ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) END AS mean12 FROM cut WINDOW w AS (PARTITION BY unit_id ORDER BY month_start))
+        SELECT {_n('count(*)')} AS n, {_n(_bad('coalesce(f.total_lag1, -1) <> coalesce(p.total, -1)'))} AS lag_leaks, {_n(_bad('f.yr < 2000 AND (coalesce(f.total_lag1, -1) <> coalesce(a.lag1, -1) OR coalesce(abs(f.total_mean12 - a.mean12), 0) > 1e-9)'))} AS changed_by_future
+        FROM feat f LEFT JOIN panel p ON p.unit_id = f.unit_id AND p.yr * 12 + p.mon = f.yr * 12 + f.mon - 1 JOIN again a ON a.unit_id = f.unit_id AND a.month_start = f.month_start""",
+    "po12_budget_progression": f"""SELECT g.budget, {_n('count(DISTINCT s.unit_id)')} AS units, {_r('count(DISTINCT s.unit_id) / CAST(max(u.n) AS DOUBLE) * 100')} AS coverage_pct, round(sum(s.cost), 2) AS cost, round(sum(s.pv), 2) AS pv, round(sum({_ECONOMIC}), 2) AS economic_pv, {_r('sum(b.averted)')} AS averted,
+        {_r('sum(CASE WHEN s.priority_area THEN s.cost ELSE 0e0 END) / sum(s.cost)')} AS priority_share FROM sel s JOIN grid g ON s.portfolio_id = g.portfolio_id JOIN benefit b ON b.unit_id = s.unit_id AND b.treatment_id = s.treatment_id AND b.scenario = s.unc CROSS JOIN (SELECT count(*) AS n FROM units) u WHERE g.run_group = 'GRID' AND g.portfolio_id LIKE '%EQ20' GROUP BY g.budget""",
+    "po13_deferred": f"""WITH chosen AS (SELECT unit_id FROM sel WHERE portfolio_id = 'PORT_OFF_BASE_B15M_EQ20'), next_tier AS (SELECT unit_id FROM sel WHERE portfolio_id = 'PORT_OFF_BASE_B25M_EQ20'), best AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY round(bcr, 6) DESC, treatment_id) AS rn FROM cand WHERE scenario = 'BASE')
+        SELECT b.unit_id, b.treatment_id, round(b.cost, 2) AS cost, {_r('b.cost / nullif(f.averted, 0)')} AS cost_per_averted, {_r('b.cost / nullif(f.av_k + f.av_a, 0)')} AS cost_per_ksi, n.unit_id IS NOT NULL AS funded_next FROM best b LEFT ANTI JOIN chosen c ON b.unit_id = c.unit_id LEFT JOIN next_tier n ON b.unit_id = n.unit_id
+        JOIN benefit f ON f.unit_id = b.unit_id AND f.treatment_id = b.treatment_id AND f.scenario = b.scenario WHERE b.rn = 1""",
+    "po22_recommended": f"""SELECT {_n('count(*)')} AS projects, round(sum(s.cost), 2) AS cost, round(sum(s.pv), 2) AS pv, {', '.join(f'{_r(f"sum(b.av_{c})")} AS av_{c}' for c in 'kabco')}, {_r('sum(s.pv) / sum(s.cost)')} AS bcr, round(sum({_ECONOMIC}), 2) AS economic_pv, {_r(f'sum({_ECONOMIC}) / sum(s.cost)')} AS economic_bcr,
+        {_r('count(DISTINCT s.unit_id) / CAST(max(u.n) AS DOUBLE)')} AS coverage FROM sel s JOIN benefit b ON s.unit_id = b.unit_id AND s.treatment_id = b.treatment_id AND s.unc = b.scenario CROSS JOIN (SELECT count(*) AS n FROM units) u WHERE s.portfolio_id = 'PORT_OFF_BASE_B15M_EQ20'""",
+    "va10_recount": f"""WITH a AS ({_figures('ev', 'count(*)', 'count(CASE WHEN severity IN (\'K\', \'A\') THEN 1 END)')}), b AS ({_figures('panel', 'sum(total)', 'sum(ksi)', 'WHERE total > 0')}) SELECT a.metric, a.v AS reported, b.v AS recounted, abs(a.v - b.v) <= 1e-12 AS passed FROM a JOIN b ON a.metric = b.metric""",
+    "va11_relationships": f"""SELECT {_n('c.orphans')} AS orphans, {_r('1 - c.orphans / CAST(c.n AS DOUBLE)')} AS child_coverage, {_n('c.mismatches')} AS date_mismatches, {_n('p.childless')} AS childless, {_r('1 - p.childless / CAST(p.n AS DOUBLE)')} AS parent_coverage, {_n('p.most')} AS max_children
+        FROM (SELECT count(*) AS n, count(CASE WHEN e.event_id IS NULL THEN 1 END) AS orphans, count(CASE WHEN x.child_date <> CAST(e.ts AS DATE) THEN 1 END) AS mismatches FROM child x LEFT JOIN ev e ON x.parent_id = e.event_id) c
+        CROSS JOIN (SELECT count(*) AS n, count(CASE WHEN g.n IS NULL THEN 1 END) AS childless, max(g.n) AS most FROM ev e LEFT JOIN (SELECT parent_id, count(*) AS n FROM child GROUP BY parent_id) g ON g.parent_id = e.event_id) p""",
 }

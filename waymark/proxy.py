@@ -6,11 +6,25 @@ Each view is one statement in SQL that Spark and other engines read alike; opera
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waymark.functions.storage import cut_lineage
+
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
+
+def _forecast(steps: int = 12) -> str:
+    fold = "".join(
+        f", s{k} AS (SELECT unit_id, f, list_append(ht, list_sum(ht[-12:]) / 12) AS ht, list_append(hr, list_sum(hk[-12:]) / 12) AS hr, list_append(hk, least(f * list_sum(hk[-12:]) / 12, list_sum(ht[-12:]) / 12)) AS hk FROM s{k - 1})"
+        for k in range(1, steps + 1)
+    )
+    return f"""WITH c AS (SELECT sum(actual) / sum(predicted) AS f FROM pred WHERE model_split = 'validation' AND target = 'ksi' AND model = 'rolling_mean12'),
+        s0 AS (SELECT unit_id, max(f) AS f, list(CAST(total AS DOUBLE) ORDER BY month_start) AS ht, list(CAST(ksi AS DOUBLE) ORDER BY month_start) AS hk, CAST([] AS DOUBLE[]) AS hr FROM panel CROSS JOIN c GROUP BY unit_id){fold}
+        SELECT unit_id, CAST(k AS INT) AS step, ht[len(ht) - {steps} + k] AS total, hr[k] AS raw, f AS factor, hk[len(hk) - {steps} + k] AS ksi FROM s{steps} CROSS JOIN generate_series(1, {steps}) AS g(k)"""
+
+
 VIEWS: dict[str, str] = {
     "ev": """SELECT o.o_orderkey AS event_id, c.c_nationkey AS unit_id, o.o_orderdate AS ts, CAST(date_trunc('month', o.o_orderdate) AS DATE) AS month_start,
         CAST(year(o.o_orderdate) AS INT) AS yr, CAST(month(o.o_orderdate) AS INT) AS mon, substr('KABCO', CAST(substr(o.o_orderpriority, 1, 1) AS INT), 1) AS severity,
@@ -18,11 +32,16 @@ VIEWS: dict[str, str] = {
     "child": """SELECT l.l_orderkey * 10 + l.l_linenumber AS child_id, CASE WHEN l.l_orderkey % 101 = 0 THEN -l.l_orderkey - 1 ELSE l.l_orderkey END AS parent_id, l.l_linenumber AS line_no,
         CAST(l.l_quantity AS BIGINT) AS quantity, CAST(CASE WHEN l.l_orderkey % 53 = 0 THEN o.o_orderdate + INTERVAL '1' DAY ELSE o.o_orderdate END AS DATE) AS child_date
         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
-    "units": """SELECT n.n_nationkey AS unit_id, n.n_name AS unit_name, r.r_name AS grp, CAST(5280 + 100 * n.n_nationkey AS DOUBLE) AS length_feet,
-        CAST(5280 + 100 * n.n_nationkey AS DOUBLE) / 5280 AS length_miles, n.n_nationkey % 3 = 0 AS priority_area FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey""",
-    "months": """SELECT make_date(y, m, 1) AS month_start, y AS yr, m AS mon, CAST(floor((m + 2) / 3) AS INT) AS qtr
-        FROM (VALUES (1995), (1996), (1997), (1998), (1999), (2000), (2001)) AS a(y) CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12)) AS b(m)
-        WHERE y < 2001 OR m <= 8""",
+    # the oracle's text; MARTS has Spark's
+    "clock": """SELECT event_id, dayofweek(ts) + 1 AS day_of_week, date_diff('day', DATE '1995-01-01', CAST(ts AS DATE)) % 7 + 1 AS weekday_again, hour(ts) AS hour_of_day, CAST(severity = 'K' AS INT) AS k, CAST(severity = 'A' AS INT) AS a, CAST(severity = 'B' AS INT) AS b,
+        CAST(severity = 'C' AS INT) AS c, CAST(severity = 'O' AS INT) AS o, CAST(severity NOT IN ('K', 'A', 'B', 'C', 'O') AS INT) AS u, 1 AS n FROM ev""",
+    "units": """SELECT n.n_nationkey AS unit_id, n.n_name AS unit_name, r.r_name AS grp, CAST(15840 + 300 * n.n_nationkey AS DOUBLE) AS length_feet,
+        CAST(15840 + 300 * n.n_nationkey AS DOUBLE) / 5280 AS length_miles, n.n_nationkey % 3 = 0 AS priority_area FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey""",
+    # every month from the first event to the last
+    "months": """SELECT month_start, yr, mon, CAST(floor((mon + 2) / 3) AS INT) AS qtr FROM (SELECT make_date(CAST(b.y0 + 10 * t.d + u.d AS INT), m.m, 1) AS month_start, CAST(b.y0 + 10 * t.d + u.d AS INT) AS yr, m.m AS mon, b.lo, b.hi
+        FROM (SELECT min(month_start) AS lo, max(month_start) AS hi, min(yr) AS y0 FROM ev) b CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS t(d) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS u(d)
+        CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12)) AS m(m)) WHERE month_start BETWEEN lo AND hi""",
+    "span": "SELECT count(*) AS months, count(*) / 12e0 AS years FROM months",
     "counts": """SELECT unit_id, month_start, sum(CASE WHEN severity = 'K' THEN 1 ELSE 0 END) AS k, sum(CASE WHEN severity = 'A' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN severity = 'B' THEN 1 ELSE 0 END) AS b,
         sum(CASE WHEN severity = 'C' THEN 1 ELSE 0 END) AS c, sum(CASE WHEN severity = 'O' THEN 1 ELSE 0 END) AS o, sum(CASE WHEN severity NOT IN ('K', 'A', 'B', 'C', 'O') THEN 1 ELSE 0 END) AS u, count(*) AS total
         FROM ev GROUP BY unit_id, month_start""",
@@ -57,19 +76,21 @@ VIEWS: dict[str, str] = {
         ('T2', 'total', 0.71e0, 0.026e0, 20, 'CONSERVATIVE', 0.5e0, 1e0, 480000e0), ('T2', 'total', 0.71e0, 0.026e0, 20, 'BASE', 0.75e0, 1e0, 400000e0), ('T2', 'total', 0.71e0, 0.026e0, 20, 'OPTIMISTIC', 1e0, 1e0, 320000e0),
         ('T4', 'subgroup', 0.53e0, 0.031e0, 10, 'CONSERVATIVE', 0.2e0, 1e0, 27000e0), ('T4', 'subgroup', 0.53e0, 0.031e0, 10, 'BASE', 0.4e0, 2e0, 22500e0), ('T4', 'subgroup', 0.53e0, 0.031e0, 10, 'OPTIMISTIC', 0.6e0, 4e0, 18000e0)
         ) AS t(treatment_id, target, cmf_point, cmf_se, life_years, scenario, exposure_share, density, unit_cost)""",
-    "annual": "SELECT unit_id, sum(total_mean12) / count(total_mean12) * 12 AS total_forecast, sum(ksi_mean12) / count(ksi_mean12) * 12 AS ksi_forecast FROM feat WHERE model_split = 'test' GROUP BY unit_id",
+    # twelve steps ahead: means of the last twelve months, calibrated and capped for ksi and fed back. The text is the oracle's; MARTS has the operator.
+    "forecast": _forecast(),
+    "annual": "SELECT unit_id, sum(total) AS total_forecast, sum(ksi) AS ksi_forecast FROM forecast GROUP BY unit_id",
     "shares": """SELECT unit_id, k, a, b, c, o, u, total, ksi, w1 * CASE WHEN ksi > 0 THEN k / ksi ELSE pk END + (1 - w1) * pk AS share_k, 1 - (w1 * CASE WHEN ksi > 0 THEN k / ksi ELSE pk END + (1 - w1) * pk) AS share_a,
         w2 * CASE WHEN non > 0 THEN b / non ELSE pb END + (1 - w2) * pb AS share_b, w2 * CASE WHEN non > 0 THEN c / non ELSE pc END + (1 - w2) * pc AS share_c, w2 * CASE WHEN non > 0 THEN o / non ELSE po END + (1 - w2) * po AS share_o
         FROM (SELECT h.*, CAST(total - ksi AS DOUBLE) AS non, ksi / (ksi + 10e0) AS w1, (total - ksi) / (total - ksi + 50e0) AS w2, CAST(sum(k) OVER () AS DOUBLE) / sum(ksi) OVER () AS pk,
         CAST(sum(b) OVER () AS DOUBLE) / sum(total - ksi) OVER () AS pb, CAST(sum(c) OVER () AS DOUBLE) / sum(total - ksi) OVER () AS pc, CAST(sum(o) OVER () AS DOUBLE) / sum(total - ksi) OVER () AS po FROM hist h)""",
     "posterior": """SELECT h.unit_id, coalesce(s.n, 0) AS n_sub, h.total, (coalesce(s.n, 0) + p * 50e0) / (h.total + 50e0) AS sub_share, p AS pooled FROM hist h LEFT JOIN subgroup s ON h.unit_id = s.unit_id
         CROSS JOIN (SELECT CAST(sum(s2.n) AS DOUBLE) / (SELECT sum(total) FROM hist) AS p FROM subgroup s2)""",
-    "benefit": """SELECT unit_id, unit_name, treatment_id, scenario, priority_area, exposure_share, cmf, averted, averted * p_ksi * share_k AS av_k, averted * p_ksi * share_a AS av_a, averted * (1 - p_ksi) * share_b AS av_b,
+    "benefit": """SELECT unit_id, unit_name, treatment_id, scenario, priority_area, exposure_share, cmf, life_years, averted, averted * p_ksi * share_k AS av_k, averted * p_ksi * share_a AS av_a, averted * (1 - p_ksi) * share_b AS av_b,
         averted * (1 - p_ksi) * share_c AS av_c, averted * (1 - p_ksi) * share_o AS av_o, quantity, cost,
         averted * (p_ksi * (share_k * 15988000e0 + share_a * 1705100e0) + (1 - p_ksi) * (share_b * 384000e0 + share_c * 204600e0 + share_o * 18100e0)) AS annual_benefit,
         averted * (p_ksi * (share_k * 15988000e0 + share_a * 1705100e0) + (1 - p_ksi) * (share_b * 384000e0 + share_c * 204600e0 + share_o * 18100e0)) * pv_factor AS pv,
         CASE WHEN treatment_id = 'T2' AND unit_id % 5 = 0 THEN 'NOT_APPLICABLE' ELSE 'UNKNOWN' END AS applicability
-        FROM (SELECT h.unit_id, h.unit_name, h.priority_area, t.treatment_id, t.scenario, t.exposure_share, s.share_k, s.share_a, s.share_b, s.share_c, s.share_o, s.ksi / CAST(s.total AS DOUBLE) AS p_ksi,
+        FROM (SELECT h.unit_id, h.unit_name, h.priority_area, t.treatment_id, t.scenario, t.exposure_share, t.life_years, s.share_k, s.share_a, s.share_b, s.share_c, s.share_o, s.ksi / CAST(s.total AS DOUBLE) AS p_ksi,
         (1 - power(1.03e0, -t.life_years)) / 0.03e0 AS pv_factor,
         CASE t.scenario WHEN 'CONSERVATIVE' THEN least(1e0, cmf_point + 1.96e0 * cmf_se) WHEN 'OPTIMISTIC' THEN greatest(0e0, cmf_point - 1.96e0 * cmf_se) ELSE cmf_point END AS cmf,
         CASE WHEN t.target = 'subgroup' THEN f.total_forecast * p.sub_share ELSE f.total_forecast END * t.exposure_share * (1 - CASE t.scenario WHEN 'CONSERVATIVE' THEN least(1e0, cmf_point + 1.96e0 * cmf_se)
@@ -104,21 +125,28 @@ VIEWS: dict[str, str] = {
     # raw text records with every kind of dirt
     "raw": """SELECT CAST(o_orderkey AS STRING) AS record_id, CASE WHEN o_orderkey % 17 = 0 THEN ' ' WHEN o_orderkey % 19 = 0 THEN 'UNEXPECTED VALUE' WHEN o_orderkey % 23 = 0 THEN '  fatal ' ELSE
         CASE CAST(substr(o_orderpriority, 1, 1) AS INT) WHEN 1 THEN 'FATAL' WHEN 2 THEN 'INCAPACITATING INJURY' WHEN 3 THEN 'NONINCAPACITATING INJURY' WHEN 4 THEN 'REPORTED, NOT EVIDENT' ELSE 'NO INDICATION OF INJURY' END END AS injury,
-        CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 29 = 0 THEN 'not a date' ELSE substr(CAST(o_orderdate AS STRING), 1, 10) END AS event_date,
+        CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 29 = 0 THEN 'not a date' WHEN o_orderkey % 5 = 0 THEN substr(CAST(o_orderdate AS STRING), 6, 2) || '/' || substr(CAST(o_orderdate AS STRING), 9, 2) || '/' || substr(CAST(o_orderdate AS STRING), 1, 4)
+        WHEN o_orderkey % 5 = 1 THEN substr(CAST(o_orderdate AS STRING), 1, 10) || 'T08:30:00.000' ELSE substr(CAST(o_orderdate AS STRING), 1, 10) END AS event_date,
         CASE WHEN o_orderkey % 11 = 0 THEN '7.0' WHEN o_orderkey % 11 = 1 THEN '3.5' WHEN o_orderkey % 11 = 2 THEN 'x' WHEN o_orderkey % 11 = 3 THEN '' ELSE CAST(o_orderkey % 97 AS STRING) END AS lanes,
         CASE WHEN o_orderkey % 7 = 0 THEN 'bad' WHEN o_orderkey % 7 = 1 THEN NULL ELSE CAST(CAST(o_orderkey % 900 AS DOUBLE) / 8 AS STRING) END AS speed,
         CASE o_orderkey % 4 WHEN 0 THEN 'Y' WHEN 1 THEN 'n' WHEN 2 THEN ' ' ELSE 'Q' END AS flag,
         CASE o_orderkey % 10 WHEN 0 THEN NULL WHEN 1 THEN '41.9' WHEN 2 THEN 'bad' WHEN 3 THEN '95' ELSE '41.88' END AS lat, CASE o_orderkey % 10 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE '-87.63' END AS lon,
         CASE o_orderkey % 5 WHEN 0 THEN ' N. Main  St. ' WHEN 1 THEN 'n main st' WHEN 2 THEN 'Martin L King Jr Dr' WHEN 3 THEN '' ELSE 'LAKE SHORE--DR' END AS street FROM orders""",
 }
-VIEWS["clean"] = """SELECT record_id, nullif(trim(injury), '') AS injury_text, CASE upper(trim(injury)) WHEN 'FATAL' THEN 'K' WHEN 'INCAPACITATING INJURY' THEN 'A' WHEN 'NONINCAPACITATING INJURY' THEN 'B'
-    WHEN 'REPORTED, NOT EVIDENT' THEN 'C' WHEN 'NO INDICATION OF INJURY' THEN 'O' ELSE 'U' END AS kabco, try_cast(nullif(trim(event_date), '') AS DATE) AS event_day,
+#: The day of a text in raw.
+DAY = "CASE WHEN substr(event_date, 3, 1) = '/' THEN try_cast(substr(event_date, 7, 4) || '-' || substr(event_date, 1, 2) || '-' || substr(event_date, 4, 2) AS DATE) ELSE try_cast(substr(nullif(event_date, ''), 1, 10) AS DATE) END"
+VIEWS["clean"] = f"""SELECT record_id, nullif(trim(injury), '') AS injury_text, CASE upper(trim(injury)) WHEN 'FATAL' THEN 'K' WHEN 'INCAPACITATING INJURY' THEN 'A' WHEN 'NONINCAPACITATING INJURY' THEN 'B'
+    WHEN 'REPORTED, NOT EVIDENT' THEN 'C' WHEN 'NO INDICATION OF INJURY' THEN 'O' ELSE 'U' END AS kabco, {DAY} AS event_day,
     CASE WHEN try_cast(nullif(trim(lanes), '') AS DOUBLE) % 1 = 0 THEN CAST(try_cast(nullif(trim(lanes), '') AS DOUBLE) AS BIGINT) END AS lanes, try_cast(nullif(trim(speed), '') AS DOUBLE) AS speed,
     nullif(upper(trim(flag)), '') AS flag, CASE WHEN coalesce(trim(lat), '') = '' AND coalesce(trim(lon), '') = '' THEN 'missing_pair' WHEN coalesce(trim(lat), '') = '' OR coalesce(trim(lon), '') = '' THEN 'incomplete_pair'
     WHEN try_cast(lat AS DOUBLE) IS NULL OR try_cast(lon AS DOUBLE) IS NULL THEN 'non_numeric' WHEN try_cast(lat AS DOUBLE) NOT BETWEEN 41 AND 43 OR try_cast(lon AS DOUBLE) NOT BETWEEN -89 AND -87 THEN 'out_of_range' ELSE 'valid' END AS coordinate_status
     FROM raw"""
 
 
+def _reads(sql: str, name: str) -> bool:
+    return re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql) is not None
+
+
 def needed(text: str) -> list[str]:
     """The views that a statement reads, directly or not, in order."""
     found: set[str] = set()
@@ -135,21 +163,66 @@ def needed(text: str) -> list[str]:
 
 def with_views(text: str) -> str:
     """The statement behind a WITH of its views. A statement that begins with 'WITH ' has its own views after them."""
-    views = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in needed(text))
+    return _with(text, needed(text))
+
+
+def _with(text: str, names: list[str]) -> str:
+    views = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in names)
     own = text.strip()
     if not views:
         return own
     return f"WITH {views},\n{own[5:]}" if own.upper().startswith("WITH ") else f"WITH {views}\n{own}"
 
 
+#: Views that an operator makes for Spark, of the Tables that they read. The text in VIEWS is the oracle's.
+MARTS: dict[str, Callable[[Tables], DataFrame]] = {}
+
+
+def mart(name: str):
+    def put(f):
+        MARTS[name] = f
+        return f
+
+    return put
+
+
+class Tables:
+    """The tables of a folder and what one query makes of them. Marts are written once to the checkpoint folder and read from there; no temporary view of the session is touched."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self.frames = spark, sf_dir, {}
+
+    def view(self, name: str) -> DataFrame:
+        """A table, a mart or any other view."""
+        if name in self.frames:
+            return self.frames[name]
+        if name in TABLES:
+            self.frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        elif name in MARTS:
+            self.frames[name] = cut_lineage(MARTS[name](self), name)
+        else:
+            return self.sql(f"SELECT * FROM {name}")
+        return self.frames[name]
+
+    def sql(self, text: str) -> DataFrame:
+        inline: set[str] = set()
+
+        def visit(sql: str) -> None:
+            for name in VIEWS:
+                if name not in inline and name not in MARTS and _reads(sql, name):
+                    inline.add(name)
+                    visit(VIEWS[name])
+
+        visit(text)
+        sql = _with(text, [v for v in VIEWS if v in inline])
+        used = {n: self.view(n) for n in (*TABLES, *MARTS) if _reads(sql, n)}
+        return self.spark.sql(re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(used)})\b", r"\1\2{\3}", sql), **used) if used else self.spark.sql(sql)
+
+
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run a statement over the tables in sf_dir."""
-    sql = with_views(text)
-    for t in TABLES:
-        if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(sql)
+    return Tables(spark, sf_dir).sql(text)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return run_sql(spark, sf_dir, f"SELECT * FROM {name}")
+    return Tables(spark, sf_dir).view(name)

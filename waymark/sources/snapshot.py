@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from waymark.functions.storage import cut_lineage
+
 
 def read_text_parts(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
     """Union of CSV parts (also gzipped) as strings of a fixed column list; nothing is inferred."""
@@ -33,14 +35,49 @@ def publish_if_passed(df: DataFrame, checks: DataFrame, folder: str) -> bool:
     return True
 
 
-def audit_files(spark: SparkSession, folder: str, manifest: DataFrame, canonical_newlines: bool = False) -> DataFrame:
-    """One row a file name: size and SHA-256 against the manifest (name, bytes, sha256); missing and extra files show."""
-    content: Column = F.col("content")
-    if canonical_newlines:
-        content = F.regexp_replace(F.decode(content, "UTF-8"), "\r\n", "\n").cast("binary")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.length(content).cast("long").alias("found_bytes"), F.sha2(content, 256).alias("found_sha256"))
-    j = manifest.join(files, "name", "full_outer")
-    return j.select("name", F.coalesce(F.col("bytes") == F.col("found_bytes"), F.lit(False)).alias("size_ok"), F.coalesce(F.col("sha256") == F.col("found_sha256"), F.lit(False)).alias("sha_ok"))
+def publish_parts(df: DataFrame, folder: str, key: str, parts: int, compression: str = "gzip") -> None:
+    """Write df as CSV parts (rows of equal key modulo parts) and, beside them, the manifest: part, name, bytes, sha256 and canonical checksum of the files as written, and rows as counted in df."""
+    numbered = df.withColumn("part", F.pmod(F.col(key), F.lit(parts)).cast("int"))
+    numbered.repartition(parts, "part").sortWithinPartitions("part", *df.columns).write.partitionBy("part").option("header", True).option("compression", compression).csv(f"{folder}/data")
+    counted = numbered.groupBy("part").agg(F.count("*").alias("rows"))
+    counted.join(_files(df.sparkSession, folder), "part", "full_outer").write.parquet(f"{folder}/manifest")
+
+
+def _name(path: Column) -> Column:
+    """The part's folder and the file in it."""
+    return F.concat_ws("/", F.slice(F.split(path, "/"), -2, 2))
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """(part, name, bytes, sha256, canonical_sha256) of the files there are; canonical: with LF for CRLF."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{folder}/data")
+    canonical = F.regexp_replace(F.decode("content", "ISO-8859-1"), "\r\n", "\n")
+    return f.select(
+        F.regexp_extract("path", r"part=(\d+)", 1).cast("int").alias("part"), _name(F.col("path")).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"),
+        F.sha2(F.encode(canonical, "ISO-8859-1"), 256).alias("canonical_sha256"),
+    )
+
+
+def audit_parts(spark: SparkSession, folder: str, canonical_newlines: bool = False, required: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each file of the manifest or the folder: size_ok, sha_ok, expected_rows and found_rows, parts_ok (as many files as the manifest names), columns_ok. A lost or extra file fails."""
+    manifest, there = spark.read.parquet(f"{folder}/manifest"), _files(spark, folder)
+    rows = spark.read.option("header", True).option("recursiveFileLookup", True).csv(f"{folder}/data")
+    header = F.lit(all(c in rows.columns for c in required))
+    found = rows.groupBy(_name(F.col("_metadata.file_path")).alias("name")).agg(F.count("*").alias("found_rows"))
+    sha = "canonical_sha256" if canonical_newlines else "sha256"
+    j = manifest.select("part", "name", F.col("bytes").alias("b"), F.col(sha).alias("s"), F.col("rows").alias("expected_rows")).join(there.select(F.col("part").alias("p"), "name", "bytes", F.col(sha).alias("found")), "name", "full_outer").join(found, "name", "left")
+    numbers = manifest.agg(F.count("name").alias("n")).crossJoin(there.agg(F.count("name").alias("m"))).select((F.col("n") == F.col("m")).alias("parts_ok"))
+    size = F.lit(True) if canonical_newlines else F.coalesce(F.col("b") == F.col("bytes"), F.lit(False))
+    return j.select(
+        F.coalesce("part", "p").alias("part"), "name", size.alias("size_ok"), F.coalesce(F.col("s") == F.col("found"), F.lit(False)).alias("sha_ok"), F.coalesce("expected_rows", F.lit(0)).alias("expected_rows"), F.coalesce("found_rows", F.lit(0)).alias("found_rows"), header.alias("columns_ok")
+    ).crossJoin(F.broadcast(numbers))
+
+
+def append_issues(metrics: DataFrame, folder: str, run_id: str) -> None:
+    """Append a row DQ-<run>-NNN for each metric (metric, n) above zero to the register; earlier rows stay."""
+    w = Window.orderBy("metric")  # one row a metric
+    rows = metrics.filter("n > 0").withColumn("issue_id", F.format_string(f"DQ-{run_id}-%03d", F.row_number().over(w)))
+    rows.select("issue_id", F.lit(run_id).alias("run_id"), "metric", "n").write.mode("append").parquet(folder)
 
 
 GEOJSON = "type string, features array<struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:array<array<double>>>>>"
@@ -54,11 +91,17 @@ def read_geojson(spark: SparkSession, folder: str, bad_ids: tuple[str, ...] = ()
     return f.select("id", "geometry_type", F.posexplode("c").alias("seq", "p")).select("id", "geometry_type", "seq", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
-def profile_geojson(spark: SparkSession, folder: str, id_field: str = "id") -> DataFrame:
-    """One row: features, empty geometries, missing ids, distinct and repeated ids."""
+def profile_geojson(spark: SparkSession, folder: str, id_field: str = "id", required: tuple[str, ...] = ("id",)) -> DataFrame:
+    """One row: features, empty geometries, missing and distinct ids, ids repeated within a page and across pages, a histogram of geometry types, missing required properties."""
     pages = spark.read.schema(GEOJSON).option("multiLine", True).json(folder)
-    f = pages.select(F.explode("features").alias("f")).select(F.col("f.properties")[id_field].alias("id"), F.size("f.geometry.coordinates").alias("n"))
-    return f.agg(F.count("*").alias("features"), F.count_if(F.coalesce(F.col("n"), F.lit(0)) <= 0).alias("empty"), F.count_if(F.col("id").isNull()).alias("missing_ids"), F.countDistinct("id").alias("ids"), (F.count("id") - F.countDistinct("id")).alias("repeated"))
+    f = pages.select(F.monotonically_increasing_id().alias("page"), "features").select("page", F.explode("features").alias("f"))
+    f = f.select("page", F.col("f.properties")[id_field].alias("id"), F.size("f.geometry.coordinates").alias("n"), F.col("f.geometry.type").alias("type"), sum((F.col("f.properties")[r].isNull().cast("int") for r in required), F.lit(0)).alias("lacking"))
+    f = cut_lineage(f, "features")  # page numbers stay as they are
+    whole = f.agg(F.count("*").alias("features"), F.count_if(F.coalesce(F.col("n"), F.lit(0)) <= 0).alias("empty"), F.count_if(F.col("id").isNull()).alias("missing_ids"), F.countDistinct("id").alias("ids"), F.sum("lacking").alias("missing_properties"))
+    in_page = f.filter("id is not null").groupBy("page", "id").agg(F.count("*").alias("k"))
+    repeats = in_page.agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("repeated_in_page"), (F.count("*") - F.countDistinct("id")).alias("repeated_across_pages"))
+    kinds = f.filter("type is not null").groupBy("type").agg(F.count("*").alias("k")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "type", "k"))), ", ").alias("geometry_types"))
+    return whole.crossJoin(F.broadcast(repeats)).crossJoin(F.broadcast(kinds))
 
 
 def schema_rows(df: DataFrame, expected: dict[str, str]) -> DataFrame:
