@@ -2,15 +2,15 @@
 
 A window is 13 consecutive words of an item (a shorter item is one window). A window stands in a
 document exactly if its words stand there in sequence, so all of its five-word shingles do: for full containment one
-necessary shingle is the whole prefix. The shingles of the benchmark are joined to those of
-the documents in one pass over the texts; their document counts order them by rarity, and each window is
-looked up by its rarest shingle alone. A window with an absent shingle is dropped there. The shingle's
-offset gives the one place where the window can start; that place is bounded by the text's ends
-and its words are compared exactly.
+necessary shingle is the whole prefix.
 
-Every match carries the few words around it, so texts are read once and never
-shuffled while the benchmark's shingles are at most BROADCAST_ROWS; a larger benchmark is joined by a
-shuffle on the shingle instead and the words are fetched afterwards.
+1. Rarity: one pass over the texts counts the documents' shingles that some window has.
+2. Prefix: each window is named by its rarest shingle; windows with a shingle that no document has are dropped.
+3. Join: a second pass joins the prefix shingles alone. The shingle's offset gives the one place where the window can start; that place is
+   bounded by the text's ends, and the window's words are compared with those that stand there.
+
+Texts are never shuffled while the benchmark has at most BROADCAST_ROWS shingles; a larger benchmark is joined by a
+shuffle on the shingle (where Spark splits a frequent one among tasks), and the words are fetched for the bounded places that are left.
 
 Defined results: null or wordless texts have no words and are clean; wordless items have no window; items with equal
 windows all count; items without an id count as one item of empty id; equal rows get equal results; empty tables give empty or clean
@@ -59,29 +59,51 @@ def _window_shingles(windows: DataFrame) -> DataFrame:
     return parts
 
 
-def _occurrences(docs: DataFrame, shingles: DataFrame, ks: list[int], small: bool) -> DataFrame:
-    """(__id, __rid, n_words, h, k, pos, c0, ctx): where shingles stand, with the words around; and a row with null h for every document."""
+def _hashed(docs: DataFrame, ks: list[int]) -> DataFrame:
+    """docs with words w, n_words and hs: the hashes of all shingles, of each length in turn, and a null."""
     src = docs.withColumn("w", words_of(F.col("__text"))).withColumn("n_words", F.size("w"))
-    n, w = F.col("n_words"), F.col("w")
-    hashes = src.withColumn("hs", F.concat(*[_shingle_hashes(w, n, k) for k in ks], F.array(F.lit(None).cast("bigint"))))
-    before, at = {}, F.lit(0)
+    w, n = F.col("w"), F.col("n_words")
+    return src.withColumn("hs", F.concat(*[_shingle_hashes(w, n, k) for k in ks], F.array(F.lit(None).cast("bigint"))))
+
+
+def _position(ks: list[int]) -> Column:
+    """The place in the text of the shingle of length k at idx of hs; negative if the shingle there is shorter."""
+    before, at = [], F.lit(0)
     for k in ks:
-        before[k] = at
-        at = at + F.greatest(F.lit(0), n - (k - 1))
-    offset = F.coalesce(*[F.when(F.col("k") == k, before[k]) for k in ks], F.lit(0))
-    c0 = F.greatest(F.col("pos") - (WINDOW - SHINGLE), F.lit(0))
-    ctx = F.slice(w, F.col("c0") + 1, F.least(F.col("pos") + WINDOW, n) - F.col("c0"))
+        before.append(F.when(F.col("k") == k, at))
+        at = at + F.greatest(F.lit(0), F.col("n_words") - (k - 1))
+    return F.col("idx") - F.coalesce(*before, F.lit(0))
+
+
+def _rarest(docs: DataFrame, shingles: DataFrame, ks: list[int], small: bool) -> DataFrame:
+    """(window, wlen, k, off, h): the prefix of every window that can stand in some document."""
+    known = shingles.select("h").distinct()
     # outer: hs is never empty, and the plain form puts a filter on its size below, where the words would be split again for each shingle
+    seen = _hashed(docs, ks).select(F.explode_outer("hs").alias("h")).join(F.broadcast(known) if small else known, "h")
+    counts = seen.groupBy("h").agg(F.count("*").alias("seen"))
+    named = shingles.join(counts, "h", "left").groupBy("window", "wlen").agg(
+        F.min_by(F.struct("off", "h", "k"), F.struct("seen", "off")).alias("p"), F.bool_and(F.col("seen").isNotNull()).alias("all_seen")
+    )
+    return named.filter("all_seen").select("window", "wlen", "p.off", "p.h", "p.k")
+
+
+def _standing(docs: DataFrame, prefixes: DataFrame, ks: list[int], small: bool) -> DataFrame:
+    """(__id, __rid, n_words, start, end, window): where windows stand, and a row with null window for every document."""
+    src = _hashed(docs, ks)
+    start = F.col("pos") - F.col("off")
+    bounded = (F.col("pos") >= 0) & (start >= 0) & (start + F.col("wlen") <= F.col("n_words"))
+    exact = F.array_join(F.slice("w", F.col("start") + 1, F.col("wlen")), " ") == F.col("window")
+    out = ["__id", "__rid", "n_words", "start", (F.col("start") + F.col("wlen")).alias("end"), "window"]
     if small:
-        hit = hashes.select("__id", "__rid", "n_words", "w", F.posexplode_outer("hs").alias("idx", "h")).join(F.broadcast(shingles), "h", "left").filter("h is null or k is not null")
-        hit = hit.withColumn("pos", F.when(F.col("h").isNotNull(), F.col("idx") - offset)).filter("h is null or pos >= 0")
-        return hit.withColumn("c0", c0).select("__id", "__rid", "n_words", "h", "k", "pos", "c0", F.when(F.col("h").isNotNull(), ctx).alias("ctx"))
-    hit = hashes.select("__id", "__rid", "n_words", F.posexplode_outer("hs").alias("idx", "h")).filter("h is not null").join(shingles, "h")
-    hit = hit.withColumn("pos", F.col("idx") - offset).filter("pos >= 0").groupBy("__id", "__rid").agg(F.collect_set(F.struct("h", "k", "pos")).alias("m"))
-    b = hit.select(F.col("__id").alias("b_id"), F.col("__rid").alias("b_rid"), "m")
-    found = src.join(b, F.col("__id").eqNullSafe(F.col("b_id")) & (F.col("__rid") == F.col("b_rid")), "left")
-    found = found.select("__id", "__rid", "n_words", "w", F.explode(F.concat(F.coalesce("m", F.array().cast("array<struct<h:bigint,k:int,pos:int>>")), F.array(F.lit(None).cast("struct<h:bigint,k:int,pos:int>")))).alias("x"))
-    return found.select("__id", "__rid", "n_words", "w", "x.h", "x.k", "x.pos").withColumn("c0", c0).select("__id", "__rid", "n_words", "h", "k", "pos", "c0", F.when(F.col("h").isNotNull(), ctx).alias("ctx"))
+        met = src.select("__id", "__rid", "n_words", "w", F.posexplode_outer("hs").alias("idx", "h")).join(F.broadcast(prefixes), "h", "left").filter("h is null or window is not null")
+        met = met.withColumn("pos", _position(ks)).withColumn("start", F.when(bounded, start))
+        return met.filter(F.col("h").isNull() | (F.col("start").isNotNull() & exact)).select(*out)
+    met = src.select("__id", "__rid", "n_words", F.posexplode_outer("hs").alias("idx", "h")).filter("h is not null").join(prefixes, "h").withColumn("pos", _position(ks)).filter(bounded)
+    met = met.select(F.col("__id").alias("b_id"), F.col("__rid").alias("b_rid"), F.struct(start.alias("start"), "wlen", "window").alias("m")).groupBy("b_id", "b_rid").agg(F.collect_set("m").alias("m"))
+    kind = met.schema["m"].dataType
+    found = src.join(met, F.col("__id").eqNullSafe(F.col("b_id")) & (F.col("__rid") == F.col("b_rid")), "left").withColumn("m", F.coalesce(F.col("m"), F.array().cast(kind)))
+    found = found.select("__id", "__rid", "n_words", "w", F.explode(F.concat("m", F.array(F.lit(None).cast(kind.elementType)))).alias("x")).select("__id", "__rid", "n_words", "w", "x.*")
+    return found.filter(F.col("window").isNull() | exact).select(*out)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -91,18 +113,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     shingles = materialize(_window_shingles(windows), "window-shingles")
     known = shingles.select("h", "k").distinct()
     ks = [r.k for r in known.select("k").distinct().orderBy("k").collect()]  # at most five numbers
-    small = known.count() <= broadcast_rows
-    occ = materialize(_occurrences(docs, known, ks, small), "occurrences")
-    counts = occ.filter("h is not null").groupBy("h").agg(F.count("*").alias("seen"))
-    rarest = shingles.join(counts, "h", "left").groupBy("window", "wlen").agg(
-        F.min_by(F.struct("off", "h"), F.struct("seen", "off")).alias("p"), F.bool_and(F.col("seen").isNotNull()).alias("all_seen")
-    ).filter("all_seen").select("window", "wlen", "p.off", "p.h")
-    rarest = materialize(rarest, "prefixes")
-    probe = F.broadcast(rarest) if small else rarest  # no more windows than shingle rows of a small benchmark
-    start = F.col("pos") - F.col("off")
-    exact = F.array_join(F.slice("ctx", start - F.col("c0") + 1, F.col("wlen")), " ") == F.col("window")
-    hits = occ.filter("h is not null").join(probe, "h").filter((start >= 0) & (start + F.col("wlen") <= F.col("n_words"))).filter(exact)
-    hits = materialize(hits.select("__id", "__rid", start.alias("start"), (start + F.col("wlen")).alias("end"), "window").distinct(), "hits")
+    small = known.count() <= broadcast_rows  # and so are the prefixes, one a window
+    prefixes = materialize(_rarest(docs, shingles, ks, small), "prefixes")
+    occ = materialize(_standing(docs, prefixes, ks, small), "standing")
+    hits = occ.filter("window is not null").select("__id", "__rid", "start", "end", "window").distinct()
 
     order = W.partitionBy("__id", "__rid").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     spans = hits.select("__id", "__rid", "start", "end").distinct().withColumn("reach", F.coalesce(F.max("end").over(order), F.lit(0)))
@@ -110,7 +124,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     owners = windows.select(F.array_join("w", " ").alias("window"), F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")).distinct()
     items = hits.select("__id", "__rid", "window").distinct().join(owners, "window").groupBy("__id", "__rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
     per_doc = n_hit.join(items, n_hit["__id"].eqNullSafe(items["__id"]) & (n_hit["__rid"] == items["__rid"])).select(n_hit["__id"].alias("d_id"), n_hit["__rid"].alias("d_rid"), "n_hit", "items")
-    rows = occ.filter("h is null").select("__id", "__rid", "n_words")
+    rows = occ.filter("window is null").select("__id", "__rid", "n_words")
     return rows.join(per_doc, F.col("__id").eqNullSafe(F.col("d_id")) & (F.col("__rid") == F.col("d_rid")), "left").select(
         "__id", "__rid", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
