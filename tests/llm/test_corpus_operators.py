@@ -76,11 +76,44 @@ def test_sharding(spark):
     where = {}
     for r in rows:
         where.setdefault(texts[r.doc_id], set()).add(r.shard)
-    assert sum(len(where[f"copy {k}"]) == 1 for k in range(20)) >= 15  # most groups stay whole
+    assert sum(len(where[f"copy {k}"]) == 1 for k in range(20)) >= 20 - 5  # a border between two shards cuts one group at most
+    assert len(where["hot"]) < 6  # 90 rows, and 53 or 54 a shard
     assert sharding.assign(df.limit(0)).count() == 0
     assert sharding.assign(df.filter("doc_id < 3")).count() == 3
 
 
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_sharding_cuts_few_groups(spark, monkeypatch, hot):
+    """Groups of five over 24 shards: as many cuts as borders, at most twice; also with hot keys joined apart and split buckets; texts of any kind."""
+    monkeypatch.setattr(sharding, "HOT_KEYS", hot)
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 100)
+    texts = [f"group {k // 5}" for k in range(2000)] + ["big"] * 1100 + ["x" * 3_000_000, None, "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    rows = sharding.assign(df).collect()
+    where = {}
+    for r in rows:
+        where.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert sum(len(where[f"group {k}"]) > 1 for k in range(400)) <= 46
+    for s in range(24):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_propagation_cuts_links(spark):
+    """Cliques joined in a ring: propagation cuts far fewer links than its start, under the capacity."""
+    cliques, size = 60, 8
+    links = [(c * size + a, c * size + b) for c in range(cliques) for a in range(size) for b in range(a)] + [(c * size, (c + 1) % cliques * size) for c in range(cliques)]
+    total = cliques * size
+    nodes = spark.range(total).withColumnRenamed("id", "nid")
+    edges = spark.createDataFrame([(max(e), min(e)) for e in links], "src long, dst long")
+    cut = {}
+    for rounds in (0, 8):
+        labels = sharding.propagate(nodes, edges, total, 6, rounds)
+        cut[rounds] = sharding.cut_links(labels, edges).first()
+        if rounds:
+            assert max(r["count"] for r in labels.groupBy("shard").count().collect()) <= max(total / 6 * (1 + sharding.SLACK) + size, max(r["count"] for r in sharding.propagate(nodes, edges, total, 6, 0).groupBy("shard").count().collect()))
+    assert cut[0].links == len(links) and cut[8].cut <= cut[0].cut and cut[8].cut <= 0.1 * len(links)
+
+
 def test_toxicity_held_out(spark):
     d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     extra = spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "", "en", "s", 0)], d.schema)
