@@ -16,6 +16,9 @@ first name; an empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +28,8 @@ from waymark.llm.common import materialize, text_or_empty
 THRESHOLD = 0.8
 #: Template bigrams up to which they are sent to every task (24 bytes each).
 BROADCAST_ROWS = 200_000
+#: Distinct size ranges of templates up to which units are held against each of them before their bigrams are laid out.
+RANGES = 500
 NOT_WORDS = r"[^\p{L}\p{N}]+"
 
 # Licence notices and texts.
@@ -60,7 +65,86 @@ TEMPLATES = {
     "BSD notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "Unlicense notice": "This is free and unencumbered software released into the public domain.",
+    "Unlicense notice": 'This is free and unencumbered software released into the public domain.',
+    "Unlicense": (
+        'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source '
+        'code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this '
+        'software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our '
+        'heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE '
+        'SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND '
+        'NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN '
+        'CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>'
+    ),
+    "BSD-2-Clause": (
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must '
+        'retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of '
+        'conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND '
+        'CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE '
+        'DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT '
+        'LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN '
+        'CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+    ),
+    "BSD-3-Clause": (
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must '
+        'retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of '
+        'conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its '
+        'contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND '
+        'CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE '
+        'DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT '
+        'LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN '
+        'CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        'Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following '
+        'restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an '
+        'acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as '
+        'being the original software. 3. This notice may not be removed or altered from any source distribution.'
+    ),
+    "BSL-1.0": (
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") '
+        'to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is '
+        'furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the '
+        'following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are '
+        'solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, '
+        'INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE '
+        'DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE '
+        'OR OTHER DEALINGS IN THE SOFTWARE.'
+    ),
+    "MPL-2.0 notice": (
+        'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at '
+        'https://mozilla.org/MPL/2.0/.'
+    ),
+    "EPL-2.0 notice": 'This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/',
+    "GPL-2.0 header": (
+        'This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either '
+        'version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied '
+        'warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public '
+        'License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.'
+    ),
+    "LGPL-2.1 header": (
+        'This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; '
+        'either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the '
+        'implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU '
+        'Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.'
+    ),
+    "LGPL-3.0 header": (
+        'This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; '
+        'either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the '
+        'implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU '
+        'Lesser General Public License along with this program; if not, see <https://www.gnu.org/licenses/>.'
+    ),
+    "AGPL-3.0 header": (
+        'This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation; '
+        'either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the '
+        'implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU '
+        'Affero General Public License along with this program; if not, see <https://www.gnu.org/licenses/>.'
+    ),
+    "CC0-1.0 notice": (
+        'To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide. This work is distributed '
+        'without any warranty. You should have received a copy of the CC0 Public Domain Dedication along with this work. If not, see https://creativecommons.org/publicdomain/zero/1.0/.'
+    ),
+    "CC-BY-SA-4.0 notice": 'This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.',
 }
 
 
@@ -78,6 +162,19 @@ def _sets(df: DataFrame) -> DataFrame:
     return d.withColumn("b", _bigrams(F.col("__w"), F.col("__n"))).drop("__w", "__n").withColumn("nb", F.coalesce(F.size("b"), F.lit(0)))
 
 
+def _merged(ranges: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Sorted size ranges put together where they meet; of more than RANGES, the whole extent."""
+    if len(ranges) > RANGES:
+        return [(0.0, float("inf"))]
+    out: list[tuple[float, float]] = []
+    for lo, hi in ranges:
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES.items()), "license string, text string")
 
@@ -88,7 +185,7 @@ def matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col:
     t = materialize(_sets(known.select("license", length, F.col("text").alias("__u"))).filter("nb > 0"), "templates")
     low, high = F.lit(threshold / (2 - threshold)), F.lit((2 - threshold) / threshold)
     grams = t.select("license", "tn", F.col("nb").alias("tb"), (low * F.col("nb") - 1e-9).alias("lo"), (high * F.col("nb") + 1e-9).alias("hi"), F.explode("b").alias("h"))
-    bounds = t.agg(F.min(low * F.col("nb")), F.max(high * F.col("nb"))).first()  # one row
+    ranges = _merged([(r.lo, r.hi) for r in grams.select("lo", "hi").distinct().orderBy("lo").limit(RANGES + 1).collect()])
     if grams.count() <= BROADCAST_ROWS:
         grams = F.broadcast(grams)
     lines = F.split(F.col("__t"), "\n")
@@ -100,7 +197,7 @@ def matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col:
     units = units.withColumn("whole", F.col("__p") == F.col("__k") - 1)
     units = units.withColumn("unit", F.when((F.col("__k") > 1) & F.col("whole"), F.lit(-1)).otherwise(F.col("__p"))).drop("__k", "__p")
     # no filter on nb: Spark would push it below, where the bigrams would be computed twice
-    fits = (F.col("nb") >= (bounds[0] or 0) - 1e-9) & (F.col("nb") <= (bounds[1] or 0) + 1e-9)
+    fits = reduce(or_, [F.col("nb").between(lo, hi) for lo, hi in ranges], F.lit(False))
     sets = _sets(units).withColumn("b", F.when(fits | F.col("whole"), F.col("b")))
     sized = (F.col("nb") >= F.col("lo")) & (F.col("nb") <= F.col("hi"))
     met = sets.select("__id", "__rid", "__row", "unit", "whole", "nb", F.explode_outer("b").alias("h")).join(grams, "h").filter(F.col("whole") | sized)
