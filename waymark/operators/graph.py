@@ -10,7 +10,7 @@ from waymark.functions.storage import cut_lineage
 from waymark.operators.spatial import near_segments
 
 #: Relaxations of one job.
-STEPS_PER_WRITE = 6
+STEPS_PER_WRITE = 4
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

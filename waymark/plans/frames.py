@@ -324,12 +324,19 @@ def _paths(spark, d):
     return graph.shortest_paths(edges, edges.groupBy("grp").agg(F.min("dst").alias("node")))
 
 
-@query()
+# recursion by key is the oracle's; the operators relax and propagate in joins
+_TWO = f"e AS MATERIALIZED ({EDGES}), two AS MATERIALIZED (SELECT grp, src, dst, min(weight) AS weight FROM (SELECT grp, src, dst, weight FROM e UNION ALL SELECT grp, dst, src, weight FROM e) GROUP BY grp, src, dst)"
+_SP = f"""WITH RECURSIVE {_TWO}, sp(grp, node, distance) USING KEY (grp, node) AS (SELECT grp, min(dst), CAST(0 AS BIGINT) FROM e GROUP BY grp UNION SELECT t.grp, t.dst, min(c.distance + t.weight) FROM sp c JOIN two t ON t.grp = c.grp AND t.src = c.node
+    LEFT JOIN recurring.sp o ON o.grp = t.grp AND o.node = t.dst WHERE o.distance IS NULL OR c.distance + t.weight < o.distance GROUP BY t.grp, t.dst)"""
+
+
+@query(f"{_SP} SELECT grp, node, distance FROM sp")
 def sp11_shortest_paths(spark, d):
     return _paths(spark, d).select("grp", "node", "distance")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TWO}, cc(grp, node, component) USING KEY (grp, node) AS (SELECT grp, src, min(least(src, dst)) FROM two GROUP BY grp, src UNION SELECT t.grp, t.dst, min(c.component) FROM cc c JOIN two t ON t.grp = c.grp AND t.src = c.node
+    JOIN recurring.cc o ON o.grp = t.grp AND o.node = t.dst WHERE c.component < o.component GROUP BY t.grp, t.dst) SELECT grp, node, component FROM cc""")
 def sp12_components(spark, d):
     return graph.connected_components(run_sql(spark, d, EDGES))
 
@@ -362,7 +369,9 @@ def sp14_carriageways(spark, d):
     return spatial.carriageway_lengths(segments(spark, d)).select("unit_id", "parts", r6("length").alias("length"), r6("linework").alias("linework"))
 
 
-@query()
+@query(f"""{_SP}, par AS (SELECT s.grp, s.node, min(t.src) AS parent FROM sp s JOIN two t ON t.grp = s.grp AND t.dst = s.node JOIN sp q ON q.grp = t.grp AND q.node = t.src WHERE s.distance > 0 AND q.distance + t.weight = s.distance GROUP BY s.grp, s.node),
+    walk AS (SELECT grp, max(dst) AS target, max(dst) AS node, max(dst) AS nodes FROM e GROUP BY grp UNION ALL SELECT w.grp, w.target, p.parent, p.parent || '>' || w.nodes FROM walk w JOIN par p ON p.grp = w.grp AND p.node = w.node)
+    SELECT w.grp, w.target, w.nodes, s.distance AS length FROM walk w JOIN sp s ON s.grp = w.grp AND s.node = w.target JOIN sp z ON z.grp = w.grp AND z.node = w.node WHERE z.distance = 0""")
 def sp14_routes(spark, d):
     edges = run_sql(spark, d, EDGES)
     return graph.routes(_paths(spark, d), edges.groupBy("grp").agg(F.max("dst").alias("node")))
@@ -446,7 +455,16 @@ def va06_monotonic(spark, d):
 _AGAIN = ("kabco", "coordinate_status", "event_day", "lanes", "speed", "flag")
 
 
-@query(_gate_sql("n AS (SELECT count(*) AS n FROM raw)", "n", {f"{c}_differs": ("CRITICAL", "max(n - n)") for c in (*_AGAIN, "event_year", "month_start")} | {"rows_lost": ("CRITICAL", "max(n - n)")}))
+#: A second derivation in the oracle's own terms: a table of severities, date patterns, and masks from the last to the first.
+_SECOND = """again AS (SELECT r.record_id, coalesce(m.c, 'U') AS kabco, CAST(coalesce(try_strptime(trim(r.event_date), '%m/%d/%Y'), try_strptime(trim(r.event_date), '%Y-%m-%dT%H:%M:%S.%g'), try_strptime(trim(r.event_date), '%Y-%m-%d')) AS DATE) AS event_day,
+    CAST(regexp_extract(trim(r.lanes), '^(\\d+)(\\.0+)?$', 1) AS VARCHAR) AS lanes, try_cast(trim(r.speed) AS DOUBLE) AS speed, upper(nullif(trim(r.flag), '')) AS flag,
+    CASE WHEN nullif(trim(r.lat), '') IS NULL THEN CASE WHEN nullif(trim(r.lon), '') IS NULL THEN 'missing_pair' ELSE 'incomplete_pair' END WHEN nullif(trim(r.lon), '') IS NULL THEN 'incomplete_pair' WHEN try_cast(r.lat AS DOUBLE) + try_cast(r.lon AS DOUBLE) IS NULL THEN 'non_numeric'
+    WHEN abs(try_cast(r.lat AS DOUBLE) - 42) <= 1 AND abs(try_cast(r.lon AS DOUBLE) + 88) <= 1 THEN 'valid' ELSE 'out_of_range' END AS coordinate_status
+    FROM raw r LEFT JOIN (VALUES ('FATAL', 'K'), ('INCAPACITATING INJURY', 'A'), ('NONINCAPACITATING INJURY', 'B'), ('REPORTED, NOT EVIDENT', 'C'), ('NO INDICATION OF INJURY', 'O')) m(t, c) ON m.t = upper(trim(r.injury))),
+    j AS (SELECT c.*, a.kabco AS kabco_2, a.event_day AS event_day_2, try_cast(nullif(a.lanes, '') AS BIGINT) AS lanes_2, a.speed AS speed_2, a.flag AS flag_2, a.coordinate_status AS coordinate_status_2 FROM clean c FULL JOIN again a ON a.record_id = c.record_id)"""
+
+
+@query(_gate_sql(_SECOND, "j", {f"{c}_differs": ("CRITICAL", f"count(CASE WHEN {c} IS DISTINCT FROM {c}_2 THEN 1 END)") for c in _AGAIN} | {"event_year_differs": ("CRITICAL", "count(CASE WHEN year(event_day) IS DISTINCT FROM year(event_day_2) THEN 1 END)"), "month_start_differs": ("CRITICAL", "count(CASE WHEN date_trunc('month', event_day) IS DISTINCT FROM date_trunc('month', event_day_2) THEN 1 END)"), "rows_lost": ("CRITICAL", "(SELECT count(*) FROM raw) - count(record_id)")}))
 def va07_rederivation(spark, d):
     """Every derived column is derived again, by the statement, from the stored source columns."""
     again = view(spark, d, "clean").select("record_id", *[F.col(c).alias(f"{c}_2") for c in _AGAIN])
