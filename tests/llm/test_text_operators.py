@@ -28,6 +28,16 @@ def tiktoken_ids(text):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary_batch(text)
 
 
+def test_bpe_forgets_words(monkeypatch):
+    """Words kept from earlier texts, and those met again after the worker has begun anew, give the same ids."""
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(60)) for _ in range(30)] + ["very " * 50_000]
+    want = [np.asarray(i, "<u4").tobytes() for i in tiktoken_ids(texts)]
+    for kept in (400_000, 300, 1):
+        monkeypatch.setattr(bpe, "WORDS_KEPT", kept)
+        assert [x for k in range(0, len(texts), 4) for x in bpe.encode_texts(texts[k : k + 4], PATH, public_tokenizers.PATTERN)] == want
+
+
 def test_bpe_equals_library(spark):
     rng = random.Random(3)
     texts = ["", "Hello  world\n\n it's 1234", "a" * 5000, "ab" * 2000, "\x1c\x1d a\x85b ", "été 東京 😀🏽 नमस्ते", *("".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x3000), rng.randrange(0x1F300, 0x1F600)])) for _ in range(80)) for _ in range(300))]

@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Every task collects the distinct pre-tokens of its share of the corpus, lays all of
+Every task gathers the distinct pre-tokens of its share of the corpus that its Python worker has not met before, lays all of
 them out in one symbol list, and keeps an inverted index from a mergeable pair (named by
 the rank of its merged token) to the positions where it stands. Merges are then replayed in rank order over all
 words at once; a merge touches only the two neighbours of each position it changes.
-Words are encoded once and documents are put together from them.
+Words are encoded once and kept, up to WORDS_KEPT of them, for the texts and tasks that follow; documents are put together from them.
 
 Defined results: a null text counts as empty and gives no ids; an empty table gives an
 empty table; equal texts give equal ids; a word of any length is merged in
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from waymark.llm.common import text_batches
 
 #: Texts are taken together up to about this many characters before merges are replayed.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
+#: Words that a worker keeps with their ids before it begins anew.
+WORDS_KEPT = 400_000
 ID_BITS = 32
 
 
@@ -159,12 +162,16 @@ def _split_pattern(pattern: str):
     return regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
-class _Chunk:
-    """Texts as sequences of word numbers, until their words are encoded together."""
+class _Words:
+    """The words that a Python worker has met, each encoded once. Texts wait as sequences of word numbers until their new words are encoded together."""
 
-    def __init__(self, pattern):
-        self.pattern = pattern
+    def __init__(self, replay: MergeReplay, pattern):
+        self.replay, self.pattern = replay, pattern
+        self.forget()
+
+    def forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.ids, self.offsets = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
         self.texts: list[np.ndarray] = []
         self.chars = 0
 
@@ -174,23 +181,41 @@ class _Chunk:
         self.texts.append(np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int32))
         self.chars += len(text or "")
 
-    def encode(self, replay: MergeReplay) -> list[bytes]:
-        """Packed little-endian uint32 ids of each text."""
-        ids, offsets = replay.encode_words([w.encode() for w in self.number])
-        ids, sizes = ids.astype("<u4"), np.diff(offsets)
-        out = []
+    def encoded(self) -> list[bytes]:
+        """Packed little-endian uint32 ids of each waiting text."""
+        new = list(islice(self.number, len(self.offsets) - 1, None))
+        if new:
+            ids, offsets = self.replay.encode_words([w.encode() for w in new])
+            self.offsets = np.concatenate((self.offsets, offsets[1:] + self.offsets[-1]))
+            self.ids = np.concatenate((self.ids, ids.astype("<u4")))
+        sizes, out = np.diff(self.offsets), []
         for t in self.texts:
             k = sizes[t]
-            out.append(ids[np.repeat(offsets[t] - (np.cumsum(k) - k), k) + np.arange(k.sum())].tobytes())
+            out.append(self.ids[np.repeat(self.offsets[t] - (np.cumsum(k) - k), k) + np.arange(k.sum())].tobytes())
+        self.texts, self.chars = [], 0
+        if len(self.number) > WORDS_KEPT or len(self.ids) > 8 * WORDS_KEPT:
+            self.forget()
         return out
 
 
+_words: dict[tuple[str, str], _Words] = {}
+
+
+def _words_of(vocab_path: str, pattern: str) -> _Words:
+    """The words of this worker; texts that a failed task left waiting are dropped."""
+    key = (vocab_path, pattern)
+    if key not in _words:
+        _words[key] = _Words(_load(vocab_path), _split_pattern(pattern))
+    _words[key].texts, _words[key].chars = [], 0
+    return _words[key]
+
+
 def encode_texts(texts: list[str | None], vocab_path: str, pattern: str) -> list[bytes]:
-    """Packed ids of a list of texts, as one chunk."""
-    chunk = _Chunk(_split_pattern(pattern))
+    """Packed ids of a list of texts, whose words are encoded together."""
+    words = _words_of(vocab_path, pattern)
     for t in texts:
-        chunk.add(t)
-    return chunk.encode(_load(vocab_path))
+        words.add(t)
+    return words.encoded()
 
 
 def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,23 +224,22 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id
     src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled, held, chunk = _split_pattern(pattern), [], None
+        words, held = _words_of(vocab_path, pattern), []
 
         def results():
-            packed, at = chunk.encode(_load(vocab_path)), 0
+            packed, at = words.encoded(), 0
             for column in held:
                 yield pa.RecordBatch.from_arrays([column, pa.array(packed[at : at + len(column)], pa.binary())], names=[id_col, "ids"])
                 at += len(column)
 
         for b in batches:
-            chunk = chunk or _Chunk(compiled)
             for x in b.column(1):
-                chunk.add(x.as_py())
+                words.add(x.as_py())
             held.append(b.column(0))
-            if chunk.chars >= CHUNK_CHARS:
+            if words.chars >= CHUNK_CHARS:
                 yield from results()
-                held, chunk = [], None
-        if chunk:
+                held = []
+        if held:
             yield from results()
 
     return src.mapInArrow(run, f"`{id_col}` {dict(src.dtypes)[id_col]}, ids binary")
