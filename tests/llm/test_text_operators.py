@@ -208,6 +208,16 @@ def test_whole_names(spark):
     assert d[1] == d[3] and d[2] == d[4] and not {"Jane", "Doe", "Ludwig", "Beethoven", "Brown", "Green"} & set(d.groups())
 
 
+def test_names_without_a_title(spark):
+    """A well-known given name and a surname; words that only look like names stay."""
+    texts = ["Later Smith and John Smith met Mary Ann Jones. Jones smiled.", "Mary had a lamb. John and Mary came. Marystown Hall, st.John Street", "Dr Mary Jones spoke."]
+    got = {r.doc_id: r.text for r in pii.with_surrogates(docs(spark, texts), b"k").collect()}
+    m = re.fullmatch(r"Later (\w+) and (\w+) (\w+) met (\w+) (\w+) (\w+)\. (\w+) smiled\.", got[0])
+    assert m[1] == m[3] and m[6] == m[7] and not {"Smith", "John", "Mary", "Ann", "Jones"} & set(m.groups())
+    assert got[1] == texts[1]
+    assert re.fullmatch(rf"Dr {m[4]} {m[6]} spoke\.", got[2])
+
+
 def test_surnames_of_a_family(spark):
     """One surname has its two forms, and many entities of a text stay apart."""
     t = "Госпожа Анна Иванова и господин Пётр Иванов пришли. Иванова ушла. " + "; ".join(f"a{k}@mail{k}.example.org" for k in range(3000))

@@ -2,9 +2,9 @@
 
 Detected: e-mail addresses, phone numbers, payment cards (Luhn), IPv4 addresses, social security
 numbers, IBANs (mod 97), secrets after words such as token or password, and names after a title: all capitalised
-words that follow it, with initials, and every other capitalised mention of these words in the document. A
+words that follow it, with initials, names that begin with a well-known given name (GIVEN), and every other capitalised mention of these words in the document. A
 name is taken part by part, so that a full name and the bare surname keep referring to the same person. Names
-that stand nowhere in a document after a title are not found.
+that stand nowhere in a document after a title or such a given name are not found.
 
 An entity is (kind, norm): the norm drops case and separators, so every spelling of one entity gets
 one surrogate. Kinds of names carry script; the gender of a given name's surrogate comes from all titles it
@@ -49,6 +49,11 @@ SYLLABLES = {
     "cyrillic": ("ба бе ва ве га да де ка ке ла ле ма ми на не ра ре са та ти".split(), {"m": "н р с к".split(), "f": "на ля ра ша".split(), "n": "ен ис".split(), "s": "нко дзе вич".split()}),
     "greek": ("βα γα δα κα λα μα νι πα ρα σα τα φι".split(), {"m": "ος ης ας".split(), "f": "ια να λη".split(), "n": "ιν ορ".split(), "s": "ιδης ακης".split()}),
 }
+# Given names that tell a person without a title when a capitalised surname follows.
+GIVEN = {
+    "m": "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Paul Andrew Steven Kenneth George Edward Brian Peter Henry Hans Klaus Jürgen Wolfgang Stefan Jean Pierre Jacques François Luis Carlos José Juan Miguel Giovanni Marco Paolo Иван Пётр Сергей Алексей Дмитрий Николай Γιώργος Δημήτρης Νίκος".split(),
+    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Margaret Sandra Emily Michelle Laura Helen Anna Julia Ursula Monika Sabine Petra Marie Sophie Isabelle Nathalie Carmen Lucía María Elena Giulia Chiara Анна Мария Елена Ольга Наталья Татьяна Μαρία Ελένη Κατερίνα".split(),
+}
 # Endings of surnames with a form for each gender.
 MASCULINE = ("ов", "ев", "ёв", "ин", "ын")
 FEMININE = tuple(m + "а" for m in MASCULINE)
@@ -99,6 +104,10 @@ def _patterns():
             rf"(?i:\b(?P<title>{names}))\.?\s+(?:(?i:(?P<title>{names}))\b\.?\s+)*(?P<part>{part})"
             rf"(?:(?:[ \t]+(?:(?:{'|'.join(PARTICLES)})[ \t]+)*|(?<=\.)[ \t\-]*)(?!(?i:{names}|{'|'.join(NO_NAMES)})(?![\p{{L}}\p{{M}}]))(?P<part>{part}))*"
         ),
+        "named": regex.compile(
+            rf"(?<![\p{{L}}\p{{M}}\p{{N}}_@.\-])(?P<part>{'|'.join(sorted((n for ns in GIVEN.values() for n in ns), key=len, reverse=True))})(?![\p{{L}}\p{{M}}\-])"
+            rf"(?:[ \t]+(?:(?:{'|'.join(PARTICLES)})[ \t]+)*(?!(?i:{names}|{'|'.join(NO_NAMES)})(?![\p{{L}}\p{{M}}]))(?P<part>{part}))+"
+        ),
         "capital": regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])\p{{Lu}}{letters}"),
     }, titles
 
@@ -166,8 +175,13 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                 if 9 <= len(v) <= 15:
                     add(m.start(), m.end(), kind, v)
     known: dict[str, str] = {}
-    for m in p["person"].finditer(text):
-        gender = next((g for t in m.captures("title") if (g := titles[t.lower()]) != "n"), "n")
+    given = {n: g for g, ns in GIVEN.items() for n in ns}
+    for m in (m for way in ("person", "named") for m in p[way].finditer(text)):
+        if m.re is p["person"]:
+            gender = next((g for t in m.captures("title") if (g := titles[t.lower()]) != "n"), "n")
+            gender = given.get(m["part"] if len(m.captures("part")) == 1 else m.captures("part")[0], "n") if gender == "n" else gender
+        else:
+            gender = given[m.captures("part")[0]]
         parts = [(x, x + len(n)) for x, y in m.spans("part") if (n := _bare(text[x:y]))]
         last = max((k for k, (x, y) in enumerate(parts) if y - x > 1), default=len(parts) - 1)
         for k, (x, y) in enumerate(parts):
@@ -175,6 +189,8 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             kind = f"surname:s:{script}" if k == last else f"given:{gender}:{script}"
             if k == last:
                 norm = _masculine(norm)
+            if m.re is p["named"] and norm in known:
+                kind = known[norm]
             add(x, y, kind, norm)
             if y - x > 1 and (k == last or norm not in known):
                 known[norm] = kind
