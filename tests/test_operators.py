@@ -287,3 +287,19 @@ def test_publish_only_after_passing(spark, tmp_path):
     failed = spark.createDataFrame([("CRITICAL", False)], "severity string, passed boolean")
     assert not snapshot.publish_if_passed(df, failed, f"{tmp_path}/a") and not (tmp_path / "a").exists()
     assert snapshot.publish_if_passed(df, failed.withColumn("passed", F.lit(True)), f"{tmp_path}/b") and (tmp_path / "b").exists()
+
+
+def test_marts_follow_their_tables(spark, tmp_path):
+    """A mart is read again while its tables stay, and made anew when one changes."""
+    import shutil
+
+    import duckdb
+
+    from waymark.proxy import TABLES, Tables
+
+    for t in TABLES:
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+    total = lambda: Tables(spark, str(tmp_path)).sql("SELECT sum(total) AS n FROM panel").first().n
+    first, again = total(), total()
+    duckdb.sql("SELECT * FROM '/root/testdata/sf0.001/orders.parquet' WHERE o_orderkey % 2 = 0").write_parquet(str(tmp_path / "orders.parquet"))
+    assert first == again > total() > 0

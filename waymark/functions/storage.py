@@ -22,3 +22,22 @@ def cut_lineage(df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _at(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark, path: str) -> bool:
+    p, fs = _at(spark, path)
+    return fs.exists(p)
+
+
+def version(spark, path: str) -> tuple | None:
+    """Bytes, number of files and time of change of a file or folder; None if there is none."""
+    p, fs = _at(spark, path)
+    if not fs.exists(p):
+        return None
+    size = fs.getContentSummary(p)
+    return size.getLength(), size.getFileCount(), fs.getFileStatus(p).getModificationTime()

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.functions.storage import cut_lineage
+from waymark.functions.storage import exists, scratch_path, version
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -176,6 +176,7 @@ def _with(text: str, names: list[str]) -> str:
 
 #: Views that an operator makes for Spark, of the Tables that they read. The text in VIEWS is the oracle's.
 MARTS: dict[str, Callable[[Tables], DataFrame]] = {}
+_made: dict[tuple, tuple] = {}
 
 
 def mart(name: str):
@@ -187,10 +188,10 @@ def mart(name: str):
 
 
 class Tables:
-    """The tables of a folder and what one query makes of them. Marts are written once to the checkpoint folder and read from there; no temporary view of the session is touched."""
+    """The tables of a folder and what one query makes of them. Marts are written to the checkpoint folder and read from there until a table changes; no temporary view of the session is touched."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self.frames = spark, sf_dir, {}
+        self.spark, self.sf_dir, self.frames, self.versions = spark, sf_dir, {}, None
 
     def view(self, name: str) -> DataFrame:
         """A table, a mart or any other view."""
@@ -199,11 +200,28 @@ class Tables:
         if name in TABLES:
             self.frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         elif name in MARTS:
-            self.frames[name] = cut_lineage(MARTS[name](self), name)
+            self.frames[name] = self._mart(name)
         else:
             return self.sql(f"SELECT * FROM {name}")
         return self.frames[name]
 
+    def _mart(self, name: str) -> DataFrame:
+        """A mart as it was made before in this session, if the tables are still those it was made of; else made now."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name, self._versions())
+        if key not in _made or not exists(self.spark, f"{_made[key][0]}/_SUCCESS"):
+            made = MARTS[name](self)
+            path = scratch_path(self.spark, name)
+            made.write.parquet(path)
+            _made[key] = path, made.schema
+        path, schema = _made[key]
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _versions(self) -> tuple:
+        """Size, number of files and time of change of every table."""
+        if self.versions is None:
+            self.versions = tuple(version(self.spark, f"{self.sf_dir}/{t}.parquet") for t in TABLES)
+        return self.versions
+
     def sql(self, text: str) -> DataFrame:
         inline: set[str] = set()
 
