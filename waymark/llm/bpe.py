@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Every task gathers the distinct pre-tokens of its share of the corpus that its Python worker has not met before, lays all of
+Every task gathers the distinct pre-tokens of its share of the corpus, lays all of those that it has not met before
 them out in one symbol list, and keeps an inverted index from a mergeable pair (named by
 the rank of its merged token) to the positions where it stands. Merges are then replayed in rank order over all
 words at once; a merge touches only the two neighbours of each position it changes.
-Words are encoded once and kept, up to WORDS_KEPT of them, for the texts and tasks that follow; documents are put together from them.
+Words are encoded once and kept, up to WORDS_KEPT of them, for the task's texts that follow; documents are put together from them.
 
 Defined results: a null text counts as empty and gives no ids; an empty table gives an
 empty table; equal texts give equal ids; a word of any length is merged in
@@ -27,8 +27,8 @@ from waymark.llm.common import text_batches
 
 #: Texts are taken together up to about this many characters before merges are replayed.
 CHUNK_CHARS = 4_000_000
-#: Words that a worker keeps with their ids before it begins anew.
-WORDS_KEPT = 400_000
+#: Words that a task keeps with their ids before it begins anew. They go with the task: a worker that kept them would hold them through other stages.
+WORDS_KEPT = 200_000
 ID_BITS = 32
 
 
@@ -163,7 +163,7 @@ def _split_pattern(pattern: str):
 
 
 class _Words:
-    """The words that a Python worker has met, each encoded once. Texts wait as sequences of word numbers until their new words are encoded together."""
+    """The words that a task has met, each encoded once. Texts wait as sequences of word numbers until their new words are encoded together."""
 
     def __init__(self, replay: MergeReplay, pattern):
         self.replay, self.pattern = replay, pattern
@@ -198,21 +198,9 @@ class _Words:
         return out
 
 
-_words: dict[tuple[str, str], _Words] = {}
-
-
-def _words_of(vocab_path: str, pattern: str) -> _Words:
-    """The words of this worker; texts that a failed task left waiting are dropped."""
-    key = (vocab_path, pattern)
-    if key not in _words:
-        _words[key] = _Words(_load(vocab_path), _split_pattern(pattern))
-    _words[key].texts, _words[key].chars = [], 0
-    return _words[key]
-
-
 def encode_texts(texts: list[str | None], vocab_path: str, pattern: str) -> list[bytes]:
     """Packed ids of a list of texts, whose words are encoded together."""
-    words = _words_of(vocab_path, pattern)
+    words = _Words(_load(vocab_path), _split_pattern(pattern))
     for t in texts:
         words.add(t)
     return words.encoded()
@@ -224,7 +212,7 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id
     src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = _words_of(vocab_path, pattern), []
+        words, held = _Words(_load(vocab_path), _split_pattern(pattern)), []
 
         def results():
             packed, at = words.encoded(), 0
