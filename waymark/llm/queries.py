@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import bpe, decontaminate, licenses, lm, pii, sharding, simhash, syncmers, toxicity, warc
+from waymark.llm import bpe, decontaminate, htmltext, licenses, lm, merkle, pii, sharding, simhash, syncmers, toxicity, treap, warc
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -66,9 +66,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_read(spark, sf_dir, "pages"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_tampered(_read(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.top_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_toxicity": op4_toxicity, "op5_licenses": op5_licenses, "op6_lm": op6_lm, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op9_syncmers": op9_syncmers, "op10_bpe": op10_bpe}
+    return {"op1_warc": op1_warc, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_toxicity": op4_toxicity, "op5_licenses": op5_licenses, "op6_lm": op6_lm, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op9_syncmers": op9_syncmers, "op10_bpe": op10_bpe, "op11_html": op11_html, "op12_merkle": op12_merkle, "op13_search": op13_search}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE_SQL, "op5_licenses": licenses.oracle_sql()}
+    return {"op1_warc": warc.ORACLE_SQL, "op5_licenses": licenses.oracle_sql(), "op11_html": htmltext.ORACLE_SQL, "op12_merkle": merkle.ORACLE_SQL, "op13_search": treap.ORACLE_SQL}
