@@ -155,21 +155,26 @@ def test_panel_and_features(spark):
     assert [(r.trend, round(r.slope, 9)) for r in panel.trend(ramp, "unit", "month", "v").collect()] == [("increasing", 1.0)]
 
 
-def test_portfolio_within_bounds(spark):
-    """Against all selections: feasible, never above the optimum, and the optimum never above the upper bound."""
+def _portfolios(spark, cands, grid, **k):
+    c = spark.createDataFrame(cands, "unit_id int, treatment_id string, scenario string, priority_area boolean, cost double, pv double")
+    g = spark.createDataFrame(grid, "portfolio_id string, scenario string, budget double, floor_share double")
+    options = portfolio.unit_options(c)
+    duals = portfolio.multipliers(options, g, "T2", 0.7)
+    solved = portfolio.solve(options, duals, "T2", 0.7, **k)
+    chosen = portfolio.selections(options, duals, solved, "T2", 0.7)
+    bounds = {r.portfolio_id: r.upper_bound for r in solved.collect()}
+    return c, g, chosen, bounds, {r.portfolio_id: r for r in portfolio.summarize(g, chosen, "T2").collect()}, {r.portfolio_id: r.bound for r in duals.collect()}
+
+
+def test_portfolio_is_optimal(spark):
+    """Against all selections of six units: the optimum, and proven so."""
     import random
     from itertools import product
 
     rng = random.Random(8)
     cands = [(u, t, "BASE", u % 2 == 0, float(rng.randrange(1, 9)), float(rng.randrange(4, 60))) for u in range(6) for t in ("T1", "T2")]
-    c = spark.createDataFrame(cands, "unit_id int, treatment_id string, scenario string, priority_area boolean, cost double, pv double")
-    grid = [(f"P{b}-{int(e * 100)}", "BASE", float(b), e) for b in (6, 12, 40) for e in (0.2, 0.5)]
-    g = spark.createDataFrame(grid, "portfolio_id string, scenario string, budget double, floor_share double")
-    points = spark.createDataFrame([(k, l, m, v) for k, (l, m, v) in enumerate(product((0.0, 0.1, 0.2, 0.4, 0.7, 1.0), (0.0, 0.1, 0.5, 1.0), (0.0, 0.3, 0.8)))], "point int, l double, m double, v double")
-    taken = portfolio.choices(c, g, points, "T2", 0.7)
-    chosen = portfolio.select_portfolios(taken, g, "T2", 0.7)
-    bound = {r.portfolio_id: r.upper_bound for r in portfolio.upper_bounds(taken, g).collect()}
-    got = {r.portfolio_id: r for r in portfolio.summarize(g, chosen, "T2").collect()}
+    grid = [(f"P{b}-{int(e * 100)}", "BASE", float(b), e) for b in (6, 12, 40) for e in (0.2, 0.5)] + [("P0", "BASE", 0.5, 0.2)]
+    c, g, chosen, bound, got, dual = _portfolios(spark, cands, grid)
     for name, _, budget, floor in grid:
         best = 0.0
         for pick in product(*[[None, *[x for x in cands if x[0] == u]] for u in range(6)]):
@@ -179,11 +184,31 @@ def test_portfolio_within_bounds(spark):
                 best = max(best, sum(x[5] for x in s))
         r = got[name]
         assert r.cost <= budget + 1e-9 and r.priority_spend >= floor * r.cost - 1e-9 and r.capped <= 0.7 * r.projects + 1e-9
-        assert r.pv <= best + 1e-9 <= bound[name] + 1e-6 and r.pv >= 0.6 * best
+        assert r.pv == pytest.approx(best) and bound[name] == pytest.approx(best) and dual[name] >= best - 1e-6
     classes = {r.portfolio_id: r.budget_class for r in portfolio.constraint_classes(portfolio.summarize(g, chosen, "T2"), chosen, c).collect()}
     assert set(classes) == {x[0] for x in grid} and set(classes.values()) <= {"NONBINDING_CEILING", "EFFECTIVELY_BINDING", "BINDING_NUMERIC_TOLERANCE", "SLACK"}
 
 
+def test_portfolio_of_many_units(spark):
+    """A core of 40 of 600 units: feasible, within one percent of the bound; a narrow beam is less, with a bound that still holds."""
+    import random
+
+    rng = random.Random(4)
+    cands = [(u, t, s, rng.random() < 0.3, rng.uniform(1, 40), rng.uniform(5, 900)) for u in range(600) for t in ("T1", "T2", "T4") for s in ("BASE", "LOW")]
+    grid = [(f"{s}{b}-{int(e * 100)}", s, float(b), e) for s in ("BASE", "LOW") for b in (50, 400, 3000) for e in (0.2, 0.6)]
+    values = {}
+    for core, beam in ((40, 500), (12, 5)):
+        _, _, chosen, bound, got, dual = _portfolios(spark, cands, grid, core=core, beam=beam)
+        assert chosen.groupBy("portfolio_id", "unit_id").count().filter("count > 1").isEmpty()
+        for name, _, budget, floor in grid:
+            r = got[name]
+            assert r.cost <= budget + 1e-6 and r.priority_spend >= floor * r.cost - 1e-6 and r.capped <= 0.7 * r.projects + 1e-9
+            assert r.pv <= bound[name] + 1e-6 and bound[name] <= dual[name] + 1e-6
+            values.setdefault(name, []).append((r.pv, bound[name]))
+    for (wide, wide_bound), (narrow, narrow_bound) in values.values():
+        assert wide >= 0.99 * wide_bound and wide <= narrow_bound + 1e-6 and narrow <= wide_bound + 1e-6
+
+
 def test_fitted_models(spark):
     """Coefficients that made the counts come back; unseen categories count as the first one; Poisson where there is no overdispersion to fit."""
     import numpy as np

@@ -81,14 +81,25 @@ def grid_of(t: Tables) -> DataFrame:
     return t.view("grid").withColumnRenamed("unc", "scenario")
 
 
-def choices_of(t: Tables) -> DataFrame:
-    return portfolio.choices(t.view("cand").drop("bcr"), grid_of(t), t.view("points"), CAPPED, CAP)
+@mart("options")
+def options_of(t: Tables) -> DataFrame:
+    return portfolio.unit_options(t.view("cand").drop("bcr"))
+
+
+@mart("dual")
+def dual_of(t: Tables) -> DataFrame:
+    return portfolio.multipliers(t.view("options"), grid_of(t), CAPPED, CAP)
+
+
+@mart("solved")
+def solved_of(t: Tables) -> DataFrame:
+    return portfolio.solve(t.view("options"), t.view("dual"), CAPPED, CAP)
 
 
 @mart("sel")
 def selections_of(t: Tables) -> DataFrame:
-    s = portfolio.select_portfolios(choices_of(t), grid_of(t), CAPPED, CAP)
-    return s.join(F.broadcast(t.view("grid").select("portfolio_id", "run_group", "unc")), "portfolio_id")
+    s = portfolio.selections(t.view("options"), t.view("dual"), t.view("solved"), CAPPED, CAP)
+    return s.join(portfolio.small_side(t.view("grid").select("portfolio_id", "run_group", "unc")), "portfolio_id")
 
 
 def features_of(t: Tables) -> DataFrame:
@@ -358,10 +369,9 @@ def bc09_annuity(t):
 
 
 # portfolios
-@query("""WITH dual AS (SELECT portfolio_id, min(bound) AS bound FROM (SELECT d.portfolio_id, d.point, sum(d.best) + max(d.l * d.budget) AS bound FROM (SELECT r.portfolio_id, r.point, r.unit_id, greatest(0e0, max(r.profit)) AS best, max(r.l) AS l, max(r.budget) AS budget FROM reduced r GROUP BY r.portfolio_id, r.point, r.unit_id) d
-    WHERE d.best > 0 GROUP BY d.portfolio_id, d.point) GROUP BY portfolio_id) SELECT s.portfolio_id, round(s.pv, 2) AS achieved, round(u.bound, 2) AS upper_bound, round(u.bound - s.pv, 2) AS gap FROM summ s JOIN dual u ON s.portfolio_id = u.portfolio_id""")
+@query("""SELECT s.portfolio_id, round(s.pv, 2) AS achieved, round(u.upper_bound, 2) AS upper_bound, round(u.upper_bound - s.pv, 2) AS gap FROM summ s JOIN ceiling u ON s.portfolio_id = u.portfolio_id""")
 def po03_optimality_gap(t):
-    b = portfolio.upper_bounds(choices_of(t), grid_of(t))
+    b = t.view("solved").select("portfolio_id", "upper_bound")
     return summary_of(t).join(b, "portfolio_id").select("portfolio_id", money(F.col("pv")).alias("achieved"), money("upper_bound"), money(F.col("upper_bound") - F.col("pv")).alias("gap"))
 
 
@@ -402,7 +412,10 @@ def po07_determinism(t):
     from waymark.operators.clean import fingerprint
 
     key = F.concat_ws("_", "unit_id", "treatment_id")
-    again = portfolio.select_portfolios(portfolio.choices(benefit_of(t).filter("applicability <> 'NOT_APPLICABLE' and pv / cost >= 1").repartition(7, "cost").select("unit_id", "treatment_id", "scenario", "priority_area", "cost", "pv"), grid_of(t), t.view("points"), CAPPED, CAP), grid_of(t), CAPPED, CAP)
+    cand = benefit_of(t).filter("applicability <> 'NOT_APPLICABLE' and pv / cost >= 1").repartition(7, "cost").select("unit_id", "treatment_id", "scenario", "priority_area", "cost", "pv")
+    options = portfolio.unit_options(cand)
+    duals = portfolio.multipliers(options, grid_of(t), CAPPED, CAP)
+    again = portfolio.selections(options, duals, portfolio.solve(options, duals, CAPPED, CAP), CAPPED, CAP)
     two = fingerprint(again, ["portfolio_id"], key, "again")
     return fingerprint(t.view("sel"), ["portfolio_id"], key).join(two, "portfolio_id", "full_outer").select("portfolio_id", "selection_hash", F.coalesce(F.col("selection_hash") == F.col("again"), F.lit(False)).alias("same"))
 

@@ -105,19 +105,36 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT 'PORT_GRID_BASE_B' || CAST(b AS STRING) || 'M_EQ' || CAST(e AS STRING), 'GRID', 'BASE', b * 1e6, e / 100e0
         FROM (VALUES (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19), (20), (21), (22), (23), (24), (25), (30), (40)) AS y(b)
         CROSS JOIN (VALUES (15), (20), (25), (30), (35), (40)) AS z(e)""",
-    # budgeted selection: at every point of a grid of multipliers each unit takes its best positive reduced profit; the best feasible point stays
-    # multipliers are shares of the largest benefit-cost ratio (l, m) and of the largest benefit (v)
-    "points": """SELECT row_number() OVER (ORDER BY l, m, v) AS point, l, m, v FROM (VALUES (0e0), (0.05e0), (0.15e0), (0.35e0), (0.6e0), (1e0)) AS a(l) CROSS JOIN (VALUES (0e0), (0.1e0), (1e0)) AS b(m)
-        CROSS JOIN (VALUES (0e0), (0.2e0), (0.4e0), (0.6e0), (0.9e0)) AS c(v)""",
-    "reduced": """SELECT g.portfolio_id, p.point, p.l * z.r AS l, c.unit_id, c.treatment_id, c.cost, c.pv, c.priority_area, g.budget, g.floor_share,
-        c.pv - p.l * z.r * c.cost - p.m * z.r * c.cost * (g.floor_share - CASE WHEN c.priority_area THEN 1e0 ELSE 0e0 END) - p.v * z.b * (CASE WHEN c.treatment_id = 'T2' THEN 1e0 ELSE 0e0 END - 0.7e0) AS profit
-        FROM grid g CROSS JOIN points p CROSS JOIN (SELECT max(pv / cost) AS r, max(pv) AS b FROM cand) z JOIN cand c ON c.scenario = g.unc""",
-    "choice": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id, point, unit_id ORDER BY round(profit, 4) DESC, treatment_id) AS rn FROM reduced WHERE profit > 0) WHERE rn = 1""",
-    "feasible": """SELECT portfolio_id, point, sum(pv) AS pv, sum(cost) AS cost FROM choice GROUP BY portfolio_id, point, budget, floor_share
-        HAVING sum(cost) <= max(budget) AND sum(CASE WHEN priority_area THEN cost ELSE 0e0 END) >= max(floor_share) * sum(cost) AND sum(CASE WHEN treatment_id = 'T2' THEN 1 ELSE 0 END) <= 0.7e0 * count(*)""",
-    "best_point": "SELECT portfolio_id, point FROM (SELECT portfolio_id, point, row_number() OVER (PARTITION BY portfolio_id ORDER BY round(pv, 2) DESC, point) AS rn FROM feasible) WHERE rn = 1",
-    "sel": """SELECT c.portfolio_id, g.run_group, g.unc, c.unit_id, c.treatment_id, c.cost, c.pv, c.priority_area, b.bcr FROM choice c JOIN best_point p ON c.portfolio_id = p.portfolio_id AND c.point = p.point
-        JOIN grid g ON g.portfolio_id = c.portfolio_id JOIN cand b ON b.unit_id = c.unit_id AND b.treatment_id = c.treatment_id AND b.scenario = g.unc""",
+    # budgeted selection; these texts are the oracle's, MARTS has the operator. Multipliers are shares of the largest benefit-cost ratio (l, m) and of the largest
+    # benefit (v); each round takes the least bound of 27 points around the last one
+    "dual": """WITH RECURSIVE z AS (SELECT scenario, max(pv / cost) AS r, max(pv) AS b FROM cand GROUP BY scenario),
+        d AS (SELECT portfolio_id, 0 AS rnd, 0.3e0 AS l, 0.1e0 AS m, 0.1e0 AS v, 0.3e0 AS h, 0e0 AS bound FROM grid
+        UNION ALL SELECT portfolio_id, rnd, l, m, v, h, bound FROM (SELECT portfolio_id, rnd + 1 AS rnd, l, m, v, h * 0.65e0 AS h, bound, row_number() OVER (PARTITION BY portfolio_id ORDER BY round(bound, 2), j) AS rn FROM (
+        SELECT portfolio_id, rnd, h, j, l, m, v, sum(best) + max(l * r * budget) AS bound FROM (SELECT t.portfolio_id, t.rnd, t.h, t.j, t.l, t.m, t.v, c.unit_id, any_value(z.r) AS r, any_value(g.budget) AS budget,
+        greatest(0e0, max(c.pv - t.l * z.r * c.cost + t.m * z.r * c.cost * (CASE WHEN c.priority_area THEN 1e0 ELSE 0e0 END - g.floor_share) + t.v * z.b * (0.7e0 - CASE WHEN c.treatment_id = 'T2' THEN 1e0 ELSE 0e0 END))) AS best
+        FROM (SELECT portfolio_id, rnd, h, x.s * 9 + y.s * 3 + w.s AS j, greatest(0e0, l + h * x.d) AS l, greatest(0e0, m + h * y.d) AS m, greatest(0e0, v + h * w.d) AS v FROM d CROSS JOIN (VALUES (0, 0e0), (1, -1e0), (2, 1e0)) AS x(s, d)
+        CROSS JOIN (VALUES (0, 0e0), (1, -1e0), (2, 1e0)) AS y(s, d) CROSS JOIN (VALUES (0, 0e0), (1, -1e0), (2, 1e0)) AS w(s, d) WHERE rnd < 14) t
+        JOIN grid g ON g.portfolio_id = t.portfolio_id JOIN z ON z.scenario = g.unc JOIN cand c ON c.scenario = g.unc GROUP BY t.portfolio_id, t.rnd, t.h, t.j, t.l, t.m, t.v, c.unit_id) GROUP BY portfolio_id, rnd, h, j, l, m, v)) WHERE rn = 1)
+        SELECT d.portfolio_id, d.l * z.r AS l, d.m * z.r AS m, d.v * z.b AS v, d.bound, g.budget, g.floor_share, g.unc FROM d JOIN grid g ON g.portfolio_id = d.portfolio_id JOIN z ON z.scenario = g.unc WHERE d.rnd = 14""",
+    # what every unit can take under those multipliers, units in order of what their best option is ahead of the second
+    "opts": """WITH o AS (SELECT d.portfolio_id, c.unit_id, row_number() OVER (PARTITION BY d.portfolio_id, c.unit_id ORDER BY c.treatment_id) AS j, c.treatment_id, c.cost, c.pv, c.cost * (CASE WHEN c.priority_area THEN 1e0 ELSE 0e0 END - d.floor_share) AS gf,
+        0.7e0 - CASE WHEN c.treatment_id = 'T2' THEN 1e0 ELSE 0e0 END AS gc, d.l, d.m, d.v FROM dual d JOIN cand c ON c.scenario = d.unc),
+        a AS (SELECT portfolio_id, unit_id, j, treatment_id, cost, pv, gf, gc, pv - l * cost + m * gf + v * gc AS red FROM o UNION ALL SELECT DISTINCT portfolio_id, unit_id, 0, NULL, 0e0, 0e0, 0e0, 0e0, 0e0 FROM o),
+        u AS (SELECT portfolio_id, unit_id, max(red) AS top, max(gf) AS best_f, max(gc) AS best_c, list_extract(list_reverse_sort(list(red)), 1) - list_extract(list_reverse_sort(list(red)), 2) AS margin FROM a GROUP BY portfolio_id, unit_id),
+        k AS (SELECT portfolio_id, unit_id, top, row_number() OVER w AS k, coalesce(sum(best_f) OVER (PARTITION BY portfolio_id ORDER BY round(margin, 2) DESC, unit_id DESC ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0e0) AS left_f,
+        coalesce(sum(best_c) OVER (PARTITION BY portfolio_id ORDER BY round(margin, 2) DESC, unit_id DESC ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0e0) AS left_c FROM u WINDOW w AS (PARTITION BY portfolio_id ORDER BY round(margin, 2) DESC, unit_id DESC))
+        SELECT a.*, k.k, k.top, k.left_f, k.left_c FROM a JOIN k ON a.portfolio_id = k.portfolio_id AND a.unit_id = k.unit_id""",
+    # partial selections, at most 1000 after each unit, by the bound of what they can come to
+    "beam": """WITH RECURSIVE s AS (SELECT portfolio_id, 0 AS k, 0 AS rn, bound AS lag, 0e0 AS cost, 0e0 AS pv, 0e0 AS gf, 0e0 AS gc, budget, CAST([] AS INT[]) AS path FROM dual
+        UNION ALL SELECT portfolio_id, k, rn, lag, cost, pv, gf, gc, budget, path FROM (SELECT s.portfolio_id, CAST(o.k AS INT) AS k, CAST(row_number() OVER (PARTITION BY s.portfolio_id ORDER BY round(s.lag - o.top + o.red, 2) DESC, s.rn, o.j) AS INT) AS rn,
+        s.lag - o.top + o.red AS lag, s.cost + o.cost AS cost, s.pv + o.pv AS pv, s.gf + o.gf AS gf, s.gc + o.gc AS gc, s.budget, list_append(s.path, CAST(o.j AS INT)) AS path
+        FROM s JOIN opts o ON o.portfolio_id = s.portfolio_id AND o.k = s.k + 1 WHERE s.cost + o.cost <= s.budget + 1e-6 AND s.gf + o.gf + o.left_f >= -1e-6 AND s.gc + o.gc + o.left_c >= -1e-9) WHERE rn <= 1000) SELECT * FROM s""",
+    "found": """SELECT portfolio_id, pv, path FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY round(pv, 2) DESC, rn) AS place FROM (SELECT *, max(k) OVER (PARTITION BY portfolio_id) AS last FROM beam) WHERE k = last AND gf >= -1e-6 AND gc >= -1e-9)
+        WHERE place = 1 AND len(path) = (SELECT max(k) FROM opts o WHERE o.portfolio_id = portfolio_id)""",
+    "ceiling": """SELECT d.portfolio_id, least(d.bound, greatest(coalesce(f.pv, 0e0), coalesce(l.lost, 0e0))) AS upper_bound FROM dual d LEFT JOIN found f ON f.portfolio_id = d.portfolio_id
+        LEFT JOIN (SELECT portfolio_id, max(least_lag) AS lost FROM (SELECT portfolio_id, k, min(lag) AS least_lag FROM beam GROUP BY portfolio_id, k HAVING count(*) = 1000) GROUP BY portfolio_id) l ON l.portfolio_id = d.portfolio_id""",
+    "sel": """SELECT f.portfolio_id, g.run_group, g.unc, o.unit_id, o.treatment_id, o.cost, o.pv, c.priority_area, c.bcr FROM found f JOIN opts o ON o.portfolio_id = f.portfolio_id AND o.j = f.path[o.k] AND o.j > 0 JOIN grid g ON g.portfolio_id = f.portfolio_id
+        JOIN cand c ON c.unit_id = o.unit_id AND c.treatment_id = o.treatment_id AND c.scenario = g.unc""",
     "summ": """SELECT g.portfolio_id, g.run_group, g.unc, g.budget, g.floor_share, CASE WHEN count(s.unit_id) = 0 THEN 'NO_FEASIBLE_POINT' ELSE 'FEASIBLE' END AS solver_status, count(s.unit_id) AS projects, coalesce(sum(s.cost), 0e0) AS cost,
         g.budget - coalesce(sum(s.cost), 0e0) AS slack, coalesce(sum(s.cost), 0e0) / g.budget * 100 AS utilization_pct, coalesce(sum(CASE WHEN s.priority_area THEN s.cost END), 0e0) AS priority_spend, coalesce(sum(s.pv), 0e0) AS pv,
         coalesce(sum(s.pv), 0e0) - coalesce(sum(s.cost), 0e0) AS npv, coalesce(sum(s.pv) / sum(s.cost), 0e0) AS bcr, coalesce(max(s.bcr), 0e0) AS max_bcr, count(CASE WHEN s.treatment_id = 'T2' THEN 1 END) AS capped
