@@ -118,6 +118,17 @@ def test_random_graphs(spark):
         assert nodes[0] == start[r.grp] and sum(steps) == r.length == found[r.grp][r.target]
 
 
+def test_zero_lengths_parallels_and_loops(spark):
+    """Zero-length edges in a ring, parallel edges and loops: parents lead to the source, and the edges that were taken are named."""
+    edges = [("S", "X", 5, "e1"), ("X", "A", 0, "e2"), ("A", "B", 0, "e3"), ("B", "T", 1, "e4"), ("B", "X", 0, "e5"), ("S", "X", 5, "e0"), ("S", "X", 7, "d0"), ("T", "T", 0, "loop"), ("Q", "R", 1, "far")]
+    df = spark.createDataFrame([(1, *e) for e in edges], "grp int, src string, dst string, weight bigint, edge_id string")
+    paths = graph.shortest_paths(df, spark.createDataFrame([(1, "S")], "grp int, node string"), "edge_id")
+    assert {r.node: (r.distance, r.hops, r.parent, r.edge) for r in paths.collect()} == {"S": (0, 0, None, None), "X": (5, 1, "S", "e0"), "A": (5, 2, "X", "e2"), "B": (5, 2, "X", "e5"), "T": (6, 3, "B", "e4")}
+    found = graph.routes(paths, spark.createDataFrame([(1, "T"), (1, "S"), (1, "R"), (1, "T")], "grp int, node string"))
+    assert {r.target: (r.start, r.nodes, r.edges, r.hops, r.length) for r in found.collect()} == {"T": ("S", "S>X>B>T", "e0>e5>e4", 3, 6), "S": ("S", "S", "", 0, 0)}
+    assert [tuple(r)[2:] for r in graph.route_segments(found, df, "edge_id").orderBy("seq").select("grp", "target", "edge", "from_node", "to_node", "weight").collect()] == [("e0", "S", "X", 5), ("e5", "X", "B", 0), ("e4", "B", "T", 1)]
+
+
 def test_boundary_by_proximity(spark):
     rows = [("M", "m1", "p", "q", 0.0, 0.0, 100.0, 0.0), ("M", "m2", "q", "r", 100.0, 0.0, 200.0, 0.0), ("M", "m3", "r", "s", 200.0, 0.0, 900.0, 0.0), ("N", "n1", "x", "y", 95.0, 30.0, 95.0, 300.0), ("S", "s1", "r", "z", 200.0, 0.0, 200.0, 90.0), ("F", "f1", "u", "v", 0.0, 900.0, 9.0, 900.0), ("X", "x1", "g", "h", 50.0, -9.0, 50.0, 9.0)]
     segs = spark.createDataFrame(rows, "grp string, sid string, src string, dst string, x1 double, y1 double, x2 double, y2 double")

@@ -17,19 +17,29 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("grp", "src", "dst", "weight").unionByName(edges.select("grp", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(grp, node, distance, parent): weighted distance from the nearest source (grp, node), all groups at once; ties to the smaller parent. Weights are not negative."""
-    two = cut_lineage(both_ways(edges).groupBy("grp", "src", "dst").agg(F.min("weight").alias("weight")), "edges")
-    start = sources.select("grp", "node", F.lit(0).cast("long").alias("distance"), F.lit("").alias("parent")).distinct()
+def shortest_paths(edges: DataFrame, sources: DataFrame, edge_id: str | None = None) -> DataFrame:
+    """(grp, node, distance, hops, parent, edge): weighted distance from the nearest source (grp, node), all groups at once. Weights are not negative.
+
+    Labels are ordered by distance, number of edges, parent and edge; a parent has one edge less than its child, so parents have no cycle, zero-length
+    edges or not. Of parallel edges the shortest is taken, of equal ones the one of smallest id; edges from a node to itself are never taken. edge_id: a
+    column of edges; where there is none, an edge is named by its ends.
+    """
+    named = edges.filter("src <> dst").select("grp", "src", "dst", "weight", (F.col(edge_id).cast("string") if edge_id else F.concat_ws("-", F.least("src", "dst"), F.greatest("src", "dst"))).alias("edge"))
+    two = named.unionByName(named.select("grp", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "edge"))
+    two = cut_lineage(two.groupBy("grp", "src", "dst").agg(F.min(F.struct("weight", "edge")).alias("e")).select("grp", "src", "dst", "e.weight", "e.edge"), "edges")
+    kind = two.schema["weight"].dataType
+    label = ["distance", "hops", "parent", "edge"]
+    start = sources.select("grp", "node").distinct().select("grp", "node", F.lit(0).cast(kind).alias("distance"), F.lit(0).alias("hops"), F.lit("").alias("parent"), F.lit("").alias("edge"))
     best = cut_lineage(start, "paths")
     while True:
         new = best
         for _ in range(STEPS_PER_WRITE):
-            step = new.withColumnRenamed("node", "src").join(two, ["grp", "src"]).select("grp", F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.col("src").alias("parent"))
-            new = new.unionByName(step).groupBy("grp", "node").agg(F.min(F.struct("distance", "parent")).alias("b")).select("grp", "node", "b.distance", "b.parent")
+            at = new.select("grp", F.col("node").alias("src"), F.col("distance").alias("before"), "hops")
+            step = at.join(two, ["grp", "src"]).select("grp", F.col("dst").alias("node"), (F.col("before") + F.col("weight")).cast(kind).alias("distance"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("parent"), "edge")
+            new = new.unionByName(step).groupBy("grp", "node").agg(F.min(F.struct(*label)).alias("b")).select("grp", "node", "b.*")
         new = cut_lineage(new, "paths")
         if new.exceptAll(best).isEmpty():
-            return best.withColumn("parent", F.nullif("parent", F.lit("")))
+            return best.withColumns({c: F.nullif(c, F.lit("")) for c in ("parent", "edge")})
         best = new
 
 
@@ -71,7 +81,7 @@ def boundary_nodes(segments: DataFrame, pairs: DataFrame, limit: float = 200.0,
 
 
 def routes(paths: DataFrame, targets: DataFrame) -> DataFrame:
-    """(grp, target, nodes, length): the nodes from a source to each target (grp, node), in order.
+    """(grp, target, start, nodes, edges, hops, length): the nodes and the edges from a source to each target (grp, node) that a path reaches, in order; lists are joined by '>'.
 
     Ancestors at distances of powers of two are found by doubling, and the nodes of a path from the highest power down: a path of n nodes takes 2 log n joins.
     """
@@ -79,9 +89,16 @@ def routes(paths: DataFrame, targets: DataFrame) -> DataFrame:
     while not hops[-1].isEmpty():
         up = hops[-1].select("grp", F.col("node").alias("parent"), F.col("parent").alias("next"))
         hops.append(cut_lineage(hops[-1].join(up, ["grp", "parent"]).select("grp", "node", F.col("next").alias("parent")), "hops"))
-    walk = cut_lineage(targets.join(paths, ["grp", "node"]).select("grp", F.col("node").alias("target"), "node"), "route")
+    walk = cut_lineage(targets.distinct().join(paths, ["grp", "node"]).select("grp", F.col("node").alias("target"), "node"), "route")
     for h in reversed(hops[:-1]):
         walk = cut_lineage(walk.unionByName(walk.join(h, ["grp", "node"]).select("grp", "target", F.col("parent").alias("node"))), "route")
-    done = walk.join(paths, ["grp", "node"])
-    ordered = F.array_sort(F.collect_list(F.struct("distance", "node")))
-    return done.groupBy("grp", "target").agg(F.array_join(F.transform(ordered, lambda s: s["node"]), ">").alias("nodes"), F.max("distance").alias("length"))
+    done = walk.join(paths, ["grp", "node"]).groupBy("grp", "target").agg(F.array_sort(F.collect_list(F.struct("hops", "node", "edge"))).alias("r"), F.max("distance").alias("length"))
+    line = lambda c: F.array_join(F.transform("r", lambda s: s[c]), ">")  # noqa: E731  the source has no edge
+    return done.select("grp", "target", F.element_at("r", 1)["node"].alias("start"), line("node").alias("nodes"), line("edge").alias("edges"), (F.size("r") - 1).alias("hops"), "length")
+
+
+def route_segments(found: DataFrame, edges: DataFrame, edge_id: str) -> DataFrame:
+    """(grp, target, seq, edge, from_node, to_node, weight): the edges of routes one after another. edges: with grp, weight and the column edge_id."""
+    steps = found.filter("hops > 0").select("grp", "target", F.split("nodes", ">").alias("n"), F.posexplode(F.split("edges", ">")).alias("seq", "edge"))
+    steps = steps.select("grp", "target", "seq", "edge", F.get("n", F.col("seq")).alias("from_node"), F.get("n", F.col("seq") + 1).alias("to_node"))
+    return steps.join(edges.select("grp", F.col(edge_id).cast("string").alias("edge"), "weight"), ["grp", "edge"])

@@ -316,23 +316,27 @@ def sp10_wkt(spark, d):
     return spatial.parse_wkt(spatial.emit_wkt(v, "id"), "wkt", "id")
 
 
-EDGES = "SELECT DISTINCT CAST(l_suppkey % 5 AS INT) AS grp, 'P' || CAST(l_partkey AS STRING) AS src, 'S' || CAST(l_suppkey AS STRING) AS dst, 1 + (l_partkey * 31 + l_suppkey * 17) % 100 AS weight FROM lineitem"
+# lengths from zero on, pairs of parallel edges (of which one is as long or longer), edges from a node to itself
+EDGES = """SELECT CAST(s % 5 AS INT) AS grp, 'P' || CAST(p AS STRING) AS src, 'S' || CAST(s AS STRING) AS dst, w AS weight, 'E' || CAST(p AS STRING) || '-' || CAST(s AS STRING) AS edge_id FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, (l_partkey * 31 + l_suppkey * 17) % 100 AS w FROM lineitem)
+    UNION ALL SELECT DISTINCT CAST(l_suppkey % 5 AS INT), 'P' || CAST(l_partkey AS STRING), 'S' || CAST(l_suppkey AS STRING), (l_partkey * 31 + l_suppkey * 17) % 100 + l_partkey % 2, 'D' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) FROM lineitem WHERE l_partkey % 7 = 0
+    UNION ALL SELECT DISTINCT CAST(l_suppkey % 5 AS INT), 'S' || CAST(l_suppkey AS STRING), 'S' || CAST(l_suppkey AS STRING), CAST(0 AS BIGINT), 'L' || CAST(l_suppkey AS STRING) FROM lineitem"""
 
 
 def _paths(spark, d):
     edges = run_sql(spark, d, EDGES)
-    return graph.shortest_paths(edges, edges.groupBy("grp").agg(F.min("dst").alias("node")))
+    return graph.shortest_paths(edges, edges.groupBy("grp").agg(F.min("dst").alias("node")), "edge_id")
 
 
-# recursion by key is the oracle's; the operators relax and propagate in joins
-_TWO = f"e AS MATERIALIZED ({EDGES}), two AS MATERIALIZED (SELECT grp, src, dst, min(weight) AS weight FROM (SELECT grp, src, dst, weight FROM e UNION ALL SELECT grp, dst, src, weight FROM e) GROUP BY grp, src, dst)"
-_SP = f"""WITH RECURSIVE {_TWO}, sp(grp, node, distance) USING KEY (grp, node) AS (SELECT grp, min(dst), CAST(0 AS BIGINT) FROM e GROUP BY grp UNION SELECT t.grp, t.dst, min(c.distance + t.weight) FROM sp c JOIN two t ON t.grp = c.grp AND t.src = c.node
-    LEFT JOIN recurring.sp o ON o.grp = t.grp AND o.node = t.dst WHERE o.distance IS NULL OR c.distance + t.weight < o.distance GROUP BY t.grp, t.dst)"""
+# recursion by key is the oracle's; the operators relax and propagate in joins. A cost is a distance and, in its last digits, the number of edges
+_TWO = f"""e AS MATERIALIZED ({EDGES}), two AS MATERIALIZED (SELECT grp, src, dst, min(weight) AS weight, arg_min(edge_id, (weight, edge_id)) AS edge_id FROM (SELECT grp, src, dst, weight, edge_id FROM e WHERE src <> dst UNION ALL SELECT grp, dst, src, weight, edge_id FROM e WHERE src <> dst) GROUP BY grp, src, dst)"""
+_STEP = "t.weight * 1000000 + 1"
+_SP = f"""WITH RECURSIVE {_TWO}, sp(grp, node, cost) USING KEY (grp, node) AS (SELECT grp, min(dst), CAST(0 AS BIGINT) FROM e GROUP BY grp UNION SELECT t.grp, t.dst, min(c.cost + {_STEP}) FROM sp c JOIN two t ON t.grp = c.grp AND t.src = c.node
+    LEFT JOIN recurring.sp o ON o.grp = t.grp AND o.node = t.dst WHERE o.cost IS NULL OR c.cost + {_STEP} < o.cost GROUP BY t.grp, t.dst)"""
 
 
-@query(f"{_SP} SELECT grp, node, distance FROM sp")
+@query(f"{_SP} SELECT grp, node, cost // 1000000 AS distance, cost % 1000000 AS hops FROM sp")
 def sp11_shortest_paths(spark, d):
-    return _paths(spark, d).select("grp", "node", "distance")
+    return _paths(spark, d).select("grp", "node", "distance", F.col("hops").cast("long").alias("hops"))
 
 
 @query(f"""WITH RECURSIVE {_TWO}, cc(grp, node, component) USING KEY (grp, node) AS (SELECT grp, src, min(least(src, dst)) FROM two GROUP BY grp, src UNION SELECT t.grp, t.dst, min(c.component) FROM cc c JOIN two t ON t.grp = c.grp AND t.src = c.node
@@ -369,14 +373,27 @@ def sp14_carriageways(spark, d):
     return spatial.carriageway_lengths(segments(spark, d)).select("unit_id", "parts", r6("length").alias("length"), r6("linework").alias("linework"))
 
 
-@query(f"""{_SP}, par AS (SELECT s.grp, s.node, min(t.src) AS parent FROM sp s JOIN two t ON t.grp = s.grp AND t.dst = s.node JOIN sp q ON q.grp = t.grp AND q.node = t.src WHERE s.distance > 0 AND q.distance + t.weight = s.distance GROUP BY s.grp, s.node),
-    walk AS (SELECT grp, max(dst) AS target, max(dst) AS node, max(dst) AS nodes FROM e GROUP BY grp UNION ALL SELECT w.grp, w.target, p.parent, p.parent || '>' || w.nodes FROM walk w JOIN par p ON p.grp = w.grp AND p.node = w.node)
-    SELECT w.grp, w.target, w.nodes, s.distance AS length FROM walk w JOIN sp s ON s.grp = w.grp AND s.node = w.target JOIN sp z ON z.grp = w.grp AND z.node = w.node WHERE z.distance = 0""")
-def sp14_routes(spark, d):
+_WALK = f"""{_SP}, par AS (SELECT s.grp, s.node, min(t.src) AS parent, arg_min(t.edge_id, t.src) AS edge FROM sp s JOIN two t ON t.grp = s.grp AND t.dst = s.node JOIN sp q ON q.grp = t.grp AND q.node = t.src WHERE s.cost > 0 AND q.cost + {_STEP} = s.cost GROUP BY s.grp, s.node),
+    walk AS (SELECT grp, max(dst) AS target, max(dst) AS node, max(dst) AS nodes, '' AS edges, 0 AS back FROM e GROUP BY grp UNION ALL SELECT w.grp, w.target, p.parent, p.parent || '>' || w.nodes, p.edge || CASE WHEN w.edges = '' THEN '' ELSE '>' || w.edges END, back + 1 FROM walk w JOIN par p ON p.grp = w.grp AND p.node = w.node)"""
+
+
+def _routes(spark, d):
     edges = run_sql(spark, d, EDGES)
     return graph.routes(_paths(spark, d), edges.groupBy("grp").agg(F.max("dst").alias("node")))
 
 
+@query(f"{_WALK} SELECT w.grp, w.target, w.node AS start, w.nodes, w.edges, s.cost // 1000000 AS length FROM walk w JOIN sp s ON s.grp = w.grp AND s.node = w.target JOIN sp z ON z.grp = w.grp AND z.node = w.node WHERE z.cost = 0")
+def sp14_routes(spark, d):
+    return _routes(spark, d).select("grp", "target", "start", "nodes", "edges", "length")
+
+
+@query(f"{_WALK} SELECT w.grp, w.target, s.cost % 1000000 - w.back AS seq, p.edge, p.parent AS from_node, w.node AS to_node, z.weight FROM walk w JOIN sp s ON s.grp = w.grp AND s.node = w.target JOIN par p ON p.grp = w.grp AND p.node = w.node JOIN two z ON z.grp = w.grp AND z.src = p.parent AND z.dst = w.node")
+def sp14_route_segments(spark, d):
+    """The segments of every route, in order, with the node where each begins and ends."""
+    s = graph.route_segments(_routes(spark, d), run_sql(spark, d, EDGES), "edge_id")
+    return s.select("grp", "target", (F.col("seq") + 1).cast("long").alias("seq"), "edge", "from_node", "to_node", "weight")
+
+
 @query("SELECT n_nationkey AS unit_id, lpad(CAST(n_nationkey AS STRING), 11, '0') AS fips, r_name FROM nation JOIN region ON lpad(CAST(n_regionkey AS STRING), 11, '0') = lpad(CAST(r_regionkey AS STRING), 11, '0')")
 def sp15_padded_join(spark, d):
     n = run_sql(spark, d, "SELECT n_nationkey, n_regionkey FROM nation").withColumn("k", F.lpad(F.col("n_regionkey").cast("string"), 11, "0"))
