@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import clean, evaluate, gates, graph, models, panel, portfolio, spatial
+from waymark.operators import clean, evaluate, gates, graph, models, order, panel, portfolio, spatial
 from waymark.sources import snapshot
 
 
@@ -65,6 +65,81 @@ def test_overlay_splits_at_borders(spark):
     assert got == pytest.approx({1: 10.0, 2: 10.0})
 
 
+def _inside(x, y, edges):
+    return sum((a <= x) != (c <= x) and y < b + (x - a) / (c - a) * (d - b) for a, b, c, d in edges) % 2 == 1
+
+
+@pytest.mark.parametrize("cell", [4.0, 11.0, 60.0])
+def test_overlay_of_stars(spark, cell):
+    """Lines over star-shaped polygons of many sizes, one of them with a hole: lengths by fine sampling."""
+    import random
+
+    rng, polygons = random.Random(6), {}
+    for p in range(6):
+        cx, cy, size = rng.uniform(0, 50), rng.uniform(0, 50), rng.choice([3, 9, 25])
+        ring = [(cx + size * r * math.cos(a), cy + size * r * math.sin(a)) for k in range(14) for a, r in [(2 * math.pi * k / 14, rng.uniform(0.3, 1))]]
+        polygons[p] = [(*ring[k], *ring[(k + 1) % 14]) for k in range(14)]
+    polygons[6] = [(a, b, c, d) for o, w in ((5.0, 40.0), (15.0, 12.0)) for a, b, c, d in ((o, o, o + w, o), (o + w, o, o + w, o + w), (o + w, o + w, o, o + w), (o, o + w, o, o))]
+    lines = [(f"L{k}", 0, 0, *[rng.uniform(-10, 60) for _ in range(4)]) for k in range(12)] + [("V", 0, 0, 20.0, -10.0, 20.0, 60.0), ("H", 0, 0, -10.0, 20.0, 60.0, 20.0), ("P", 0, 0, 3.0, 3.0, 3.0, 3.0)]
+    edges = [(p, *e) for p, es in polygons.items() for e in es]
+    got = {(r.unit_id, r.poly_id): r.length for r in spatial.overlay_lengths(spark.createDataFrame(lines, SEGMENTS), spark.createDataFrame(edges, "poly_id int, ex1 double, ey1 double, ex2 double, ey2 double"), cell).collect()}
+    n = 4000
+    for name, _, _, x1, y1, x2, y2 in lines:
+        for p, es in polygons.items():
+            share = sum(_inside(x1 + (k + 0.5) / n * (x2 - x1), y1 + (k + 0.5) / n * (y2 - y1), es) for k in range(n)) / n
+            length = math.hypot(x2 - x1, y2 - y1)
+            assert got.get((name, p), 0.0) == pytest.approx(share * length, abs=8 * length / n + 1e-9)
+
+
+def test_points_of_a_city_centre(spark):
+    """Nine tenths of the points in one cell, a third of all in one spot: same pairs as all against all, and no leaf with many points."""
+    import random
+
+    rng = random.Random(2)
+    pts = [(k, rng.uniform(0, 90), rng.uniform(0, 90)) for k in range(900)] + [(900 + k, 33.0, 44.0) for k in range(500)] + [(1400 + k, rng.uniform(-3000, 3000), rng.uniform(-3000, 3000)) for k in range(150)]
+    segs = [(f"u{k}", 0, 0, *[rng.uniform(-200, 300) for _ in range(4)]) for k in range(30)] + [("far", 0, 0, -3000.0, -3000.0, 3000.0, 3000.0), ("dot", 0, 0, 33.0, 44.0, 33.0, 44.0)]
+    points, segments = spark.createDataFrame(pts, "event_id int, x double, y double"), spark.createDataFrame(segs, SEGMENTS)
+    want = {}
+    for e, x, y in pts:
+        for u, _, _, x1, y1, x2, y2 in segs:
+            l2 = (x2 - x1) ** 2 + (y2 - y1) ** 2
+            t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / l2)) if l2 else 0.0
+            d = math.hypot(x1 + t * (x2 - x1) - x, y1 + t * (y2 - y1) - y)
+            if d <= 40:
+                want[e, u] = d
+    got = spatial.within_distance(points, segments, 40.0, 400.0, 60).collect()
+    assert len(got) == len(want) and all(r.distance == pytest.approx(want[r.event_id, r.unit_id], abs=1e-9) for r in got)
+    tree = spatial.Quadtree(points, 400.0, 60)
+    leaves = tree.place(points, "event_id").groupBy("level", "cx", "cy", "salt").count().collect()
+    assert tree.depth == spatial.SPLITS + 1 and sum(r["count"] for r in leaves) == len(pts) and max(r["count"] for r in leaves) <= 100
+    assert spatial.Quadtree(points, 400.0, 10**6).depth == 0
+
+
+@pytest.mark.parametrize("rows", [7, 10**6])
+def test_ranks_and_percentiles(spark, rows):
+    """By ranges and by one task alike: ties, nulls, null groups, a value that a third of all rows have."""
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(1)
+    data = [(rng.choice(["a", "b", None]), rng.choice([5.0, rng.uniform(0, 9), float(rng.randrange(9))]) if rng.random() < 0.9 else None) for _ in range(400)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(3)
+    frame = pd.DataFrame(data, columns=["g", "v"])
+    for g, own in frame.groupby("g", dropna=False):
+        v = own["v"].dropna().to_numpy()
+        r = order.percentiles(df, ["g"], "v", {"p": 0.5, "q": 0.95, "least": 0.0}, rows).filter(F.col("g").eqNullSafe(F.lit(None if pd.isna(g) else g))).collect()
+        assert len(r) == (len(v) > 0)
+        for x in r:
+            assert (x.p, x.q, x.least) == pytest.approx((np.quantile(v, 0.5), np.quantile(v, 0.95), v.min()))
+    ranks = order.with_ranks(df, ["g"], {"r": "v"}, rows).toPandas()
+    own = ranks.groupby("g", dropna=False)["v"]
+    for name, kind in (("up", {"method": "min"}), ("down", {"method": "min", "ascending": False}), ("mean", {"method": "average"})):
+        assert np.allclose(ranks[f"r_{name}"].astype(float), own.rank(**kind).astype(float), equal_nan=True)
+    assert order.percentiles(df.limit(0), [], "v", {"p": 0.5}, rows).filter("p is not null").isEmpty()
+
+
 def test_projection_origin(spark):
     x, y = spatial.project_sql("lon", "lat")
     r = spark.createDataFrame([(-(88 + 20 / 60), 36 + 40 / 60)], "lon double, lat double").select(F.expr(x), F.expr(y)).first()

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from waymark.operators.order import with_ranks
+
 
 def month_grid(events: DataFrame, month: str = "month_start") -> DataFrame:
     """(month_start, yr, mon, qtr): every month from the first to the last one of events, also those without any."""
@@ -92,10 +94,9 @@ def anomalies(panel: DataFrame, unit: str, value: str, sigmas: float = 3.0) -> D
     return panel.withColumn("excess", F.col(value) - F.avg(value).over(w) - sigmas * F.stddev_samp(value).over(w)).filter(F.round("excess", 6) > 0)
 
 
-def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    """Correlation of average ranks and the largest difference of descending ranks, by group. Ranks stand over one row a unit."""
+def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """Correlation of average ranks and the largest difference of descending ranks, by group, over rows that have both values."""
     by = by or []
-    mean_rank = lambda c: F.rank().over(W.partitionBy(*by).orderBy(c)) + (F.count("*").over(W.partitionBy(*by, c)) - 1) / 2
-    down = lambda c: F.rank().over(W.partitionBy(*by).orderBy(F.desc(c)))
-    r = df.select(*by, mean_rank(x).alias("rx"), mean_rank(y).alias("ry"), F.abs(down(x) - down(y)).alias("d"))
-    return r.groupBy(*by).agg(F.corr("rx", "ry").alias("spearman"), F.max("d").alias("max_rank_difference"))
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
+    r = with_ranks(both, by, {"rx": "x", "ry": "y"}, rows)
+    return r.groupBy(*by).agg(F.corr("rx_mean", "ry_mean").alias("spearman"), F.max(F.abs(F.col("rx_down") - F.col("ry_down"))).alias("max_rank_difference"))

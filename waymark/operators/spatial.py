@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from waymark.functions.storage import cut_lineage
+from waymark.operators.order import percentiles
+
 
 def segment_distance(x: Column, y: Column) -> Column:
     """Distance of a point to the segment in columns x1, y1, x2, y2."""
@@ -22,18 +25,80 @@ def _cells(low: Column, high: Column, cell: float) -> Column:
     return F.explode(F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long")))
 
 
-def within_distance(points: DataFrame, segments: DataFrame, limit: float, cell: float | None = None) -> DataFrame:
-    """(event_id, unit_id, distance): all pairs at most limit apart; a multipart line counts once, by its nearest part.
-
-    Both sides meet on grid cells: only segments are laid out over the cells of their box widened by limit, so a
-    pair meets once a segment and cell.
+#: Points of one cell, about; a cell with more is split into four, this many times at most, and then by a hash of its points.
+CELL_POINTS, SPLITS = 50_000, 6
+#: Rows of the table of split cells that are sent to every task; more are joined by a shuffle.
+SMALL_ROWS = 1_000_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
+class Quadtree:
+    """Square cells, split where they hold many points. A cell is (level, cx, cy): cell numbers in units of cell / 2 ** level."""
+
+    def __init__(self, points: DataFrame, cell: float, most: int = CELL_POINTS):
+        self.cell, self.most = cell, most
+        fine = cell / 2**SPLITS
+        cells = points.groupBy(F.floor(F.col("x") / fine).cast("long").alias("fx"), F.floor(F.col("y") / fine).cast("long").alias("fy")).agg(F.count("*").alias("n"))
+        cells = cut_lineage(cells, "cells")
+        full = None
+        for level in range(SPLITS + 1):
+            up = 2 ** (SPLITS - level)
+            own = cells.groupBy(F.lit(level).alias("level"), F.floor(F.col("fx") / up).cast("long").alias("cx"), F.floor(F.col("fy") / up).cast("long").alias("cy")).agg(F.sum("n").alias("n")).filter(F.col("n") > most)
+            full = own if full is None else full.unionByName(own)
+        self.full = cut_lineage(full, "full-cells")  # of n points at most (SPLITS + 1) * n / most rows
+        self.depth = (self.full.agg(F.max("level")).first()[0] if not self.full.isEmpty() else -1) + 1  # levels with full cells
+
+    def _marked(self, rows: DataFrame, level: int) -> DataFrame:
+        """rows with __n, the points of their cell, if that is a full one of this level."""
+        full = _small(self.full.filter(F.col("level") == level).select(F.col("cx").alias("__x"), F.col("cy").alias("__y"), F.col("n").alias("__n")))
+        return rows.join(full, (F.col("cx") == F.col("__x")) & (F.col("cy") == F.col("__y")) & (rows["level"] == level), "left").drop("__x", "__y")
+
+    def place(self, points: DataFrame, key: str) -> DataFrame:
+        """points with level, cx, cy and salt of their leaf."""
+        at = lambda c, level: F.floor(F.col(c) / (self.cell / 2**level)).cast("long")
+        out = points.withColumns({"level": F.lit(0), "cx": at("x", 0), "cy": at("y", 0), "salt": F.lit(0)})
+        for level in range(self.depth):
+            out = self._marked(out, level)
+            on = (F.col("level") == level) & F.col("__n").isNotNull()
+            if level < SPLITS:
+                out = out.withColumns({"cx": F.when(on, at("x", level + 1)).otherwise(F.col("cx")), "cy": F.when(on, at("y", level + 1)).otherwise(F.col("cy")), "level": F.when(on, level + 1).otherwise(F.col("level"))})
+            else:
+                out = out.withColumn("salt", F.when(on, F.pmod(F.xxhash64(key), F.ceil(F.col("__n") / self.most))).otherwise(0).cast("int"))
+            out = out.drop("__n")
+        return out
+
+    def cover(self, boxes: DataFrame) -> DataFrame:
+        """boxes (with low_x, high_x, low_y, high_y) once for each leaf and salt that they meet, with level, cx, cy, salt."""
+        out = boxes.withColumn("cx", _cells(F.col("low_x"), F.col("high_x"), self.cell)).withColumn("cy", _cells(F.col("low_y"), F.col("high_y"), self.cell)).withColumns({"level": F.lit(0), "salt": F.lit(0)})
+        for level in range(self.depth):
+            j = self._marked(out, level)
+            on = (F.col("level") == level) & F.col("__n").isNotNull()
+            if level < SPLITS:
+                side = self.cell / 2 ** (level + 1)
+                halves = lambda c, lo, hi: F.filter(F.array(2 * F.col(c), 2 * F.col(c) + 1), lambda k: (k <= F.floor(F.col(hi) / side)) & (k >= F.floor(F.col(lo) / side)))  # noqa: E731, B023
+                for c, lo, hi in (("cx", "low_x", "high_x"), ("cy", "low_y", "high_y")):
+                    j = j.withColumn("__c", F.explode(F.when(on, halves(c, lo, hi)).otherwise(F.array(c)))).withColumn(c, F.col("__c")).drop("__c")
+                out = j.withColumn("level", F.when(on, level + 1).otherwise(F.col("level"))).drop("__n")
+            else:
+                out = j.withColumn("salt", F.explode(F.when(on, F.sequence(F.lit(0), (F.ceil(F.col("__n") / self.most) - 1).cast("int"))).otherwise(F.array(F.lit(0))))).drop("__n")
+        return out
+
+
+def within_distance(points: DataFrame, segments: DataFrame, limit: float, cell: float | None = None, most: int = CELL_POINTS, key: str = "event_id", unit: str = "unit_id") -> DataFrame:
+    """(key, unit, distance): all pairs at most limit apart; a multipart line counts once, by its nearest part. points: key, x, y; segments: unit, x1, y1, x2, y2.
+
+    Both sides meet on the leaves of a quadtree over the points: only segments are laid out over the leaves of their box widened by limit, so a
+    pair meets once a segment; a leaf holds a bounded number of points, also where most of them lie in one spot.
     """
-    cell = cell or max(limit, 500.0)
-    wide = segments.select("unit_id", "x1", "y1", "x2", "y2", _cells(F.least("x1", "x2") - limit, F.greatest("x1", "x2") + limit, cell).alias("cx"))
-    wide = wide.select("unit_id", "x1", "y1", "x2", "y2", "cx", _cells(F.least("y1", "y2") - limit, F.greatest("y1", "y2") + limit, cell).alias("cy"))
-    at = points.select("event_id", "x", "y", F.floor(F.col("x") / cell).cast("long").alias("cx"), F.floor(F.col("y") / cell).cast("long").alias("cy"))
-    near = at.join(wide, ["cx", "cy"]).withColumn("d", segment_distance(F.col("x"), F.col("y"))).filter(F.col("d") <= limit)
-    return near.groupBy("event_id", "unit_id").agg(F.min("d").alias("distance"))
+    tree = Quadtree(points, cell or max(limit, 500.0), most)
+    box = {"low_x": F.least("x1", "x2") - limit, "high_x": F.greatest("x1", "x2") + limit, "low_y": F.least("y1", "y2") - limit, "high_y": F.greatest("y1", "y2") + limit}
+    wide = tree.cover(segments.select(F.col(unit).alias("__unit"), "x1", "y1", "x2", "y2", *[c.alias(n) for n, c in box.items()])).drop(*box)
+    at = tree.place(points.select(F.col(key).alias("__key"), "x", "y"), "__key")
+    near = at.join(wide, ["level", "cx", "cy", "salt"]).withColumn("d", segment_distance(F.col("x"), F.col("y"))).filter(F.col("d") <= limit)
+    return near.groupBy(F.col("__key").alias(key), F.col("__unit").alias(unit)).agg(F.min("d").alias("distance"))
 
 
 def _ends_distance(a: str, b: str) -> Column:
@@ -92,10 +157,12 @@ def sensitivity(pairs: DataFrame, total: Column, limits: tuple[float, ...], tie_
     each = pairs.withColumn("limit", F.explode(F.array(*[F.lit(float(x)) for x in limits]))).filter(F.col("distance") <= F.col("limit"))
     w = W.partitionBy("limit", "event_id").orderBy(F.round("distance", 9), "unit_id")
     r = each.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(W.partitionBy("limit", "event_id"))).withColumn("gap", F.lead("distance").over(w) - F.col("distance"))
+    r = cut_lineage(r, "by-limit")
     a = r.groupBy("limit").agg(
         F.count("*").alias("pairs"), F.count_if(F.expr("rn = 1")).alias("matched"), F.count_if(F.expr("rn = 1 and n = 1")).alias("single"), F.count_if(F.expr("rn = 1 and n > 1")).alias("multiple"),
-        F.count_if((F.col("rn") == 1) & (F.round("gap", 9) <= tie_tolerance)).alias("ties"), F.expr("percentile(case when rn = 1 then distance end, 0.5)").alias("p50"), F.expr("percentile(case when rn = 1 then distance end, 0.95)").alias("p95"), F.max(F.when(F.col("rn") == 1, F.col("distance"))).alias("largest"),
+        F.count_if((F.col("rn") == 1) & (F.round("gap", 9) <= tie_tolerance)).alias("ties"), F.max(F.when(F.col("rn") == 1, F.col("distance"))).alias("largest"),
     )
+    a = a.join(percentiles(r.filter("rn = 1"), ["limit"], "distance", {"p50": 0.5, "p95": 0.95}), "limit", "left")
     by = W.orderBy("limit")  # one row a limit
     return a.withColumn("gain", F.col("matched") - F.coalesce(F.lag("matched").over(by), F.lit(0))).withColumn("coverage", F.col("matched") / total)
 
@@ -110,29 +177,75 @@ def line_figures(segments: DataFrame) -> DataFrame:
     )
 
 
+#: Cells of the overlay are shifted by this share of their size, so that corners of round coordinates do not lie on their borders.
+SHIFT = 0.381966
+
+
+def _grid_cells(low: Column, high: Column, cell: float) -> Column:
+    return F.explode(F.sequence(F.floor(low / cell - SHIFT).cast("long"), F.floor(high / cell - SHIFT).cast("long")))
+
+
+def _laid(df: DataFrame, x1: str, y1: str, x2: str, y2: str, cell: float) -> DataFrame:
+    """Lines once for each cell (cx, cy) that they can touch: in each column of cells only the rows between their heights at its two sides."""
+    d = df.withColumn("cx", _grid_cells(F.least(x1, x2), F.greatest(x1, x2), cell))
+    left, right = F.greatest(F.least(x1, x2), (F.col("cx") + SHIFT) * cell), F.least(F.greatest(x1, x2), (F.col("cx") + 1 + SHIFT) * cell)
+    dx = F.nullif(F.col(x2) - F.col(x1), F.lit(0.0))
+    at = lambda x: F.col(y1) + (x - F.col(x1)) / dx * (F.col(y2) - F.col(y1))
+    low, high = F.coalesce(F.least(at(left), at(right)), F.least(y1, y2)), F.coalesce(F.greatest(at(left), at(right)), F.greatest(y1, y2))
+    return d.withColumn("cy", _grid_cells(low - 1e-6 * cell, high + 1e-6 * cell, cell))
+
+
+def polygon_cells(edges: DataFrame, cell: float) -> DataFrame:
+    """(poly_id, cx, cy, odd, edges): the cells of polygons that are inside or on the border. odd: whether the lower left corner is inside; edges: those that touch the cell (none: all of it is inside).
+
+    A column of cells takes the heights at which the edges cross its left side; from these every corner's parity is counted. edges: (poly_id, ex1, ey1, ex2, ey2).
+    """
+    e = edges.select("poly_id", "ex1", "ey1", "ex2", "ey2")
+    border = _laid(e, "ex1", "ey1", "ex2", "ey2", cell).groupBy("poly_id", "cx", "cy").agg(F.collect_list(F.struct("ex1", "ey1", "ex2", "ey2")).alias("edges"))
+    columns = e.withColumn("cx", _grid_cells(F.least("ex1", "ex2"), F.greatest("ex1", "ex2"), cell))
+    x = (F.col("cx") + SHIFT) * cell
+    crosses = (F.col("ex1") <= x) != (F.col("ex2") <= x)
+    height = F.when(crosses, F.col("ey1") + (x - F.col("ex1")) / F.nullif(F.col("ex2") - F.col("ex1"), F.lit(0.0)) * (F.col("ey2") - F.col("ey1")))
+    sides = columns.groupBy("poly_id", "cx").agg(F.collect_list(height).alias("heights"), F.min(F.least("ey1", "ey2")).alias("low"), F.max(F.greatest("ey1", "ey2")).alias("high"))
+    # of a column without an end of an edge, too, all rows between the least and the largest height
+    every = sides.withColumn("cy", _grid_cells(F.col("low"), F.col("high"), cell))
+    odd = F.size(F.filter("heights", lambda h: h > (F.col("cy") + SHIFT) * cell)) % 2 == 1
+    every = every.select("poly_id", "cx", "cy", odd.alias("odd"))
+    return every.join(border, ["poly_id", "cx", "cy"], "left").filter(F.col("odd") | F.col("edges").isNotNull()).withColumn("edges", F.coalesce("edges", F.array().cast(border.schema["edges"].dataType)))
+
+
 def overlay_lengths(segments: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
     """(unit_id, poly_id, length) of lines within polygons given by their edges (poly_id, ex1, ey1, ex2, ey2).
 
-    Segments are cut where they cross an edge; a piece belongs to the polygons that hold its
-    midpoint, by crossing parity under the half-open rule.
+    Segments are cut where they cross an edge, and at the sides of cells; a piece belongs to the polygons that hold its midpoint. Both joins are on cells (cx, cy): a cell
+    inside a polygon needs no edge, and on the border parity is carried from the cell's corner to the midpoint over the edges of that cell alone.
     """
     s = segments.withColumn("sid", F.concat_ws(":", "unit_id", "part", "seq"))
-    boxed = s.withColumn("cx", _cells(F.least("x1", "x2"), F.greatest("x1", "x2"), cell))
-    e = edges.withColumn("cx", _cells(F.least("ex1", "ex2"), F.greatest("ex1", "ex2"), cell))
+    e = _laid(edges, "ex1", "ey1", "ex2", "ey2", cell)
     dx, dy, ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("ex2") - F.col("ex1"), F.col("ey2") - F.col("ey1")
     det = dx * ey - dy * ex
     t = ((F.col("ex1") - F.col("x1")) * ey - (F.col("ey1") - F.col("y1")) * ex) / det
     u = ((F.col("ex1") - F.col("x1")) * dy - (F.col("ey1") - F.col("y1")) * dx) / det
-    cuts = boxed.join(e, "cx").filter(det != 0).select("sid", F.round(t, 12).alias("t"), u.alias("u")).filter("t > 0 and t < 1 and u >= 0 and u <= 1").select("sid", "t")
+    laid = _laid(s.select("sid", "x1", "y1", "x2", "y2"), "x1", "y1", "x2", "y2", cell)
+    cuts = laid.join(e, ["cx", "cy"]).filter(det != 0).select("sid", F.round(t, 12).alias("t"), u.alias("u")).filter("t > 0 and t < 1 and u >= 0 and u <= 1").select("sid", "t")
     ends = s.select("sid", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
     pieces = cuts.unionByName(ends).distinct().withColumn("z", F.lead("t").over(W.partitionBy("sid").orderBy("t"))).filter("z is not null").join(s, "sid")
     mid = (F.col("t") + F.col("z")) / 2
     pieces = pieces.select("unit_id", "sid", "t", (F.col("x1") + mid * dx).alias("mx"), (F.col("y1") + mid * dy).alias("my"), ((F.col("z") - F.col("t")) * F.sqrt(dx * dx + dy * dy)).alias("l"))
-    pieces = pieces.withColumn("cx", F.floor(F.col("mx") / cell).cast("long"))
-    upward = (F.col("ex1") <= F.col("mx")) != (F.col("ex2") <= F.col("mx"))
-    below = F.col("my") < F.col("ey1") + (F.col("mx") - F.col("ex1")) / F.nullif(ex, F.lit(0.0)) * ey
-    inside = pieces.join(e, "cx").filter(upward & below).groupBy("unit_id", "sid", "t", "l", "poly_id").agg(F.count("*").alias("n")).filter("n % 2 = 1")
-    return inside.groupBy("unit_id", "poly_id").agg(F.sum("l").alias("length"))
+    pieces = pieces.withColumns({"cx": F.floor(F.col("mx") / cell - SHIFT).cast("long"), "cy": F.floor(F.col("my") / cell - SHIFT).cast("long")})
+    x0, y0 = (F.col("cx") + SHIFT) * cell, (F.col("cy") + SHIFT) * cell
+
+    def crossed(e: Column) -> Column:
+        """From the corner along the lower side to the midpoint's x, then up to the midpoint."""
+        over = (e["ey1"] <= y0) != (e["ey2"] <= y0)
+        x = e["ex1"] + (y0 - e["ey1"]) / F.nullif(e["ey2"] - e["ey1"], F.lit(0.0)) * (e["ex2"] - e["ex1"])
+        beside = (e["ex1"] <= F.col("mx")) != (e["ex2"] <= F.col("mx"))
+        y = e["ey1"] + (F.col("mx") - e["ex1"]) / F.nullif(e["ex2"] - e["ex1"], F.lit(0.0)) * (e["ey2"] - e["ey1"])
+        return F.coalesce((over & (x > x0) & (x <= F.col("mx"))).cast("int"), F.lit(0)) + F.coalesce((beside & (y > y0) & (y <= F.col("my"))).cast("int"), F.lit(0))
+
+    held = pieces.join(polygon_cells(edges, cell), ["cx", "cy"])
+    times = F.aggregate("edges", F.col("odd").cast("int"), lambda n, e: n + crossed(e))
+    return held.filter(times % 2 == 1).groupBy("unit_id", "poly_id").agg(F.sum("l").alias("length"))
 
 
 def overlay_scores(overlay: DataFrame, figures: DataFrame, score: str, high: float = 0.75, most: float = 0.5) -> DataFrame:

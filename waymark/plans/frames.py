@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.storage import cut_lineage, scratch_path
-from waymark.operators import clean, graph, panel, spatial
+from waymark.operators import clean, graph, order, panel, spatial
 from waymark.operators.gates import bad, gate, offences, repeated
 from waymark.plans.statements import _n, _r
 from waymark.proxy import DAY, Tables, run_sql, view
@@ -407,12 +407,10 @@ _MEAN_RANK = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1
 @query(f"""WITH {PAIRS}, c AS (SELECT unit_id, count(CASE WHEN distance <= 50 THEN 1 END) AS n50, count(CASE WHEN distance <= 100 THEN 1 END) AS n100 FROM pairs GROUP BY unit_id), k AS (SELECT *, {_MEAN_RANK.format(c='n50')} AS a, {_MEAN_RANK.format(c='n100')} AS b FROM c)
     SELECT unit_id, {_n('rank() OVER (ORDER BY n50 DESC) - rank() OVER (ORDER BY n100 DESC)')} AS rank_change, {_r('(n50 - n100) / CAST(n100 AS DOUBLE) * 100')} AS change_pct, (SELECT {_r('corr(a, b)')} FROM k) AS spearman FROM c""")
 def sp16_rank_stability(spark, d):
-    from pyspark.sql import Window as W
-
     c = cut_lineage(pairs(spark, d).groupBy("unit_id").agg(F.count_if(F.expr("distance <= 50")).alias("n50"), F.count_if(F.expr("distance <= 100")).alias("n100")), "ranks")
-    rank = lambda x: F.rank().over(W.orderBy(F.desc(x)))  # noqa: E731  over one row a unit
     every = panel.spearman(c, "n50", "n100").select(r6("spearman").alias("spearman"))
-    return c.select("unit_id", (rank("n50") - rank("n100")).cast("long").alias("rank_change"), r6((F.col("n50") - F.col("n100")) / F.col("n100") * 100).alias("change_pct")).crossJoin(F.broadcast(every))
+    r = order.with_ranks(c, [], {"a": "n50", "b": "n100"})
+    return r.select("unit_id", (F.col("a_down") - F.col("b_down")).alias("rank_change"), r6((F.col("n50") - F.col("n100")) / F.col("n100") * 100).alias("change_pct")).crossJoin(F.broadcast(every))
 
 
 @query(f"WITH {PAIRS}, m AS (SELECT event_id, min(distance) AS dmin FROM pairs GROUP BY event_id), b AS (SELECT event_id, CAST(ceil(dmin / 50) AS BIGINT) AS band FROM m WHERE dmin > 0) SELECT band, event_id FROM (SELECT band, event_id, row_number() OVER (PARTITION BY band ORDER BY event_id) AS rn FROM b) WHERE rn <= 25")
@@ -425,7 +423,9 @@ def fi05_borderline_sample(spark, d):
 
 @query(f"SELECT unit_id, {_r('quantile_cont(total, 0.5)')} AS p50, {_r('quantile_cont(total, 0.95)')} AS p95, max(total) AS largest FROM panel GROUP BY unit_id")
 def ag22_percentiles(spark, d):
-    return view(spark, d, "panel").groupBy("unit_id").agg(r6(F.percentile("total", F.lit(0.5))).alias("p50"), r6(F.percentile("total", F.lit(0.95))).alias("p95"), F.max("total").alias("largest"))
+    p = view(spark, d, "panel")
+    largest = p.groupBy("unit_id").agg(F.max("total").alias("largest"))
+    return order.percentiles(p, ["unit_id"], "total", {"p50": 0.5, "p95": 0.95}).join(largest, "unit_id").select("unit_id", r6("p50").alias("p50"), r6("p95").alias("p95"), "largest")
 
 
 # gates on the spatial and schema operators

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators import evaluate, models, panel, portfolio
+from waymark.operators import evaluate, models, order, panel, portfolio
 from waymark.operators.gates import CRITICAL, WARNING, bad, gate, offences, repeated
 from waymark.plans.statements import COUNTS, SEVERITIES, _bad, _n, _r
 from waymark.plans.statements import gate as gate_sql
@@ -184,6 +184,26 @@ def wi17_spearman(t):
     return panel.spearman(t.view("hist"), "total", "ksi").select(r6("spearman").alias("spearman"), F.col("max_rank_difference").cast("long").alias("max_rank_difference"))
 
 
+@query(_statement("wi08_two_rankings"))
+def wi08_two_rankings(t):
+    a = t.view("annual").select(UNIT, F.round("total_forecast", 6).alias("x"), F.round("ksi_forecast", 6).alias("y"))
+    return order.with_ranks(a, [], {"total": "x", "ksi": "y"}).select(UNIT, F.col("total_down").alias("rank_total"), F.col("ksi_down").alias("rank_ksi"))
+
+
+@query(_statement("wi09_rank_percentile"))
+def wi09_rank_percentile(t):
+    """Positions without ties: equal forecasts are told apart by the unit."""
+    a = t.view("annual").select(UNIT, F.struct((-F.round("ksi_forecast", 6)).alias("v"), UNIT).alias("place"))
+    r = order.with_ranks(a, [], {"p": "place"})
+    return r.select(UNIT, F.col("p_up").alias("position"), r6(1 - (F.col("p_up") - 1) / F.col("p_total")).alias("percentile"))
+
+
+@query(_statement("mo18_rank_agreement"))
+def mo18_rank_agreement(t):
+    j = t.view("annual").select(UNIT, F.round("ksi_forecast", 6).alias("x")).join(t.view("hist").select(UNIT, "ksi"), UNIT)
+    return panel.spearman(j, "x", "ksi").select(r6("spearman").alias("spearman"), F.col("max_rank_difference").cast("long").alias("max_rank_difference"))
+
+
 # evaluation
 _RANKED = "SELECT *, rank() OVER (PARTITION BY target, model, model_split ORDER BY x) + (count(*) OVER (PARTITION BY target, model, model_split, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY target, model, model_split ORDER BY y) + (count(*) OVER (PARTITION BY target, model, model_split, y) - 1) / 2e0 AS ry FROM (SELECT target, model, model_split, unit_id, round(sum(actual), 6) AS x, round(sum(predicted), 6) AS y, sum(actual) AS ax, sum(predicted) AS px FROM pred GROUP BY target, model, model_split, unit_id)"
 _SUITE = ("mae", "rmse", "deviance", "bias", "calibration")
