@@ -98,20 +98,38 @@ def test_sharding_cuts_few_groups(spark, monkeypatch, hot):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
 
-def test_propagation_cuts_links(spark):
-    """Cliques joined in a ring: propagation cuts far fewer links than its start, under the capacity."""
-    cliques, size = 60, 8
-    links = [(c * size + a, c * size + b) for c in range(cliques) for a in range(size) for b in range(a)] + [(c * size, (c + 1) % cliques * size) for c in range(cliques)]
-    total = cliques * size
+@pytest.mark.parametrize("shape", ["cliques", "stars"])
+def test_propagation_cuts_links(spark, shape):
+    """From hashed shards, with nearly all links cut: nodes move in every round while cuts fall, at most a tenth stays cut, and shards keep to their capacity or their start."""
+    if shape == "cliques":
+        count, size = 60, 8
+        links = [(c * size + a, c * size + b) for c in range(count) for a in range(size) for b in range(a)] + [(c * size, (c + 1) % count * size) for c in range(count)]
+    else:
+        count, size = 150, 5
+        links = [(c * size + a, c * size) for c in range(count) for a in range(1, size)]
+    total, shards = count * size + 300, 6
     nodes = spark.range(total).withColumnRenamed("id", "nid")
     edges = spark.createDataFrame([(max(e), min(e)) for e in links], "src long, dst long")
-    cut = {}
-    for rounds in (0, 8):
-        labels = sharding.propagate(nodes, edges, total, 6, rounds)
-        cut[rounds] = sharding.cut_links(labels, edges).first()
-        if rounds:
-            assert max(r["count"] for r in labels.groupBy("shard").count().collect()) <= max(total / 6 * (1 + sharding.SLACK) + size, max(r["count"] for r in sharding.propagate(nodes, edges, total, 6, 0).groupBy("shard").count().collect()))
-    assert cut[0].links == len(links) and cut[8].cut <= cut[0].cut and cut[8].cut <= 0.1 * len(links)
+    members = sharding.pair_groups(edges) if shape == "cliques" else spark.createDataFrame([(n, n // size) for n in range(count * size)], "nid long, group long")
+    report = []
+    labels = sharding.propagate(nodes, members, total, shards, report=report)
+    before, after = report[0][1], min(c for _, c in report)
+    assert report[0][0] == 0 and before >= 0.5 * (len(links) if shape == "cliques" else count * (size - 1)) and after <= 0.1 * before
+    assert all(m > 0 for m, _ in report[1:3]) and report[1][1] < before
+    started, found = sharding.cut_links(sharding.propagate(nodes, members, total, shards, 0), edges).first(), sharding.cut_links(labels, edges).first()
+    assert found.links == len(links) and started.cut >= 0.7 * len(links) and found.cut <= 0.1 * started.cut and labels.count() == total == labels.select("nid").distinct().count()
+    own = labels.filter(F.col("nid") < count * size).groupBy("shard").count().collect()
+    assert max(r["count"] for r in own) <= total / shards * (1 + sharding.SLACK) + size
+
+
+def test_propagation_breaks_ties(spark):
+    """A node with one neighbour in each of two shards proposes the one of smaller number; a full shard is not proposed."""
+    at = spark.createDataFrame([(0, 7, 5), (1, 7, 3), (0, 8, 5), (2, 8, 1)], "nid long, group long, now int")
+    none = spark.createDataFrame([], "group long")
+    for full, want in ((None, {1}), (1, {3})):
+        sizes = spark.createDataFrame([(s, 10 if s == full else 1) for s in (1, 3, 5)], "shard int, size long")
+        heard = sharding._heard(at, sizes, 10.0)
+        assert {r.target for number in range(12) for r in sharding._wishes(at, heard, none, number).filter("nid = 0").collect()} == want
 
 
 def test_toxicity_held_out(spark):

@@ -1,14 +1,16 @@
 """Balanced label propagation: linked documents move to their neighbours' shards under capacity quotas.
 
-DataFrame operations only. A node is a row; links are pairs of nodes. A node starts in the shard that a hash of its smallest neighbour (or
-itself) names. Every round, joins bring each node the shards of its neighbours; of the nodes whose turn it is (by hash, half of them, so that linked nodes do
-not swap for ever) each proposes the shard where it has most neighbours. Quotas limit the moves between two shards:
-opposite moves are matched one for one, and what a shard has free is dealt out in proportion to the proposals. Proposals pass by a hash of the
-neighbour they follow, so that no ranking of a whole shard is needed and groups move together. After the last round the counts are made
-even exactly: shards over their quota give up nodes, unlinked ones first, then whole groups next to each other, to those below; so about one group
+DataFrame operations only. A node is a row; what links nodes is a group that they belong to: all rows of equal text, or the two ends of a link. A node starts in the
+shard that its own hash names, so that at first nearly all links are cut. Every round, joins by way of the groups bring each linked node the number of its neighbours in
+each shard (each group's counts, never its pairs). It proposes the shard that has room and most neighbours, if these are more than where it is; of equally many, if it is the shard of smaller
+number. Nodes of several groups take turns by hash, half of them a round, so that neighbours do not swap for ever. Quotas limit the moves between two shards:
+opposite moves are matched one for one, and what a shard has free, unlinked nodes left out, is dealt out in proportion to the proposals. Rounds go on until the number of
+cut members (away from the shard that most of their group is in) has not fallen for PATIENCE
+rounds; the labels with the fewest stay. Then the counts are
+made even exactly: shards over their quota give up nodes, unlinked ones first, then whole groups next to each other, to those below; so about one group
 is cut for each border between shards, and a group larger than a shard fills shards one after another.
 
-Nodes of many links and large groups are hot keys: at most HOT_KEYS nodes can have more than 1 / HOT_KEYS of all links; their labels are sent to every task, and the
+Large groups are hot keys: at most HOT_KEYS groups can have more than 1 / HOT_KEYS of all rows; their counts are sent to every task, and the
 rest is joined by a shuffle. Positions within a shard are counted in two levels (bucket, then row within the bucket), and a large group has
 several buckets, so no task sees a whole shard.
 
@@ -26,9 +28,10 @@ from pyspark.sql import Window as W
 from waymark.llm.common import delete_path, groups_for, materialize, new_path, text_or_empty
 
 SHARDS = 24
-ROUNDS = 6
-#: Slack of a shard over its even share while nodes move; the last step removes it.
-SLACK = 0.1
+#: Rounds without fewer cuts after which propagation ends; and a bound that only a graph on which cuts fall by ones can meet.
+PATIENCE, ROUNDS = 3, 200
+#: Slack of a shard over its even share while nodes move, so that groups can pass each other; the last step removes it.
+SLACK = 1.0
 #: Bound of the number of nodes and groups that count as hot.
 HOT_KEYS = 2000
 #: Rows of one ranking bucket, about.
@@ -69,46 +72,82 @@ def _unit(*cols) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def _round(labels: DataFrame, links: DataFrame, hot: DataFrame, shards: int, cap: float, number: int) -> DataFrame:
-    """One round: (nid, shard) after the moves that the quotas let pass. links: (src, dst), both ways; hot: (dst) of many links."""
-    active = links.filter(_unit("src", F.lit(-number - 1)) < 0.5)
-    seen = join_small_or_hot(active, labels.select(F.col("nid").alias("dst"), "shard"), "dst", hot).groupBy("src", "shard").agg(F.count("*").alias("score"), F.min("dst").alias("lead"))
-    here = labels.select(F.col("nid").alias("src"), F.col("shard").alias("now"))
-    best = seen.join(here, "src").groupBy("src", "now").agg(
-        F.max(F.struct("score", (-F.col("shard")).alias("first"), "lead")).alias("top"), F.max(F.when(F.col("shard") == F.col("now"), F.col("score")).otherwise(0)).alias("stay")
-    )
-    wish = best.filter("top.score > stay").select(F.col("src").alias("nid"), "now", (-F.col("top.first")).alias("target"), F.col("top.lead").alias("lead"))
+#: Shards of a group that its members hear of: those with room and most members.
+HEARD = 4
+
+
+def _heard(at: DataFrame, sizes: DataFrame, cap: float) -> DataFrame:
+    """(group, held, top, away): a group's members by shard, its HEARD best shards with room, and how many members are not in its main shard. at: (nid, group, now); sizes: (shard, size), a row for each shard."""
+    counts = at.groupBy("group", "now").agg(F.count("*").alias("n")).join(F.broadcast(sizes.withColumnRenamed("shard", "now")), "now", "left")
+    one = F.struct(F.col("n"), (-F.col("now")).alias("first"), (F.lit(cap) - F.col("size") >= 1).alias("open"))
+    g = counts.groupBy("group").agg(F.sort_array(F.collect_list(one), asc=False).alias("a"), (F.sum("n") - F.max("n")).alias("away"))  # at most as many entries as shards
+    top = F.slice(F.filter("a", lambda x: x["open"]), 1, HEARD)
+    return g.select("group", F.map_from_entries(F.transform("a", lambda x: F.struct(-x["first"], x["n"]))).alias("held"), F.transform(top, lambda x: F.struct((-x["first"]).alias("shard"), x["n"].alias("n"))).alias("top"), "away")
+
+
+def _wishes(at: DataFrame, heard: DataFrame, hot: DataFrame, number: int) -> DataFrame:
+    """(nid, now, target): the moves that nodes propose in a round."""
+    met = join_small_or_hot(at, heard, "group", hot)
+    mine = met.groupBy("nid", "now").agg(F.count("*").alias("groups"), F.sum(F.col("held")[F.col("now")]).alias("stay"))
+    # a node of several groups does not count itself; one of a single group does, so that of two shards with equally many members one gives way
+    mine = mine.filter((F.col("groups") == 1) | (_unit("nid", F.lit(-number - 1)) < 0.5)).withColumn("stay", F.col("stay") - F.when(F.col("groups") > 1, F.col("groups")).otherwise(0))
+    other = met.select("nid", "now", F.explode("top").alias("t")).groupBy("nid", "t.shard").agg(F.sum(F.col("t.n") - (F.col("t.shard") == F.col("now")).cast("int")).alias("score"))
+    best = other.groupBy("nid").agg(F.max(F.struct("score", (-F.col("shard")).alias("first"))).alias("top"))
+    found = mine.join(best, "nid").select("nid", "now", (-F.col("top.first")).alias("target"), F.col("top.score").alias("score"), "stay", "groups")
+    return found.filter((F.col("target") != F.col("now")) & ((F.col("score") > F.col("stay")) | ((F.col("groups") == 1) & (F.col("score") == F.col("stay")) & (F.col("target") < F.col("now"))))).drop("score", "stay", "groups")
+
+
+def _round(labels: DataFrame, wish: DataFrame, sizes: DataFrame, cap: float, number: int) -> DataFrame:
+    """One round: (nid, shard, moved) of the linked nodes after the moves that the quotas let pass. Nodes without links take no room: they give way at the end."""
     flows = wish.groupBy("now", "target").agg(F.count("*").alias("n"))  # at most shards x shards rows
     back = flows.select(F.col("now").alias("target"), F.col("target").alias("now"), F.col("n").alias("m"))
     paired = flows.join(back, ["now", "target"], "left").withColumn("m", F.least("n", F.coalesce("m", F.lit(0))))
-    size = labels.groupBy("shard").agg(F.count("*").alias("size"))
     rest = F.sum(F.col("n") - F.col("m")).over(W.partitionBy("target"))
     room = F.greatest(F.lit(0.0), F.lit(cap) - F.coalesce("size", F.lit(0)))
-    quota = paired.join(size.withColumnRenamed("shard", "target"), "target", "left").withColumn("share", F.when(rest > 0, F.least(F.lit(1.0), room / rest)).otherwise(0.0))
+    quota = paired.join(sizes.withColumnRenamed("shard", "target"), "target", "left").withColumn("share", F.when(rest > 0, F.least(F.lit(1.0), room / rest)).otherwise(0.0))
     quota = quota.select("now", "target", ((F.col("m") + (F.col("n") - F.col("m")) * F.col("share")) / F.col("n")).alias("pass"))
-    moves = wish.join(F.broadcast(quota), ["now", "target"]).filter(_unit("lead", F.lit(number)) < F.col("pass")).select("nid", "target")
-    return labels.join(moves, "nid", "left").select("nid", F.coalesce("target", "shard").alias("shard"))
+    moves = wish.join(F.broadcast(quota), ["now", "target"]).filter(_unit("nid", F.lit(number)) < F.col("pass")).select("nid", "target")
+    return labels.select("nid", "shard").join(moves, "nid", "left").select("nid", F.coalesce("target", "shard").alias("shard"), F.col("target").isNotNull().alias("moved"))
+
+
+def pair_groups(links: DataFrame) -> DataFrame:
+    """(nid, group) of links (src, dst): each link is a group of two."""
+    numbered = materialize(links.select("src", "dst", F.monotonically_increasing_id().alias("group")), "links")
+    return numbered.select(F.col("src").alias("nid"), "group").unionByName(numbered.select(F.col("dst").alias("nid"), "group"))
 
 
-def propagate(nodes: DataFrame, links: DataFrame, total: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """(nid, shard): near-even label propagation until nothing moves, for at most so many rounds. nodes: (nid); links: (src, dst), each pair once."""
+def propagate(nodes: DataFrame, members: DataFrame, total: int, shards: int = SHARDS, rounds: int = ROUNDS, report: list | None = None) -> DataFrame:
+    """(nid, shard): near-even label propagation from hashed shards. nodes: (nid); members: (nid, group) of groups of two or more. report gets (moved, cut members) of the start and of every round."""
     spark = nodes.sparkSession
-    both = materialize(links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "links")
-    hot = materialize(hot_keys(both, "dst", total), "hot-nodes")
+    members = materialize(members.select("nid", "group"), "members")
+    hot = materialize(hot_keys(members, "group", total), "hot-groups")
+    start = nodes.select("nid", F.floor(_unit("nid") * shards).cast("int").alias("shard"))
+    linked = members.select("nid").distinct()
+    cap, report = total / shards * (1 + SLACK), [] if report is None else report
     path = new_path(spark, "labels")
-    least = both.groupBy(F.col("src").alias("nid")).agg(F.least(F.min("dst"), F.col("src")).alias("seed"))
-    seeded = nodes.select("nid").join(least, "nid", "left").select("nid", F.floor(_unit(F.coalesce("seed", "nid")) * shards).cast("int").alias("shard"))
-    labels = materialize(seeded, "labels", path)
-    cap = total / shards * (1 + SLACK)
-    for number in range(rounds):
-        new_at = new_path(spark, "labels")
-        new = materialize(_round(labels, both, hot, shards, cap, number), "labels", new_at)
-        moved = new.join(labels.withColumnRenamed("shard", "old"), "nid").filter("shard <> old").isEmpty()
-        delete_path(spark, path)
-        path, labels = new_at, new
-        if moved and number % 2:  # two rounds give every node a turn, about
+    labels = materialize(start.join(linked, "nid", "left_semi").withColumn("moved", F.lit(False)), "labels", path)
+    best, fewest, waited = (labels, path), None, 0
+    for number in range(rounds + 1):
+        at_path, heard_path = new_path(spark, "at"), new_path(spark, "heard")
+        at = materialize(members.join(labels.select("nid", F.col("shard").alias("now")), "nid"), "at", at_path)
+        sizes = labels.groupBy("shard").agg(F.count("*").alias("size"))
+        heard = materialize(_heard(at, sizes, cap), "heard", heard_path)
+        cut = heard.agg(F.sum("away")).first()[0] or 0
+        report.append((labels.filter("moved").count(), cut))
+        waited = 0 if fewest is None or cut < fewest else waited + 1
+        if waited == 0:
+            old, best, fewest = best, (labels, path), cut
+            if old[1] != path:
+                delete_path(spark, old[1])
+        go_on = cut > 0 and waited < PATIENCE and number < rounds
+        if go_on:
+            path = new_path(spark, "labels")
+            labels = materialize(_round(labels, _wishes(at, heard, hot, number), sizes, cap, number), "labels", path)
+        delete_path(spark, heard_path)
+        delete_path(spark, at_path)
+        if not go_on:
             break
-    return labels
+    return start.join(linked, "nid", "left_anti").unionByName(best[0].select("nid", "shard"))
 
 
 def even_out(labels: DataFrame, linked: DataFrame, total: int, shards: int = SHARDS) -> DataFrame:
@@ -142,7 +181,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     total = rows.count()
     links = materialize(star_links(rows.select("nid", "group"), "group", total), "star")
     linked = links.select(F.col("src").alias("nid"), F.col("dst").alias("lead"), "n").unionByName(links.select(F.col("dst").alias("nid"), F.col("dst").alias("lead"), "n").distinct())
-    labels = even_out(propagate(rows.select("nid"), links, total, shards), linked, total, shards)
+    members = linked.select("nid", F.col("lead").alias("group"))
+    labels = even_out(propagate(rows.select("nid"), members, total, shards), linked, total, shards)
     slots = with_positions(materialize(labels, "even"), "shard", [F.col("__o"), F.col("nid")], total // shards + 1, "slot").select("nid", "shard", "slot")
     return rows.join(slots, "nid").select(
         F.col("__id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
