@@ -132,6 +132,23 @@ def test_propagation_breaks_ties(spark):
         assert {r.target for number in range(12) for r in sharding._wishes(at, heard, none, number).filter("nid = 0").collect()} == want
 
 
+def test_toxicity_sample_is_bounded_by_rows(spark, monkeypatch):
+    """One id with very many rows does not enlarge the fit."""
+    rows = [(1, f"awful words number {k}") for k in range(3000)] + [(k, f"kind words {k}") for k in range(2, 60)] + [(k, f"awful idiots {k}") for k in range(60, 90)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    labels = spark.createDataFrame([(i, int(i == 1 or i >= 60)) for i in {r[0] for r in rows}], "doc_id long, toxic int")
+    sizes = spark.sparkContext.accumulator(0)
+    real = toxicity.fit_weights
+
+    def counted(rows, *a):
+        sizes.add(len(rows))
+        return real(rows, *a)
+
+    monkeypatch.setattr(toxicity, "fit_weights", counted)
+    toxicity.train(docs, labels, sample_per_class=10)
+    assert 0 < sizes.value <= 20
+
+
 def test_toxicity_held_out(spark):
     d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     extra = spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "", "en", "s", 0)], d.schema)

@@ -1,10 +1,13 @@
 """Surrogates for personal data: keyed, type-consistent replacements.
 
 Detected: e-mail addresses, phone numbers, payment cards (Luhn), IPv4 addresses, social security
-numbers, IBANs (mod 97), secrets after words such as token or password, and names after a title: all capitalised
-words that follow it, with initials, names that begin with a well-known given name (GIVEN), and every other capitalised mention of these words in the document. A
-name is taken part by part, so that a full name and the bare surname keep referring to the same person. Names
-that stand nowhere in a document after a title or such a given name are not found.
+numbers, IBANs (mod 97), secrets after words such as token or password, and names in three ways: after a title, all capitalised
+words that follow it, with initials; a well-known given name (GIVEN) and the capitalised words after it; and two or three capitalised words beside evidence of a person (a verb of
+speech, work or meeting, an age, a word that leads to a name), by score. The second and third way take no sequence with a word that makes it a place, an institution or
+a thing (NO_PERSONS). Other capitalised mentions of the parts follow, but at the start of a sentence not of words that are common (COMMON, or
+in lower case elsewhere in the document) unless a verb of speech, work or meeting follows, and none before such a word. A
+name is taken part by part, so that a full name and the bare surname keep referring to the same person. Names without any of
+this evidence, social security and phone numbers without separators, and IPv6 addresses are not found.
 
 An entity is (kind, norm): the norm drops case and separators, so every spelling of one entity gets
 one surrogate. Kinds of names carry script; the gender of a given name's surrogate comes from all titles it
@@ -60,6 +63,31 @@ FEMININE = tuple(m + "а" for m in MASCULINE)
 #: Words that may stand inside a name, and capitalised words that end one.
 PARTICLES = "van von der den de del della di da dos du la le al bin ibn ten ter zu y".split()
 NO_NAMES = "and but or who which that this these those then when while after before with from is was are were has had have he she it they we you the not said says also there here".split()
+# Capitalised words that make a name one of a place, an institution or a thing.
+NO_PERSONS = frozenset(
+    "river street city road avenue lane square park lake mountain mountains mount hill hills valley bay beach island islands bridge county state town village harbor harbour creek forest garden gardens airport station tower castle cathedral church abbey "
+    "university college school academy institute hospital clinic museum library theatre theater hall house hotel stadium arena centre center court palace memorial monument foundation society association union committee council ministry department agency office bureau bank "
+    "prize award medal cup trophy festival day week month act law bill treaty plan project programme program report review journal times post news press magazine award awards championship league conference north south east west northern southern eastern western new "
+    "license licence version public general software act agreement copyright page chapter section part volume figure table appendix article company corporation corp inc ltd llc group holdings partners industries systems technologies motors airlines records studios pictures games software bible gospel "
+    "monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december "
+    "straße platz fluss stadt universität schule rue avenue place université école ville fleuve calle plaza ciudad universidad escuela río avenida".split()
+)
+# Words that are names, too.
+COMMON = frozenset(
+    "will young may mark rose grace hope bill rich frank grant chase brown white green black gray grey king prince price stone wood woods hill hills field fields baker cook gold silver summer winter april june august long short small little strong wise sharp swift "
+    "page bush ford lane rivers waters banks power powers love day knight bishop pope church art faith joy dawn rob sue pat drew jack penny ruby amber iris ivy lily violet daisy hunter bond best good hardy noble major french english german "
+    "west north south east park parks marsh moss reed rice bell ball bird fox wolf lamb crane drake finch case cash chance childs cross close cole court dean early fair fall flood forest foot gore hand hart head holly house hurt lake law lord moon moody more nice north nations pace paine pitt rain rush sage savage self sky snow speed sparks star steel storm street sun thorn todd town vale wall ward ware wells winds worth".split()
+)
+# Words that begin sentences and no names.
+STARTERS = frozenset(
+    "so the a an in on at if as for from by to of but yesterday today tomorrow last next later yes no my our his her its their i some many most all each every only even also now still perhaps maybe however both either because since although though until once again thus hence yet how why what "
+    "where whose one two three dear contact ask tell see read please let meanwhile finally then there please in der die das ein eine und le la les un une et el los las una y".split()
+)
+# Words after a person's name, and words before one.
+AFTER_NAME = frozenset(
+    "said says say told tells asked asks wrote writes replied replies added answered explained argued claimed noted warned insisted thinks thought believes believed met meets joined joins married loves lives lived works worked moved studied teaches taught signed called calls emailed phoned smiled laughed nodded shrugged sighed whispered shouted resigned retired died".split()
+)
+BEFORE_NAME = frozenset("by told asked met meet meets called emailed phoned contact contacted named author dear hi hello interviewed married invited hired thanked sincerely regards and".split())
 HEX = "0123456789abcdef"
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
@@ -108,6 +136,14 @@ def _patterns():
             rf"(?<![\p{{L}}\p{{M}}\p{{N}}_@.\-])(?P<part>{'|'.join(sorted((n for ns in GIVEN.values() for n in ns), key=len, reverse=True))})(?![\p{{L}}\p{{M}}\-])"
             rf"(?:[ \t]+(?:(?:{'|'.join(PARTICLES)})[ \t]+)*(?!(?i:{names}|{'|'.join(NO_NAMES)})(?![\p{{L}}\p{{M}}]))(?P<part>{part}))+"
         ),
+        "pair": regex.compile(
+            rf"(?<![\p{{L}}\p{{M}}\p{{N}}_@.\-])(?P<part>\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?:['’\-]\p{{Lu}}?[\p{{Ll}}\p{{M}}]+)*)(?:[ \t]+(?:(?:{'|'.join(PARTICLES)})[ \t]+)*(?P<part>\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?:['’\-]\p{{Lu}}?[\p{{Ll}}\p{{M}}]+)*|\p{{Lu}}\.)){{1,2}}(?![\p{{L}}\p{{M}}\-])"
+        ),
+        "before": regex.compile(r"(\p{L}+),?[ \t]+$"),
+        "after": regex.compile(r"[ \t]+(?<verb>\p{Ll}\p{L}*)|,[ \t]+(?:aged[ \t]+)?\d{1,3}\b|[ \t]*\(\d{1,3}\)"),
+        "lower": regex.compile(r"(?<![\p{L}\p{M}\p{N}])\p{Ll}[\p{L}\p{M}]*"),
+        "verb": regex.compile(r"[ \t]+(\p{Ll}+)"),
+        "next": regex.compile(r"[ \t]+(\p{Lu}[\p{L}\p{M}]*)"),
         "capital": regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])\p{{Lu}}{letters}"),
     }, titles
 
@@ -121,6 +157,44 @@ def _bare(name: str) -> str:
     return name[:-2] if len(name) > 3 and name[-2:] in ("'s", "’s", "'S", "’S") else name.rstrip(".")
 
 
+def _starts_sentence(text: str, at: int) -> bool:
+    before = text[max(0, at - 40) : at].rstrip(" \t\"'“”‘’«»(")
+    return not before or before[-1] in ".!?…:;\n\r"
+
+
+def _before_thing(text: str, end: int) -> bool:
+    """Whether the next word makes what stands before it a place, an institution or a thing."""
+    m = _patterns()[0]["next"].match(text, end)
+    return m is not None and m[1].casefold() in NO_PERSONS
+
+
+def _acts(text: str, end: int) -> bool:
+    """Whether the next word is one that follows a person's name."""
+    m = _patterns()[0]["verb"].match(text, end)
+    return m is not None and m[1] in AFTER_NAME
+
+
+#: Evidence from which a sequence of capitalised words is a person.
+ENOUGH = 2
+
+
+def _is_person(text: str, m, unlisted: bool, titles: dict[str, str]) -> bool:
+    """Whether a sequence of capitalised words without a title is a person: not with a word of NO_PERSONS in it or after it; one with an unlisted given name needs evidence beside it."""
+    parts = [_bare(x).casefold() for x in m.captures("part")]
+    if any(x in NO_PERSONS for x in parts) or _before_thing(text, m.end()) or parts[0] in NO_NAMES:
+        return False
+    if not unlisted:
+        return True
+    if parts[0] in STARTERS or len(set(parts)) < len(parts) or any(x in titles or x in NO_NAMES for x in parts):
+        return False
+    p, first = _patterns()[0], m.starts("part")[0]
+    before, after = p["before"].search(text, max(0, first - 30), first), p["after"].match(text, m.end())
+    led = before is not None and before[1].casefold() in BEFORE_NAME
+    acts = after is not None and (after["verb"] is None or after["verb"].casefold() in AFTER_NAME)
+    score = 2 * acts + 2 * (led and before[1].casefold() != "and") + (led and before[1].casefold() == "and")
+    return score - (_starts_sentence(text, first) and parts[0] in COMMON) >= ENOUGH
+
+
 def _masculine(norm: str) -> str:
     """The masculine form of a surname that has one for each gender: it names the entity, for families and declined forms."""
     return norm[:-1] if len(norm) > 5 and norm.endswith(FEMININE) else norm
@@ -175,9 +249,14 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                 if 9 <= len(v) <= 15:
                     add(m.start(), m.end(), kind, v)
     known: dict[str, str] = {}
+    lower: set[str] | None = None  # the words that stand in lower case, where a name is found at all
     given = {n: g for g, ns in GIVEN.items() for n in ns}
-    for m in (m for way in ("person", "named") for m in p[way].finditer(text)):
-        if m.re is p["person"]:
+    for m in (m for way in ("person", "named", "pair") for m in p[way].finditer(text, overlapped=way == "pair")):
+        if m.re is not p["person"] and not _is_person(text, m, m.re is p["pair"], titles):
+            continue
+        if m.re is p["pair"]:
+            gender = given.get(m.captures("part")[0], "n")
+        elif m.re is p["person"]:
             gender = next((g for t in m.captures("title") if (g := titles[t.lower()]) != "n"), "n")
             gender = given.get(m["part"] if len(m.captures("part")) == 1 else m.captures("part")[0], "n") if gender == "n" else gender
         else:
@@ -189,15 +268,18 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             kind = f"surname:s:{script}" if k == last else f"given:{gender}:{script}"
             if k == last:
                 norm = _masculine(norm)
-            if m.re is p["named"] and norm in known:
+            if m.re is not p["person"] and norm in known:
                 kind = known[norm]
             add(x, y, kind, norm)
             if y - x > 1 and (k == last or norm not in known):
                 known[norm] = kind
     if known:
+        lower = set(p["lower"].findall(text))
         for m in p["capital"].finditer(text):
             at = m.start()
             whole = _bare(m[0])
+            if whole.casefold() in known and (_before_thing(text, m.end()) or (_starts_sentence(text, at) and (whole.casefold() in COMMON or whole.casefold() in lower) and not _acts(text, m.end()))):
+                continue
             pieces = [whole] if whole.casefold() in known else whole.split("-")
             for piece in pieces:
                 norm = piece.casefold()

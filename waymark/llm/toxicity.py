@@ -163,7 +163,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
         return np.zeros(BUCKETS, dtype=np.float32), float(np.log(share / (1 - share)))
     ratios = log_ratios(size, found)
     picks = [marks.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class) for c in (0, 1)]
-    sample = texts.join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").select("text", "label")  # at most 2 x sample_per_class ids
+    # at most 2 x sample_per_class ids, and of their rows (an id can have many) as many: each task and the one that fits keep no more
+    first = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    rows = [texts.join(F.broadcast(p), "doc_id").orderBy(*first).limit(sample_per_class).select("text", "label") for p in picks]
+    sample = rows[0].unionByName(rows[1])
     known = spark.sparkContext.broadcast(ratios)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
