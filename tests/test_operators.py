@@ -346,6 +346,53 @@ def test_gamma_poisson_beats_its_start(spark):
     assert all(r.nll <= nll(r.alpha * s, r.beta * t) + 1e-3 for s in (0.5, 1, 2) for t in (0.5, 1, 2))
 
 
+def test_gamma_poisson_is_at_its_optimum(spark):
+    """Against a search of its own; the derivatives vanish; special functions agree with the library's; no overdispersion ends at the bound."""
+    rows = [(3, 1.0), (0, 1.0), (7, 2.0), (2, 1.5), (9, 2.0), (40, 3.0), (0, 0.5), (1, 1.0)]
+    r = models.fit_gamma_poisson(spark.createDataFrame(rows, "y int, exposure double")).first()
+
+    def nll(p, q):
+        a, b = math.exp(p), math.exp(p - q)
+        return -sum(math.lgamma(a + y) - math.lgamma(a) + a * math.log(b) - (a + y) * math.log(b + e) for y, e in rows)
+
+    p, q, h = 0.0, 1.0, 1.0
+    while h > 1e-9:
+        better = min(((nll(p + i * h, q + j * h), p + i * h, q + j * h) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+        p, q, h = (better[1], better[2], h) if better[0] < nll(p, q) else (p, q, h / 2)
+    assert r.gradient < 1e-6 and r.alpha == pytest.approx(math.exp(p), rel=1e-5) and r.beta == pytest.approx(math.exp(p - q), rel=1e-5) and r.nll == pytest.approx(nll(p, q), rel=1e-10)
+    x = spark.createDataFrame([(v,) for v in (0.01, 0.7, 1.0, 5.5, 1e4)], "x double").select("x", models.lgamma(F.col("x")).alias("l"), models.digamma(F.col("x")).alias("d"), models.trigamma(F.col("x")).alias("t")).collect()
+    for v in x:
+        step = 1e-4 * v.x
+        assert v.l == pytest.approx(math.lgamma(v.x), abs=1e-10, rel=1e-11) and v.d == pytest.approx((math.lgamma(v.x + step) - math.lgamma(v.x - step)) / (2 * step), rel=1e-5, abs=1e-6)
+    same = models.fit_gamma_poisson(spark.createDataFrame([(5, 1.0)] * 20 + [(4, 1.0)], "y int, exposure double")).first()
+    assert same.alpha > 1e4 and same.alpha / same.beta == pytest.approx(104 / 21, rel=1e-3)
+
+
+def test_wide_models(spark, monkeypatch):
+    """Few features: the coefficients of the normal equations. Twenty thousand categories: derivatives vanish, and sums within a category are right."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n = 1500
+    x, g = rng.normal(2, 3, n), rng.integers(0, 4, n)
+    y = rng.poisson(np.exp(0.3 + 0.1 * x + np.array([0, 0.4, -0.2, 0.1])[g])).astype(float)
+    df = spark.createDataFrame([(float(a), f"g{b}", float(c)) for a, b, c in zip(x, g, y)], "x double, g string, y double").repartition(3).cache()
+    for reg in (0.0, 0.3):
+        narrow, wide = models.fit_poisson(df, "y", ["x"], ["g"], reg=reg), models.fit_wide(df, "y", ["x"], ["g"], reg)
+        ours = dict(zip(wide.names(), wide.coefficients))
+        # the other fit has the last level first
+        assert ours["x"] == pytest.approx(narrow.coefficients[0], abs=1e-4) and sorted(ours[f"g_hot_g{k}"] for k in (1, 2, 3)) == pytest.approx(sorted(narrow.coefficients[1:]), abs=1e-4) and wide.intercept == pytest.approx(narrow.intercept, abs=1e-4)
+        new = spark.createDataFrame([(1.0, "g2"), (0.0, "never seen")], "x double, g string")
+        assert [r.predicted for r in wide.predict(new).collect()] == pytest.approx([r.predicted for r in narrow.predict(new).collect()], rel=1e-3)
+    nb, wide_nb = models.fit_negative_binomial(df, "y", ["x"], ["g"]), models.fit_wide(df, "y", ["x"], ["g"], 1e-6, models.dispersion(df, "y"))
+    assert wide_nb.coefficients[0] == pytest.approx(nb.coefficients[0], abs=1e-3)
+    many = spark.range(60_000).select((F.col("id") % 20_000).cast("string").alias("u"), (F.pmod(F.xxhash64("id"), F.lit(100)) / 10).alias("x"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(7)).cast("double").alias("y"))
+    m = models.fit_poisson(many, "y", ["x"], ["u"], reg=1e-6)
+    assert isinstance(m, models.WideModel) and m.size == 20_000 and m.steps < 100
+    off = m.predict(many).groupBy("u").agg(F.sum("y").alias("y"), F.sum("predicted").alias("p")).filter("y > 0").agg(F.max(F.abs(F.col("p") - F.col("y"))).alias("d"), F.sum("p").alias("p"), F.sum("y").alias("y")).first()
+    assert off.p == pytest.approx(off.y, rel=1e-3) and off.d < 1.0
+
+
 @pytest.mark.parametrize(("bad_rows", "status"), [({}, "PASS"), ({"a": 1}, "PASS_WITH_WARNINGS"), ({"k": None}, "FAIL"), ({"k": 2}, "FAIL")])
 def test_gate(spark, bad_rows, status):
     df = spark.createDataFrame([(bad_rows.get("k", 1), bad_rows.get("a", 0)), (2, 0)], "k int, a int")

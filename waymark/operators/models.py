@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +47,142 @@ class FittedModel:
         return [numeric[k] if k < len(numeric) else names.get(k, str(k)) for k in range(len(self.coefficients))]
 
 
-def fit_poisson(train: DataFrame, target: str, numeric: list[str], categories: list[str], reg: float = 1.0, rounds: int = 25) -> FittedModel:
+#: Features up to which a fit solves normal equations; beyond, it goes by gradients.
+NORMAL_FEATURES = 4096
+
+
+class WideModel:
+    """A log-linear model over standardised numbers and categories of any number of levels. Coefficients: numbers first, then the levels of each category but the first."""
+
+    def __init__(self, numeric: list[str], categories: list[str], means: np.ndarray, scales: np.ndarray, levels: list[dict[str, int]], alpha: float | None = None):
+        self.numeric, self.categories, self.means, self.scales, self.levels, self.alpha = numeric, categories, means, scales, levels, alpha
+        self.size = len(numeric) + sum(map(len, levels))
+        self.coefficients, self.intercept, self.steps = np.zeros(self.size), 0.0, 0
+
+    def names(self, df: DataFrame | None = None) -> list[str]:
+        return [*self.numeric, *(f"{c}_hot_{x}" for c, own in zip(self.categories, self.levels) for x in own)]
+
+    def encode(self, batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Standardised numbers, and the place of each category's coefficient (-1: the first level or an unseen one)."""
+        x = (batch[self.numeric].to_numpy(float) - self.means) * self.scales
+        at, start = [], len(self.numeric)
+        for c, own in zip(self.categories, self.levels):
+            at.append(batch[c].map(own).fillna(-1 - start).to_numpy(np.int64) + start)
+            start += len(own)
+        return x, np.stack(at, axis=1) if at else np.zeros((len(batch), 0), np.int64)
+
+    def log_mean(self, x: np.ndarray, at: np.ndarray, coefficients: np.ndarray, intercept: float) -> np.ndarray:
+        padded = np.append(coefficients, 0.0)  # place -1
+        return np.clip(x @ coefficients[: len(self.numeric)] + padded[at].sum(axis=1) + intercept, -20, 20)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """df with predicted."""
+        known = df.sparkSession.sparkContext.broadcast(self)
+
+        @F.pandas_udf("double")
+        def mean(row: pd.DataFrame) -> pd.Series:
+            m = known.value
+            return pd.Series(np.exp(m.log_mean(*m.encode(row), m.coefficients, m.intercept)))
+
+        return df.withColumn("predicted", mean(F.struct(*self.numeric, *[F.col(c).cast("string").alias(c) for c in self.categories])))
+
+
+def _wide_sums(rows: DataFrame, model: WideModel, target: str, coefficients: np.ndarray, intercept: float, alpha: float | None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and diagonal of the curvature (the intercept last), summed in Spark: one job."""
+    sent = rows.sparkSession.sparkContext.broadcast((model, coefficients, intercept))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, c, b0 = sent.value
+        loss, g, h = 0.0, np.zeros(m.size + 2), np.zeros(m.size + 2)
+        for batch in batches:
+            (x, at), y = m.encode(batch), batch[target].to_numpy(float)
+            eta = m.log_mean(x, at, c, b0)
+            mu = np.exp(eta)
+            if alpha is None:
+                loss, r, w = loss + float((mu - y * eta).sum()), mu - y, mu
+            else:
+                loss, r, w = loss + float(((y + 1 / alpha) * np.log1p(alpha * mu) - y * eta).sum()), (mu - y) / (1 + alpha * mu), mu / (1 + alpha * mu)
+            n = x.shape[1]
+            g[:n] += x.T @ r
+            h[:n] += (x * x).T @ w
+            for k in range(at.shape[1]):
+                place = np.where(at[:, k] < 0, m.size + 1, at[:, k])
+                g += np.bincount(place, weights=r, minlength=m.size + 2)
+                h += np.bincount(place, weights=w, minlength=m.size + 2)
+            g[m.size] += r.sum()
+            h[m.size] += w.sum()
+        used = np.flatnonzero(h[: m.size + 1])
+        yield pd.DataFrame({"k": np.append(used, -1), "g": np.append(g[used], loss), "h": np.append(h[used], 0.0)})
+
+    columns = [*model.numeric, *[F.col(c).cast("string").alias(c) for c in model.categories], F.col(target).cast("double").alias(target)]
+    sums = rows.select(*columns).mapInPandas(part, "k long, g double, h double").groupBy("k").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()  # a row for each coefficient
+    loss, g, h = float(sums.loc[sums["k"] < 0, "g"].sum()), np.zeros(model.size + 1), np.zeros(model.size + 1)
+    own = sums[sums["k"] >= 0]
+    g[own["k"]], h[own["k"]] = own["g"], own["h"]
+    return loss, g, h
+
+
+def fit_wide(train: DataFrame, target: str, numeric: list[str], categories: list[str], reg: float, alpha: float | None = None, tolerance: float = 1e-7, rounds: int = 200, memory: int = 12) -> WideModel:
+    """Poisson (alpha None) or negative-binomial regression with log link by limited-memory quasi-Newton steps; every evaluation is one job that sums over the rows.
+
+    The penalty is that of the normal-equation fits: reg times the sum of the target (of the weights, for a negative binomial), not on the intercept. Steps begin from
+    the curvature's diagonal and are halved until the loss falls enough; they end when the largest derivative is at most tolerance times the sum of the target.
+    """
+    f = train.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(numeric)], *[F.stddev_samp(c).alias(f"s{k}") for k, c in enumerate(numeric)], F.sum(target).alias("total"), F.avg(target).alias("mean")).first()
+    means, deviations = np.array([f[f"m{k}"] or 0.0 for k in range(len(numeric))], float), np.array([f[f"s{k}"] or 0.0 for k in range(len(numeric))], float)
+    levels = []
+    for c in categories:
+        values = [r[0] for r in train.select(F.col(c).cast("string")).filter(F.col(c).isNotNull()).distinct().orderBy(c).collect()]  # as many as coefficients
+        levels.append({x: k for k, x in enumerate(values[1:])})
+    model = WideModel(numeric, categories, means, np.divide(1.0, deviations, out=np.zeros_like(deviations), where=deviations > 0), levels, alpha)
+    rows, total = cut_lineage(train.select(*numeric, *categories, target), "wide"), float(f.total or 0.0)
+    penalty = np.append(np.full(model.size, reg * (total if alpha is None else total / (1 + alpha * f.mean))), 0.0)
+
+    def at(p: np.ndarray):
+        loss, g, h = _wide_sums(rows, model, target, p[:-1], p[-1], alpha)
+        return loss + 0.5 * float((penalty * p * p).sum()), g + penalty * p, h + penalty
+
+    p = np.append(np.zeros(model.size), math.log(max(f.mean or 0.0, 1e-6)))
+    loss, g, h = at(p)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for model.steps in range(rounds):
+        if np.abs(g).max() <= tolerance * max(1.0, total):
+            break
+        q, used = g.copy(), []
+        for s, y in reversed(steps):
+            k = (s @ q) / (y @ s)
+            q -= k * y
+            used.append(k)
+        q /= np.maximum(h, 1e-12)
+        for (s, y), k in zip(steps, reversed(used)):
+            q += s * (k - (y @ q) / (y @ s))
+        size = 1.0
+        while True:
+            new = at(p - size * q)
+            if new[0] <= loss - 1e-4 * size * float(g @ q) or size < 1e-10:
+                break
+            size /= 2
+        if size < 1e-10:
+            break
+        s, y = -size * q, new[1] - g
+        if s @ y > 1e-12:
+            steps = [*steps[1 - memory :], (s, y)]
+        p, (loss, g, h) = p - size * q, new
+    model.coefficients, model.intercept = p[:-1], float(p[-1])
+    return model
+
+
+def _width(train: DataFrame, numeric: list[str], categories: list[str]) -> int:
+    kinds = train.agg(*[F.count_distinct(c) for c in categories]).first() if categories else ()
+    return len(numeric) + sum(n - 1 for n in kinds)
+
+
+def fit_poisson(train: DataFrame, target: str, numeric: list[str], categories: list[str], reg: float = 1.0, rounds: int = 25) -> FittedModel | WideModel:
     """Poisson regression with log link and an L2 penalty."""
     from pyspark.ml.regression import GeneralizedLinearRegression
 
+    if _width(train, numeric, categories) > NORMAL_FEATURES:
+        return fit_wide(train, target, numeric, categories, reg)
     prepare = _features(train, numeric, categories)
     glm = GeneralizedLinearRegression(family="poisson", link="log", labelCol=target, featuresCol="features", predictionCol="predicted", regParam=reg, maxIter=rounds).fit(prepare.transform(train))
     return FittedModel(prepare, [float(c) for c in glm.coefficients], float(glm.intercept), glm=glm)
@@ -57,12 +194,14 @@ def dispersion(train: DataFrame, target: str) -> float:
     return max(1e-4, (m.v - m.m) / m.m**2) if m.v is not None and m.m and m.v > m.m else 0.1
 
 
-def fit_negative_binomial(train: DataFrame, target: str, numeric: list[str], categories: list[str], rounds: int = 50, tolerance: float = 1e-6, reg: float = 1e-6) -> FittedModel:
+def fit_negative_binomial(train: DataFrame, target: str, numeric: list[str], categories: list[str], rounds: int = 50, tolerance: float = 1e-6, reg: float = 1e-6) -> FittedModel | WideModel:
     """Reweighted least squares with weights mu / (1 + alpha mu) until the deviance stands still. If that fails or does not converge, a Poisson regression (alpha None)."""
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import LinearRegression
 
     alpha = dispersion(train, target)
+    if _width(train, numeric, categories) > NORMAL_FEATURES:
+        return fit_wide(train, target, numeric, categories, reg, alpha)
     prepare = _features(train, numeric, categories)
     x = cut_lineage(prepare.transform(train).select("features", F.col(target).cast("double").alias("y")), "nb")
     eta, before, model = F.log(F.col("y") + 0.5), None, None
@@ -162,18 +301,69 @@ def recursive_model_forecast(panel: DataFrame, predict, factor: float, unit: str
     return out
 
 
-def fit_gamma_poisson(units: DataFrame, rounds: int = 4, points: int = 9) -> DataFrame:
-    """One row (alpha, beta, nll): Gamma-Poisson likelihood over a grid that closes in round by round. units: (y, exposure)."""
+def _shifted(x: Column, steps: int, term) -> tuple[Column, Column]:
+    """x + steps, and the sum of term over x, x + 1, ... below it."""
+    total = term(x)
+    for k in range(1, steps):
+        total = total + term(x + k)
+    return x + steps, total
+
+
+def lgamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0: Stirling's series after eight steps of the recurrence."""
+    z, below = _shifted(x, 8, F.log)
+    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) - below
+
+
+def digamma(x: Column) -> Column:
+    z, below = _shifted(x, 8, lambda v: 1 / v)
+    return F.log(z) - 1 / (2 * z) - 1 / (12 * z**2) + 1 / (120 * z**4) - 1 / (252 * z**6) + 1 / (240 * z**8) - below
+
+
+def trigamma(x: Column) -> Column:
+    z, below = _shifted(x, 8, lambda v: 1 / (v * v))
+    return 1 / z + 1 / (2 * z**2) + 1 / (6 * z**3) - 1 / (30 * z**5) + 1 / (42 * z**7) - 1 / (30 * z**9) + below
+
+
+#: Largest shape of a gamma prior: beyond it the counts are not told from Poisson counts.
+MAX_SHAPE = 1e8
+
+
+def fit_gamma_poisson(units: DataFrame, tolerance: float = 1e-7, rounds: int = 200) -> DataFrame:
+    """One row (alpha, beta, nll, gradient): the Gamma-Poisson likelihood at its optimum. units: (y, exposure), exposure above zero.
+
+    Newton steps on the logarithms of both parameters, each from one aggregate over the distinct (y, exposure), halved until the likelihood does not fall, until the
+    largest derivative by a logarithm is at most tolerance times the number of units. Without overdispersion the shape grows to MAX_SHAPE and stays there.
+    """
+    rows = cut_lineage(units.groupBy(F.col("y").cast("double").alias("y"), F.col("exposure").cast("double").alias("e")).agg(F.count("*").cast("double").alias("w")), "gamma-poisson")
     m = units.select((F.col("y") / F.col("exposure")).alias("r")).agg(F.avg("r").alias("m"), F.var_samp("r").alias("v")).first()
-    alpha, beta = (m.m**2 / m.v, m.m / m.v) if m.v and m.m else (1.0, 1.0)
-    span, best = 16.0, None
-    spark = units.sparkSession
+    u, v = (math.log(m.m**2 / m.v), math.log(m.m / m.v)) if m.v and m.m else (0.0, 0.0)
+
+    def at(u: float, v: float):
+        a, b = F.lit(math.exp(u)), F.lit(math.exp(v))
+        y, e, w = F.col("y"), F.col("e"), F.col("w")
+        ll = lgamma(a + y) - lgamma(a) + a * F.log(b) - (a + y) * F.log(b + e)
+        sums = {"ll": ll, "a": digamma(a + y) - digamma(a) + F.log(b) - F.log(b + e), "b": a / b - (a + y) / (b + e), "aa": trigamma(a + y) - trigamma(a), "ab": 1 / b - 1 / (b + e), "bb": (a + y) / (b + e) ** 2 - a / b**2, "n": F.lit(1.0)}
+        return rows.agg(*[F.sum(w * x).alias(k) for k, x in sums.items()]).first()
+
+    here = at(u, v)
     for _ in range(rounds):
-        steps = [span ** (2 * k / (points - 1) - 1) for k in range(points)]
-        grid = spark.createDataFrame([(alpha * a, beta * b) for a in steps for b in steps], "alpha double, beta double")
-        rising = F.when(F.col("y") > 0, F.aggregate(F.transform(F.sequence(F.lit(0), F.greatest(F.col("y") - 1, F.lit(0))), lambda j: F.log(F.col("alpha") + j)), F.lit(0.0), lambda s, v: s + v)).otherwise(0.0)
-        ll = rising + F.col("alpha") * F.log("beta") - (F.col("alpha") + F.col("y")) * F.log(F.col("beta") + F.col("exposure"))
-        nll = units.crossJoin(F.broadcast(grid)).groupBy("alpha", "beta").agg((-F.sum(ll)).alias("nll"))  # 81 rows of grid
-        best = nll.orderBy(F.round("nll", 9), "alpha", "beta").limit(1).first()
-        alpha, beta, span = best.alpha, best.beta, span**0.5
-    return spark.createDataFrame([(alpha, beta, best.nll)], "alpha double, beta double, nll double")
+        a, b = math.exp(u), math.exp(v)
+        gu, gv = a * here.a, b * here.b
+        if max(abs(gu), abs(gv)) <= tolerance * here.n or u >= math.log(MAX_SHAPE):
+            break
+        huu, huv, hvv = a * a * here.aa + gu, a * b * here.ab, b * b * here.bb + gv
+        det = huu * hvv - huv * huv
+        du, dv = ((huv * gv - hvv * gu) / det, (huv * gu - huu * gv) / det) if huu < 0 and det > 0 else (gu / here.n, gv / here.n)
+        shrink = min(1.0, 2.0 / max(abs(du), abs(dv)))
+        for _ in range(40):
+            nu, nv = min(u + shrink * du, math.log(MAX_SHAPE)), v + shrink * dv
+            there = at(nu, nv)
+            if there.ll >= here.ll - 1e-12 * abs(here.ll):
+                u, v, here = nu, nv, there
+                break
+            shrink /= 2
+        else:
+            break
+    out = (math.exp(u), math.exp(v), -here.ll, max(abs(math.exp(u) * here.a), abs(math.exp(v) * here.b)))
+    return units.sparkSession.createDataFrame([out], "alpha double, beta double, nll double, gradient double")

@@ -359,9 +359,14 @@ def mo17_eb_posterior(t):
     return evaluate.gamma_posterior(u, evaluate.gamma_moments(u, "ksi", "ex"), "ksi", "ex").select(UNIT, r6(F.col("rate") * F.col("length_miles")).alias("eb"), r6(F.col("ksi") / F.col("years")).alias("plain"))
 
 
-@query()
+# the oracle closes in on the optimum by a grid of 81 points around the last best one, over the logarithms of shape and mean
+@query(f"""SELECT * FROM (WITH RECURSIVE u AS MATERIALIZED (SELECT ksi AS y, ex AS e FROM ({_EB})), g AS (SELECT ln(m * m / v) AS p, ln(m) AS q, CAST(1 AS DOUBLE) AS h, 0 AS rnd, CAST(0 AS DOUBLE) AS nll FROM (SELECT avg(y / e) AS m, var_samp(y / e) AS v FROM u)
+    UNION ALL SELECT p, q, h * 0.6, rnd + 1, nll FROM (SELECT p, q, h, rnd, nll, row_number() OVER (ORDER BY nll) AS rn FROM (SELECT p, q, h, rnd, -sum(lgamma(exp(p) + y) - lgamma(exp(p)) + exp(p) * (p - q) - (exp(p) + y) * ln(exp(p - q) + e)) AS nll
+    FROM (SELECT p + h * a.i / 4 AS p, q + h * b.i / 4 AS q, h, rnd FROM g CROSS JOIN generate_series(-4, 4) AS a(i) CROSS JOIN generate_series(-4, 4) AS b(i) WHERE rnd < 45) CROSS JOIN u GROUP BY p, q, h, rnd)) WHERE rn = 1)
+    SELECT round(exp(p), 3) AS alpha, round(exp(p - q), 3) AS beta, round(nll, 6) AS nll FROM g WHERE rnd = 45) z""")
 def mo16_eb_likelihood(t):
-    return models.fit_gamma_poisson(t.sql(f"SELECT ksi AS y, ex AS exposure FROM ({_EB})"))
+    f = models.fit_gamma_poisson(t.sql(f"SELECT ksi AS y, ex AS exposure FROM ({_EB})"))
+    return f.select(F.round("alpha", 3).alias("alpha"), F.round("beta", 3).alias("beta"), r6("nll").alias("nll"))
 
 
 # shrinkage, benefit and cost
