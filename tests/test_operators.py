@@ -423,12 +423,30 @@ def test_snapshot_audit_finds_damage(spark, tmp_path):
     assert next(r for r in rows if r.part == 2).found_rows == 0 and sum(not r.sha_ok for r in rows) == 4 and len(rows) == 5
 
 
-def test_issue_register_appends(spark, tmp_path):
+def test_issue_register_keeps_one_result_a_run(spark, tmp_path):
+    """A repeated run replaces itself, also with fewer issues or none; others stay."""
     at = f"{tmp_path}/r"
     m = spark.createDataFrame([("b", 2), ("a", 1), ("none", 0)], "metric string, n long")
-    for run in ("X", "Y"):
-        snapshot.append_issues(m, at, run)
-    assert sorted((r.issue_id, r.metric) for r in spark.read.parquet(at).collect()) == [("DQ-X-001", "a"), ("DQ-X-002", "b"), ("DQ-Y-001", "a"), ("DQ-Y-002", "b")]
+    for run, metrics in (("X", m), ("2001", m), ("X", m), ("2001", m.filter("metric = 'b'")), ("Z", m.filter("n = 0")), ("X", m)):
+        snapshot.append_issues(metrics, at, run)
+    held = lambda: sorted((r.issue_id, r.metric, r.run_id) for r in snapshot.read_issues(spark, at).collect())
+    assert held() == [("DQ-2001-001", "b", "2001"), ("DQ-X-001", "a", "X"), ("DQ-X-002", "b", "X")]
+    snapshot.append_issues(m.filter("n = 0"), at, "X")
+    assert held() == [("DQ-2001-001", "b", "2001")]
+
+
+def test_schema_rows_fail(spark):
+    df = spark.createDataFrame([(1, "x", 2.0)], "a int, b string, d double")
+    got = {r.column_name: (r.expected, r.found, r.passed) for r in snapshot.schema_rows(df, {"a": "int", "b": "double", "c": "date"}).collect()}
+    assert got == {"a": ("int", "int", True), "b": ("double", "string", False), "c": ("date", None, False), "d": (None, "double", False)}
+
+
+def test_cleaning_by_contract(spark):
+    """Another set of columns, codes, bounds and order; an input column with the name of an output; counts of what is invalid."""
+    k = clean.Contract(key="id", severity="harm", codes=(("BAD", "X"), ("NONE", "Z")), unknown="?", code="level", date="at", day="on", integers=("n", "m"), floats=(), texts=("note",), upper=(), latitude="y", longitude="x", bounds=(0.0, 1.0, 0.0, 1.0), street=None, ranges=(("n", 0, 5),), domains=(("note", ("A",)),), order=("id", "level", "on", "n", "m", "note", "coordinate_status"))
+    raw = spark.createDataFrame([("1", " bad ", "2000-01-02", "3.0", "x", " a ", "0.5", "0.5", "clash"), ("2", "worse", "?", "9", "", None, "7", "0.5", "clash"), ("3", None, None, None, "2.5", "b", None, "", "clash")], "id string, harm string, at string, n string, m string, note string, y string, x string, level string")
+    assert [tuple(map(str, r)) for r in clean.clean_rows(raw, k).orderBy("id").collect()] == [("1", "X", "2000-01-02", "3", "None", "a", "valid"), ("2", "?", "None", "9", "None", "None", "out_of_range"), ("3", "?", "None", "None", "None", "b", "missing_pair")]
+    assert {(r.column_name, r.problem): r.n for r in clean.invalid_counts(raw, k).collect() if r.n} == {(None, "rows"): 3, ("harm", "unmapped"): 1, ("at", "not_a_date"): 2, ("m", "not_an_integer"): 2, ("n", "outside_range"): 1, ("note", "outside_domain"): 1, ("coordinates", "out_of_range"): 1, ("coordinates", "missing_pair"): 1}
 
 
 def test_no_view_of_the_session_is_touched(spark):
@@ -461,3 +479,14 @@ def test_marts_follow_their_tables(spark, tmp_path):
     first, again = total(), total()
     duckdb.sql("SELECT * FROM '/root/testdata/sf0.001/orders.parquet' WHERE o_orderkey % 2 = 0").write_parquet(str(tmp_path / "orders.parquet"))
     assert first == again > total() > 0
+    # a file below the first level, changed without a change of size
+    import os
+
+    (tmp_path / "region.parquet").rename(tmp_path / "r")
+    (tmp_path / "region.parquet" / "p=1").mkdir(parents=True)
+    (tmp_path / "r").rename(tmp_path / "region.parquet" / "p=1" / "part.parquet")
+    from waymark.functions.storage import version
+
+    before = version(spark, [f"file://{tmp_path}/region.parquet"])
+    os.utime(tmp_path / "region.parquet" / "p=1" / "part.parquet", (10**9, 10**9))
+    assert before[0] == 1 and before != version(spark, [f"file://{tmp_path}/region.parquet"])

@@ -34,10 +34,17 @@ def exists(spark, path: str) -> bool:
     return fs.exists(p)
 
 
-def version(spark, path: str) -> tuple | None:
-    """Bytes, number of files and time of change of a file or folder; None if there is none."""
+def version(spark, paths: list[str]) -> tuple:
+    """A number for all files under the paths that changes when one of them does: from the path, size and time of change of each. Contents are not read."""
+    from pyspark.sql import functions as F
+
+    there = [p for p in paths if exists(spark, p)]
+    if not there:
+        return ()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there).select("path", "length", "modificationTime")
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
+
+
+def delete(spark, path: str) -> None:
     p, fs = _at(spark, path)
-    if not fs.exists(p):
-        return None
-    size = fs.getContentSummary(p)
-    return size.getLength(), size.getFileCount(), fs.getFileStatus(p).getModificationTime()
+    fs.delete(p, True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,13 +53,14 @@ def parse_date(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     return F.when(t.isNull() | iso.isNotNull(), iso).otherwise(F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats]).cast("date"))
 
 
-def map_severity(c: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, normalize_string(c, upper=True)), F.lit(UNKNOWN))
+def map_severity(c: Column, codes: dict[str, str] | None = None, unknown: str = UNKNOWN) -> Column:
+    """The code of a text; codes: by upper-case text."""
+    known = F.create_map(*[F.lit(x) for kv in (SEVERITY if codes is None else codes).items() for x in kv])
+    return F.coalesce(F.try_element_at(known, normalize_string(c, upper=True)), F.lit(unknown))
 
 
-def severity_unmapped(c: Column) -> Column:
-    return normalize_string(c).isNotNull() & ~F.coalesce(normalize_string(c, upper=True).isin(*SEVERITY), F.lit(False))
+def severity_unmapped(c: Column, codes: dict[str, str] | None = None) -> Column:
+    return normalize_string(c).isNotNull() & ~F.coalesce(normalize_string(c, upper=True).isin(*(SEVERITY if codes is None else codes)), F.lit(False))
 
 
 def classify_coordinates(lat: Column, lon: Column, bounds: tuple[float, ...] = BOUNDS) -> Column:
@@ -100,13 +103,60 @@ def fingerprint(df: DataFrame, by: list[str], key: Column, out: str = "selection
     return df.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(key)), "|"), 256).alias(out))
 
 
-def clean_rows(raw: DataFrame) -> DataFrame:
-    """One row out for each row in, with a fixed column order. Each text is trimmed and each value parsed once, in projections of their own."""
-    trimmed = raw.select("record_id", *[normalize_string(F.col(c)).alias(c) for c in ("injury", "event_date", "lanes", "speed", "flag", "lat", "lon")], normalize_street(F.col("street")).alias("street"))
-    parsed = trimmed.select("*", parse_date(F.col("event_date")).alias("event_day"), *[F.col(c).try_cast("double").alias(f"{c}_value") for c in ("lanes", "speed", "lat", "lon")])
-    status = _coordinate_status(F.col("lat"), F.col("lon"), F.col("lat_value"), F.col("lon_value"))
-    return parsed.withColumn("coordinate_status", status).select(
-        "record_id", F.col("injury").alias("injury_text"), map_severity(F.col("injury")).alias("kabco"), "event_day", F.year("event_day").alias("event_year"), F.trunc("event_day", "month").alias("month_start"),
-        F.when(F.col("lanes_value") % 1 == 0, F.col("lanes_value").cast("long")).alias("lanes"), F.col("speed_value").alias("speed"), F.upper("flag").alias("flag"), "coordinate_status",
-        (F.col("coordinate_status") == "valid").alias("has_valid_coordinates"), "street",
+@dataclass(frozen=True)
+class Contract:
+    """What clean_rows does with which columns. Names of output columns are those of the input but for code, day and street. ranges: (low, high) of a number, warned of outside; domains: allowed texts in upper case."""
+
+    key: str = "record_id"
+    severity: str = "injury"
+    codes: tuple[tuple[str, str], ...] = tuple(SEVERITY.items())
+    unknown: str = UNKNOWN
+    code: str = "kabco"
+    date: str = "event_date"
+    day: str = "event_day"
+    formats: tuple[str, ...] = DATE_FORMATS
+    integers: tuple[str, ...] = ("lanes",)
+    floats: tuple[str, ...] = ("speed",)
+    texts: tuple[str, ...] = ()
+    upper: tuple[str, ...] = ("flag",)
+    latitude: str = "lat"
+    longitude: str = "lon"
+    bounds: tuple[float, float, float, float] = BOUNDS
+    street: str | None = "street"
+    ranges: tuple[tuple[str, float, float], ...] = (("speed", 1, 70),)
+    domains: tuple[tuple[str, tuple[str, ...]], ...] = (("flag", ("Y", "N")),)
+    order: tuple[str, ...] | None = None
+
+
+def _parsed(raw: DataFrame, k: Contract) -> DataFrame:
+    """Each text trimmed and each value parsed once, in projections of their own, under names that no input column has."""
+    trim = dict.fromkeys((k.severity, k.date, *k.integers, *k.floats, *k.texts, *k.upper, k.latitude, k.longitude))
+    street = [normalize_street(F.col(k.street)).alias("__street")] if k.street else []
+    trimmed = raw.select(F.col(k.key).alias("__key"), *[normalize_string(F.col(c)).alias(f"__t_{c}") for c in trim], *street)
+    numbers = dict.fromkeys((*k.integers, *k.floats, k.latitude, k.longitude))
+    return trimmed.select("*", parse_date(F.col(f"__t_{k.date}"), k.formats).alias("__day"), *[F.col(f"__t_{c}").try_cast("double").alias(f"__v_{c}") for c in numbers])
+
+
+def clean_rows(raw: DataFrame, contract: Contract = Contract()) -> DataFrame:
+    """One row out for each row in, with a fixed column order (that of contract.order, where given)."""
+    k, t, v = contract, lambda c: F.col(f"__t_{c}"), lambda c: F.col(f"__v_{c}")
+    status = _coordinate_status(t(k.latitude), t(k.longitude), v(k.latitude), v(k.longitude), k.bounds)
+    out = _parsed(raw, k).withColumn("__status", status).select(
+        F.col("__key").alias(k.key), t(k.severity).alias(f"{k.severity}_text"), map_severity(t(k.severity), dict(k.codes), k.unknown).alias(k.code), F.col("__day").alias(k.day), F.year("__day").alias("event_year"), F.trunc("__day", "month").alias("month_start"),
+        *[F.when(v(c) % 1 == 0, v(c).cast("long")).alias(c) for c in k.integers], *[v(c).alias(c) for c in k.floats], *[t(c).alias(c) for c in k.texts], *[F.upper(t(c)).alias(c) for c in k.upper],
+        F.col("__status").alias("coordinate_status"), (F.col("__status") == "valid").alias("has_valid_coordinates"), *([F.col("__street").alias(k.street)] if k.street else []),
     )
+    return out.select(*k.order) if k.order else out
+
+
+def invalid_counts(raw: DataFrame, contract: Contract = Contract()) -> DataFrame:
+    """(column_name, problem, n): how many values of the raw rows are invalid under the contract, and how many rows there are (column_name null): one pass."""
+    k, t, v = contract, lambda c: F.col(f"__t_{c}"), lambda c: F.col(f"__v_{c}")
+    status = _coordinate_status(t(k.latitude), t(k.longitude), v(k.latitude), v(k.longitude), k.bounds)
+    checks = {(None, "rows"): F.lit(True), (k.severity, "unmapped"): t(k.severity).isNotNull() & ~F.coalesce(F.upper(t(k.severity)).isin(*dict(k.codes)), F.lit(False)), (k.date, "not_a_date"): F.col("__day").isNull()}
+    checks |= {(c, "not_an_integer"): t(c).isNotNull() & F.coalesce(v(c) % 1 != 0, F.lit(True)) for c in k.integers} | {(c, "not_a_number"): t(c).isNotNull() & v(c).isNull() for c in k.floats}
+    checks |= {(c, "outside_range"): F.coalesce(~v(c).between(low, high), F.lit(False)) for c, low, high in k.ranges} | {(c, "outside_domain"): F.coalesce(~F.upper(t(c)).isin(*allowed), F.lit(False)) for c, allowed in k.domains}
+    checks |= {("coordinates", s): status == s for s in ("missing_pair", "incomplete_pair", "non_numeric", "out_of_range")}
+    counts = _parsed(raw, k).agg(*[F.count_if(c).alias(f"c{n}") for n, c in enumerate(checks.values())])
+    rows = F.array(*[F.struct(F.lit(c).cast("string").alias("column_name"), F.lit(p).alias("problem"), F.col(f"c{n}").alias("n")) for n, (c, p) in enumerate(checks)])
+    return counts.select(F.inline(rows))

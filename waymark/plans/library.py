@@ -229,6 +229,33 @@ def mo09_comparison(t):
     return evaluate.comparison(_naive(t)).select("target", "model", *[r6(c).alias(c) for c in ("validation_deviance", "test_deviance", "test_mae")])
 
 
+@query()
+def mo09_fitted_comparison(t):
+    """Validation deviance of the naive and the fitted models, and test figures of each target's winner alone."""
+    rows, pred = modelling(t), t.view("pred").filter("model_split in ('validation', 'test')")
+    for target in ("total", "ksi"):
+        for name, m in fitted(rows.filter("model_split = 'train'"), target).items():
+            pred = pred.unionByName(_scored(m, rows.filter("model_split in ('validation', 'test')"), target, name))
+    m = evaluate.comparison(evaluate.metric_suite(pred, ["target", "model", "model_split"], UNIT))
+    return m.select("target", "model", "is_winner", *[r6(c).alias(c) for c in ("validation_deviance", "test_deviance", "test_mae")])
+
+
+@query()
+def va15_fitted_outputs(t):
+    """The gate of model outputs over the fitted models' predictions: finite, one row a key, actuals as in the panel, no prediction for a row that is not scored."""
+    rows, pred = modelling(t), None
+    for target in ("total", "ksi"):
+        for name, m in fitted(rows.filter("model_split = 'train'"), target).items():
+            p = _scored(m, rows.filter("model_split in ('validation', 'test')"), target, name)
+            pred = p if pred is None else pred.unionByName(p)
+    seen = t.view("panel").select(F.col(UNIT).alias("u"), F.col(MONTH).alias("m"), F.col("total").alias("p_total"), F.col("ksi").alias("p_ksi"))
+    j = pred.join(seen, (F.col(UNIT) == F.col("u")) & (F.col(MONTH) == F.col("m")), "left").withColumn("found", F.when(F.col("target") == "total", F.col("p_total")).otherwise(F.col("p_ksi")))
+    wanted = rows.filter("model_split in ('validation', 'test')").agg((4 * F.count("*")).alias("wanted"))
+    return gate(offences(j.crossJoin(F.broadcast(wanted)), {
+        "finite": (CRITICAL, bad("predicted is null or isnan(predicted) or predicted < 0 or predicted > 1e300")), "duplicate_key": (CRITICAL, repeated(UNIT, MONTH, "target", "model")), "actuals": (CRITICAL, bad("found is null or actual <> found")), "rows": (CRITICAL, F.abs(F.max("wanted") - F.count("*"))),
+    }))
+
+
 @query(_statement("mo10_calibration_factor"))
 def mo10_calibration_factor(t):
     return evaluate.calibration_factors(t.view("pred").filter("model_split = 'validation'"), ["target", "model"]).select("target", "model", r6("factor").alias("factor"))
@@ -515,7 +542,7 @@ gate_query(
 )
 gate_query(
     "va08_cross_field", ("ev", {"month_matches": rule(CRITICAL, "month(ts) <> mon"), "year_matches": rule(CRITICAL, "year(ts) <> yr"), "month_start": rule(CRITICAL, "CAST(date_trunc('month', ts) AS DATE) <> month_start"), "negative_id": rule(WARNING, "event_id < 0")}),
-    ("clock", {"weekday": rule(CRITICAL, "day_of_week <> weekday_again"), "hour": rule(CRITICAL, "hour_of_day < 0 OR hour_of_day > 23"), "component_sum": rule(CRITICAL, "k + a + b + c + o + u <> n"), "negative": rule(CRITICAL, "n < 0")}),
+    ("clock", {"weekday": rule(CRITICAL, "day_of_week <> weekday_again"), "hour": rule(CRITICAL, "hour_of_day < 0 OR hour_of_day > 23"), "component_sum": rule(CRITICAL, "coalesce(k + a + b + c + o + u, 0) <> n"), "negative": rule(CRITICAL, "n < 0")}),
 )
 gate_query("va15_model_outputs", (
     "pred", {"finite": rule(CRITICAL, "predicted IS NULL OR predicted < 0 OR predicted > 1e300"), "duplicate_key": unique("unit_id", "month_start", "target", "model")}),
@@ -529,7 +556,11 @@ gate_query(
     ("(SELECT a.total_forecast - f.total AS d FROM annual a JOIN (SELECT unit_id, sum(total) AS total FROM forecast GROUP BY unit_id) f ON a.unit_id = f.unit_id) q", {"annual_sum": rule(CRITICAL, "abs(d) > 1e-6")}),
     ("(SELECT abs((SELECT count(*) FROM annual) - (SELECT count(*) FROM units)) AS d) q", {"units": rule(CRITICAL, "d <> 0")}),
 )
-gate_query("va17_readiness", ("shares", {"k_a_sum": rule(CRITICAL, "abs(share_k + share_a - 1) > 1e-9"), "totals": rule(CRITICAL, "total <> k + a + b + c + o + u"), "range": rule(CRITICAL, "share_k < 0 OR share_k > 1")}))
+gate_query(
+    "va17_readiness", ("shares", {"k_a_sum": rule(CRITICAL, "abs(share_k + share_a - 1) > 1e-9"), "other_sum": rule(CRITICAL, "abs(share_b + share_c + share_o - 1) > 1e-9"), "totals": rule(CRITICAL, "total <> k + a + b + c + o + u"), "range": rule(CRITICAL, "share_k < 0 OR share_k > 1")}),
+    ("(SELECT count(s.unit_id) AS n, count(*) AS m FROM units u LEFT JOIN shares s ON u.unit_id = s.unit_id) q", {"coverage": rule(CRITICAL, "n < 0.99e0 * m")}),
+    ("(SELECT (SELECT sum(total) FROM shares) - (SELECT count(*) FROM ev) AS d) q", {"events": rule(CRITICAL, "d IS NULL OR d <> 0")}),
+)
 gate_query(
     "va18_benefits", ("benefit", {
         "unique_key": unique("unit_id", "treatment_id", "scenario"), "cmf_range": rule(CRITICAL, "cmf < 0 OR cmf > 1"), "severity_sum": rule(CRITICAL, "abs(av_k + av_a + av_b + av_c + av_o - averted) > 1e-6 * averted"), "whole_quantity": rule(CRITICAL, "treatment_id <> 'T2' AND quantity <> floor(quantity)"),
@@ -548,11 +579,30 @@ gate_query(
     ("(SELECT abs((SELECT count(*) FROM summ) - (SELECT count(*) FROM grid)) AS d) q", {"row_count": rule(CRITICAL, "d <> 0")}),
     ("(SELECT b.unit_id FROM sel s LEFT JOIN benefit b ON s.unit_id = b.unit_id AND s.treatment_id = b.treatment_id AND s.unc = b.scenario) q", {"lineage": rule(CRITICAL, "unit_id IS NULL")}),
 )
-gate_query("va21_register", ("units", {"missing_name": rule(CRITICAL, "unit_name IS NULL OR trim(unit_name) = ''"), "duplicate_id": unique("unit_id"), "group_domain": rule(CRITICAL, "grp NOT IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST')"), "length_range": rule(WARNING, "length_feet < 15000 OR length_feet > 25000")}))
-gate_query(
-    "va24_serving", ("summ", {"one_default": (CRITICAL, f"abs(count(CASE WHEN portfolio_id = '{DEFAULT}' THEN 1 END) - 1)", lambda: F.abs(F.count_if(F.col("portfolio_id") == DEFAULT) - 1))}),
+gate_query("va21_register", ("units", {"missing_name": rule(CRITICAL, "unit_name IS NULL OR trim(unit_name) = ''"), "duplicate_id": unique("unit_id"), "group_domain": rule(CRITICAL, "grp NOT IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST')"), "length_range": rule(WARNING, "length_feet < 15000 OR length_feet > 25000")}),
+    ("register", {"status_domain": rule(CRITICAL, "status IS NULL OR status NOT IN ('confirmed', 'provisional', 'retired')"), "confidence_range": rule(CRITICAL, "confidence IS NULL OR confidence < 0 OR confidence > 1"), "confirmed_is_sure": rule(CRITICAL, "status = 'confirmed' AND confidence < 0.6e0"),
+     "provisional": rule(WARNING, "status = 'provisional'"), "alias_missing": rule(CRITICAL, "alias IS NULL OR trim(alias) = ''"), "alias_not_normal": rule(CRITICAL, "alias <> upper(trim(alias))"), "duplicate_alias": unique("alias")}),
+    ("(SELECT a.alias FROM register a JOIN register b ON a.alias = b.unit_name AND a.unit_id <> b.unit_id) q", {"alias_is_other_name": rule(CRITICAL, "alias IS NOT NULL")}))
+_SERVED = (
+    ("summ", {"one_default": (CRITICAL, f"abs(count(CASE WHEN portfolio_id = '{DEFAULT}' THEN 1 END) - 1)", lambda: F.abs(F.count_if(F.col("portfolio_id") == DEFAULT) - 1))}),
     (f"(SELECT sum(s.cost) - max(m.cost) AS d, count(*) - max(m.projects) AS n FROM sel s JOIN summ m ON s.portfolio_id = m.portfolio_id WHERE s.portfolio_id = '{DEFAULT}') q", {"filter_reconciles": rule(CRITICAL, "abs(d) > 1e-4 OR n <> 0")}),
 )
+
+
+@query(_sql_rows(*[(v, {n: (s, q) for n, (s, q, _) in checks.items()}) for v, checks in _SERVED], ("(SELECT 1 AS one) q", {"manifest_matches": (CRITICAL, "count(CASE WHEN one <> 1 THEN 1 END)"), "manifest_rows": (CRITICAL, "count(CASE WHEN one <> 1 THEN 1 END)")})))
+def va24_serving(t):
+    """One default portfolio, its rows against its summary, and the served snapshot of the selections against its manifest."""
+    from waymark.functions.storage import scratch_path
+    from waymark.sources import snapshot
+
+    at = scratch_path(t.spark, "served")
+    served = t.view("sel").select("unit_id", "portfolio_id", "treatment_id", F.round("cost", 2).alias("cost"))
+    snapshot.publish_parts(served, at, "unit_id", 4, "none")
+    parts = snapshot.audit_parts(t.spark, at, required=("unit_id", "portfolio_id")).crossJoin(F.broadcast(served.agg(F.count("*").alias("every"))))
+    checks = {"manifest_matches": (CRITICAL, bad("not (size_ok and sha_ok and parts_ok and columns_ok)")), "manifest_rows": (CRITICAL, F.abs(F.max("every") - F.sum("found_rows")))}
+    return gate(*[offences(t.sql(f"SELECT * FROM {v}"), {n: (s, c()) for n, (s, _, c) in held.items()}) for v, held in _SERVED], offences(parts, checks))
+
+
 gate_query("va14_mart_reconciliation", (
     "(SELECT f.*, s.months, s.units FROM (SELECT count(*) AS total_rows, count(DISTINCT unit_id) AS unit_count, count(DISTINCT month_start) AS month_count, min(month_start) AS first_month, max(month_start) AS last_month, sum(total) AS total_sum, sum(ksi) AS ksi_sum, count(CASE WHEN model_ready THEN 1 END) AS ready_rows, count(CASE WHEN model_split = 'warmup' THEN 1 END) AS warmup_rows, count(CASE WHEN model_split = 'unknown' THEN 1 END) AS unexpected, count(CASE WHEN total < 0 OR ksi < 0 THEN 1 END) AS negatives, count(CASE WHEN unit_id IS NULL OR month_start IS NULL THEN 1 END) AS null_keys, sum(abs(ksi - (k + a))) AS ksi_diff, sum(abs(total - (k + a + b + c + o + u))) AS severity_diff FROM feat) f CROSS JOIN (SELECT count(DISTINCT month_start) AS months, (SELECT count(*) FROM units) AS units FROM months) s) q",
     {"rows": rule(CRITICAL, "total_rows <> units * months"), "units": rule(CRITICAL, "unit_count <> units"), "months": rule(CRITICAL, "month_count <> months"), "warmup": rule(CRITICAL, "warmup_rows <> 12 * units"), "ready": rule(CRITICAL, "ready_rows <> total_rows - 12 * units"),

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.functions.storage import exists, scratch_path, version
+from waymark.functions.storage import delete, exists, scratch_path, version
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -37,6 +37,7 @@ VIEWS: dict[str, str] = {
         CAST(severity = 'C' AS INT) AS c, CAST(severity = 'O' AS INT) AS o, CAST(severity NOT IN ('K', 'A', 'B', 'C', 'O') AS INT) AS u, 1 AS n FROM ev""",
     "units": """SELECT n.n_nationkey AS unit_id, n.n_name AS unit_name, r.r_name AS grp, CAST(15840 + 300 * n.n_nationkey AS DOUBLE) AS length_feet,
         CAST(15840 + 300 * n.n_nationkey AS DOUBLE) / 5280 AS length_miles, n.n_nationkey % 3 = 0 AS priority_area FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey""",
+    "register": """SELECT unit_id, unit_name, upper(unit_name) || ' ROUTE' AS alias, CASE WHEN unit_id % 7 = 3 THEN 'provisional' WHEN unit_id % 11 = 5 THEN 'retired' ELSE 'confirmed' END AS status, CASE WHEN unit_id % 7 = 3 THEN 0.4e0 ELSE 0.7e0 + (unit_id % 3) / 10e0 END AS confidence FROM units""",
     # every month from the first event to the last
     "months": """SELECT month_start, yr, mon, CAST(floor((mon + 2) / 3) AS INT) AS qtr FROM (SELECT make_date(CAST(b.y0 + 10 * t.d + u.d AS INT), m.m, 1) AS month_start, CAST(b.y0 + 10 * t.d + u.d AS INT) AS yr, m.m AS mon, b.lo, b.hi
         FROM (SELECT min(month_start) AS lo, max(month_start) AS hi, min(yr) AS y0 FROM ev) b CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS t(d) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS u(d)
@@ -204,6 +205,12 @@ def mart(name: str):
     return put
 
 
+def drop_marts(spark: SparkSession) -> None:
+    """Delete the marts of this application. They are made anew where they are needed again."""
+    for key in [k for k in _made if k[0] == spark.sparkContext.applicationId]:
+        delete(spark, _made.pop(key)[0])
+
+
 class Tables:
     """The tables of a folder and what one query makes of them. Marts are written to the checkpoint folder and read from there until a table changes; no temporary view of the session is touched."""
 
@@ -234,9 +241,9 @@ class Tables:
         return self.spark.read.schema(schema).parquet(path)
 
     def _versions(self) -> tuple:
-        """Size, number of files and time of change of every table."""
+        """What changes when a file of a table does."""
         if self.versions is None:
-            self.versions = tuple(version(self.spark, f"{self.sf_dir}/{t}.parquet") for t in TABLES)
+            self.versions = version(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in TABLES])
         return self.versions
 
     def sql(self, text: str) -> DataFrame:

@@ -73,11 +73,21 @@ def audit_parts(spark: SparkSession, folder: str, canonical_newlines: bool = Fal
     ).crossJoin(F.broadcast(numbers))
 
 
+REGISTER = "issue_id string, metric string, n long, run_id string"
+
+
 def append_issues(metrics: DataFrame, folder: str, run_id: str) -> None:
-    """Append a row DQ-<run>-NNN for each metric (metric, n) above zero to the register; earlier rows stay."""
+    """Put a row DQ-<run>-NNN for each metric (metric, n) above zero into the register. A run has a partition of its own, which is replaced whole when the run is repeated, also after it broke off; other runs stay."""
     w = Window.orderBy("metric")  # one row a metric
     rows = metrics.filter("n > 0").withColumn("issue_id", F.format_string(f"DQ-{run_id}-%03d", F.row_number().over(w)))
-    rows.select("issue_id", F.lit(run_id).alias("run_id"), "metric", "n").write.mode("append").parquet(folder)
+    done = metrics.sparkSession.createDataFrame([(None, None, 0, run_id)], REGISTER)  # a run without issues leaves a row, too, which replaces those of an earlier try
+    out = rows.select("issue_id", "metric", F.col("n").cast("long").alias("n"), F.lit(run_id).alias("run_id")).unionByName(done)
+    out.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(folder)
+
+
+def read_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """(issue_id, metric, n, run_id) of all runs."""
+    return spark.read.schema(REGISTER).parquet(folder).filter("issue_id is not null")
 
 
 GEOJSON = "type string, features array<struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:array<array<double>>>>>"
