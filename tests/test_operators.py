@@ -335,6 +335,22 @@ def test_recursive_mean_of_constant(spark):
     assert {r.forecast for r in models.recursive_mean_forecast(df, "v").collect()} == {5.0}
 
 
+def test_recursive_model_against_a_loop(spark):
+    """The recursion with a stand-in for the fitted model, against a plain loop: features are rebuilt from forecasts, the part is calibrated and capped."""
+    months = [(u, 2000 + k // 12, k % 12 + 1, 3 + (k * u) % 7, (k * u) % 3, "g") for u in (1, 2) for k in range(30)]
+    df = spark.createDataFrame(months, "unit int, yr int, mon int, t int, p int, grp string").withColumn("month", F.make_date("yr", "mon", F.lit(1)))
+    predict = lambda x: x.withColumn("predicted", 0.4 * F.col("t_mean12") + 0.5 * F.col("p_lag1") + 0.01 * F.col("p_sum3") + 0.1 * F.col("mon"))
+    got = {(r.unit, r.step): (r.t, r.raw, r.p) for r in models.recursive_model_forecast(df, predict, 1.5, "unit", "month", "t", "p", "grp", 2000, steps=5).collect()}
+    for u in (1, 2):
+        t, p = [float(m[3]) for m in months if m[0] == u], [float(m[4]) for m in months if m[0] == u]
+        for step in range(1, 6):
+            nxt = sum(t[-12:]) / 12
+            raw = 0.4 * nxt + 0.5 * p[-1] + 0.01 * sum(p[-3:]) + 0.1 * ((29 + step) % 12 + 1)
+            t.append(nxt)
+            p.append(min(1.5 * raw, nxt))
+            assert got[u, step] == pytest.approx((nxt, raw, p[-1]))
+
+
 def test_gamma_poisson_beats_its_start(spark):
     df = spark.createDataFrame([(3, 1.0), (0, 1.0), (7, 2.0), (2, 1.5), (9, 2.0)], "y int, exposure double")
     r = models.fit_gamma_poisson(df).first()

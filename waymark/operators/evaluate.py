@@ -48,20 +48,25 @@ def calibration_factors(pred: DataFrame, by: list[str], actual: str = "actual",
     return f.withColumn("factor", F.when(F.col("factor") > 0, F.col("factor")).otherwise(F.raise_error("the calibration factor is not positive").cast("double")))
 
 
-def shrunk(part: Column, whole: Column, strength: float, fallback: float | None = None) -> Column:
-    """part / whole drawn to the pooled share with weight whole / (whole + strength). The pool is all rows."""
-    every = W.partitionBy()  # one row a unit
-    pooled = F.try_divide(F.sum(part).over(every).cast("double"), F.sum(whole).over(every))
+def with_pool(df: DataFrame, part: str, whole: str) -> DataFrame:
+    """df with __part and __whole: the sums of two columns over all rows, from one aggregate row that is sent to every task."""
+    return df.crossJoin(F.broadcast(df.agg(F.sum(part).cast("double").alias("__part"), F.sum(whole).cast("double").alias("__whole"))))
+
+
+def shrunk(df: DataFrame, part: str, whole: str, strength: float, out: str, fallback: float | None = None) -> DataFrame:
+    """df with out: part / whole drawn to the pooled share of all rows with weight whole / (whole + strength)."""
+    pooled = F.try_divide("__part", "__whole")
     if fallback is not None:
         pooled = F.coalesce(pooled, F.lit(fallback))
-    weight = whole / (whole + strength)
-    return weight * F.when(whole > 0, part / whole).otherwise(pooled) + (1 - weight) * pooled
+    weight = F.col(whole) / (F.col(whole) + strength)
+    share = weight * F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(pooled) + (1 - weight) * pooled
+    return with_pool(df, part, whole).withColumn(out, share).drop("__part", "__whole")
 
 
-def beta_binomial(part: Column, whole: Column, strength: float) -> Column:
-    """Posterior share under a beta prior at the pooled share with this strength. The pool is all rows."""
-    every = W.partitionBy()  # one row a unit
-    return (part + F.sum(part).over(every).cast("double") / F.sum(whole).over(every) * strength) / (whole + strength)
+def beta_binomial(df: DataFrame, part: str, whole: str, strength: float, out: str) -> DataFrame:
+    """df with out: the posterior share under a beta prior at the pooled share of all rows with this strength."""
+    share = (F.col(part) + F.col("__part") / F.col("__whole") * strength) / (F.col(whole) + strength)
+    return with_pool(df, part, whole).withColumn(out, share).drop("__part", "__whole")
 
 
 def gamma_moments(units: DataFrame, count: str, exposure: str) -> DataFrame:
@@ -85,4 +90,5 @@ def hindsight(pred: DataFrame, unit: str, split: str, first: str, second: str, w
         a, p = F.col(f"actual_{tag}"), F.col(f"predicted_{tag}")
         j = j.withColumns({f"error_{tag}": F.abs(p - a), f"error_pct_{tag}": F.try_divide(F.abs(p - a), a) * 100, f"direction_{tag}": F.when(F.round(p - a, 6) > 0, "over").otherwise("under")})
     j = j.withColumn("combined_error", F.col("error_v") + F.col("error_t"))
-    return j.withColumn("among_worst", F.row_number().over(W.orderBy(F.round("combined_error", 6).desc(), unit)) <= worst)  # one row a unit
+    top = j.orderBy(F.round("combined_error", 6).desc(), unit).limit(worst).select(F.col(unit).alias("__worst"))
+    return j.join(F.broadcast(top), F.col(unit) == F.col("__worst"), "left").withColumn("among_worst", F.col("__worst").isNotNull()).drop("__worst")

@@ -401,13 +401,14 @@ def mo16_eb_likelihood(t):
 def bc02_subgroup_shrinkage(t):
     from waymark.plans.statements import _hist_sub
 
-    return t.sql(_hist_sub).select(UNIT, r6(evaluate.shrunk(F.col("k"), F.col("k") + F.col("a"), 10.0, 0.1)).alias("sub_share_k"))
+    h = t.sql(_hist_sub).withColumn("severe", F.col("k") + F.col("a"))
+    return evaluate.shrunk(h, "k", "severe", 10.0, "share", 0.1).select(UNIT, r6("share").alias("sub_share_k"))
 
 
 @query(_statement("bc03_beta_binomial"))
 def bc03_beta_binomial(t):
     u = t.sql("SELECT h.unit_id, coalesce(s.n, 0) AS n_sub, h.total FROM hist h LEFT JOIN subgroup s ON h.unit_id = s.unit_id")
-    return u.select(UNIT, F.col("n_sub").cast("long").alias("n_sub"), r6(evaluate.beta_binomial(F.col("n_sub"), F.col("total"), 50.0)).alias("sub_share"))
+    return evaluate.beta_binomial(u, "n_sub", "total", 50.0, "share").select(UNIT, F.col("n_sub").cast("long").alias("n_sub"), r6("share").alias("sub_share"))
 
 
 @query(_statement("bc06_bounded_cmf"))
