@@ -152,7 +152,7 @@ def words(rng, n, vocabulary=300):
 
 @pytest.mark.parametrize("block,batch,query_terms", [(4096, 256, 200_000), (7, 3, 200_000), (64, 16, 60)])
 def test_search_against_brute_force(spark, block, batch, query_terms, monkeypatch):
-    for name, value in (("BLOCK_DOCS", block), ("BATCH", batch), ("QUERY_TERMS", query_terms), ("PIECE", 50)):
+    for name, value in (("BLOCK_DOCS", block), ("BATCH", batch), ("QUERY_TERMS", query_terms), ("PIECE", 50), ("MERGE_TASKS", 2 if block == 7 else 1024)):
         monkeypatch.setattr(treap, name, value)
     rng = random.Random(11)
     docs = [(i, words(rng, rng.randrange(1, 80))) for i in range(400)] + [(500 + i, "W1, w2! w3?") for i in range(40)] + [(None, "w1 w2"), (None, "w1 w2"), (2**60 + 1, "w1 w2 w2"), (7, None), (8, ""), (9, " -- "), (10, "Été w1 " * 500), (11, words(rng, 20_000))]

@@ -39,6 +39,8 @@ BLOCK_DOCS, BLOCK_POSTINGS = 4096, 2_000_000
 BATCH = 256
 #: Terms of the queries that are sent to every task together.
 QUERY_TERMS = 200_000
+#: Tasks whose results are ranked together; those of more are ranked in so many groups first.
+MERGE_TASKS = 1024
 #: Bytes of a text that are split together.
 PIECE = 1 << 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -238,7 +240,11 @@ def _one_block(src: DataFrame, own: DataFrame, k: int) -> DataFrame:
         if terms:
             items.append((number, np.array([t for t, _ in terms], np.int64), np.array([w for _, w in terms], np.int64)))
     found = _searched(postings, items, total.docs, total.terms or 1, k)
-    order = W.partitionBy("item").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
+    best = [F.col("score").desc(), F.col("id").asc_nulls_last()]
+    if postings.rdd.getNumPartitions() > MERGE_TASKS:  # the best of very many tasks meet in groups of tasks first
+        group = found.withColumn("__g", F.pmod(F.spark_partition_id(), F.lit(MERGE_TASKS)))
+        found = group.withColumn("__k", F.row_number().over(W.partitionBy("item", "__g").orderBy(*best))).filter(F.col("__k") <= k).drop("__g", "__k")
+    order = W.partitionBy("item").orderBy(*best)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
