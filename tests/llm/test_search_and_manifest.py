@@ -33,6 +33,7 @@ PARA = "The committee met on Tuesday to go over the plans for the new bridge, an
         (f"<article><p>{PARA}</p><section id=comments><article><p>{PARA} Comment.</p></article></section></article>", PARA),
         (f"<ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul><div><p>{PARA}</p><ul><li>First<li>Second</ul><p>{PARA}</p></div>", f"{PARA}\nFirst\nSecond\n{PARA}"),
         (f"<article><table><tr><td>a<td>b<tr><td>c</table><blockquote>{PARA}</blockquote></div></p></article>Trailing", f"a\nb\nc\n{PARA}"),
+        (f"<body class='sidebar-left'><div class='has-sidebar content'><article class='post share-bar'><p>{PARA}</p></article></div><div class='no_js comments'><p>{PARA}</p></div></body>", PARA),
         ("<article><p>A</p></article>", "A"), ("<nav>Only a menu</nav>", ""), ("<article><h1>Unclosed <em>title</h1>tail", "Unclosed title\ntail"),
     ],
 )

@@ -60,6 +60,10 @@ ENDS_SELF = frozenset("p li dt dd tr td th option".split())
 #: An implied end stops at these.
 SCOPE = frozenset("table ul ol dl article section div body html td th blockquote main nav aside header footer form".split())
 
+#: Of these words, those that mark an article element, too.
+NOT_THE_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split())
+#: A class that says that a page has (or lacks) a sidebar is not a sidebar.
+_HAS = re.compile(r"(?i)(?<![a-z])(?:has|have|with|no|without|hide|show)[-_]?[a-z]+(?:[-_][a-z]+)?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -99,8 +103,10 @@ class _Lines(HTMLParser):
         for name, value in attrs:
             if value and name == "role" and value.strip().lower() in FURNITURE_ROLES:
                 return True
-            if value and name in ("class", "id") and any(w.lower() in FURNITURE_WORDS for w in _WORD.findall(value)):
-                return True
+            if value and name in ("class", "id"):
+                marks = NOT_THE_ARTICLE if tag == "article" else FURNITURE_WORDS
+                if any(w.lower() in marks for w in _WORD.findall(value)) and any(w.lower() in marks for w in _WORD.findall(_HAS.sub(" ", value))):
+                    return True
         return False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:

@@ -163,10 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
         return np.zeros(BUCKETS, dtype=np.float32), float(np.log(share / (1 - share)))
     ratios = log_ratios(size, found)
     picks = [marks.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class) for c in (0, 1)]
-    # at most 2 x sample_per_class ids, and of their rows (an id can have many) as many: each task and the one that fits keep no more
-    first = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    rows = [texts.join(F.broadcast(p), "doc_id").orderBy(*first).limit(sample_per_class).select("text", "label") for p in picks]
-    sample = rows[0].unionByName(rows[1])
+    sample = _bounded(texts, picks, sample_per_class).select("text", "label")
     known = spark.sparkContext.broadcast(ratios)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,6 +181,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
     return np.frombuffer(fitted[0].weights, dtype=np.float32), float(fitted[0].intercept)
 
 
+def _bounded(texts: DataFrame, picks: list[DataFrame], most: int) -> DataFrame:
+    """Rows of texts (doc_id, text) of the picked ids (doc_id, label; most at most of each class), with label: at most so many of a class. Only where ids have several rows, these are told apart by their texts."""
+    rows = texts.join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id")
+    if all(r["count"] <= most for r in rows.groupBy("label").count().collect()):
+        return rows
+    keys = rows.select("doc_id", "label", F.xxhash64("text").alias("h")).distinct()
+    first = [keys.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(most) for c in (0, 1)]
+    return texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(first[0].unionByName(first[1])), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+
+
 def score(docs: DataFrame, weights: np.ndarray, intercept: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs and score: probability-like toxicity from 0 to 1 of the whole text."""
     model = docs.sparkSession.sparkContext.broadcast((weights, intercept))
