@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import islice
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import text_batches
+from waymark.llm.common import give_back_memory, text_batches
 
 #: Texts are taken together up to about this many characters before merges are replayed.
 CHUNK_CHARS = 4_000_000
@@ -206,10 +207,8 @@ def encode_texts(texts: list[str | None], vocab_path: str, pattern: str) -> list
     return words.encoded()
 
 
-def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids): ids is the packed little-endian uint32 sequence of the text's token ids."""
-    text_batches(docs)
-    src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+def _encoder(vocab_path: str, pattern: str, make):
+    """A function over batches (id, text) that gives make(id column, packed ids of each text) for the texts in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held = _Words(_load(vocab_path), _split_pattern(pattern)), []
@@ -217,7 +216,7 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id
         def results():
             packed, at = words.encoded(), 0
             for column in held:
-                yield pa.RecordBatch.from_arrays([column, pa.array(packed[at : at + len(column)], pa.binary())], names=[id_col, "ids"])
+                yield make(column, packed[at : at + len(column)])
                 at += len(column)
 
         for b in batches:
@@ -229,10 +228,24 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id
                 held = []
         if held:
             yield from results()
+        del words
+        give_back_memory()
 
+    return run
+
+
+def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, ids): ids is the packed little-endian uint32 sequence of the text's token ids."""
+    text_batches(docs)
+    src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    run = _encoder(vocab_path, pattern, lambda i, packed: pa.RecordBatch.from_arrays([i, pa.array(packed, pa.binary())], names=[id_col, "ids"]))
     return src.mapInArrow(run, f"`{id_col}` {dict(src.dtypes)[id_col]}, ids binary")
 
 
+def _decoded(packed: bytes | None, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(packed, "<u4").tolist())) if packed else b""
+
+
 def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, ids, decoded): decoded holds the bytes that the ids stand for. Null ids give no bytes."""
     src = encoded.select(F.col(id_col), F.col(ids_col).alias("ids"))
@@ -240,18 +253,20 @@ def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _load(vocab_path).tokens
         for b in batches:
-            got = [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in b.column(1).to_pylist()]
+            got = [_decoded(x, tokens) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=[id_col, "ids", "decoded"])
 
     return src.mapInArrow(run, f"`{id_col}` {dict(src.dtypes)[id_col]}, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, vocab_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    both = decode(encode(docs, vocab_path, pattern), vocab_path)
-    return both.select(
-        "doc_id",
-        F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"),
-        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, and decoded from the packed ids, in one pass of one worker a task."""
+    text_batches(docs)
+    src = docs.select("doc_id", F.col("text").cast("string").alias("__text"))
+
+    def both(i, packed: list[bytes]) -> pa.RecordBatch:
+        tokens = _load(vocab_path).tokens
+        columns = [i, pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array([sha256(x).hexdigest() for x in packed], pa.string()), pa.array([sha256(_decoded(x, tokens)).hexdigest() for x in packed], pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return src.mapInArrow(_encoder(vocab_path, pattern, both), f"doc_id {dict(src.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

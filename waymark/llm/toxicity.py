@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import id_remainder, materialize, text_batches, whole_rows
+from waymark.llm.common import give_back_memory, id_remainder, materialize, text_batches, whole_rows
 
 BUCKETS = 1 << 20
 SIZES = (4, 5)
@@ -80,6 +80,7 @@ def class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 found[label][grams.of(text)] += 1
                 docs[label] += 1
         step = BUCKETS // BLOCKS
+        give_back_memory()
         yield pd.DataFrame([(c, j, docs[c] if j == 0 else 0, found[c][j * step : (j + 1) * step].tobytes()) for c in (0, 1) if docs[c] for j in range(BLOCKS)], columns=["label", "block", "docs", "counts"])
 
     def total(key, b: pd.DataFrame) -> pd.DataFrame:
@@ -201,6 +202,7 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float, id_col: str =
         for s in batches:
             z = np.array([b0 + float(w[grams.of(t)].sum(dtype=np.float64)) for t in s])
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+        give_back_memory()
 
     return docs.withColumn("score", tox(F.col(text_col).cast("string")))
 
