@@ -6,7 +6,7 @@ each shard (each group's counts, never its pairs). It proposes the shard that ha
 number. Nodes of several groups take turns by hash, half of them a round, so that neighbours do not swap for ever. Quotas limit the moves between two shards:
 opposite moves are matched one for one, and what a shard has free, unlinked nodes left out, is dealt out in proportion to the proposals. Rounds go on until the number of
 cut members (away from the shard that most of their group is in) has not fallen for PATIENCE
-rounds; the labels with the fewest stay. Then the counts are
+rounds; the labels with the fewest stay, and a last sweep lets those members join their group that a quota kept back. Then the counts are
 made even exactly: shards over their quota give up nodes, unlinked ones first, then whole groups next to each other, to those below; so about one group
 is cut for each border between shards, and a group larger than a shard fills shards one after another.
 
@@ -150,6 +150,16 @@ def propagate(nodes: DataFrame, members: DataFrame, total: int, shards: int = SH
     return start.join(linked, "nid", "left_anti").unionByName(best[0].select("nid", "shard"))
 
 
+def settle(labels: DataFrame, members: DataFrame, total: int) -> DataFrame:
+    """(nid, shard): the last sweep, without quotas, of groups that share no node: members away from their group's main shard join it. The evening that follows restores the sizes."""
+    members = materialize(members.select("nid", "group"), "settled-members")
+    hot = materialize(hot_keys(members, "group", total), "settled-hot")
+    counts = members.join(labels, "nid").groupBy("group", "shard").agg(F.count("*").alias("n"))
+    main = materialize(counts.groupBy("group").agg((-F.max(F.struct("n", (-F.col("shard")).alias("first")))["first"]).alias("main")), "main-shards")
+    new = join_small_or_hot(members, main, "group", hot).select("nid", "main")
+    return labels.join(new, "nid", "left").select("nid", F.coalesce("main", "shard").alias("shard"))
+
+
 def even_out(labels: DataFrame, linked: DataFrame, total: int, shards: int = SHARDS) -> DataFrame:
     """(nid, shard, __o, __sub) with counts at most one apart. linked: (nid, lead, n) of the linked nodes, n the size of their group; others are given up first."""
     spark = labels.sparkSession
@@ -182,7 +192,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     links = materialize(star_links(rows.select("nid", "group"), "group", total), "star")
     linked = links.select(F.col("src").alias("nid"), F.col("dst").alias("lead"), "n").unionByName(links.select(F.col("dst").alias("nid"), F.col("dst").alias("lead"), "n").distinct())
     members = linked.select("nid", F.col("lead").alias("group"))
-    labels = even_out(propagate(rows.select("nid"), members, total, shards), linked, total, shards)
+    labels = even_out(settle(propagate(rows.select("nid"), members, total, shards), members, total), linked, total, shards)
     slots = with_positions(materialize(labels, "even"), "shard", [F.col("__o"), F.col("nid")], total // shards + 1, "slot").select("nid", "shard", "slot")
     return rows.join(slots, "nid").select(
         F.col("__id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
