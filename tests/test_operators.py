@@ -1,5 +1,6 @@
 """Hand-made frames: exact results, invariants, and gates that must fail."""
 
+import hashlib
 import math
 
 import pytest
@@ -439,6 +440,32 @@ def test_snapshot_audit_finds_damage(spark, tmp_path):
     assert next(r for r in rows if r.part == 2).found_rows == 0 and sum(not r.sha_ok for r in rows) == 4 and len(rows) == 5
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 3, 8_000_000])
+def test_checksums_by_chunk(tmp_path, chunk):
+    """Newlines that chunks cut in two, lone returns, an empty file; a name with blanks and signs."""
+    import pyarrow as pa
+
+    texts = [b"", b"\r", b"\r\n", b"a\r\r\nb\r\n\r\nc\r", b"a\nb\r\n" * 5]
+    paths = [tmp_path / f"part-{i} %20+#.csv" for i in range(len(texts))]
+    for p, t in zip(paths, texts, strict=True):
+        p.write_bytes(t)
+    b = pa.RecordBatch.from_pydict({"path": [f"file:{p}" for p in paths], "length": [len(t) for t in texts]})
+    rows = next(snapshot._digests(iter([b]), chunk)).to_pylist()
+    assert [r["sha256"] for r in rows] == [hashlib.sha256(t).hexdigest() for t in texts]
+    assert [r["canonical_sha256"] for r in rows] == [hashlib.sha256(t.replace(b"\r\n", b"\n")).hexdigest() for t in texts]
+
+
+def test_checksums_of_a_folder_streamed_and_whole(spark, tmp_path, monkeypatch):
+    """Both ways give the same; streaming reads no content through Spark."""
+    at = f"{tmp_path}/a b"
+    snapshot.publish_parts(spark.range(50), at, "id", 3)
+    rows = lambda f: sorted(map(tuple, f.collect()))
+    streamed = snapshot._files(spark, at)
+    assert "content" not in streamed._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(snapshot, "STREAMED", ())
+    assert rows(streamed) == rows(snapshot._files(spark, at)) and streamed.count() == 3
+
+
 def test_issue_register_keeps_one_result_a_run(spark, tmp_path):
     """A repeated run replaces itself, also with fewer issues or none; others stay."""
     at = f"{tmp_path}/r"

@@ -29,6 +29,12 @@ def _at(spark, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def location(spark, path: str) -> str:
+    """The path with its file system."""
+    p, fs = _at(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def exists(spark, path: str) -> bool:
     p, fs = _at(spark, path)
     return fs.exists(p)

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.storage import cut_lineage
+from waymark.functions.storage import cut_lineage, location
+
+#: Bytes of a file that a checksum task holds.
+CHUNK_BYTES = 8_000_000
+#: File systems whose files the workers open by themselves.
+STREAMED = ("file", "hdfs", "gs", "s3")
 
 
 def read_text_parts(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
@@ -48,14 +59,37 @@ def _name(path: Column) -> Column:
     return F.concat_ws("/", F.slice(F.split(path, "/"), -2, 2))
 
 
+def _digests(batches: Iterator[pa.RecordBatch], chunk_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """(path, length) to (path, length, sha256, canonical_sha256) of each file, read chunk_bytes at a time."""
+    for b in batches:
+        raws, canonicals = [], []
+        for path in b.column(0).to_pylist():
+            files, at = fs.FileSystem.from_uri(quote(path, safe="/:@"))
+            raw, canonical, held = sha256(), sha256(), b""
+            with files.open_input_stream(at, compression=None) as f:
+                while chunk := f.read(chunk_bytes):
+                    raw.update(chunk)
+                    chunk = held + chunk
+                    held = b"\r" if chunk.endswith(b"\r") else b""  # its LF may begin the next chunk
+                    canonical.update(chunk[: len(chunk) - len(held)].replace(b"\r\n", b"\n"))
+            canonical.update(held)
+            raws.append(raw.hexdigest())
+            canonicals.append(canonical.hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raws, pa.string()), pa.array(canonicals, pa.string())], names=["path", "length", "sha256", "canonical_sha256"])
+
+
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    """(part, name, bytes, sha256, canonical_sha256) of the files there are; canonical: with LF for CRLF."""
+    """(part, name, bytes, sha256, canonical_sha256) of the files there are; canonical: with LF for CRLF.
+
+    A task reads a file of any size in chunks where Arrow knows the folder's file system (STREAMED). Elsewhere `binaryFile` reads it whole, and a file has at most 2 GB.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{folder}/data")
-    canonical = F.regexp_replace(F.decode("content", "ISO-8859-1"), "\r\n", "\n")
-    return f.select(
-        F.regexp_extract("path", r"part=(\d+)", 1).cast("int").alias("part"), _name(F.col("path")).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"),
-        F.sha2(F.encode(canonical, "ISO-8859-1"), 256).alias("canonical_sha256"),
-    )
+    if location(spark, folder).split(":")[0] in STREAMED:
+        f = f.select("path", "length").mapInArrow(_digests, "path string, length long, sha256 string, canonical_sha256 string")
+    else:
+        canonical = F.regexp_replace(F.decode("content", "ISO-8859-1"), "\r\n", "\n")
+        f = f.select("path", "length", F.sha2("content", 256).alias("sha256"), F.sha2(F.encode(canonical, "ISO-8859-1"), 256).alias("canonical_sha256"))
+    return f.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("int").alias("part"), _name(F.col("path")).alias("name"), F.col("length").alias("bytes"), "sha256", "canonical_sha256")
 
 
 def audit_parts(spark: SparkSession, folder: str, canonical_newlines: bool = False, required: tuple[str, ...] = ()) -> DataFrame:
