@@ -189,10 +189,12 @@ def brute_scores(texts, remainder):
                 seen.setdefault(b, []).append(q)
     weights = {}
     for b, qs in seen.items():
-        w = [0.5, 0.4, 0.1]
-        for _ in range(lm.EM_STEPS):
+        w, gain, before = [0.5, 0.4, 0.1], 1.0, -math.inf
+        while gain >= lm.EM_TOLERANCE:
             parts = [[x * y for x, y in zip(q, w)] for q in qs]
             w = [sum(r[k] / sum(r) for r in parts) / len(parts) for k in range(3)]
+            now = sum(math.log(sum(r)) for r in parts) / len(parts)
+            gain, before = now - before, now
         weights[b] = w
     out = []
     for w in tokens:
@@ -229,6 +231,36 @@ def test_lm_levels():
         assert f <= 256 and f**levels >= blocks > (f - 1) ** levels
 
 
+def test_lm_deals_out_copies(spark):
+    """Rows of one id and text, a third of all and more, go to all blocks; each row is scored once, copies alike."""
+    df = spark.range(0, 3000, 1, 6).selectExpr("if(id % 3 = 0, id, 77) as doc_id", "if(id % 3 = 0, concat('word', id % 50, ' and more'), 'the same text again') as text")
+    rows = df.selectExpr("doc_id as __id", "0 as __part", "text as __text")
+    sizes = lm._pack(rows, 20, 2).groupBy("block").count().collect()
+    assert {r.block for r in sizes} == set(range(2, 20))
+    packed = lm._pack(rows.filter("__id = 77"), 20, 2).toPandas()
+    held = [sum(1 for _ in lm._unpack(b["docs"])) for _, b in packed.groupby("block")]
+    assert sum(held) == 2000 and len(held) == 18 and max(held) < 3 * min(held)
+    got = lm.score(df, block_bytes=5000).collect()
+    assert len(got) == 3000 and len({r.score for r in got if r.doc_id == 77}) == 1
+
+
+def test_em_converges():
+    """No weights near the fitted ones have a higher likelihood."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    m = rng.integers(1, 50, 40)
+    cells = pd.DataFrame({"bucket": 4, "g2": range(40), "g1": 0, "m": m, "p2": m * rng.random(40) * 0.3, "p1": m * rng.random(40) * 0.01})
+    w = lm.fit_weights(cells, 0.001)[4]
+    p = np.stack([cells["p2"] / m, cells["p1"] / m, np.full(40, 0.001)], axis=1)
+    value = lambda l: (m * np.log(p @ l)).sum() / m.sum()
+    for step in rng.normal(0, 0.01, (200, 3)):
+        near = np.abs(w + step)
+        assert value(near / near.sum()) <= value(w) + 1e-5
+    assert value(w) >= value(lm.fit_weights(cells, 0.001, 0, 40)[4])
+
+
 def test_em_recovers_weights():
     import pandas as pd
 

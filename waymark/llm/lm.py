@@ -5,7 +5,7 @@ zero, mixed by weights that depend on the bucket b of the context's frequency c(
 out ("deleted"): the estimates without it are mixed on its counts by expectation-maximisation. Then
 all training documents give the final counts.
 
-Layout: documents are dealt by hash into blocks of about BLOCK_BYTES of text, packed and compressed. A block sends each distinct
+Layout: documents are dealt by hash into blocks of about BLOCK_BYTES of text (copies of one row apart, a long text whole), packed, compressed and written once. A block sends each distinct
 n-gram (sorted, as compressed differences) once, with its counts, to the ranges of the key space. Up to FANOUT blocks, a
 range adds up all blocks and answers each with the totals, in the block's own order, so that answers carry no keys. Of more blocks, groups
 of up to FANOUT are added up first, range by range; a group's ranges send on what they have added up, in finer ranges, to a group of
@@ -37,7 +37,9 @@ FANOUT = 256
 BUCKETS = 24
 #: Steps of log2 of a probability that the held-out counts tell apart.
 GRID = 8
-EM_STEPS = 40
+#: Expectation-maximisation stops when a step adds less than this to the log-likelihood of a held-out token, or after EM_STEPS.
+EM_TOLERANCE = 1e-8
+EM_STEPS = 20_000
 #: Training documents whose remainder modulo 7 is this one are held out for the weights.
 HELD_REMAINDER = 3
 TEST_REMAINDER = 2
@@ -95,7 +97,7 @@ def _expand(b: bytes, dtype) -> np.ndarray:
 
 def _pack(docs: DataFrame, blocks: int, held_blocks: int) -> DataFrame:
     """(block, held, docs): documents packed by block; held-out documents have the first held_blocks blocks to themselves."""
-    h = F.xxhash64("__id", "__text")
+    h = F.xxhash64("__id", "__text", F.monotonically_increasing_id())  # rows that repeat are dealt out, too
     block = F.when(F.col("__part") == HELD_REMAINDER, F.pmod(h, F.lit(held_blocks))).otherwise(held_blocks + F.pmod(h, F.lit(blocks - held_blocks)))
     src = docs.select(block.cast("int").alias("block"), "__id", "__part", "__text")
 
@@ -312,8 +314,8 @@ def _held_out(packed: DataFrame, answers: DataFrame, n_kept: int) -> DataFrame:
     return cells.groupBy("bucket", "g2", "g1").agg(*[F.sum(c).alias(c) for c in ("m", "p2", "p1")])
 
 
-def fit_weights(cells: pd.DataFrame, p0: float, steps: int = EM_STEPS) -> np.ndarray:
-    """Weights (bucket, 3: order two, one, zero) by expectation-maximisation on held-out counts."""
+def fit_weights(cells: pd.DataFrame, p0: float, tolerance: float = EM_TOLERANCE, steps: int = EM_STEPS) -> np.ndarray:
+    """Weights (bucket, 3: order two, one, zero) by expectation-maximisation on held-out counts, to convergence."""
     weights = np.tile([0.5, 0.4, 0.1], (BUCKETS, 1))
     for b in range(BUCKETS):
         c = cells[cells["bucket"] == b]
@@ -321,10 +323,14 @@ def fit_weights(cells: pd.DataFrame, p0: float, steps: int = EM_STEPS) -> np.nda
             continue
         m = c["m"].to_numpy(dtype=float)
         p = np.stack([c["p2"] / m, c["p1"] / m, np.full(len(c), p0)], axis=1)
-        l = weights[b]  # noqa: E741
+        l, share, before = weights[b], m / m.sum(), -np.inf  # noqa: E741
         for _ in range(steps):
-            q = p * l
-            l = (q / q.sum(axis=1, keepdims=True) * m[:, None]).sum(axis=0) / m.sum()  # noqa: E741
+            total = p @ l
+            l = l * ((share / total) @ p)  # noqa: E741
+            now = share @ np.log(total)  # of the weights before this step
+            if now - before < tolerance:
+                break
+            before = now
         l = np.maximum(l, 1e-9)  # noqa: E741
         weights[b] = l / l.sum()
     return weights
@@ -338,7 +344,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     size = rows.agg(F.sum(F.octet_length("__text") + 1)).first()[0] or 0
     blocks = max(2, groups_for(size, block_bytes))
     held_blocks = max(1, blocks // 7)
-    packed = _pack(rows, blocks, held_blocks)
+    packed = materialize(_pack(rows, blocks, held_blocks), "lm-blocks")  # three jobs read it; written, a row keeps its block
     answers, figures = _exchange(packed, blocks, fanout)
     n, n_kept, v, v_kept = (int(x or 0) for x in figures.agg(*[F.sum(c) for c in ("n", "n_kept", "n_words", "n_kept_words")]).first())
     cells = _held_out(packed.filter(F.col("block") < held_blocks), answers.filter(F.col("block") < held_blocks), n_kept).toPandas()  # a grid of fixed size
