@@ -566,7 +566,7 @@ gate_query(
     "va18_benefits", ("benefit", {
         "unique_key": unique("unit_id", "treatment_id", "scenario"), "cmf_range": rule(CRITICAL, "cmf < 0 OR cmf > 1"), "severity_sum": rule(CRITICAL, "abs(av_k + av_a + av_b + av_c + av_o - averted) > 1e-6 * averted"), "whole_quantity": rule(CRITICAL, "treatment_id <> 'T2' AND quantity <> floor(quantity)"),
         "present_value": rule(CRITICAL, "abs(annual_benefit * (1 - power(1.03e0, -life_years)) / 0.03e0 - pv) > 1e-6 * pv"), "extreme_bcr": rule(WARNING, "pv / cost > 1000"),
-    }), ("(SELECT max(CASE WHEN scenario = 'CONSERVATIVE' THEN cmf END) AS c, max(CASE WHEN scenario = 'BASE' THEN cmf END) AS b, max(CASE WHEN scenario = 'OPTIMISTIC' THEN cmf END) AS o FROM benefit GROUP BY unit_id, treatment_id) q", {"cmf_order": rule(CRITICAL, "c < b OR b < o OR c IS NULL OR o IS NULL")}),
+    }), ("(SELECT max(CASE WHEN scenario = 'CONSERVATIVE' THEN cmf END) AS c, max(CASE WHEN scenario = 'BASE' THEN cmf END) AS b, max(CASE WHEN scenario = 'OPTIMISTIC' THEN cmf END) AS o FROM benefit GROUP BY unit_id, treatment_id) q", {"cmf_order": rule(CRITICAL, "c < b OR b < o OR c IS NULL OR b IS NULL OR o IS NULL")}),
 )
 gate_query(
     "va19_portfolio", ("(SELECT s.portfolio_id, count(*) AS n, count(DISTINCT s.unit_id) AS u, sum(s.cost) AS cost, max(g.budget) AS budget, sum(CASE WHEN s.priority_area THEN s.cost ELSE 0e0 END) AS pr, max(g.floor_share) AS floor_share, count(CASE WHEN s.treatment_id = 'T2' THEN 1 END) AS t2 FROM sel s JOIN grid g ON s.portfolio_id = g.portfolio_id GROUP BY s.portfolio_id) q",
