@@ -59,6 +59,25 @@ def test_assignment(spark, y, status):
     assert (got["a"].unit_id is not None) == (status == "primary_assigned")
 
 
+def test_columns_of_other_names(spark):
+    """Points, lines and panels give the same whatever their keys are called."""
+    names = {"event_id": "crash", "unit_id": "road", "month_start": "when"}
+    other = lambda df: df.withColumnsRenamed(names)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    points = spark.range(40).selectExpr("int(id) as event_id", "double(id * 37 % 100) as x", "double(id * 61 % 100) as y", "id % 9 <> 0 as valid")
+    lines = spark.createDataFrame([(1, 0, 0, 0.0, 10.0, 100.0, 10.0), (2, 0, 0, 0.0, 14.0, 100.0, 60.0), (2, 1, 0, 50.0, 0.0, 50.0, 100.0)], SEGMENTS)
+    key, unit = {"key": "crash", "unit": "road"}, {"unit": "road"}
+    pairs, again = spatial.within_distance(points.filter("valid"), lines, 20.0), spatial.within_distance(other(points).filter("valid"), other(lines), 20.0, **key)
+    assert rows(pairs) == rows(again)
+    ranked, ranked_again = spatial.rank_candidates(pairs, 1.0), spatial.rank_candidates(again, 1.0, **key)
+    got = spatial.assign(other(points), ranked_again, **key)
+    assert rows(ranked) == rows(ranked_again) and rows(spatial.assign(points, ranked)) == rows(got) and got.columns[:3] == ["crash", "assignment_status", "road"]
+    assert rows(spatial.sensitivity(pairs, F.lit(40.0), (5.0, 20.0), 1.0)) == rows(spatial.sensitivity(again, F.lit(40.0), (5.0, 20.0), 1.0, **key))
+    assert rows(spatial.line_figures(lines)) == rows(spatial.line_figures(other(lines), **unit)) and rows(spatial.carriageway_lengths(lines)) == rows(spatial.carriageway_lengths(other(lines), **unit))
+    panel_ = spark.range(48).selectExpr("int(id % 2) as unit_id", "add_months(date'2020-01-01', int(id / 2)) as month_start", "double(id * 7 % 5) as v")
+    assert rows(models.recursive_mean_forecast(panel_, "v")) == rows(models.recursive_mean_forecast(other(panel_), "v", unit="road", month="when"))
+
+
 def test_overlay_splits_at_borders(spark):
     seg = spark.createDataFrame([("L", 0, 0, 0.0, 5.0, 30.0, 5.0)], SEGMENTS)
     edges = [(p, a, b, c, d) for p, o in ((1, 0.0), (2, 10.0)) for a, b, c, d in ((o, 0.0, o + 10, 0.0), (o + 10, 0.0, o + 10, 10.0), (o + 10, 10.0, o, 10.0), (o, 10.0, o, 0.0))]

@@ -248,12 +248,12 @@ def coefficient_table(model: FittedModel, train: DataFrame, top: int = 15) -> Da
     return d.withColumn("rate_ratio", F.exp("coefficient")).orderBy(F.abs("coefficient").desc(), "term").limit(top)
 
 
-def recursive_mean_forecast(panel: DataFrame, value: str, steps: int = 12, window: int = 12) -> DataFrame:
-    """(unit_id, step, forecast): every step is the mean of the last values, forecasts included. A fold over one bounded array a unit."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("month_start", F.col(value).cast("double").alias("v")))), lambda s: s["v"])
-    base = panel.groupBy("unit_id").agg(F.slice(ordered, -window, window).alias("h"))
+def recursive_mean_forecast(panel: DataFrame, value: str, steps: int = 12, window: int = 12, unit: str = "unit_id", month: str = "month_start") -> DataFrame:
+    """(unit, step, forecast): every step is the mean of the last values, forecasts included. A fold over one bounded array a unit."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(month, F.col(value).cast("double").alias("v")))), lambda s: s["v"])
+    base = panel.groupBy(unit).agg(F.slice(ordered, -window, window).alias("h"))
     grown = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("h"), lambda h, _: F.concat(h, F.array(F.aggregate(F.slice(h, -window, window), F.lit(0.0), lambda s, v: s + v) / window)))
-    return base.select("unit_id", F.posexplode(F.slice(grown, window + 1, steps)).alias("p", "forecast")).select("unit_id", (F.col("p") + 1).alias("step"), "forecast")
+    return base.select(unit, F.posexplode(F.slice(grown, window + 1, steps)).alias("p", "forecast")).select(unit, (F.col("p") + 1).alias("step"), "forecast")
 
 
 def recursive_calibrated_forecast(panel: DataFrame, unit: str, month: str, total: str, part: str, factor: DataFrame, steps: int = 12, window: int = 12) -> DataFrame:

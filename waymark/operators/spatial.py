@@ -127,36 +127,36 @@ def near_segments(segments: DataFrame, pairs: DataFrame, limit: float) -> DataFr
     return main.join(other, ["cross", "cx", "cy"]).groupBy("main", "cross", "sid").agg(F.min(d).alias("distance")).filter(F.col("distance") <= limit)
 
 
-def carriageway_lengths(segments: DataFrame) -> DataFrame:
+def carriageway_lengths(segments: DataFrame, unit: str = "unit_id") -> DataFrame:
     """Per line: parts, its length (the mean of its parts: carriageways run side by side) and its linework (their sum)."""
     l = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)  # noqa: E741
-    parts = segments.groupBy("unit_id", "part").agg(F.sum(l).alias("l"))
-    return parts.groupBy("unit_id").agg(F.count("*").alias("parts"), F.avg("l").alias("length"), F.sum("l").alias("linework"))
+    parts = segments.groupBy(unit, "part").agg(F.sum(l).alias("l"))
+    return parts.groupBy(unit).agg(F.count("*").alias("parts"), F.avg("l").alias("length"), F.sum("l").alias("linework"))
 
 
-def rank_candidates(pairs: DataFrame, tie_tolerance: float) -> DataFrame:
+def rank_candidates(pairs: DataFrame, tie_tolerance: float, key: str = "event_id", unit: str = "unit_id") -> DataFrame:
     """pairs with rank, count, gap to the second, is_ambiguous, is_tie (gap at most the tolerance)."""
-    w = W.partitionBy("event_id").orderBy(F.round("distance", 9), "unit_id")
-    every = W.partitionBy("event_id")
+    w = W.partitionBy(key).orderBy(F.round("distance", 9), unit)
+    every = W.partitionBy(key)
     r = pairs.withColumn("candidate_rank", F.row_number().over(w)).withColumn("candidate_count", F.count("*").over(every))
     second = F.max(F.when(F.col("candidate_rank") == 2, F.col("distance"))).over(every)
     first = F.max(F.when(F.col("candidate_rank") == 1, F.col("distance"))).over(every)
     return r.withColumn("gap", second - first).withColumn("is_ambiguous", F.col("candidate_count") > 1).withColumn("is_tie", F.coalesce(F.round("gap", 9) <= tie_tolerance, F.lit(False)))
 
 
-def assign(points: DataFrame, ranked: DataFrame) -> DataFrame:
+def assign(points: DataFrame, ranked: DataFrame, key: str = "event_id", unit: str = "unit_id") -> DataFrame:
     """One row a point: primary_assigned, unresolved_tie (no unit), outside_selected_threshold or no_valid_coordinates."""
-    top = ranked.filter("candidate_rank = 1").select("event_id", "unit_id", "distance", "candidate_count", "gap", "is_tie")
-    j = points.select("event_id", "valid").join(top, "event_id", "left")
+    top = ranked.filter("candidate_rank = 1").select(key, unit, "distance", "candidate_count", "gap", "is_tie")
+    j = points.select(key, "valid").join(top, key, "left")
     status = F.when(~F.col("valid"), "no_valid_coordinates").when(F.col("distance").isNull(), "outside_selected_threshold").when(F.col("is_tie"), "unresolved_tie").otherwise("primary_assigned")
-    return j.select("event_id", status.alias("assignment_status"), F.when(status == "primary_assigned", F.col("unit_id")).alias("unit_id"), "distance", F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.round("gap", 4).alias("gap"))
+    return j.select(key, status.alias("assignment_status"), F.when(status == "primary_assigned", F.col(unit)).alias(unit), "distance", F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.round("gap", 4).alias("gap"))
 
 
-def sensitivity(pairs: DataFrame, total: Column, limits: tuple[float, ...], tie_tolerance: float) -> DataFrame:
+def sensitivity(pairs: DataFrame, total: Column, limits: tuple[float, ...], tie_tolerance: float, key: str = "event_id", unit: str = "unit_id") -> DataFrame:
     """One row a limit: pairs, matched, single, multiple, ties ranked anew within the limit, percentiles, gain over the limit before."""
     each = pairs.withColumn("limit", F.explode(F.array(*[F.lit(float(x)) for x in limits]))).filter(F.col("distance") <= F.col("limit"))
-    w = W.partitionBy("limit", "event_id").orderBy(F.round("distance", 9), "unit_id")
-    r = each.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(W.partitionBy("limit", "event_id"))).withColumn("gap", F.lead("distance").over(w) - F.col("distance"))
+    w = W.partitionBy("limit", key).orderBy(F.round("distance", 9), unit)
+    r = each.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(W.partitionBy("limit", key))).withColumn("gap", F.lead("distance").over(w) - F.col("distance"))
     r = cut_lineage(r, "by-limit")
     a = r.groupBy("limit").agg(
         F.count("*").alias("pairs"), F.count_if(F.expr("rn = 1")).alias("matched"), F.count_if(F.expr("rn = 1 and n = 1")).alias("single"), F.count_if(F.expr("rn = 1 and n > 1")).alias("multiple"),
@@ -167,11 +167,11 @@ def sensitivity(pairs: DataFrame, total: Column, limits: tuple[float, ...], tie_
     return a.withColumn("gain", F.col("matched") - F.coalesce(F.lag("matched").over(by), F.lit(0))).withColumn("coverage", F.col("matched") / total)
 
 
-def line_figures(segments: DataFrame) -> DataFrame:
+def line_figures(segments: DataFrame, unit: str = "unit_id") -> DataFrame:
     """Length, length-weighted centroid and box of every line."""
     length = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)
     s = segments.withColumn("l", length)
-    return s.groupBy("unit_id").agg(
+    return s.groupBy(unit).agg(
         F.sum("l").alias("length"), (F.sum(F.col("l") * (F.col("x1") + F.col("x2")) / 2) / F.sum("l")).alias("cx"), (F.sum(F.col("l") * (F.col("y1") + F.col("y2")) / 2) / F.sum("l")).alias("cy"),
         F.min(F.least("x1", "x2")).alias("min_x"), F.max(F.greatest("x1", "x2")).alias("max_x"), F.min(F.least("y1", "y2")).alias("min_y"), F.max(F.greatest("y1", "y2")).alias("max_y"),
     )

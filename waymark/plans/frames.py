@@ -173,7 +173,7 @@ _RAW = {
     "cl02_integer": ("CASE WHEN try_cast(nullif(trim(lanes), '') AS DOUBLE) % 1 = 0 THEN CAST(try_cast(nullif(trim(lanes), '') AS DOUBLE) AS BIGINT) END AS lanes, coalesce(trim(lanes), '') <> '' AND coalesce(try_cast(nullif(trim(lanes), '') AS DOUBLE) % 1 <> 0, TRUE) AS bad", lambda: [clean.coerce_integer(F.col("lanes")).alias("lanes"), clean.invalid_integer(F.col("lanes")).alias("bad")]),
     "cl03_float": ("try_cast(speed AS DOUBLE) AS speed, speed IS NOT NULL AND try_cast(speed AS DOUBLE) IS NULL AS bad", lambda: [clean.coerce_float(F.col("speed")).alias("speed"), clean.invalid_float(F.col("speed")).alias("bad")]),
     "cl04_dates": (f"{DAY} AS event_day, ({DAY}) IS NULL AS invalid, CAST(date_trunc('month', {DAY}) AS DATE) AS month_start, CAST(year({DAY}) AS INT) AS event_year", lambda: [clean.parse_date(F.col("event_date")).alias("event_day"), clean.parse_date(F.col("event_date")).isNull().alias("invalid"), F.trunc(clean.parse_date(F.col("event_date")), "month").alias("month_start"), F.year(clean.parse_date(F.col("event_date"))).alias("event_year")]),
-    "cl05_severity": ("CASE upper(trim(injury)) WHEN 'FATAL' THEN 'K' WHEN 'INCAPACITATING INJURY' THEN 'A' WHEN 'NONINCAPACITATING INJURY' THEN 'B' WHEN 'REPORTED, NOT EVIDENT' THEN 'C' WHEN 'NO INDICATION OF INJURY' THEN 'O' ELSE 'U' END AS kabco, upper(trim(injury)) = 'UNEXPECTED VALUE' AS unmapped", lambda: [clean.map_severity(F.col("injury")).alias("kabco"), clean.severity_unmapped(F.col("injury")).alias("unmapped")]),
+    "cl05_severity": ("CASE upper(trim(injury)) WHEN 'FATAL' THEN 'K' WHEN 'INCAPACITATING INJURY' THEN 'A' WHEN 'NONINCAPACITATING INJURY' THEN 'B' WHEN 'REPORTED, NOT EVIDENT' THEN 'C' WHEN 'NO INDICATION OF INJURY' THEN 'O' ELSE 'U' END AS kabco, upper(trim(injury)) NOT IN ('', 'FATAL', 'INCAPACITATING INJURY', 'NONINCAPACITATING INJURY', 'REPORTED, NOT EVIDENT', 'NO INDICATION OF INJURY') AS unmapped", lambda: [clean.map_severity(F.col("injury")).alias("kabco"), clean.severity_unmapped(F.col("injury")).alias("unmapped")]),
     "cl07_domain": ("upper(trim(flag)) NOT IN ('Y', 'N', '') AS outside", lambda: [clean.outside_domain(F.col("flag")).alias("outside")]),
     "cl08_ranges": ("coalesce(try_cast(speed AS DOUBLE) NOT BETWEEN 1 AND 70, FALSE) AS speed_warns", lambda: [clean.outside_range(clean.coerce_float(F.col("speed")), 1, 70).alias("speed_warns")]),
     "cl10_street": ("nullif(trim(regexp_replace(upper(street), '[^A-Z0-9]+', ' ', 'g')), '') AS street", lambda: [clean.normalize_street(F.col("street")).alias("street")]),

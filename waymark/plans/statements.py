@@ -56,7 +56,8 @@ def _bad(cond: str) -> str:
     return f"count(CASE WHEN {cond} THEN 1 END)"
 
 
-#: Present value of a benefit row by economic costs alone.
+# Costs of an event by severity that count economic loss alone.
+#: Present value of a benefit row by them.
 _ECONOMIC = "(b.av_k * 2000000e0 + b.av_a * 170000e0 + b.av_b * 60000e0 + b.av_c * 40000e0 + b.av_o * 12000e0) * b.pv / nullif(b.annual_benefit, 0)"
 
 

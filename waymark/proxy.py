@@ -141,14 +141,14 @@ VIEWS: dict[str, str] = {
         coalesce(sum(s.pv), 0e0) - coalesce(sum(s.cost), 0e0) AS npv, coalesce(sum(s.pv) / sum(s.cost), 0e0) AS bcr, coalesce(max(s.bcr), 0e0) AS max_bcr, count(CASE WHEN s.treatment_id = 'T2' THEN 1 END) AS capped
         FROM grid g LEFT JOIN sel s ON g.portfolio_id = s.portfolio_id GROUP BY g.portfolio_id, g.run_group, g.unc, g.budget, g.floor_share""",
     # raw text records with every kind of dirt
-    "raw": """SELECT CAST(o_orderkey AS STRING) AS record_id, CASE WHEN o_orderkey % 17 = 0 THEN ' ' WHEN o_orderkey % 19 = 0 THEN 'UNEXPECTED VALUE' WHEN o_orderkey % 23 = 0 THEN '  fatal ' ELSE
+    "raw": """SELECT CAST(o_orderkey AS STRING) AS record_id, CASE WHEN o_orderkey % 17 = 0 THEN ' ' WHEN o_orderkey % 19 = 0 THEN 'SEE NARRATIVE' WHEN o_orderkey % 23 = 0 THEN '  fatal ' ELSE
         CASE CAST(substr(o_orderpriority, 1, 1) AS INT) WHEN 1 THEN 'FATAL' WHEN 2 THEN 'INCAPACITATING INJURY' WHEN 3 THEN 'NONINCAPACITATING INJURY' WHEN 4 THEN 'REPORTED, NOT EVIDENT' ELSE 'NO INDICATION OF INJURY' END END AS injury,
         CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 29 = 0 THEN 'not a date' WHEN o_orderkey % 5 = 0 THEN substr(CAST(o_orderdate AS STRING), 6, 2) || '/' || substr(CAST(o_orderdate AS STRING), 9, 2) || '/' || substr(CAST(o_orderdate AS STRING), 1, 4)
         WHEN o_orderkey % 5 = 1 THEN substr(CAST(o_orderdate AS STRING), 1, 10) || 'T08:30:00.000' ELSE substr(CAST(o_orderdate AS STRING), 1, 10) END AS event_date,
         CASE WHEN o_orderkey % 11 = 0 THEN '7.0' WHEN o_orderkey % 11 = 1 THEN '3.5' WHEN o_orderkey % 11 = 2 THEN 'x' WHEN o_orderkey % 11 = 3 THEN '' ELSE CAST(o_orderkey % 97 AS STRING) END AS lanes,
         CASE WHEN o_orderkey % 7 = 0 THEN 'bad' WHEN o_orderkey % 7 = 1 THEN NULL ELSE CAST(CAST(o_orderkey % 900 AS DOUBLE) / 8 AS STRING) END AS speed,
         CASE o_orderkey % 4 WHEN 0 THEN 'Y' WHEN 1 THEN 'n' WHEN 2 THEN ' ' ELSE 'Q' END AS flag,
-        CASE o_orderkey % 10 WHEN 0 THEN NULL WHEN 1 THEN '41.9' WHEN 2 THEN 'bad' WHEN 3 THEN '95' ELSE '41.88' END AS lat, CASE o_orderkey % 10 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE '-87.63' END AS lon,
+        CASE o_orderkey % 10 WHEN 0 THEN NULL WHEN 1 THEN '42.25' WHEN 2 THEN 'n/a' WHEN 3 THEN '-61.5' ELSE '42.5' END AS lat, CASE o_orderkey % 10 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE '-88.125' END AS lon,
         CASE o_orderkey % 5 WHEN 0 THEN ' N. Main  St. ' WHEN 1 THEN 'n main st' WHEN 2 THEN 'Martin L King Jr Dr' WHEN 3 THEN '' ELSE 'LAKE SHORE--DR' END AS street FROM orders""",
 }
 #: The day of a text in raw.
